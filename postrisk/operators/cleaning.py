@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postrisk.constants import CLEAN_COLUMNS, REQUIRED_COLUMNS
 from postrisk.functions.scores import amplification, coerce_count, hours_between, parse_ts, velocity
-from postrisk.functions.text import clean_text, has_content
+from postrisk.functions.text import clean_text, cleans_to_empty, has_content
 
 ARRIVAL = ("source_rank", "row_ord")
 
@@ -50,36 +50,59 @@ def select_output(df: DataFrame, columns: Sequence[str] = CLEAN_COLUMNS) -> Data
     return df.select(*columns)
 
 
-def _features(df: DataFrame, strip_keycaps: bool) -> DataFrame:
-    """Cleaning plus unscaled features; ``_reason`` tells why a row would be dropped."""
-    posted = parse_ts("timestamp_utc")
-    scraped = parse_ts("scraped_at_utc")
+def row_features(df: DataFrame, strip_keycaps: bool = True) -> DataFrame:
+    """Row-local part of cleaning, computed before de-duplication (in the scan stage).
+
+    Adds numeric counters, parsed timestamps, hours since post, raw
+    amplification/velocity and ``_reason``: why the row would be dropped after
+    de-duplication (null when kept). The text itself is left raw; whether it
+    cleans to nothing is decided without the regex passes for plain text."""
     missing = (F.col("text").isNull() | F.col("timestamp_utc").isNull()
                | F.col("scraped_at_utc").isNull() | ~has_content("text"))
-    out = (df.withColumn("_missing", missing)
-           .withColumn("text", clean_text("text", strip_keycaps))
-           .withColumn("likes", coerce_count("likes"))
-           .withColumn("reposts", coerce_count("reposts"))
-           .withColumn("replies", coerce_count("replies"))
-           .withColumn("timestamp_utc", posted)
-           .withColumn("scraped_at_utc", scraped)
-           .withColumn("hours_since_post", hours_between("timestamp_utc", "scraped_at_utc"))
-           .withColumn("amplification_raw", amplification("likes", "reposts", "replies"))
-           .withColumn("velocity_raw", velocity("likes", "reposts", "replies", "hours_since_post")))
-    reason = (F.when(F.col("_missing"), F.lit("missing_value"))
-              .when(F.length("text") == 0, F.lit("empty_after_clean"))
-              .when(F.col("hours_since_post").isNull(), F.lit("bad_timestamp"))
-              .when(F.col("amplification_raw").isNull(), F.lit("bad_amplification")))
-    return out.withColumn("_reason", reason).drop("_missing")
-
-
-def clean_posts(raw: DataFrame, strip_keycaps: bool = True) -> DataFrame:
+    # few wide projections: a chain of withColumn re-analyses the plan each time
+    s1 = df.withColumns({
+        "_missing": missing,
+        "_empty": cleans_to_empty("text", strip_keycaps),
+        "likes": coerce_count("likes"),
+        "reposts": coerce_count("reposts"),
+        "replies": coerce_count("replies"),
+        "timestamp_utc": parse_ts("timestamp_utc"),
+        "scraped_at_utc": parse_ts("scraped_at_utc"),
+    })
+    s2 = s1.withColumns({
+        "hours_since_post": hours_between("timestamp_utc", "scraped_at_utc"),
+        "amplification_raw": amplification("likes", "reposts", "replies"),
+    })
+    s3 = s2.withColumns({
+        "velocity_raw": velocity("likes", "reposts", "replies", "hours_since_post"),
+        "_reason": (F.when(F.col("_missing"), F.lit("missing_value"))
+                    .when(F.col("_empty"), F.lit("empty_after_clean"))
+                    .when(F.col("hours_since_post").isNull(), F.lit("bad_timestamp"))
+                    .when(F.col("amplification_raw").isNull(), F.lit("bad_amplification"))),
+    })
+    return s3.drop("_missing", "_empty")
+
+
+def kept_rows(raw: DataFrame, columns=None, strip_keycaps: bool = True,
+              pre: DataFrame | None = None) -> DataFrame:
+    """De-duplicated rows that survive all filters (text still raw).
+
+    ``columns`` narrows what the de-dup carries (e.g. only the numeric features
+    for statistics), so a narrow consumer never shuffles the text. ``pre`` is
+    ``row_features(raw)`` when the caller already has it."""
+    pre = row_features(raw, strip_keycaps) if pre is None else pre
+    if columns is not None:
+        keep = ["post_id", *[c for c in ARRIVAL if c in pre.columns], "_reason", *columns]
+        pre = pre.select(*dict.fromkeys(keep))
+    d = dedupe_keep_first(pre) if "source_rank" in pre.columns else pre
+    return d.filter(F.col("_reason").isNull()).drop("_reason")
+
+
+def clean_posts(raw: DataFrame, strip_keycaps: bool = True, pre: DataFrame | None = None) -> DataFrame:
     """Keep-first de-dup, missing/blank filters, text cleaning, counter
     coercion, hours since post, raw amplification and velocity (not yet scaled)."""
-    d = dedupe_keep_first(raw) if "source_rank" in raw.columns else raw
-    # filters on the raw columns first, so Parquet sources can skip early
-    d = drop_missing(d)
-    return _features(d, strip_keycaps).filter(F.col("_reason").isNull()).drop("_reason")
+    return kept_rows(raw, strip_keycaps=strip_keycaps, pre=pre).withColumn(
+        "text", clean_text("text", strip_keycaps))
 
 
 AUDIT_STEPS = ("input", "duplicate_id", "missing_value", "empty_after_clean", "bad_timestamp",
@@ -89,7 +112,8 @@ AUDIT_STEPS = ("input", "duplicate_id", "missing_value", "empty_after_clean", "b
 def cleaning_audit(raw: DataFrame, strip_keycaps: bool = True) -> DataFrame:
     """Rows in, rows dropped per reason, rows out - from one aggregate."""
     n_in = raw.select(F.count(F.lit(1))).scalar()
-    kept = _features(dedupe_keep_first(raw), strip_keycaps)
+    narrow = row_features(raw, strip_keycaps).select("post_id", *ARRIVAL, "_reason")
+    kept = dedupe_keep_first(narrow)
     r = F.col("_reason")
     agg = kept.agg(
         F.count(F.lit(1)).alias("n_unique"),

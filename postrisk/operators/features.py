@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postrisk.constants import CLEAN_COLUMNS
-from postrisk.operators.cleaning import clean_posts, select_output
+from postrisk.operators.cleaning import clean_posts, kept_rows, row_features, select_output
 from postrisk.session import materialize as _materialize
 
 NORM_COLUMNS = {"amplification_raw": "amplification_norm", "velocity_raw": "velocity_norm"}
@@ -35,12 +35,12 @@ def apply_minmax(df: DataFrame, params, cols: Mapping[str, str]) -> DataFrame:
 
     ``params`` is the fitted 1-row DataFrame (planned as a scalar subquery, no
     join) or a dict of frozen numbers (streams score with fixed parameters)."""
-    out = df
+    new = {}
     for src, dst in cols.items():
         lo, hi = _bounds(params, src)
         x = F.col(src)
-        out = out.withColumn(dst, F.when(hi == lo, x * 0.0).otherwise((x - lo) / (hi - lo)))
-    return out
+        new[dst] = F.when(hi == lo, x * 0.0).otherwise((x - lo) / (hi - lo))
+    return df.withColumns(new)
 
 
 def engagement_features(raw: DataFrame, params=None, materialize: bool = False,
@@ -51,9 +51,13 @@ def engagement_features(raw: DataFrame, params=None, materialize: bool = False,
     ``materialize=True`` checkpoints the unscaled table into the shared folder so
     the text cleaning runs once (worth it on large inputs), otherwise Spark
     recomputes the upstream for the statistics."""
-    base = clean_posts(raw, strip_keycaps)
+    pre = row_features(raw, strip_keycaps)
+    base = clean_posts(raw, strip_keycaps, pre=pre)
     if materialize:
         base = _materialize(base)
     if params is None:
-        params = fit_minmax(base, list(NORM_COLUMNS))
+        # statistics from a narrow de-dup of the numeric columns: the text is
+        # neither shuffled nor cleaned a second time for them
+        stats_src = base if materialize else kept_rows(raw, list(NORM_COLUMNS), strip_keycaps, pre=pre)
+        params = fit_minmax(stats_src, list(NORM_COLUMNS))
     return select_output(apply_minmax(base, params, NORM_COLUMNS), CLEAN_COLUMNS)

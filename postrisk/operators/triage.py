@@ -19,12 +19,12 @@ def triage(df: DataFrame, weights=None, p_col: str = "P_hoax", amp_col: str = "a
     """Row-local columns only, so it works unchanged on a stream."""
     wh, wa, wv = _weights(weights)
     score = risk_score(p_col, amp_col, vel_col, (wh, wa, wv))
-    return (df.withColumn("Risk_Score", score)
-            .withColumn("Zona_Triase", zone("Risk_Score"))
-            .withColumn("Target_Respons", response("Risk_Score"))
-            .withColumn("Kontribusi_Teks", F.col(p_col) * wh * 100)
-            .withColumn("Kontribusi_Amplifikasi", F.col(amp_col) * wa * 100)
-            .withColumn("Kontribusi_Velositas", F.col(vel_col) * wv * 100))
+    return df.withColumns({
+        "Risk_Score": score,
+        "Kontribusi_Teks": F.col(p_col) * wh * 100,
+        "Kontribusi_Amplifikasi": F.col(amp_col) * wa * 100,
+        "Kontribusi_Velositas": F.col(vel_col) * wv * 100,
+    }).withColumns({"Zona_Triase": zone("Risk_Score"), "Target_Respons": response("Risk_Score")})
 
 
 def triage_queue(df: DataFrame, k: int | None = None, columns: Sequence[str] | None = None,

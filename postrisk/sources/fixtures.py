@@ -39,14 +39,16 @@ def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     *[F.coalesce(c, F.lit(0)).alias(c) for c in ("likes", "reposts", "replies")],
                     F.coalesce("posted", F.expr("timestamp_ntz'2024-01-01 00:00:00'")).alias("posted")))
     five = F.col("doc_id") % 5
-    targeted = base.filter(five.isin(0, 1)).select(
-        F.lit(0).alias("source_rank"), F.lit("targeted").alias("collection_type"),
-        F.lit(0).alias("extra"), "*")
-    rnd = base.filter(five.isin(1, 2, 3, 4)).select(
-        F.lit(1).alias("source_rank"), F.lit("random").alias("collection_type"),
-        F.lit(1).alias("extra"), "*")
+    # both collection copies from one scan: 40 % targeted, 80 % random
+    copies = F.filter(
+        F.array(F.struct(F.lit(0).alias("source_rank"), F.lit("targeted").alias("collection_type"),
+                         F.lit(0).alias("extra")),
+                 F.struct(F.lit(1).alias("source_rank"), F.lit("random").alias("collection_type"),
+                          F.lit(1).alias("extra"))),
+        lambda c: F.when(c["source_rank"] == 0, five.isin(0, 1)).otherwise(five.isin(1, 2, 3, 4)))
+    both = base.select("*", F.inline(copies))
     d = F.col("doc_id")
-    return targeted.unionByName(rnd).select(
+    return both.select(
         "source_rank",
         d.alias("row_ord"),
         d.cast("string").alias("post_id"),
