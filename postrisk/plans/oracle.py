@@ -148,3 +148,31 @@ ORACLE: dict[str, str] = {}
 
 def oracle(name: str, ctes: tuple[str, ...], body: str) -> None:
     ORACLE[name] = with_ctes(*ctes) + body if ctes else body
+
+cte("ann", (), """
+select cast(doc_id as varchar) as post_id, 'annotator_1' as annotator, toxic as label from labels
+union all select cast(doc_id as varchar), 'annotator_2', case when mod(doc_id,11)=0 then 1-toxic else toxic end from labels
+union all select cast(doc_id as varchar), 'annotator_3', case when mod(doc_id,7)=0 then 1-toxic else toxic end from labels""")
+cte("ann_gaps", ("ann",), """
+select post_id, annotator,
+  case when annotator = 'annotator_2' and mod(cast(post_id as bigint), 19) = 0 then null else label end as label
+from ann where not (annotator = 'annotator_3' and mod(cast(post_id as bigint), 17) = 0)""")
+cte("votes", ("ann",), """
+select post_id, case when vote_hoax * 2 > vote_hoax + vote_nonhoax then 1 else 0 end as label,
+  (vote_hoax > 0 and vote_nonhoax > 0) as is_ambiguous, vote_hoax, vote_nonhoax
+from (select post_id, count(*) filter (where label = 1) as vote_hoax,
+             count(*) filter (where label = 0) as vote_nonhoax from ann group by post_id)""")
+cte("k_nij", ("ann",), "select post_id, label, cast(count(*) as double) as nij from ann where label is not null group by post_id, label")
+cte("k_items", ("k_nij",), """
+select count(*) as n_items, avg((sq - ni) / (ni * (ni - 1))) as p_bar, cast(min(ni) as bigint) as n_raters_min,
+  cast(max(ni) as bigint) as n_raters_max, sum(ni) as total
+from (select post_id, sum(nij * nij) as sq, sum(nij) as ni from k_nij group by post_id)""")
+cte("k_pe", ("k_nij", "k_items"), """
+select sum(power(tj / (select total from k_items), 2)) as p_e from (select label, sum(nij) as tj from k_nij group by label)""")
+cte("kappa", ("k_items", "k_pe"), """
+select case when p_e = 1 then 1.0 else (p_bar - p_e) / (1 - p_e) end as kappa, p_bar, p_e, n_items,
+  n_raters_min, n_raters_max from k_items, k_pe""")
+cte("responses", (), """
+select cast(doc_id as varchar) as post_id,
+  concat('note {"label": ', cast(case when mod(doc_id, 13) = 0 then 7 else toxic end as varchar),
+         ', "reason": " r', cast(doc_id as varchar), ' "} end') as raw_response from labels""")

@@ -190,3 +190,206 @@ select post_id, printf('%.2f%%', P_hoax * 100) as prob_text, printf('%.2f', ampl
 
 def oracle_sql() -> dict[str, str]:
     return {k: v for k, v in ORACLE.items() if k in QUERIES}
+
+
+# ---------------------------------------------------------------- A1-A16
+
+from postrisk.constants import LABEL_PROMPT_GUIDE, LABEL_PROMPT_SYSTEM  # noqa: E402
+from postrisk.operators import annotation  # noqa: E402
+
+
+@query("annotation_sheets")
+def q_sheets(spark, sf_dir):
+    posts = cleaned(spark, sf_dir).select("post_id", "text")
+    return annotation.make_sheets(posts)
+
+
+oracle("annotation_sheets", ("cleaned",), """
+select post_id, text, annotator, cast(null as integer) as label from cleaned,
+  (select unnest(['annotator_1', 'annotator_2', 'annotator_3']) as annotator)""")
+
+
+@query("sheet_checks")
+def q_sheet_checks(spark, sf_dir):
+    return annotation.sheet_checks(fixtures.incomplete_sheets(spark, sf_dir))
+
+
+oracle("sheet_checks", ("ann_gaps",), """
+select annotator, count(*) as n_rows, count(*) filter (where label is null) as n_unlabelled
+from ann_gaps group by annotator""")
+
+
+@query("sheet_alignment")
+def q_alignment(spark, sf_dir):
+    return annotation.sheet_alignment(fixtures.incomplete_sheets(spark, sf_dir))
+
+
+oracle("sheet_alignment", ("ann_gaps",), """
+select post_id, count(distinct annotator) as n_annotators, count(*) as n_rows from ann_gaps
+group by post_id having count(distinct annotator) <> 3 or count(*) <> 3""")
+
+
+@query("response_parse")
+def q_response(spark, sf_dir):
+    r = fixtures.model_responses(spark, sf_dir)
+    p = annotation.parse_label_response("raw_response")
+    return r.select("post_id", p.alias("p")).select("post_id", "p.label", "p.reason", "p.error")
+
+
+oracle("response_parse", ("responses",), r"""
+, j as (select post_id, regexp_extract(raw_response, '(?s)\{.*\}', 0) as obj from responses),
+p as (select post_id, obj, try_cast(json_extract_string(obj, '$.label') as double) as num,
+        json_extract_string(obj, '$.reason') as reason from j)
+select post_id,
+  case when num in (0, 1) then cast(num as integer) end as label,
+  case when num in (0, 1) then coalesce(regexp_replace(reason, '^[\p{Z}\t-\r\x{1c}-\x{1f}\x{85}]+|[\p{Z}\t-\r\x{1c}-\x{1f}\x{85}]+$', '', 'g'), '') end as reason,
+  case when obj = '' then 'no json object' when json_valid(obj) is not true then 'invalid json'
+       when num is null or num not in (0, 1) then 'invalid label' end as error
+from p""")
+
+STUB_PREFIX = LABEL_PROMPT_SYSTEM + "\n\n" + LABEL_PROMPT_GUIDE + "Post:\n"
+
+
+def parity_labeller(prompts, temperature, seed):
+    """Deterministic stand-in for a model: label = prompt length parity."""
+    labels = prompts.str.len() % 2
+    return labels, [f"stub t={temperature:.1f} s={seed}"] * len(prompts)
+
+
+@query("annotate_resume")
+def q_annotate(spark, sf_dir):
+    sheets = fixtures.incomplete_sheets(spark, sf_dir).join(
+        read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("post_id"), "text"),
+        "post_id")
+    out = annotation.annotate(sheets, parity_labeller)
+    return out.select("post_id", "annotator", "label", "auto_reason")
+
+
+_STUB_SQL_PREFIX_LEN = len(STUB_PREFIX)
+oracle("annotate_resume", ("ann_gaps",), f"""
+select g.post_id, g.annotator,
+  case when g.label is not null then g.label
+       else cast(mod({_STUB_SQL_PREFIX_LEN} + length(regexp_replace(d.text,
+            '^[\\p{{Z}}\\t-\\r\\x{{1c}}-\\x{{1f}}\\x{{85}}]+|[\\p{{Z}}\\t-\\r\\x{{1c}}-\\x{{1f}}\\x{{85}}]+$', '', 'g')), 2) as integer) end as label,
+  case when g.label is not null then 'existing label'
+       when g.annotator = 'annotator_1' then 'stub t=0.0 s=101'
+       when g.annotator = 'annotator_2' then 'stub t=0.2 s=202'
+       else 'stub t=0.4 s=303' end as auto_reason
+from ann_gaps g join documents d on cast(d.doc_id as varchar) = g.post_id""")
+
+
+@query("majority_vote")
+def q_votes(spark, sf_dir):
+    return annotation.majority_vote(fixtures.annotator_labels(spark, sf_dir))
+
+
+oracle("majority_vote", ("votes",), "select * from votes")
+
+
+@query("fleiss_kappa")
+def q_kappa(spark, sf_dir):
+    k = annotation.fleiss_kappa(fixtures.annotator_labels(spark, sf_dir))
+    return k.select(r("kappa"), r("p_bar"), r("p_e"), "n_items", "n_raters_min", "n_raters_max")
+
+
+oracle("fleiss_kappa", ("kappa",), f"""
+select {r6('kappa')}, {r6('p_bar')}, {r6('p_e')}, n_items, n_raters_min, n_raters_max from kappa""")
+
+
+@query("agreement_gate")
+def q_gate(spark, sf_dir):
+    g = annotation.agreement_gate(fixtures.annotator_labels(spark, sf_dir))
+    return g.select(r("kappa"), "passed", "n_ambiguous", r("pct_ambiguous"))
+
+
+oracle("agreement_gate", ("kappa", "votes"), f"""
+, a as (select count(*) filter (where is_ambiguous) as n_ambiguous, count(*) as n_items from votes)
+select {r6('kappa')}, kappa >= 0.6 as passed, n_ambiguous, {r6('n_ambiguous * 100.0 / a.n_items', 'pct_ambiguous')}
+from kappa, a""")
+
+
+@query("reannotation_queue")
+def q_reannotate(spark, sf_dir):
+    votes = annotation.majority_vote(fixtures.annotator_labels(spark, sf_dir))
+    docs = read_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("post_id"), "text")
+    return annotation.reannotation_queue(votes, docs)
+
+
+oracle("reannotation_queue", ("votes",), """
+select v.post_id, d.text, v.vote_hoax, v.vote_nonhoax from votes v
+join documents d on cast(d.doc_id as varchar) = v.post_id where v.is_ambiguous""")
+
+
+@query("label_left_join")
+def q_left(spark, sf_dir):
+    votes = annotation.majority_vote(fixtures.annotator_labels(spark, sf_dir))
+    out = annotation.attach_votes(cleaned(spark, sf_dir), votes)
+    return out.select("post_id", "label", "is_ambiguous", "vote_hoax", "vote_nonhoax", r("velocity_norm"))
+
+
+oracle("label_left_join", ("cleaned", "votes"), f"""
+select c.post_id, v.label, v.is_ambiguous, v.vote_hoax, v.vote_nonhoax, {r6('c.velocity_norm', 'velocity_norm')}
+from cleaned c left join votes v on c.post_id = v.post_id""")
+
+
+def _external_labels(spark, sf_dir):
+    # label file as another team delivers it: text labels, some dirty
+    lab = read_table(spark, sf_dir, "labels")
+    d = F.col("doc_id")
+    return lab.select(d.cast("string").alias("post_id"),
+                      F.when(d % 23 == 0, F.lit("x")).when(d % 2 == 0, F.col("toxic").cast("string"))
+                      .otherwise(F.concat(F.col("toxic").cast("string"), F.lit(".0"))).alias("label"))
+
+
+_EXT_LABELS_SQL = """
+ext as (select cast(doc_id as varchar) as post_id,
+  case when mod(doc_id, 23) = 0 then 'x' when mod(doc_id, 2) = 0 then cast(toxic as varchar)
+       else concat(cast(toxic as varchar), '.0') end as label from labels)"""
+
+
+@query("label_inner_join")
+def q_inner(spark, sf_dir):
+    merged, _ = annotation.merge_labels(cleaned(spark, sf_dir), _external_labels(spark, sf_dir))
+    return merged.select("post_id", "label", r("amplification_norm"))
+
+
+oracle("label_inner_join", ("cleaned",), f"""
+, {_EXT_LABELS_SQL.strip()}
+select c.post_id, case when try_cast(e.label as double) = floor(try_cast(e.label as double))
+                        then cast(try_cast(e.label as double) as integer) end as label,
+  {r6('c.amplification_norm', 'amplification_norm')}
+from cleaned c join ext e on c.post_id = e.post_id""")
+
+
+@query("label_unmatched")
+def q_unmatched(spark, sf_dir):
+    _, unmatched = annotation.merge_labels(cleaned(spark, sf_dir), _external_labels(spark, sf_dir))
+    return unmatched.select("post_id")
+
+
+oracle("label_unmatched", ("cleaned",), f"""
+, {_EXT_LABELS_SQL.strip()}
+select c.post_id from cleaned c where not exists (select 1 from ext e where e.post_id = c.post_id)""")
+
+
+@query("label_distribution")
+def q_dist(spark, sf_dir):
+    votes = annotation.majority_vote(fixtures.annotator_labels(spark, sf_dir))
+    return annotation.label_distribution(votes)
+
+
+oracle("label_distribution", ("votes",), """
+select label, count(*) as n, round(count(*) * 100.0 / (select count(*) from votes where label is not null), 2) as pct
+from votes where label is not null group by label""")
+
+
+@query("target_range")
+def q_target(spark, sf_dir):
+    votes = annotation.majority_vote(fixtures.annotator_labels(spark, sf_dir))
+    return annotation.target_range(votes).select("n", "n_pos", r("pos_share"), "in_range")
+
+
+oracle("target_range", ("votes",), f"""
+select n, n_pos, {r6('n_pos / n', 'pos_share')}, (n_pos / n) between 0.3 and 0.4 as in_range
+from (select count(label) as n, count(*) filter (where label = 1) as n_pos from votes)""")
