@@ -176,3 +176,48 @@ cte("responses", (), """
 select cast(doc_id as varchar) as post_id,
   concat('note {"label": ', cast(case when mod(doc_id, 13) = 0 then 7 else toxic end as varchar),
          ', "reason": " r', cast(doc_id as varchar), ' "} end') as raw_response from labels""")
+
+cte("ldocs", (), """
+select cast(doc_id as varchar) as post_id, toxic as label,
+  cast(toxic * 300 + mod(doc_id * 7919, 700) as double) / 1000 as P_hoax from labels""")
+cte("q_cc", ("ldocs",), "select label, count(*) as n_class from ldocs group by label")
+cte("q_t", ("q_cc",), """
+select label, n_class, base + case when ord <= short then 1 else 0 end as n_test from (
+  select *, nt - sum(base) over () as short,
+         row_number() over (order by ex - base desc, label asc) as ord from (
+    select *, floor(ex) as base from (
+      select *, nt * n_class / sum(n_class) over () as ex from (
+        select *, ceil(cast(0.15 as double) * sum(n_class) over ()) as nt from q_cc))))""")
+cte("q_tv", ("q_t",), f"""
+select label, n_class, n_test, base + case when ord <= short then 1 else 0 end as n_val from (
+  select *, nv - sum(base) over () as short,
+         row_number() over (order by ex - base desc, label asc) as ord from (
+    select *, floor(ex) as base from (
+      select *, nv * rest / sum(rest) over () as ex from (
+        select *, ceil(cast({0.15 / (0.70 + 0.15)!r} as double) * sum(rest) over ()) as nv from (
+          select *, n_class - n_test as rest from q_t)))))""")
+cte("q_sizes", ("q_tv",), """
+select 'test' as split, label, cast(n_test as bigint) as n from q_tv
+union all select 'val', label, cast(n_val as bigint) from q_tv
+union all select 'train', label, cast(n_class - n_test - n_val as bigint) from q_tv""")
+cte("sweep_counts", ("ldocs",), """
+select threshold,
+  count(*) filter (where P_hoax >= threshold and label = 1) as tp,
+  count(*) filter (where P_hoax >= threshold and label = 0) as fp,
+  count(*) filter (where P_hoax < threshold and label = 1) as fn,
+  count(*) filter (where P_hoax < threshold and label = 0) as tn
+from ldocs, (select cast(unnest([0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5]) as double) as threshold)
+group by threshold""")
+
+
+def sql_metrics(tp="tp", fp="fp", fn="fn", tn="tn", digits=4) -> str:
+    def div(a, b):
+        return f"(case when ({b}) = 0 then 0.0 else cast({a} as double) / ({b}) end)"
+    f1p, f1n = div(f"2*{tp}", f"2*{tp}+{fp}+{fn}"), div(f"2*{tn}", f"2*{tn}+{fn}+{fp}")
+    hp, hn = f"({tp}+{fn}+{fp} > 0)", f"({tn}+{fp}+{fn} > 0)"
+    macro = div(f"(case when {hp} then {f1p} else 0.0 end + case when {hn} then {f1n} else 0.0 end)",
+                f"(cast({hp} as integer) + cast({hn} as integer))")
+    return (f"round_even({div(f'{tp}+{tn}', f'{tp}+{fp}+{fn}+{tn}')}, {digits}) as accuracy, "
+            f"round_even({div(tp, f'{tp}+{fp}')}, {digits}) as precision_hoax, "
+            f"round_even({div(tp, f'{tp}+{fn}')}, {digits}) as recall_hoax, "
+            f"round_even({macro}, {digits}) as macro_f1")

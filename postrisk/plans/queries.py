@@ -393,3 +393,168 @@ def q_target(spark, sf_dir):
 oracle("target_range", ("votes",), f"""
 select n, n_pos, {r6('n_pos / n', 'pos_share')}, (n_pos / n) between 0.3 and 0.4 as in_range
 from (select count(label) as n, count(*) filter (where label = 1) as n_pos from votes)""")
+
+
+# ---------------------------------------------------------------- D1-D5
+
+from postrisk.operators import dataset, evaluation  # noqa: E402
+from postrisk.plans.oracle import sql_metrics  # noqa: E402
+
+
+def split_docs(spark, sf_dir):
+    return dataset.stratified_split(fixtures.labelled_documents(spark, sf_dir))
+
+
+@query("split_sizes")
+def q_split_sizes(spark, sf_dir):
+    return dataset.split_sizes(split_docs(spark, sf_dir)).select("split", "n", r("share"))
+
+
+oracle("split_sizes", ("q_sizes",), f"""
+select split, cast(sum(n) as bigint) as n, {r6('sum(n) / (select sum(n) from q_sizes)', 'share')} from q_sizes group by split""")
+
+
+@query("split_class_sizes")
+def q_split_class(spark, sf_dir):
+    return split_docs(spark, sf_dir).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+oracle("split_class_sizes", ("q_sizes",), "select split, label, n from q_sizes where n > 0")
+
+
+@query("split_leakage")
+def q_leakage(spark, sf_dir):
+    return dataset.split_leakage(split_docs(spark, sf_dir))
+
+
+oracle("split_leakage", (), "select cast(null as varchar) as post_id, cast(null as bigint) as n_splits where false")
+
+
+@query("class_weights")
+def q_weights(spark, sf_dir):
+    train = split_docs(spark, sf_dir).filter(F.col("split") == "train")
+    return dataset.class_weights(train)
+
+
+oracle("class_weights", ("q_sizes",), """
+select label, n, round_even(sum(n) over () / (count(*) over () * n), 4) as weight
+from q_sizes where split = 'train' and n > 0""")
+
+VOCAB_SIZE = 30000
+SEQ_LEN = 128
+
+
+@query("encode_sequences")
+def q_encode(spark, sf_dir):
+    posts = cleaned(spark, sf_dir).select("post_id", "text")
+    vocab = dataset.fit_vocab(posts, size=VOCAB_SIZE)
+    enc = dataset.encode(posts, vocab, max_len=SEQ_LEN, vocab_size=VOCAB_SIZE, label=None)
+    return enc.select("post_id", "n_tokens", F.array_join("input_ids", " ").alias("input_ids"),
+                      F.array_join("attention_mask", " ").alias("attention_mask"))
+
+
+oracle("encode_sequences", ("cleaned",), f"""
+, toks as (select post_id, case when text = '' then [] else string_split(text, ' ') end as w from cleaned),
+vocab as (select term, cast(row_number() over (order by n desc, term asc) + 1 as integer) as id from (
+  select term, count(*) as n from (select unnest(w) as term from toks) group by term
+  order by n desc, term asc limit {VOCAB_SIZE})),
+pos as (select post_id, len(w) as n_tokens, w[i] as term, i from toks,
+  (select unnest(range(1, {SEQ_LEN} + 1)) as i) where i <= len(w)),
+ids as (select p.post_id, p.n_tokens, list(coalesce(v.id, 1) order by p.i) as ids
+        from pos p left join vocab v on p.term = v.term group by p.post_id, p.n_tokens),
+full_ as (select t.post_id, len(t.w) as n_tokens, coalesce(i.ids, []) as ids from toks t left join ids i on t.post_id = i.post_id)
+select post_id, n_tokens,
+  array_to_string(list_concat(ids, list_transform(range({SEQ_LEN} - len(ids)), lambda x: 0)), ' ') as input_ids,
+  array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range({SEQ_LEN} - len(ids)), lambda x: 0)), ' ')
+    as attention_mask
+from full_""")
+
+
+# ---------------------------------------------------------------- E1-E6
+
+def scored_docs(spark, sf_dir):
+    return fixtures.hoax_probability(fixtures.labelled_documents(spark, sf_dir), spark, sf_dir)
+
+
+@query("threshold_sweep")
+def q_sweep(spark, sf_dir):
+    return evaluation.threshold_sweep(scored_docs(spark, sf_dir))
+
+
+oracle("threshold_sweep", ("sweep_counts",), """
+select threshold, round_even(case when tp + fn = 0 then 0.0 else tp / (tp + fn) end, 4) as recall_hoax,
+  round_even(case when tp + fp = 0 then 0.0 else tp / (tp + fp) end, 4) as precision_hoax,
+  macro_f1, tp, fp, fn, tn
+from (select *, """ + sql_metrics().split(", round_even(")[0].replace(" as accuracy", " as acc_") + """,
+  round_even(""" + sql_metrics().split(", round_even(")[3] + """ from sweep_counts)""")
+
+
+@query("choose_threshold")
+def q_choose(spark, sf_dir):
+    return evaluation.choose_threshold(evaluation.threshold_sweep(scored_docs(spark, sf_dir)))
+
+
+oracle("choose_threshold", ("sweep_counts",), f"""
+, sw as (select threshold, {sql_metrics()} from sweep_counts)
+select threshold as chosen_threshold, recall_hoax, precision_hoax, macro_f1 from sw
+where macro_f1 >= (select max(macro_f1) from sw) * 0.9
+order by recall_hoax desc, threshold asc limit 1""")
+
+
+@query("classification_report")
+def q_report(spark, sf_dir):
+    rep = evaluation.classification_report(scored_docs(spark, sf_dir), threshold=0.2)
+    return rep.drop("confusion_matrix")
+
+
+oracle("classification_report", ("ldocs",), f"""
+select {sql_metrics()}, tn, fp, fn, tp from (
+  select count(*) filter (where P_hoax >= 0.2 and label = 1) as tp,
+         count(*) filter (where P_hoax >= 0.2 and label = 0) as fp,
+         count(*) filter (where P_hoax < 0.2 and label = 1) as fn,
+         count(*) filter (where P_hoax < 0.2 and label = 0) as tn from ldocs)""")
+
+
+@query("average_precision")
+def q_ap(spark, sf_dir):
+    return evaluation.average_precision(scored_docs(spark, sf_dir)).select(r("pr_auc"))
+
+
+oracle("average_precision", ("ldocs",), f"""
+, per as (select P_hoax, count(*) filter (where label = 1) as pos, count(*) filter (where label = 0) as neg
+          from ldocs group by P_hoax),
+cum as (select *, sum(pos) over (order by P_hoax desc rows between unbounded preceding and current row) as cpos,
+               sum(neg) over (order by P_hoax desc rows between unbounded preceding and current row) as cneg from per)
+select {r6('case when sum(pos) > 0 then sum(pos * cpos / (cpos + cneg)) / sum(pos) end', 'pr_auc')} from cum""")
+
+
+def model_scores(spark, sf_dir):
+    """Long score table of three scorers derived from the stand-in probability."""
+    s = scored_docs(spark, sf_dir)
+    p = F.col("P_hoax")
+    return (s.select(F.lit("stand_in").alias("model"), "post_id", "label", p.alias("P_hoax"))
+            .unionByName(s.select(F.lit("stand_in_coarse").alias("model"), "post_id", "label",
+                                  (F.floor(p * 10) / 10).alias("P_hoax")))
+            .unionByName(s.select(F.lit("inverse").alias("model"), "post_id", "label", (1 - p).alias("P_hoax"))))
+
+
+@query("model_comparison")
+def q_models(spark, sf_dir):
+    thr = spark.createDataFrame([("stand_in", 0.2)], "model string, threshold double")
+    return evaluation.model_comparison(model_scores(spark, sf_dir), thr)
+
+
+oracle("model_comparison", ("ldocs",), f"""
+, ms as (select 'stand_in' as model, label, P_hoax, 0.2 as t from ldocs
+         union all select 'stand_in_coarse', label, floor(P_hoax * 10) / 10, 0.5 from ldocs
+         union all select 'inverse', label, 1 - P_hoax, 0.5 from ldocs),
+c as (select model, count(*) filter (where P_hoax >= t and label = 1) as tp,
+        count(*) filter (where P_hoax >= t and label = 0) as fp,
+        count(*) filter (where P_hoax < t and label = 1) as fn,
+        count(*) filter (where P_hoax < t and label = 0) as tn from ms group by model),
+per as (select model, P_hoax, count(*) filter (where label = 1) as pos, count(*) filter (where label = 0) as neg
+        from ms group by model, P_hoax),
+cum as (select *, sum(pos) over (partition by model order by P_hoax desc rows between unbounded preceding and current row) as cpos,
+               sum(neg) over (partition by model order by P_hoax desc rows between unbounded preceding and current row) as cneg from per),
+ap as (select model, case when sum(pos) > 0 then sum(pos * cpos / (cpos + cneg)) / sum(pos) end as pr_auc from cum group by model)
+select c.model, {sql_metrics()}, round_even(ap.pr_auc, 4) as pr_auc from c join ap on c.model = ap.model""")
