@@ -221,3 +221,11 @@ def sql_metrics(tp="tp", fp="fp", fn="fn", tn="tn", digits=4) -> str:
             f"round_even({div(tp, f'{tp}+{fp}')}, {digits}) as precision_hoax, "
             f"round_even({div(tp, f'{tp}+{fn}')}, {digits}) as recall_hoax, "
             f"round_even({macro}, {digits}) as macro_f1")
+
+cte("stored", ("raw_posts",), "select * from raw_posts where mod(row_ord, 3) = 0")
+cte("new_rows", ("raw_posts", "stored"), """
+select * exclude (rn_) from (
+  select b.*, row_number() over (partition by b.collection_type, b.post_id order by b.source_rank, b.row_ord) as rn_
+  from raw_posts b where not exists (
+    select 1 from stored s where s.collection_type = b.collection_type and s.post_id = b.post_id))
+where rn_ = 1""")

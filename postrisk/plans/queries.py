@@ -558,3 +558,102 @@ cum as (select *, sum(pos) over (partition by model order by P_hoax desc rows be
                sum(neg) over (partition by model order by P_hoax desc rows between unbounded preceding and current row) as cneg from per),
 ap as (select model, case when sum(pos) > 0 then sum(pos * cpos / (cpos + cneg)) / sum(pos) end as pr_auc from cum group by model)
 select c.model, {sql_metrics()}, round_even(ap.pr_auc, 4) as pr_auc from c join ap on c.model = ap.model""")
+
+
+# ---------------------------------------------------------------- I1-I6
+
+from postrisk.constants import RANDOM_KEYWORDS, TARGETED_TOPICS  # noqa: E402
+from postrisk.operators import ingest  # noqa: E402
+
+QUOTA_TOTALS = {"targeted": ingest.allocate_targets()["targeted"], "random": 300}
+
+
+@query("existing_state")
+def q_state(spark, sf_dir):
+    _, counts = ingest.existing_state(fixtures.stored_posts(spark, sf_dir))
+    return counts
+
+
+oracle("existing_state", ("stored",),
+       "select collection_type, query, count(*) as already from stored group by collection_type, query")
+
+
+@query("ingest_new_rows")
+def q_new(spark, sf_dir):
+    new = ingest.ingest_new(fixtures.raw_posts(spark, sf_dir), fixtures.stored_posts(spark, sf_dir))
+    return new.select("post_id", "collection_type", "query", "row_ord")
+
+
+oracle("ingest_new_rows", ("new_rows",), "select post_id, collection_type, query, row_ord from new_rows")
+
+
+@query("ingest_quota")
+def q_quota(spark, sf_dir):
+    batch = fixtures.raw_posts(spark, sf_dir)
+    stored = fixtures.stored_posts(spark, sf_dir)
+    new = ingest.ingest_new(batch, stored)
+    _, counts = ingest.existing_state(stored)
+    queries = batch.select("collection_type", "query").distinct()
+    out = ingest.apply_quota(new, counts, queries, QUOTA_TOTALS)
+    return out.select("post_id", "collection_type", "query", "row_ord")
+
+
+oracle("ingest_quota", ("new_rows", "stored"), f"""
+, qs as (select distinct collection_type, query from raw_posts),
+nq as (select collection_type, count(*) as nq from qs group by collection_type),
+lim as (select qs.collection_type, qs.query,
+          greatest(1, floor((case when qs.collection_type = 'targeted' then {QUOTA_TOTALS['targeted']}
+                                  else {QUOTA_TOTALS['random']} end) / greatest(1, nq.nq)))
+          - coalesce(c.already, 0) as remaining
+        from qs join nq on qs.collection_type = nq.collection_type
+        left join (select collection_type, query, count(*) as already from stored group by all) c
+          on c.collection_type = qs.collection_type and c.query = qs.query)
+select post_id, collection_type, query, row_ord from (
+  select n.*, l.remaining, row_number() over (partition by n.collection_type, n.query order by n.row_ord, n.post_id) as rk
+  from new_rows n join lim l on n.collection_type = l.collection_type and n.query = l.query where l.remaining > 0)
+where rk <= remaining""")
+
+
+@query("normalise_records")
+def q_normalise(spark, sf_dir):
+    raw = fixtures.raw_posts(spark, sf_dir)
+    out = ingest.normalise_records(raw, scraped_at="2024-02-01T00:00:00+00:00")
+    return out.select("post_id", "collection_type", "query", "text", "likes", "timestamp_utc", "author_username",
+                      "scraped_at_utc")
+
+
+oracle("normalise_records", ("raw_posts",), """
+select post_id, collection_type, query, coalesce(text, '') as text, coalesce(likes, '0') as likes,
+  coalesce(strftime(try_cast(timestamp_utc as timestamptz) at time zone 'UTC', '%Y-%m-%dT%H:%M:%S+00:00'), timestamp_utc, '') as timestamp_utc,
+  coalesce(author_username, '') as author_username, '2024-02-01T00:00:00+00:00' as scraped_at_utc from raw_posts""")
+
+
+FIXED_TOPICS = [(p, p) for p in TARGETED_TOPICS + RANDOM_KEYWORDS]
+
+
+def topics(spark, sf_dir):
+    """Configured topic phrases plus the benchmark passages (data-derived topics)."""
+    bench = read_table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("benchmark_"), F.col("item_id").cast("string")).alias("topic"), F.col("text").alias("phrase"))
+    return ingest.topic_table(spark, FIXED_TOPICS).unionByName(bench)
+
+
+@query("topic_tags")
+def q_topics(spark, sf_dir):
+    posts = cleaned(spark, sf_dir).select("post_id", "text")
+    return ingest.tag_topics(posts, topics(spark, sf_dir))
+
+
+def _sql_list(xs):
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+
+
+oracle("topic_tags", ("cleaned",), f"""
+, tp as (select unnest({_sql_list([t for t, _ in FIXED_TOPICS])}) as topic, unnest({_sql_list([p for _, p in FIXED_TOPICS])}) as phrase
+         union all select concat('benchmark_', cast(item_id as varchar)), text from benchmark),
+tw0 as (select topic, list_distinct(case when c = '' then [] else string_split(c, ' ') end) as w
+        from (select topic, {sql_clean('phrase')} as c from tp)),
+tw as (select topic, len(w) as n, unnest(w) as term from tw0),
+pw as (select post_id, unnest(list_distinct(case when text = '' then [] else string_split(text, ' ') end)) as term from cleaned)
+select pw.post_id, tw.topic from pw join tw on pw.term = tw.term
+group by pw.post_id, tw.topic, tw.n having count(*) = tw.n""")
