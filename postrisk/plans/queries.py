@@ -657,3 +657,67 @@ tw as (select topic, len(w) as n, unnest(w) as term from tw0),
 pw as (select post_id, unnest(list_distinct(case when text = '' then [] else string_split(text, ' ') end)) as term from cleaned)
 select pw.post_id, tw.topic from pw join tw on pw.term = tw.term
 group by pw.post_id, tw.topic, tw.n having count(*) = tw.n""")
+
+
+# ---------------------------------------------------------------- M1-M6
+
+from postrisk.operators import models  # noqa: E402
+
+TFIDF_TERMS = 5000
+
+
+@query("tfidf_weights")
+def q_tfidf(spark, sf_dir):
+    posts = cleaned(spark, sf_dir).select("post_id", "text")
+    return models.tfidf_table(posts, max_features=TFIDF_TERMS).select("post_id", "term", "tf", r("weight"))
+
+
+oracle("tfidf_weights", ("cleaned",), f"""
+, tok as (select post_id, unnest(case when text = '' then [] else string_split(text, ' ') end) as term from cleaned),
+tf as (select post_id, term, count(*) as tf from tok where length(term) >= 2 group by post_id, term),
+nd as (select count(*) as n from cleaned),
+vocab as (select term, ln((nd.n + 1) / (df + 1)) + 1 as idf from (
+  select term, sum(tf) as total, count(*) as df from tf group by term order by total desc, term asc limit {TFIDF_TERMS}), nd),
+w as (select tf.post_id, tf.term, tf.tf, tf.tf * vocab.idf as w from tf join vocab on tf.term = vocab.term)
+select post_id, term, tf, {r6('w / sqrt(sum(w * w) over (partition by post_id))', 'weight')} from w""")
+
+
+def train_test(spark, sf_dir):
+    docs = fixtures.labelled_documents(spark, sf_dir)
+    text = clean_text("text")
+    split = dataset.stratified_split(docs.withColumn("text", text))
+    return split.filter(F.col("split") == "train"), split.filter(F.col("split") == "test")
+
+
+@query("rf_scores")
+def q_rf(spark, sf_dir):
+    train, test = train_test(spark, sf_dir)
+    model = models.fit(models.rf_pipeline(n_trees=200, max_depth=30), models.balanced_weights(train))
+    return models.score(test.select("post_id", "text", "label"), model).select("post_id", "label", "P_hoax")
+
+
+@query("gbt_scores")
+def q_gbt(spark, sf_dir):
+    train, test = train_test(spark, sf_dir)
+    model = models.fit(models.gbt_pipeline(n_rounds=200), models.positive_weights(train))
+    return models.score(test.select("post_id", "text", "label"), model).select("post_id", "label", "P_hoax")
+
+
+def _length_model():
+    return {"scale": 100.0, "bias": -1.0}
+
+
+def _length_predict(model, texts):
+    import numpy as np
+    n = texts.fillna("").map(lambda t: len(t.split()) if t else 0).astype("float64")
+    return 1.0 / (1.0 + np.exp(-(n / model["scale"] + model["bias"])))
+
+
+@query("plugin_scores")
+def q_plugin(spark, sf_dir):
+    posts = cleaned(spark, sf_dir).select("post_id", "text")
+    return models.score_with(posts, _length_model, _length_predict).select("post_id", r("P_hoax"))
+
+
+oracle("plugin_scores", ("cleaned",), f"""
+select post_id, {r6("1.0 / (1.0 + exp(-(len(string_split(text, ' ')) / 100.0 - 1.0)))", 'P_hoax')} from cleaned""")

@@ -110,3 +110,15 @@ def read_threshold(spark: SparkSession, path: str, default: float = DEFAULT_THRE
     rows = (spark.read.schema("chosen_threshold double").json(path)
             .filter(F.col("chosen_threshold").isNotNull()).limit(1).collect())
     return float(rows[0][0]) if rows else float(default)
+
+
+def save_model(model, path: str) -> str:
+    """Persist a fitted pipeline (overwrites)."""
+    model.write().overwrite().save(path)
+    return path
+
+
+def load_model(path: str):
+    """Load a fitted pipeline."""
+    from pyspark.ml import PipelineModel
+    return PipelineModel.load(path)
