@@ -147,7 +147,11 @@ ORACLE: dict[str, str] = {}
 
 
 def oracle(name: str, ctes: tuple[str, ...], body: str) -> None:
-    ORACLE[name] = with_ctes(*ctes) + body if ctes else body
+    if ctes:
+        ORACLE[name] = with_ctes(*ctes) + body
+    else:
+        b = body.lstrip()
+        ORACLE[name] = ("with " + b[1:]) if b.startswith(",") else body
 
 cte("ann", (), """
 select cast(doc_id as varchar) as post_id, 'annotator_1' as annotator, toxic as label from labels

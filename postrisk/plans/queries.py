@@ -721,3 +721,69 @@ def q_plugin(spark, sf_dir):
 
 oracle("plugin_scores", ("cleaned",), f"""
 select post_id, {r6("1.0 / (1.0 + exp(-(len(string_split(text, ' ')) / 100.0 - 1.0)))", 'P_hoax')} from cleaned""")
+
+
+# ---------------------------------------------------------------- X1-X5
+
+from postrisk.functions.text import clean_token  # noqa: E402
+from postrisk.operators import explain  # noqa: E402
+
+
+def _doc_tokens(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("post_id"),
+                       F.posexplode(F.split("text", " ")).alias("pos", "word"))
+
+
+@query("token_cleanup")
+def q_tokens(spark, sf_dir):
+    return explain.clean_tokens(_doc_tokens(spark, sf_dir)).select("post_id", "pos", "word")
+
+
+_WS = r"[\p{Z}\t-\r\x{1c}-\x{1f}\x{85}]"
+oracle("token_cleanup", (), f"""
+, t as (select cast(doc_id as varchar) as post_id, unnest(generate_series(0, len(string_split(text, ' ')) - 1)) as pos,
+               unnest(string_split(text, ' ')) as tok from documents),
+s as (select post_id, pos, regexp_replace(tok, '^{_WS}+|{_WS}+$', '', 'g') as w from t)
+select post_id, pos, lower(replace(w, '##', '')) as word from s
+where w not in ('[CLS]', '[SEP]', '[PAD]', '<s>', '</s>', '<pad>') and regexp_matches(replace(w, '##', ''), '[a-zA-Z0-9]')""")
+
+
+def _fixture_weights(spark, sf_dir):
+    """Deterministic token weights on the cleaned words of every post (FIXTURES.md)."""
+    posts = cleaned(spark, sf_dir).select("post_id", "text")
+    t = posts.select("post_id", F.explode(F.split("text", " ")).alias("word"))
+    w = ((F.length("word") * 31 + F.col("post_id").cast("long")) % 19 - 9).cast("double") / 10
+    return t.withColumn("weight", w)
+
+
+@query("word_weights")
+def q_word_weights(spark, sf_dir):
+    return explain.word_weights(_fixture_weights(spark, sf_dir)).select("post_id", "word", r("weight"))
+
+
+_FIX_W_SQL = """
+, t as (select post_id, unnest(string_split(text, ' ')) as word from cleaned),
+tw as (select post_id, word, cast(mod(length(word) * 31 + cast(post_id as bigint), 19) - 9 as double) / 10 as weight from t),
+ww as (select post_id, word, sum(weight) as weight from tw group by post_id, word having sum(weight) > 0)"""
+oracle("word_weights", ("cleaned",), _FIX_W_SQL + f"\nselect post_id, word, {r6('weight')} from ww")
+
+
+@query("top_words")
+def q_top_words(spark, sf_dir):
+    return explain.top_words(_fixture_weights(spark, sf_dir)).select("post_id", "word", r("weight"), "rank")
+
+
+oracle("top_words", ("cleaned",), _FIX_W_SQL + f"""
+select post_id, word, {r6('weight')}, rank from (
+  select *, row_number() over (partition by post_id order by round(weight, 9) desc, word asc) as rank from ww) where rank <= 5""")
+
+
+@query("occlusion_explain")
+def q_occlusion(spark, sf_dir):
+    """X1 on the review queue: words of the top posts that push the probability up."""
+    train, _ = train_test(spark, sf_dir)
+    model = models.fit(models.nb_pipeline(), train)
+    queue = triage.triage_queue(triaged(spark, sf_dir), k=QUEUE_K).select("post_id", "text")
+    occ = explain.occlusion(queue, lambda d: models.score(d, model))
+    return explain.top_words(explain.clean_tokens(occ)).select("post_id", "word", "weight", "rank")
