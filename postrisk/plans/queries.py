@@ -787,3 +787,48 @@ def q_occlusion(spark, sf_dir):
     queue = triage.triage_queue(triaged(spark, sf_dir), k=QUEUE_K).select("post_id", "text")
     occ = explain.occlusion(queue, lambda d: models.score(d, model))
     return explain.top_words(explain.clean_tokens(occ)).select("post_id", "word", "weight", "rank")
+
+
+# ---------------------------------------------------------------- I7, R5
+
+from postrisk import streaming  # noqa: E402
+from postrisk.operators.cleaning import clean_posts  # noqa: E402
+from postrisk.session import scratch_path  # noqa: E402
+from postrisk.streaming.ingest import seed_sink  # noqa: E402
+from postrisk.streaming.triage import frozen_params  # noqa: E402
+
+
+@query("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    """Raw posts arrive as files (one per collection); the sink starts with the stored rows."""
+    root = scratch_path(spark, "stream-ingest")
+    raw = fixtures.raw_posts(spark, sf_dir)
+    raw.repartition(2, "source_rank").write.parquet(f"{root}/source")
+    seed_sink(fixtures.stored_posts(spark, sf_dir), f"{root}/sink")
+    schema = spark.read.parquet(f"{root}/source").schema
+    q = streaming.stream_ingest(spark, f"{root}/source", schema, f"{root}/sink", f"{root}/checkpoint",
+                                max_files_per_trigger=1)
+    q.awaitTermination()
+    out = spark.read.parquet(f"{root}/sink").filter(F.col("_batch") >= 0)
+    return out.select("post_id", "collection_type", "query", "row_ord")
+
+
+ORACLE["stream_ingest"] = ORACLE["ingest_new_rows"]
+
+
+@query("stream_triage")
+def q_stream_triage(spark, sf_dir):
+    """Cleaned, scored posts arrive as files; scaled with frozen bounds, triaged."""
+    root = scratch_path(spark, "stream-triage")
+    base = fixtures.hoax_probability(clean_posts(fixtures.raw_posts(spark, sf_dir)), spark, sf_dir)
+    base.write.parquet(f"{root}/source")
+    src = spark.read.parquet(f"{root}/source")
+    params = frozen_params(features.fit_minmax(src, list(features.NORM_COLUMNS)))
+    q = streaming.stream_triage(spark, f"{root}/source", src.schema, f"{root}/sink", f"{root}/checkpoint", params)
+    q.awaitTermination()
+    t = spark.read.parquet(f"{root}/sink")
+    return t.select("post_id", r("P_hoax"), "Risk_Score", "Zona_Triase", "Target_Respons",
+                    r("Kontribusi_Teks"), r("Kontribusi_Amplifikasi"), r("Kontribusi_Velositas"))
+
+
+ORACLE["stream_triage"] = ORACLE["risk_triage"]
