@@ -74,5 +74,32 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+MIN_SPREAD_BYTES = 4 << 20
+
+
+def _path_bytes(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(p).getLength())
+
+
+def spread(df: DataFrame, size_bytes: int | None = None) -> DataFrame:
+    """Make sure a scan keeps every core busy.
+
+    Large inputs already come as many splits (one task per split), and this is
+    a no-op for them. A table stored as one big row group is a single split,
+    though, and every row-level step before the first shuffle would then run in
+    one task; such a scan is spread round-robin over the default parallelism."""
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    if size_bytes is not None and size_bytes < MIN_SPREAD_BYTES:
+        return df
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    path = table_path(sf_dir, name)
+    return spread(spark.read.parquet(path), _path_bytes(spark, path))
