@@ -832,3 +832,57 @@ def q_stream_triage(spark, sf_dir):
 
 
 ORACLE["stream_triage"] = ORACLE["risk_triage"]
+
+
+# ---------------------------------------------------------------- S1-S8, A6
+
+from postrisk.sources import io as pio  # noqa: E402
+
+
+@query("csv_sources")
+def q_csv_sources(spark, sf_dir):
+    """Both collections written as CSV (the random one in two appends),
+    read back with the declared schema; a missing third source is skipped."""
+    root = scratch_path(spark, "csv-sources")
+    raw = fixtures.raw_posts(spark, sf_dir)
+    cols = list(pio.RAW_POST_SCHEMA.fieldNames())
+    pio.write_table(raw.filter("source_rank = 0").select(*cols), f"{root}/targeted", fmt="csv")
+    rnd = raw.filter("source_rank = 1").select(*cols)
+    pio.write_table(rnd.filter(F.col("post_id").cast("long") % 2 == 0), f"{root}/random", fmt="csv")
+    pio.write_table(rnd.filter(F.col("post_id").cast("long") % 2 == 1), f"{root}/random", mode="append", fmt="csv")
+    back = pio.read_sources(spark, [("targeted", f"{root}/targeted"), ("random", f"{root}/random"),
+                                    ("absent", f"{root}/absent")])
+    return back.select("source_rank", "post_id", "collection_type", "query", "text", "likes", "timestamp_utc")
+
+
+oracle("csv_sources", ("raw_posts",), """
+select source_rank, post_id, collection_type, query,
+  case when text = '' then null else text end as text, likes, timestamp_utc from raw_posts""")
+
+
+@query("threshold_report")
+def q_threshold_report(spark, sf_dir):
+    """The chosen threshold and its sweep row written as a JSON report and read back."""
+    root = scratch_path(spark, "threshold-report")
+    chosen = evaluation.choose_threshold(evaluation.threshold_sweep(scored_docs(spark, sf_dir)))
+    pio.write_report(chosen, f"{root}/threshold")
+    t = pio.read_threshold(spark, f"{root}/threshold")
+    back = spark.read.schema("chosen_threshold double, recall_hoax double, precision_hoax double, "
+                             "macro_f1 double").json(f"{root}/threshold")
+    return back.filter(F.col("chosen_threshold") == t)
+
+
+ORACLE["threshold_report"] = ORACLE["choose_threshold"]
+
+
+@query("sheet_limit")
+def q_sheet_limit(spark, sf_dir):
+    """The first 25 rows of each annotator's sheet (ordered by post id)."""
+    sheets = annotation.make_sheets(cleaned(spark, sf_dir).select("post_id", "text"))
+    return annotation.limit_per_annotator(sheets, 25).select("post_id", "annotator")
+
+
+oracle("sheet_limit", ("cleaned",), """
+select post_id, annotator from (
+  select c.post_id, a.annotator, row_number() over (partition by a.annotator order by c.post_id) as rn
+  from cleaned c, (select unnest(['annotator_1', 'annotator_2', 'annotator_3']) as annotator) a) where rn <= 25""")

@@ -86,7 +86,10 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "p
     overwrite a table it reads; write a new versioned path instead."""
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        w = w.option("header", True)
+        # RFC 4180 quoting (quotes doubled) and values kept byte for byte, so the
+        # multi-line reader of ``read_posts`` gets back exactly what was written
+        w = (w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+             .option("ignoreTrailingWhiteSpace", False))
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
