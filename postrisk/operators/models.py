@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from postrisk.constants import N_TREES, SPLIT_SEED, TFIDF_MAX_FEATURES
 from postrisk.functions.text import words
 
-TOKEN_PATTERN = "[a-z0-9]{2,}"  # words of two or more characters of cleaned text
+TOKEN_PATTERN = "[a-z0-9]{2,}"
+BROADCAST_MAX_TERMS = 2_000_000  # words of two or more characters of cleaned text
 
 
 def tfidf_table(df: DataFrame, text_col: str = "text", key: str = "post_id",
@@ -39,7 +40,9 @@ def tfidf_table(df: DataFrame, text_col: str = "text", key: str = "post_id",
              .orderBy(F.desc("_total"), F.asc("term")).limit(int(max_features))
              .select("term", (F.log((n_docs + 1) / (F.col("_df") + 1)) + 1).alias("_idf")))
     tf = fit_tf if fit is df else counts(df)
-    w = tf.join(F.broadcast(vocab), "term").withColumn("_w", F.col("tf") * F.col("_idf"))
+    # the vocabulary has at most max_features rows: broadcast below a fixed bound
+    v = F.broadcast(vocab) if max_features <= BROADCAST_MAX_TERMS else vocab
+    w = tf.join(v, "term").withColumn("_w", F.col("tf") * F.col("_idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return w.select(key, "term", "tf", (F.col("_w") / norm).alias("weight"))
 

@@ -34,10 +34,28 @@ def r(c: str, alias: str | None = None):
 
 # ---------------------------------------------------------------- shared plans
 
+_VIEWS: dict = {}
+
+
+def view(fn):
+    """Shared sub-plans are built once per (session, folder), like a temporary view:
+    the logical plan is reused, nothing is cached or collected."""
+    def wrapped(spark, sf_dir):
+        key = (fn.__name__, id(spark), sf_dir)
+        if key not in _VIEWS:
+            _VIEWS[key] = fn(spark, sf_dir)
+        return _VIEWS[key]
+    wrapped.__name__ = fn.__name__
+    wrapped.__doc__ = fn.__doc__
+    return wrapped
+
+
+@view
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.engagement_features(fixtures.raw_posts(spark, sf_dir))
 
 
+@view
 def triaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = fixtures.hoax_probability(cleaned(spark, sf_dir), spark, sf_dir)
     return triage.triage(scored)
@@ -401,6 +419,7 @@ from postrisk.operators import dataset, evaluation  # noqa: E402
 from postrisk.plans.oracle import sql_metrics  # noqa: E402
 
 
+@view
 def split_docs(spark, sf_dir):
     return dataset.stratified_split(fixtures.labelled_documents(spark, sf_dir))
 
@@ -472,6 +491,7 @@ from full_""")
 
 # ---------------------------------------------------------------- E1-E6
 
+@view
 def scored_docs(spark, sf_dir):
     return fixtures.hoax_probability(fixtures.labelled_documents(spark, sf_dir), spark, sf_dir)
 

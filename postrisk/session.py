@@ -100,6 +100,15 @@ def spread(df: DataFrame, size_bytes: int | None = None) -> DataFrame:
     return df.repartition(want)
 
 
+_SPREAD_DECISION: dict = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Parquet table ``name`` of a folder, spread if it is a single large split
+    (the decision is made once per path and session)."""
     path = table_path(sf_dir, name)
-    return spread(spark.read.parquet(path), _path_bytes(spark, path))
+    df = spark.read.parquet(path)
+    key = (id(spark), path, spark.sparkContext.defaultParallelism)
+    if key not in _SPREAD_DECISION:
+        _SPREAD_DECISION[key] = spread(df, _path_bytes(spark, path)) is not df
+    return df.repartition(spark.sparkContext.defaultParallelism) if _SPREAD_DECISION[key] else df

@@ -13,11 +13,27 @@ from pyspark.sql import functions as F
 
 from postrisk.session import read_table
 
+_MEMO: dict = {}
+
+
+def _memo(fn):
+    """Same DataFrame object for the same (session, folder): plans are built once
+    and identical sub-plans are recognised (exchange reuse) when combined."""
+    def wrapped(spark, sf_dir):
+        key = (fn.__name__, id(spark), sf_dir)
+        if key not in _MEMO:
+            _MEMO[key] = fn(spark, sf_dir)
+        return _MEMO[key]
+    wrapped.__name__ = fn.__name__
+    wrapped.__doc__ = fn.__doc__
+    return wrapped
+
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'+00:00'"
 TW_FORMAT = "EEE MMM dd HH:mm:ss '+0000' yyyy"
 SCRAPED_AT = "2024-02-01T00:00:00+00:00"
 
 
+@_memo
 def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts as two collections would deliver them: 40 % of documents targeted,
     80 % random (20 % arrive twice), plus planted dirt. Arrival order is
@@ -68,6 +84,7 @@ def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def stored_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows already in the collection tables (incremental ingest state)."""
     return raw_posts(spark, sf_dir).filter(F.col("row_ord") % 3 == 0)
@@ -83,6 +100,7 @@ def hoax_probability(df: DataFrame, spark: SparkSession, sf_dir: str,
     return df.join(labels, key, "left").withColumn(out, p).drop("toxic")
 
 
+@_memo
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that have a label row, with ``label = toxic`` (the hoax label)."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -91,6 +109,7 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("string").alias("post_id"), "text", F.col("toxic").alias("label"))
 
 
+@_memo
 def annotator_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long table ``(post_id, annotator, label)``: three annotators for each labelled document."""
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -107,6 +126,7 @@ def annotator_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("post_id", "annotator", F.col("label").cast("int").alias("label")))
 
 
+@_memo
 def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw labeller replies with prose around the JSON; label 7 (invalid) every 13th."""
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -117,6 +137,7 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.select(d.cast("string").alias("post_id"), raw.alias("raw_response"))
 
 
+@_memo
 def incomplete_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotator sheets with gaps: annotator_3 skips every 17th post and
     annotator_2 left every 19th label empty (for the sheet checks)."""
