@@ -91,16 +91,22 @@ def topic_table(spark, phrases: Sequence[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame(list(phrases), "topic string, phrase string")
 
 
+BROADCAST_MAX_TOPIC_WORDS = 1_000_000
+
+
 def tag_topics(posts: DataFrame, topics: DataFrame, text_col: str = "text", key: str = "post_id",
                cleaned: bool = True) -> DataFrame:
     """(post, topic) for every topic whose words all occur in the post
     (case-insensitive, on cleaned words; word order is free).
 
     Post words are de-duplicated per post and joined with the topic words on the
-    word; only matching words are grouped, map-side combined. The join side is
-    the topic word table, which AQE broadcasts when its measured size allows."""
+    word; only matching words are grouped, map-side combined. The topic word
+    table (configuration-sized) is counted and broadcast below a fixed bound;
+    the post side, which grows with the data, is never the one broadcast."""
     t = topics.select("topic", F.array_distinct(words(clean_text("phrase"))).alias("_w"))
     tw = t.select("topic", F.size("_w").alias("_n"), F.explode("_w").alias("_term"))
+    if tw.count() <= BROADCAST_MAX_TOPIC_WORDS:
+        tw = F.broadcast(tw)
     body = F.col(text_col) if cleaned else clean_text(text_col)
     pw = posts.select(key, F.explode(F.array_distinct(words(body))).alias("_term"))
     hits = pw.join(tw, "_term").groupBy(key, "topic", "_n").agg(F.count(F.lit(1)).alias("_hits"))

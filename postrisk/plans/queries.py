@@ -52,7 +52,17 @@ def view(fn):
 
 @view
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.engagement_features(fixtures.raw_posts(spark, sf_dir))
+    """The cleaned post table. It feeds several branches of most queries (scaling
+    statistics, document counts, vocabularies), so - like the written cleaned
+    table between the workflow's stages - it is checkpointed once into the
+    shared checkpoint folder and every branch reads that."""
+    return features.engagement_features(fixtures.raw_posts(spark, sf_dir), materialize=True)
+
+
+def reset_views() -> None:
+    """Forget the shared plans (the next query rebuilds and re-runs them)."""
+    _VIEWS.clear()
+    fixtures._MEMO.clear()
 
 
 @view

@@ -60,14 +60,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint into the shared folder.
-
-    Used before a table is read twice (e.g. fit + apply of global statistics)
-    so an expensive upstream is computed once and survives executor loss.
-    """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
+    """Cut lineage by writing a Parquet table into the shared checkpoint folder
+    and reading it back.
+
+    Used before a table is read several times (fit + apply of global
+    statistics, counts, vocabularies) so an expensive upstream runs once; the
+    table lives on shared storage, so losing an executor loses nothing."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def table_path(sf_dir: str, name: str) -> str:
