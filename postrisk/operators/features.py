@@ -22,25 +22,25 @@ def fit_minmax(df: DataFrame, cols) -> DataFrame:
     return df.agg(*aggs)
 
 
-def _bounds(params, c: str) -> tuple[Column, Column]:
-    if isinstance(params, DataFrame):
-        # one scalar subquery carrying every bound; reused for all columns
-        s = params.select(F.struct(*params.columns)).scalar()
-        return s[f"{c}_min"], s[f"{c}_max"]
-    return F.lit(float(params[f"{c}_min"])), F.lit(float(params[f"{c}_max"]))
-
-
 def apply_minmax(df: DataFrame, params, cols: Mapping[str, str]) -> DataFrame:
     """T12 apply: ``(x-min)/(max-min)``, 0 when the range is empty.
 
-    ``params`` is the fitted 1-row DataFrame (planned as a scalar subquery, no
-    join) or a dict of frozen numbers (streams score with fixed parameters)."""
+    ``params`` is the fitted 1-row DataFrame - planned as one scalar subquery
+    (bound once to a struct column, so it runs once; no join) - or a dict of
+    frozen numbers (streams score with fixed parameters)."""
+    if isinstance(params, DataFrame):
+        out = df.withColumn("_mm", params.select(F.struct(*params.columns)).scalar())
+        bound = {f"{c}_{k}": F.col(f"_mm.{c}_{k}") for c in cols for k in ("min", "max")}
+    else:
+        out = df
+        bound = {f"{c}_{k}": F.lit(float(params[f"{c}_{k}"])) for c in cols for k in ("min", "max")}
     new = {}
     for src, dst in cols.items():
-        lo, hi = _bounds(params, src)
+        lo, hi = bound[f"{src}_min"], bound[f"{src}_max"]
         x = F.col(src)
         new[dst] = F.when(hi == lo, x * 0.0).otherwise((x - lo) / (hi - lo))
-    return df.withColumns(new)
+    out = out.withColumns(new)
+    return out.drop("_mm") if "_mm" in out.columns else out
 
 
 def engagement_features(raw: DataFrame, params=None, materialize: bool = False,
