@@ -755,7 +755,6 @@ select post_id, {r6("1.0 / (1.0 + exp(-(len(string_split(text, ' ')) / 100.0 - 1
 
 # ---------------------------------------------------------------- X1-X5
 
-from postrisk.functions.text import clean_token  # noqa: E402
 from postrisk.operators import explain  # noqa: E402
 
 

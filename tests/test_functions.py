@@ -4,7 +4,6 @@ import math
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from postrisk.functions import text as TX
 from postrisk.functions.scores import coerce_count, hours_between, parse_ts, risk_score, zone, response
