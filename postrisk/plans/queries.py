@@ -492,7 +492,7 @@ pos as (select post_id, len(w) as n_tokens, w[i] as term, i from toks,
 ids as (select p.post_id, p.n_tokens, list(coalesce(v.id, 1) order by p.i) as ids
         from pos p left join vocab v on p.term = v.term group by p.post_id, p.n_tokens),
 full_ as (select t.post_id, len(t.w) as n_tokens, coalesce(i.ids, []) as ids from toks t left join ids i on t.post_id = i.post_id)
-select post_id, n_tokens,
+select post_id, cast(n_tokens as integer) as n_tokens,
   array_to_string(list_concat(ids, list_transform(range({SEQ_LEN} - len(ids)), lambda x: 0)), ' ') as input_ids,
   array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range({SEQ_LEN} - len(ids)), lambda x: 0)), ' ')
     as attention_mask
@@ -774,7 +774,7 @@ oracle("token_cleanup", (), f"""
 , t as (select cast(doc_id as varchar) as post_id, unnest(generate_series(0, len(string_split(text, ' ')) - 1)) as pos,
                unnest(string_split(text, ' ')) as tok from documents),
 s as (select post_id, pos, regexp_replace(tok, '^{_WS}+|{_WS}+$', '', 'g') as w from t)
-select post_id, pos, lower(replace(w, '##', '')) as word from s
+select post_id, cast(pos as integer) as pos, lower(replace(w, '##', '')) as word from s
 where w not in ('[CLS]', '[SEP]', '[PAD]', '<s>', '</s>', '<pad>') and regexp_matches(replace(w, '##', ''), '[a-zA-Z0-9]')""")
 
 
@@ -804,7 +804,7 @@ def q_top_words(spark, sf_dir):
 
 
 oracle("top_words", ("cleaned",), _FIX_W_SQL + f"""
-select post_id, word, {r6('weight')}, rank from (
+select post_id, word, {r6('weight')}, cast(rank as integer) as rank from (
   select *, row_number() over (partition by post_id order by round(weight, 9) desc, word asc) as rank from ww) where rank <= 5""")
 
 

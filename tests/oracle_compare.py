@@ -65,6 +65,24 @@ def rows_of(cols, records):
     return sorted(tuple(canon(r[i]) for i in order) for r in records)
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT",
+                 "date": "DATE"}
+
+
+def type_mismatches(sdf, rel) -> list:
+    """Columns whose Spark type and DuckDB type differ."""
+    duck_types = {d[0]: str(d[1]).upper() for d in rel.description}
+    out = []
+    for f in sdf.schema.fields:
+        st = f.dataType.simpleString()
+        want = SPARK_TO_DUCK.get(st, st.upper())
+        got = duck_types.get(f.name, "?")
+        if want != got:
+            out.append((f.name, st, got))
+    return out
+
+
 def compare(spark, name: str, sf_dir: str, con=None, verbose: bool = True) -> dict:
     import __spark_entry__ as e
     con = con or duck(sf_dir)
@@ -80,6 +98,7 @@ def compare(spark, name: str, sf_dir: str, con=None, verbose: bool = True) -> di
         return res
     rel = con.execute(sql)
     d_cols = [d[0] for d in rel.description]
+    res["types"] = type_mismatches(sdf, rel)
     d_rows = rel.fetchall()
     res["oracle_rows"] = len(d_rows)
     if sorted(s_cols) != sorted(d_cols):
@@ -87,7 +106,7 @@ def compare(spark, name: str, sf_dir: str, con=None, verbose: bool = True) -> di
         return res
     a, b = rows_of(s_cols, s_rows), rows_of(d_cols, d_rows)
     if a == b:
-        res["status"] = "match"
+        res["status"] = "match" if not res["types"] else "match-values-types-differ"
     else:
         sa, sb = set(a), set(b)
         only_s = sorted(sa - sb)[:3]
