@@ -59,10 +59,14 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.engagement_features(fixtures.raw_posts(spark, sf_dir), materialize=True)
 
 
-def reset_views() -> None:
-    """Forget the shared plans (the next query rebuilds and re-runs them)."""
+def reset_views(spark: SparkSession | None = None) -> None:
+    """Forget the shared plans (the next query rebuilds and re-runs them) and,
+    given the session, delete the tables they materialized."""
     _VIEWS.clear()
     fixtures._MEMO.clear()
+    if spark is not None:
+        from postrisk.session import release
+        release(spark)
 
 
 @view

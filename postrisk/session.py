@@ -69,9 +69,26 @@ def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
     table lives on shared storage, so losing an executor loses nothing."""
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
+    MATERIALIZED.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+MATERIALIZED: list[str] = []
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete materialized tables (all of this process's by default) once no
+    plan reads them any more."""
+    todo = list(MATERIALIZED) if paths is None else list(paths)
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in todo:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        hp.getFileSystem(conf).delete(hp, True)
+        if p in MATERIALIZED:
+            MATERIALIZED.remove(p)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
