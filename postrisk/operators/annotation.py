@@ -85,7 +85,11 @@ def annotate(sheets: DataFrame, label_fn: LabelFn,
     """A3/A4: keep labels already present (reason ``existing label``); label the rest
     with ``label_fn(prompts, temperature, seed) -> (labels, reasons)``, called once
     per Arrow batch inside the tasks (no per-row calls, nothing on the driver).
-    Invalid labels (not 0/1) become null with the reason prefixed ``error:``."""
+    Invalid labels (not 0/1) become null with the reason prefixed ``error:``.
+
+    A model labeller need not be deterministic: write the result (``io.write_table``
+    or ``session.materialize``) before using it twice, so a retried task cannot
+    change labels between two reads."""
     sheets = check_sheet_schema(sheets)
     temp = F.lit(None).cast("double")
     seed = F.lit(None).cast("int")

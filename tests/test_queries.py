@@ -47,3 +47,14 @@ def test_flagship_plan_has_no_python(spark):
 def test_no_cross_products(spark, name):
     plan = _plan(entry.queries()[name](spark, SF_SMALL))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+@pytest.mark.parametrize("name", ["sheet_limit", "top_words"])
+def test_constant_topk_limits_before_shuffle(spark, name):
+    plan = _plan(entry.queries()[name](spark, SF_SMALL))
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_minmax_subquery_runs_once(spark):
+    plan = _plan(entry.queries()["minmax_scores"](spark, SF_SMALL))
+    assert plan.count("partial_min(amplification_raw") <= 1
