@@ -849,6 +849,24 @@ def q_stream_ingest(spark, sf_dir):
 ORACLE["stream_ingest"] = ORACLE["ingest_new_rows"]
 
 
+@query("stream_ingest_watermark")
+def q_stream_ingest_wm(spark, sf_dir):
+    """The ingest stream with watermark-bounded de-duplication on the scrape time."""
+    root = scratch_path(spark, "stream-ingest-wm")
+    raw = fixtures.raw_posts(spark, sf_dir)
+    raw.repartition(2, "source_rank").write.parquet(f"{root}/source")
+    seed_sink(fixtures.stored_posts(spark, sf_dir), f"{root}/sink")
+    schema = spark.read.parquet(f"{root}/source").schema
+    q = streaming.stream_ingest(spark, f"{root}/source", schema, f"{root}/sink", f"{root}/checkpoint",
+                                max_files_per_trigger=1, watermark=("scraped_at_utc", "1 hour"))
+    q.awaitTermination()
+    out = spark.read.parquet(f"{root}/sink").filter(F.col("_batch") >= 0)
+    return out.select("post_id", "collection_type", "query", "row_ord")
+
+
+ORACLE["stream_ingest_watermark"] = ORACLE["ingest_new_rows"]
+
+
 @query("stream_triage")
 def q_stream_triage(spark, sf_dir):
     """Cleaned, scored posts arrive as files; scaled with frozen bounds, triaged."""

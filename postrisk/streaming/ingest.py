@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from postrisk.functions.scores import parse_ts
 from postrisk.operators import ingest as ops
 from postrisk.sources.io import _exists
 
@@ -43,8 +44,9 @@ def stream_ingest(spark: SparkSession, source_path: str, schema: T.StructType, s
     """Start the ingest stream from ``source_path`` into the parquet ``sink_path``.
 
     ``watermark=(ts_col, delay)`` adds state-bounded de-duplication before the
-    batch logic (cheap early drop of near repeats); the sink anti join stays the
-    exact check for older repeats."""
+    batch logic (cheap early drop of near repeats, state kept for ``delay`` of
+    event time); the sink anti join stays the exact check for older repeats.
+    A text ``ts_col`` is parsed (ISO or the ``Wed Oct 10 ...`` form) first."""
     reader = spark.readStream.schema(schema).format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True)
@@ -53,7 +55,11 @@ def stream_ingest(spark: SparkSession, source_path: str, schema: T.StructType, s
     stream = reader.load(source_path)
     if watermark:
         ts, delay = watermark
-        stream = stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["collection_type", "post_id"])
+        if not isinstance(schema[ts].dataType, T.TimestampType):
+            stream = stream.withColumn("_event_ts", parse_ts(ts))
+            ts = "_event_ts"
+        stream = (stream.withWatermark(ts, delay)
+                  .dropDuplicatesWithinWatermark(["collection_type", "post_id"]))
 
     def process(batch: DataFrame, batch_id: int) -> None:
         stored = _sink_rows(batch.sparkSession, sink_path, schema, batch_id)
