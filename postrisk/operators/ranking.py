@@ -19,22 +19,32 @@ from pyspark.sql import functions as F
 DEFAULT_BUCKETS = 256
 
 
-def _bucket_uniform(order_col: str, buckets: int):
-    return F.least(F.floor(F.col(order_col) * buckets).cast("int"), F.lit(buckets - 1))
+ROWS_PER_BUCKET = 1_000_000
 
 
 def with_group_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
                     out: str = "_rank", buckets: int = DEFAULT_BUCKETS,
-                    uniform: bool = False, accuracy: int = 10000) -> DataFrame:
+                    uniform: bool = False, accuracy: int = 10000, limit=None,
+                    rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Adds ``out`` = 1-based rank of each row inside its group, ordered by
     ``order_cols`` (the first must be numeric; later ones break ties).
 
     ``uniform=True`` when the first order column is uniform on [0, 1) (e.g. a
-    hash), which skips the quantile pass."""
+    hash): ranges are equal-width and their number follows each group's size
+    (about ``rows_per_bucket`` rows per range, at least ``buckets``), so a
+    huge group is still cut into task-sized pieces. Otherwise ``buckets``
+    equal-count ranges come from ``percentile_approx``.
+
+    ``limit`` (a column or a number) keeps only rows that can rank within it:
+    ranges starting after the cut are dropped before the window runs."""
     group_cols = list(group_cols)
     key = order_cols[0]
     if uniform:
-        b = df.withColumn("_bucket", _bucket_uniform(key, buckets))
+        sizes = df.groupBy(*group_cols).agg(
+            F.greatest(F.lit(int(buckets)), F.ceil(F.count(F.lit(1)) / F.lit(float(rows_per_bucket))))
+            .cast("int").alias("_nb"))
+        b = df.join(sizes, group_cols, "left").withColumn(
+            "_bucket", F.least(F.floor(F.col(key) * F.col("_nb")).cast("int"), F.col("_nb") - 1)).drop("_nb")
     else:
         probs = [i / buckets for i in range(1, buckets)]
         bounds = df.groupBy(*group_cols).agg(
@@ -46,17 +56,21 @@ def with_group_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
     # small table (groups x buckets): exclusive prefix sum per group
     wp = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(wp), F.lit(0))).drop("_n")
+    ranked = b.join(offsets, [*group_cols, "_bucket"], "left")
+    if limit is not None:
+        lim = F.col(limit) if isinstance(limit, str) else F.lit(limit)
+        ranked = ranked.filter(F.col("_offset") < lim)
     wr = Window.partitionBy(*group_cols, "_bucket").orderBy(*[F.col(c) for c in order_cols])
-    return (b.join(offsets, [*group_cols, "_bucket"], "left")
-            .withColumn(out, F.col("_offset") + F.row_number().over(wr))
+    return (ranked.withColumn(out, F.col("_offset") + F.row_number().over(wr))
             .drop("_offset", "_bucket"))
 
 
 def top_n_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], n_col,
                     buckets: int = DEFAULT_BUCKETS, uniform: bool = False) -> DataFrame:
-    """Rows whose rank inside their group is ``<= n_col`` (a column or a number)."""
+    """Rows whose rank inside their group is ``<= n_col`` (a column or a number).
+    Only the ranges up to the cut are ranked."""
     n = F.col(n_col) if isinstance(n_col, str) else F.lit(n_col)
-    ranked = with_group_rank(df, group_cols, order_cols, buckets=buckets, uniform=uniform)
+    ranked = with_group_rank(df, group_cols, order_cols, buckets=buckets, uniform=uniform, limit=n_col)
     return ranked.filter(F.col("_rank") <= n).drop("_rank")
 
 

@@ -204,3 +204,18 @@ def test_zone_kpis_zeros(spark):
     df = spark.createDataFrame([("Merah",)], "Zona_Triase string")
     r = triage.zone_kpis(df).first()
     assert (r.total, r.n_merah, r.n_kuning, r.n_hijau) == (1, 1, 0, 0)
+
+
+def test_uniform_rank_many_buckets_and_top_n(spark):
+    from pyspark.sql import Window
+    from postrisk.operators.ranking import top_n_per_group, with_group_rank
+    df = spark.range(4000).select((F.col("id") % 2).alias("g"),
+                                  (F.pmod(F.xxhash64("id"), F.lit(1 << 53)) / float(1 << 53)).alias("u"), "id")
+    ref = df.withColumn("_ref", F.row_number().over(Window.partitionBy("g").orderBy("u", "id")))
+    got = with_group_rank(df, ["g"], ["u", "id"], buckets=4, uniform=True, rows_per_bucket=50)
+    assert got.join(ref, ["g", "u", "id"]).filter(F.col("_rank") != F.col("_ref")).count() == 0
+    lim = df.withColumn("n", F.when(F.col("g") == 0, 7).otherwise(130))
+    top = top_n_per_group(lim, ["g"], ["id"], "n", buckets=16)
+    want = ref.withColumn("_r2", F.row_number().over(Window.partitionBy("g").orderBy("id")))
+    want = want.filter((F.col("g") == 0) & (F.col("_r2") <= 7) | (F.col("g") == 1) & (F.col("_r2") <= 130))
+    assert sorted(r.id for r in top.collect()) == sorted(r.id for r in want.collect())
