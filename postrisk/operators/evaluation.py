@@ -98,7 +98,7 @@ def average_precision(df: DataFrame, p: str = "P_hoax", y: str = "label",
     group_cols = list(group_cols)
     per = df.groupBy(*group_cols, p).agg(F.count_if(F.col(y) == 1).alias("pos"),
                                          F.count_if(F.col(y) == 0).alias("neg"))
-    cum = with_running_sums(per, group_cols, p, ["pos", "neg"], descending=True)
+    cum = with_running_sums(per, group_cols, p, ["pos", "neg"], descending=True, buckets=None)
     prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     agg = cum.groupBy(*group_cols).agg(F.sum(F.col("pos") * prec).alias("_s"),
                                        F.sum("pos").alias("_P"))

@@ -74,16 +74,30 @@ def top_n_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
     return ranked.filter(F.col("_rank") <= n).drop("_rank")
 
 
+MAX_QUANTILE_BUCKETS = 100_000
+
+
+def auto_buckets(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Number of equal-count ranges so that one range holds about ``rows_per_bucket``
+    rows (one count of the table; at least ``DEFAULT_BUCKETS``)."""
+    n = df.count()
+    return int(min(MAX_QUANTILE_BUCKETS, max(DEFAULT_BUCKETS, -(-n // rows_per_bucket))))
+
+
 def with_running_sums(df: DataFrame, group_cols: Sequence[str], order_col: str, value_cols: Sequence[str],
-                      descending: bool = True, buckets: int = DEFAULT_BUCKETS,
+                      descending: bool = True, buckets: int | None = DEFAULT_BUCKETS,
                       accuracy: int = 10000) -> DataFrame:
     """Adds ``cum_<v>`` = running sum of each value column inside the group, in
     ``order_col`` order, inclusive (rows should have distinct ``order_col``
     per group, e.g. after grouping by it).
 
     Same bucketing as ``with_group_rank``: per-range totals are prefix-summed on
-    the small (group x range) table, the running sum only spans one range."""
+    the small (group x range) table, the running sum only spans one range.
+    ``buckets=None`` sizes the ranges from the table (see ``auto_buckets``)."""
     group_cols = list(group_cols)
+    if buckets is None:
+        buckets = auto_buckets(df)
+    accuracy = max(int(accuracy), 10 * int(buckets))
     key = F.col(order_col).cast("double")
     probs = [i / buckets for i in range(1, buckets)]
     bounds = df.groupBy(*group_cols).agg(F.percentile_approx(key, probs, accuracy).alias("_bounds")) \
