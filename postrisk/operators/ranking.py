@@ -23,7 +23,7 @@ ROWS_PER_BUCKET = 1_000_000
 
 
 def with_group_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
-                    out: str = "_rank", buckets: int = DEFAULT_BUCKETS,
+                    out: str = "_rank", buckets: int | None = DEFAULT_BUCKETS,
                     uniform: bool = False, accuracy: int = 10000, limit=None,
                     rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Adds ``out`` = 1-based rank of each row inside its group, ordered by
@@ -39,6 +39,9 @@ def with_group_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
     ranges starting after the cut are dropped before the window runs."""
     group_cols = list(group_cols)
     key = order_cols[0]
+    if buckets is None:
+        buckets = DEFAULT_BUCKETS if uniform else auto_buckets(df)
+        accuracy = max(int(accuracy), 10 * int(buckets))
     if uniform:
         sizes = df.groupBy(*group_cols).agg(
             F.greatest(F.lit(int(buckets)), F.ceil(F.count(F.lit(1)) / F.lit(float(rows_per_bucket))))
@@ -66,7 +69,7 @@ def with_group_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
 
 
 def top_n_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], n_col,
-                    buckets: int = DEFAULT_BUCKETS, uniform: bool = False) -> DataFrame:
+                    buckets: int | None = None, uniform: bool = False) -> DataFrame:
     """Rows whose rank inside their group is ``<= n_col`` (a column or a number).
     Only the ranges up to the cut are ranked."""
     n = F.col(n_col) if isinstance(n_col, str) else F.lit(n_col)
