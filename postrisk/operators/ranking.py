@@ -22,6 +22,23 @@ DEFAULT_BUCKETS = 256
 ROWS_PER_BUCKET = 1_000_000
 
 
+def with_count_below(df: DataFrame, bounds: str, key, n_bounds: int, out: str) -> DataFrame:
+    """``out`` = number of entries of the ascending array ``bounds`` strictly below
+    ``key``, by binary search: about log2(n_bounds) cheap projections instead of
+    a scan of the whole array for every row."""
+    k = F.col(key).cast("double") if isinstance(key, str) else key.cast("double")
+    step = 1
+    while step * 2 <= n_bounds:
+        step *= 2
+    out_df = df.withColumn(out, F.lit(0))
+    while step >= 1:
+        nxt = F.col(out) + step
+        probe = F.when(nxt <= F.size(bounds), F.element_at(bounds, nxt))
+        out_df = out_df.withColumn(out, F.when(probe < k, nxt).otherwise(F.col(out)))
+        step //= 2
+    return out_df
+
+
 def with_group_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
                     out: str = "_rank", buckets: int | None = DEFAULT_BUCKETS,
                     uniform: bool = False, accuracy: int = 10000, limit=None,
@@ -53,8 +70,8 @@ def with_group_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
         bounds = df.groupBy(*group_cols).agg(
             F.percentile_approx(F.col(key).cast("double"), probs, accuracy).alias("_bounds"))
         # bucket = number of boundaries strictly below the key: equal keys share a bucket
-        b = df.join(bounds, group_cols, "left").withColumn(
-            "_bucket", F.size(F.filter("_bounds", lambda x: x < F.col(key).cast("double")))).drop("_bounds")
+        b = with_count_below(df.join(bounds, group_cols, "left"), "_bounds", key, buckets - 1,
+                             "_bucket").drop("_bounds")
     counts = b.groupBy(*group_cols, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # small table (groups x buckets): exclusive prefix sum per group
     wp = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -109,8 +126,9 @@ def with_running_sums(df: DataFrame, group_cols: Sequence[str], order_col: str,
         b = df.join(bounds, group_cols, "left")
     else:
         b = df.withColumn("_bounds", bounds.select("_bounds").scalar())
-    nb = F.size(F.filter("_bounds", lambda x: x < key))
-    b = b.withColumn("_bucket", (F.lit(buckets) - nb) if descending else nb).drop("_bounds")
+    b = with_count_below(b, "_bounds", key, buckets - 1, "_nb")
+    nb = F.col("_nb")
+    b = b.withColumn("_bucket", (F.lit(buckets) - nb) if descending else nb).drop("_bounds", "_nb")
     totals = b.groupBy(*group_cols, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
     part = group_cols if group_cols else [F.lit(1)]
     wp = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
