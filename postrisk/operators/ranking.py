@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 256
+QUANTILE_BUCKETS = 256  # equal-count ranges: the quantile sketch per group stays small
 
 
 ROWS_PER_BUCKET = 1_000_000
@@ -86,7 +87,7 @@ def with_group_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
 
 
 def top_n_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], n_col,
-                    buckets: int | None = None, uniform: bool = False) -> DataFrame:
+                    buckets: int | None = QUANTILE_BUCKETS, uniform: bool = False) -> DataFrame:
     """Rows whose rank inside their group is ``<= n_col`` (a column or a number).
     Only the ranges up to the cut are ranked."""
     n = F.col(n_col) if isinstance(n_col, str) else F.lit(n_col)
@@ -105,7 +106,7 @@ def auto_buckets(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
 
 
 def with_running_sums(df: DataFrame, group_cols: Sequence[str], order_col: str, value_cols: Sequence[str],
-                      descending: bool = True, buckets: int | None = DEFAULT_BUCKETS,
+                      descending: bool = True, buckets: int | None = QUANTILE_BUCKETS,
                       accuracy: int = 10000) -> DataFrame:
     """Adds ``cum_<v>`` = running sum of each value column inside the group, in
     ``order_col`` order, inclusive (rows should have distinct ``order_col``

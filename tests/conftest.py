@@ -12,7 +12,7 @@ sys.path.insert(0, ROOT)
 def spark():
     from postrisk.session import get_spark
     s = get_spark("local[4]", app="postrisk-tests", shuffle_partitions=8,
-                  extra={"spark.ui.showConsoleProgress": "false"})
+                  extra={"spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g"})
     # tests have no cluster-provided shared folder: use a private one
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="postrisk-test-ckpt-"))

@@ -123,7 +123,7 @@ def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     import __spark_entry__ as e
     names = argv[2:] or list(e.queries())
-    spark = get_spark("local[8]", shuffle_partitions=8)
+    spark = get_spark("local[8]", shuffle_partitions=8, extra={"spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     con = duck(sf_dir)
     bad = 0
     for n in names:
