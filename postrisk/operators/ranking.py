@@ -25,19 +25,25 @@ ROWS_PER_BUCKET = 1_000_000
 
 def with_count_below(df: DataFrame, bounds: str, key, n_bounds: int, out: str) -> DataFrame:
     """``out`` = number of entries of the ascending array ``bounds`` strictly below
-    ``key``, by binary search: about log2(n_bounds) cheap projections instead of
-    a scan of the whole array for every row."""
+    ``key``, by binary search: one fold over the ~log2(n_bounds) step sizes
+    instead of a scan of the whole array for every row."""
     k = F.col(key).cast("double") if isinstance(key, str) else key.cast("double")
+    steps = []
     step = 1
     while step * 2 <= n_bounds:
         step *= 2
-    out_df = df.withColumn(out, F.lit(0))
     while step >= 1:
-        nxt = F.col(out) + step
-        probe = F.when(nxt <= F.size(bounds), F.element_at(bounds, nxt))
-        out_df = out_df.withColumn(out, F.when(probe < k, nxt).otherwise(F.col(out)))
+        steps.append(step)
         step //= 2
-    return out_df
+    b = F.col(bounds)
+
+    def advance(pos, st):
+        nxt = pos + st
+        probe = F.when(nxt <= F.size(b), F.element_at(b, nxt))
+        return F.when(probe < k, nxt).otherwise(pos)
+
+    found = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), advance)
+    return df.withColumn(out, found)
 
 
 def with_group_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
