@@ -58,7 +58,7 @@ def tfidf_stages(max_features: int = TFIDF_MAX_FEATURES, input_col: str = "text"
 
 
 def balanced_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
-    """``n / (n_classes * n_class)`` per row (sklearn's ``class_weight='balanced'``)."""
+    """``n / (n_classes * n_class)`` per row (the usual balanced class weighting)."""
     every = Window.partitionBy(F.lit(1))
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     c = c.select(label, (F.sum("_n").over(every) / (F.count(F.lit(1)).over(every) * F.col("_n"))).alias(out))
