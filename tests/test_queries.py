@@ -58,3 +58,22 @@ def test_constant_topk_limits_before_shuffle(spark, name):
 def test_minmax_subquery_runs_once(spark):
     plan = _plan(entry.queries()["minmax_scores"](spark, SF_SMALL))
     assert plan.count("partial_min(amplification_raw") <= 1
+
+
+@pytest.mark.parametrize("name", ["dedupe_keep_first", "majority_vote", "split_class_sizes", "ingest_quota",
+                                  "average_precision", "top_words"])
+def test_independent_of_partition_count(spark, name):
+    from tests.oracle_compare import rows_of
+    from postrisk.plans.queries import reset_views
+    out = []
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("3", "11"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            reset_views()
+            df = entry.queries()[name](spark, SF_SMALL)
+            out.append(rows_of(df.columns, df.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        reset_views()
+    assert out[0] == out[1]
