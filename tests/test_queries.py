@@ -77,3 +77,14 @@ def test_independent_of_partition_count(spark, name):
         spark.conf.set("spark.sql.shuffle.partitions", old)
         reset_views()
     assert out[0] == out[1]
+
+
+USER_HOOKS = {"annotate_resume", "plugin_scores"}  # user-supplied labeller / model, per Arrow batch
+
+
+@pytest.mark.parametrize("name", sorted(n for n in set(entry.queries()) - SLOW if not n.startswith("stream_")))
+def test_no_python_on_row_paths(spark, name):
+    plan = _plan(entry.queries()[name](spark, SF_SMALL))
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+    if name not in USER_HOOKS:
+        assert "MapInPandas" not in plan and "PythonMapInArrow" not in plan
