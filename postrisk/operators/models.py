@@ -30,19 +30,19 @@ def tfidf_table(df: DataFrame, text_col: str = "text", key: str = "post_id",
     therefore broadcast; the norm is a window per document."""
     fit = df if fit is None else fit
 
-    def counts(x):
-        t = x.select(key, F.explode(F.filter(words(text_col), lambda w: F.length(w) >= 2)).alias("term"))
-        return t.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    def tokens(x):
+        return x.select(key, F.explode(words(text_col)).alias("term")).filter(F.length("term") >= 2)
 
-    fit_tf = counts(fit)
+    fit_tf = tokens(fit).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     n_docs = fit.select(F.count(F.lit(1))).scalar()
     vocab = (fit_tf.groupBy("term").agg(F.sum("tf").alias("_total"), F.count(F.lit(1)).alias("_df"))
              .orderBy(F.desc("_total"), F.asc("term")).limit(int(max_features))
              .select("term", (F.log((n_docs + 1) / (F.col("_df") + 1)) + 1).alias("_idf")))
-    tf = fit_tf if fit is df else counts(df)
-    # the vocabulary has at most max_features rows: broadcast below a fixed bound
+    # the vocabulary has at most max_features rows: broadcast below a fixed bound; joining it to
+    # the tokens first means only vocabulary terms are counted for the weights
     v = F.broadcast(vocab) if max_features <= BROADCAST_MAX_TERMS else vocab
-    w = tf.join(v, "term").withColumn("_w", F.col("tf") * F.col("_idf"))
+    tf = tokens(df).join(v, "term").groupBy(key, "term", "_idf").agg(F.count(F.lit(1)).alias("tf"))
+    w = tf.withColumn("_w", F.col("tf") * F.col("_idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return w.select(key, "term", "tf", (F.col("_w") / norm).alias("weight"))
 
