@@ -60,3 +60,6 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op3_decontaminate": op3, "op5_token_count": op5, "op6_near_dups": op6, "op7_url_filter": op7,
            "op8_mixing": op8, "op9_quality_rules": op9, "op10_substring_dedup": op10}
+
+#: DuckDB SQL of the queries that SQL can express.
+ORACLE_SQL: dict[str, str] = {}
