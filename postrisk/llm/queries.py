@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postrisk.llm import op2_quality_crf, op4_pii
 from postrisk.llm.common import read
 from postrisk.llm.op10_substring_dedup import substring_dedup
+from postrisk.llm.op1_html_extract import main_text
 from postrisk.llm.op3_decontaminate import decontaminate
 from postrisk.llm.op5_token_count import token_count
 from postrisk.llm.op6_near_dups import near_dups
 from postrisk.llm.op7_url_filter import parse_rule, url_filter
 from postrisk.llm.op8_mixing import mix
-from postrisk.llm.op9_quality_rules import ledger, passes, policy_mask, RULES
+from postrisk.llm.op9_quality_rules import ledger, passes
 
 URL_RULES = ["allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/"]
 TOKEN_FILE = "word_bpe_49k.json"
@@ -27,11 +29,27 @@ def items_digest(items=None):
     return F.sha2(F.array_join(items if items is not None else F.col("item_ids"), ","), 256)
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return op2_quality_crf.quality(docs, op2_quality_crf.train(docs, read(spark, sf_dir, "labels"))).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_words", "n_hit", "n_items", items_digest().alias("items_sha256"), "contaminated")
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return op4_pii.personal_data(docs, op4_pii.train(docs)).select(
+        "doc_id", *[f"n_{k}" for k in op4_pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count(read(spark, sf_dir, "documents"), token_file())
 
@@ -58,8 +76,88 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES = {"op3_decontaminate": op3, "op5_token_count": op5, "op6_near_dups": op6, "op7_url_filter": op7,
+QUERIES = {"op1_html_extract": op1, "op2_quality_crf": op2, "op3_decontaminate": op3, "op4_pii": op4, "op5_token_count": op5, "op6_near_dups": op6, "op7_url_filter": op7,
            "op8_mixing": op8, "op9_quality_rules": op9, "op10_substring_dedup": op10}
 
-#: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL of the queries that SQL can express. Trained models, entropy balancing and the
+#: vocabulary's merges are tested against brute force and held-out data instead.
+ORACLE_SQL: dict[str, str] = {
+    # the tables' pages hold their text in one article element
+    "op1_html_extract": """
+        with a as (select page_id, url, string_split_regex(coalesce(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), ''),
+                          '</?(p|h1|br)\\b[^>]*>') as parts from pages),
+        b as (select page_id, url, list_transform(parts, lambda x: trim(regexp_replace(replace(replace(replace(replace(
+                     regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'),
+                     '\\s+', ' ', 'g'))) as parts from a),
+        c as (select page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) as text from b)
+        select page_id, url, text, cast(length(text) as bigint) as n_chars from c""",
+    "op3_decontaminate": r"""
+        with dw as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        iw as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+        win as (select distinct item_id, least(10, len(w)) as n, array_to_string(w[s : s + least(10, len(w)) - 1], ' ') as t
+                from iw, unnest(range(1, len(w) - least(10, len(w)) + 2)) r(s) where len(w) > 0),
+        place as (select doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') as t
+                  from dw, (select distinct n from win) z, unnest(range(1, len(w) - n + 2)) r(s)),
+        hit as (select doc_id, item_id, s, win.n as n from place join win on place.t = win.t and place.n = win.n),
+        words as (select doc_id, count(distinct p) as n_hit from hit, unnest(range(s, s + n)) r(p) group by doc_id),
+        items as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as ids
+                  from (select distinct doc_id, cast(item_id as varchar) as i from hit) group by doc_id)
+        select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+               sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from dw left join words using (doc_id) left join items using (doc_id)""",
+    "op6_near_dups": r"""
+        with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        g as (select distinct doc_id, case when len(w) = 1 then w[1] else w[s] || ' ' || w[s + 1] end as g
+              from w, unnest(range(1, greatest(len(w), 2))) r(s) where len(w) > 0),
+        n as (select doc_id, count(*) as n from g group by doc_id),
+        link as (select a.doc_id as a, b.doc_id as b from g a join g b on a.g = b.g and a.doc_id < b.doc_id
+                 join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+                 where 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+                 group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+        both_ways as (select a, b from link union all select b, a from link),
+        walk(a, b) as (select distinct a, a from both_ways union select walk.a, l.b from walk join both_ways l on walk.b = l.a),
+        c as (select a, min(b) as component_id from walk group by a)
+        select w.doc_id, coalesce(n, 0) as n_shingles, coalesce(component_id, w.doc_id) as component_id,
+               coalesce(component_id, w.doc_id) = w.doc_id as kept
+        from w left join n on n.doc_id = w.doc_id left join c on c.a = w.doc_id""",
+    "op7_url_filter": r"""
+        with p as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest
+                   from pages),
+        u as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from p),
+        rules(verdict, h, p) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
+                     ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+        best as (select page_id, arg_max(h || p, length(h || p)) as rule, arg_max(verdict, length(h || p)) as verdict
+                 from u join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id)
+        select u.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from u left join best using (page_id)""",
+    "op9_quality_rules": r"""
+        with w as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+                   from documents),
+        lines as (select doc_id, l, count(*) as k from w, unnest(string_split(t, chr(10))) r(l)
+                  where regexp_matches(l, '[^\x20\x09-\x0D]') group by doc_id, l),
+        dup as (select doc_id, sum(k - 1) as n_dup_lines, sum(k) as n_lines from lines group by doc_id),
+        win as (select doc_id, s, w[s] || ' ' || w[s + 1] || ' ' || w[s + 2] as x from w, unnest(range(1, len(w) - 1)) r(s)),
+        again as (select doc_id, s, count(*) over (partition by doc_id, x) as k from win),
+        rep as (select doc_id, count(distinct p) as n_repeat_words from again, unnest(range(s, s + 3)) r(p)
+                where k > 1 group by doc_id),
+        m as (select w.doc_id, cast(len(w) as bigint) as n_words, cast(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as bigint) as word_chars,
+                     cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) as n_symbols,
+                     cast(coalesce(n_dup_lines, 0) as bigint) as n_dup_lines, cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words
+              from w left join dup using (doc_id) left join rep using (doc_id))
+        select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+               not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or 100 * n_symbols > 10 * word_chars
+                    or word_chars > 20 * n_words) as kept from m""",
+    "op10_substring_dedup": r"""
+        with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        win as (select doc_id, s, array_to_string(w[s : s + 12], ' ') as x from w, unnest(range(1, len(w) - 11)) r(s)),
+        late as (select doc_id, s from (select doc_id, s, min(doc_id) over (partition by x) as least from win) where least < doc_id),
+        gone as (select distinct doc_id, p from late, unnest(range(s, s + 13)) r(p)),
+        word as (select doc_id, p, w[p] as x from w, unnest(range(1, len(w) + 1)) r(p)),
+        kept as (select word.doc_id, string_agg(x, ' ' order by word.p) as t, count(*) as n
+                 from word left join gone on gone.doc_id = word.doc_id and gone.p = word.p where gone.p is null group by word.doc_id)
+        select w.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed,
+               sha256(coalesce(t, '')) as kept_sha256 from w left join kept on kept.doc_id = w.doc_id""",
+}
