@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postrisk.llm import op2_quality_crf, op4_pii
 from postrisk.llm.common import read, write_cut
 from postrisk.llm.op3_decontaminate import decontaminate
 from postrisk.llm.op6_near_dups import near_dups
@@ -16,16 +17,30 @@ from postrisk.llm.op8_mixing import mix
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """Documents whose id is not among ``bad``; a null id is never taken for a bad one."""
+    return docs.join(bad.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for bad go."""
+    model = op2_quality_crf.train(docs, read(spark, sf_dir, "labels"))
+    return _without(docs, op2_quality_crf.quality(docs, model).where("predicted = 0"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id."""
-    drop = near_dups(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(COLUMNS)
+    return _without(docs, near_dups(docs).where(~F.col("kept")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark window go."""
-    bad = decontaminate(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(COLUMNS)
+    return _without(docs, decontaminate(docs, read(spark, sf_dir, "benchmark")).where("contaminated"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span gives way to its kind in angle brackets; n_chars follows. No document goes."""
+    return op4_pii.redacted_table(docs, op4_pii.train(docs)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +49,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.select(COLUMNS).join(taken, "doc_id")
 
 
-STAGES = [("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing)]
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("mixing", mixing)]
 
 #: SQL can't express sketches, trained models or Newton iterations.
 ORACLE_SQL = None

@@ -49,63 +49,68 @@ class Tagger:
         k = 1 + 2 * n_kinds
         self.hidden, self.k, self.mask = hidden, k, allowed(n_kinds)
 
-        def init(*shape, scale=None):
-            return (r.standard_normal(shape) * (scale or 1 / np.sqrt(shape[0]))).astype(np.float32)
-        self.p = {"E": init(ALPHABET, embed, scale=0.5), "V": init(2 * hidden, k), "v": np.zeros(k, np.float32),
+        def init(*shape, scale):
+            return (r.standard_normal(shape) * scale).astype(np.float32)
+        self.p = {"E": init(ALPHABET, embed, scale=0.5), "V": init(2 * hidden, k, scale=(2 * hidden) ** -0.5), "v": np.zeros(k, np.float32),
                   "T": np.zeros((k, k), np.float32)}
-        for d in "fb":
-            self.p |= {f"W{d}": init(embed, 4 * hidden), f"U{d}": init(hidden, 4 * hidden),
-                       f"b{d}": np.zeros(4 * hidden, np.float32)}
-            self.p[f"b{d}"][hidden:2 * hidden] = 1  # remember at first
+        # the two reading directions are the first axis
+        self.p |= {"W": init(2, embed, 4 * hidden, scale=embed ** -0.5), "U": init(2, hidden, 4 * hidden, scale=hidden ** -0.5),
+                   "b": np.zeros((2, 1, 4 * hidden), np.float32)}
+        self.p["b"][:, :, hidden:2 * hidden] = 1  # remember at first
 
-    def _lstm(self, c: np.ndarray, d: str, keep: bool):
-        """Hidden states (n, t, hidden) of one direction over classes c (n, t)."""
+    def _lstm(self, c: np.ndarray, keep: bool):
+        """Hidden states (n, t, 2 * hidden) of both directions over classes c (n, t)."""
         h_n, (n, t_n) = self.hidden, c.shape
-        table, u = self.p["E"] @ self.p[f"W{d}"] + self.p[f"b{d}"], self.p[f"U{d}"]
-        h, s = np.zeros((n, h_n), np.float32), np.zeros((n, h_n), np.float32)
-        out, memo = np.empty((n, t_n, h_n), np.float32), []
-        for t in range(t_n) if d == "f" else range(t_n - 1, -1, -1):
-            g = table[c[:, t]] + h @ u
-            gates = _sigmoid(g[:, :3 * h_n])
-            i, f, o = gates[:, :h_n], gates[:, h_n:2 * h_n], gates[:, 2 * h_n:]
-            z = np.tanh(g[:, 3 * h_n:])
+        table, u = self.p["E"] @ self.p["W"] + self.p["b"], self.p["U"]
+        h = np.zeros((2, n, h_n), table.dtype)
+        s = np.zeros_like(h)
+        out, memo = np.empty((n, t_n, 2, h_n), table.dtype), []
+        for t in range(t_n):
+            back = t_n - 1 - t
+            g = h @ u
+            g[0] += table[0][c[:, t]]
+            g[1] += table[1][c[:, back]]
+            gates = _sigmoid(g[:, :, :3 * h_n])
+            i, f, o = gates[:, :, :h_n], gates[:, :, h_n:2 * h_n], gates[:, :, 2 * h_n:]
+            z = np.tanh(g[:, :, 3 * h_n:])
             s2 = f * s + i * z
             y = np.tanh(s2)
             if keep:
-                memo.append((t, h, s, i, f, o, z, y))
+                memo.append((h, s, i, f, o, z, y))
             h, s = o * y, s2
-            out[:, t] = h
-        return out, memo
+            out[:, t, 0], out[:, back, 1] = h
+        return out.reshape(n, t_n, 2 * h_n), memo
 
     def emissions(self, c: np.ndarray) -> np.ndarray:
         """(n, t, tags) scores of windows c (n, t)."""
-        both = np.concatenate([self._lstm(c, "f", False)[0], self._lstm(c, "b", False)[0]], axis=2)
-        return both @ self.p["V"] + self.p["v"]
+        return self._lstm(c, False)[0] @ self.p["V"] + self.p["v"]
 
-    def _lstm_back(self, c: np.ndarray, d: str, memo: list, dout: np.ndarray, grad: dict) -> None:
-        h_n, u = self.hidden, self.p[f"U{d}"]
-        dh = np.zeros((len(c), h_n), np.float32)
+    def _lstm_back(self, c: np.ndarray, memo: list, dout: np.ndarray, grad: dict) -> None:
+        h_n, u, (n, t_n) = self.hidden, self.p["U"], c.shape
+        dout = dout.reshape(n, t_n, 2, h_n)
+        dh = np.zeros((2, n, h_n), u.dtype)
         ds = np.zeros_like(dh)
-        du, dg_all = np.zeros_like(u), np.empty((*c.shape, 4 * h_n), np.float32)
-        for t, h, s, i, f, o, z, y in reversed(memo):
-            dh = dh + dout[:, t]
+        du, dg_all = np.zeros_like(u), np.empty((2, n, t_n, 4 * h_n), u.dtype)
+        for t in range(t_n - 1, -1, -1):
+            h, s, i, f, o, z, y = memo[t]
+            dh[0] += dout[:, t, 0]
+            dh[1] += dout[:, t_n - 1 - t, 1]
             ds = ds + dh * o * (1 - y * y)
-            dg = np.concatenate([ds * z * i * (1 - i), ds * s * f * (1 - f), dh * y * o * (1 - o), ds * i * (1 - z * z)], axis=1)
-            dg_all[:, t] = dg
-            du += h.T @ dg
-            dh, ds = dg @ u.T, ds * f
-        flat = np.zeros((ALPHABET, c.size), np.float32)
-        flat[c.ravel(), np.arange(c.size)] = 1
-        dtable = flat @ dg_all.reshape(-1, 4 * h_n)
-        grad[f"U{d}"], grad[f"b{d}"] = du, dtable.sum(0)
-        grad[f"W{d}"] = self.p["E"].T @ dtable
-        grad["E"] = grad.get("E", 0) + dtable @ self.p[f"W{d}"].T
+            dg = np.concatenate([ds * z * i * (1 - i), ds * s * f * (1 - f), dh * y * o * (1 - o), ds * i * (1 - z * z)], axis=2)
+            dg_all[0, :, t], dg_all[1, :, t_n - 1 - t] = dg
+            du += h.transpose(0, 2, 1) @ dg
+            dh, ds = dg @ u.transpose(0, 2, 1), ds * f
+        hot = np.zeros((ALPHABET, c.size), u.dtype)
+        hot[c.ravel(), np.arange(c.size)] = 1
+        dtable = hot @ dg_all.reshape(2, -1, 4 * h_n)
+        grad["U"], grad["b"] = du, dtable.sum(1, keepdims=True)
+        grad["W"] = self.p["E"].T @ dtable
+        grad["E"] = (dtable @ self.p["W"].transpose(0, 2, 1)).sum(0)
 
     def loss(self, c: np.ndarray, tags: np.ndarray) -> tuple[float, dict]:
         """Mean negative log likelihood of the tag sequences and its gradients."""
         n, t_n = c.shape
-        (hf, mf), (hb, mb) = self._lstm(c, "f", True), self._lstm(c, "b", True)
-        both = np.concatenate([hf, hb], axis=2)
+        both, memo = self._lstm(c, True)
         e = both @ self.p["V"] + self.p["v"]
         trans, start = self.p["T"] + self.mask[:-1], self.mask[-1]
         fwd, bwd = np.empty_like(e), np.zeros_like(e)
@@ -125,12 +130,10 @@ class Tagger:
             dtrans += np.exp(fwd[:, t - 1][:, :, None] + trans + (e[:, t] + bwd[:, t])[:, None, :] - z[:, None, None]).sum(0)
         np.add.at(dtrans, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), -1)
         grad = {"V": both.reshape(-1, both.shape[2]).T @ de.reshape(-1, self.k), "v": de.sum((0, 1)), "T": dtrans / n}
-        dboth = de @ self.p["V"].T
-        self._lstm_back(c, "f", mf, dboth[:, :, :self.hidden], grad)
-        self._lstm_back(c, "b", mb, dboth[:, :, self.hidden:], grad)
+        self._lstm_back(c, memo, de @ self.p["V"].T, grad)
         return float((z - gold).mean()), grad
 
-    def fit(self, c: np.ndarray, tags: np.ndarray, steps: int = 260, batch: int = 64, rate: float = 0.02, seed: int = 3) -> "Tagger":
+    def fit(self, c: np.ndarray, tags: np.ndarray, steps: int = 240, batch: int = 64, rate: float = 0.02, seed: int = 3) -> "Tagger":
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}

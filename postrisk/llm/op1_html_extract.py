@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from postrisk.llm.common import write_cut
 from postrisk.llm.op7_url_filter import url_parts
 
-MIN_SHARE = 0.25  # of the page's own best container
+MIN_SHARE = 0.1  # of the page's own best container
 MIN_VOTE = 0.2  # containers with a smaller share of the page's best score don't vote
 
 MAX_PATH = 1000  # longer paths are named by a digest, so deep nesting takes linear memory

@@ -166,7 +166,7 @@ class _Adam:
             p -= self.rate * (m / (1 - 0.9 ** self.t)) / (np.sqrt(v / (1 - 0.99 ** self.t)) + 1e-8)
 
 
-def fit(x: np.ndarray, size: np.ndarray, at: np.ndarray, label: np.ndarray, steps: int = 150, l2: float = 1e-3) -> Model:
+def fit(x: np.ndarray, size: np.ndarray, at: np.ndarray, label: np.ndarray, steps: int = 100, l2: float = 1e-3) -> Model:
     """x: lines by features; document d is lines at[d]:at[d + 1] and has label[d] in {0, 1}."""
     if len(label) == 0 or label.min() == label.max():
         return Model(None, None, None, None, 0.0, float((label.sum() + 1) / (len(label) + 2)))
@@ -228,7 +228,7 @@ def _sample_features(train_lines: int):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = 3000, train_lines: int = 64, id_col: str = "doc_id",
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = 2000, train_lines: int = 64, id_col: str = "doc_id",
           text_col: str = "text", label_col: str = "quality") -> Model:
     """Fit on the labelled documents that are not held out: at most ``train_docs`` by ``train_lines`` lines."""
     known = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))

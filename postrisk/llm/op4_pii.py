@@ -287,7 +287,7 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], ["text", "tags"])
 
 
-def train(docs: DataFrame, train_windows: int = 1500, text_col: str = "text", steps: int = 260) -> Tagger:
+def train(docs: DataFrame, train_windows: int = 1500, text_col: str = "text", steps: int = 240) -> Tagger:
     """Fit on at most ``train_windows`` different windows of the corpus and as many generated ones."""
     mine = (docs.where(F.col(text_col).rlike("[0-9@]")).select(text_col).mapInArrow(_labelled, "text string, tags string")
             .select(F.xxhash64("text").alias("h"), "text", "tags").distinct().orderBy("h", "text", "tags").limit(train_windows).collect())
@@ -326,3 +326,20 @@ def personal_data(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_
     return docs.select(id_col, text_col).mapInArrow(
         run, f"`{id_col}` {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string, n_added long"
         + (", redacted string" if redacted else ""))
+
+
+def redacted_table(docs: DataFrame, tagger: Tagger, text_col: str = "text") -> DataFrame:
+    """The whole table with every span of its texts replaced; rows without a digit or an @ pass unread."""
+    shared = docs.sparkSession.sparkContext.broadcast(tagger)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(place).to_pylist()
+            busy = [k for k, t in enumerate(texts) if t and _ACTIVE.search(t)]
+            for k, (base, added) in zip(busy, find(shared.value, [texts[k] for k in busy])):
+                texts[k] = redact(texts[k], [x + y for x, y in zip(base, added)])
+            cols = list(b.columns)
+            cols[place] = pa.array(texts, b.schema.field(place).type)
+            yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+    return docs.mapInArrow(run, docs.schema)
