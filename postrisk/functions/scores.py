@@ -14,6 +14,7 @@ from postrisk.constants import (
 # A plain decimal number; Spark's cast also accepts Java suffixes such as "12d",
 # which are not numbers in the source data, so the text is checked first.
 NUMBER_PATTERN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+OFFSET_PATTERN = r":[0-9.]+\s*(Z|UTC.*|GMT.*|[+-][0-9]{1,2}(:?[0-9]{2})?(:?[0-9]{2})?|[A-Za-z]+/[A-Za-z_/]+)$"
 TWITTER_TS_FORMAT = "MMM dd HH:mm:ss Z yyyy"
 
 
@@ -23,7 +24,7 @@ def _col(c) -> Column:
 
 def coerce_count(c) -> Column:
     """Dirty counter -> double >= 0: non-numbers, NaN and null become 0."""
-    s = F.trim(_col(c).cast("string"))
+    s = F.regexp_replace(_col(c).cast("string"), r"^[\s\x{0b}]+|[\s\x{0b}]+$", "")
     v = F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
     v = F.nanvl(v, F.lit(None).cast("double"))
     return F.greatest(F.lit(0.0), F.coalesce(v, F.lit(0.0)))
@@ -31,9 +32,11 @@ def coerce_count(c) -> Column:
 
 def parse_ts(c) -> Column:
     """ISO-8601 text (with offset) or the ``Wed Oct 10 20:19:24 +0000 2018`` form -> timestamp."""
-    s = _col(c).cast("string")
+    s = F.trim(_col(c).cast("string"))
     tw = F.try_to_timestamp(F.substring(s, 5, 1 << 20), F.lit(TWITTER_TS_FORMAT))
-    return F.coalesce(s.try_cast("timestamp"), tw)
+    # a time without an offset is UTC, whatever the session time zone
+    as_utc = F.concat(s.try_cast("timestamp_ntz").cast("string"), F.lit("Z")).try_cast("timestamp")
+    return F.coalesce(F.when(s.rlike(OFFSET_PATTERN), s.try_cast("timestamp")).otherwise(as_utc), tw)
 
 
 def hours_between(posted, scraped) -> Column:
@@ -64,7 +67,23 @@ def risk_score(p, amp, vel, weights=None) -> Column:
     """``round_half_even(100 * (w_h*p + w_a*amp + w_v*vel), 2)``."""
     wh, wa, wv = _weights(weights)
     raw = F.lit(100.0) * (F.lit(wh) * _col(p) + F.lit(wa) * _col(amp) + F.lit(wv) * _col(vel))
-    return F.bround(raw, 2)
+    return round2(raw)
+
+
+def round2(c) -> Column:
+    """Two decimals, half to even, of the stored binary value - as Python's ``round`` does.
+
+    2.675 is stored a little below the tie and gives 2.67; rounding its shortest decimal
+    form would give 2.68. ``x * 100`` is split into its rounded product and the exact
+    rounding error, and the error decides what looks like a tie."""
+    x = _col(c).cast("double")
+    hi = x * 134217729.0 - (x * 134217729.0 - x)
+    p = x * 100.0
+    err = (hi * 100.0 - p) + (x - hi) * 100.0
+    whole = F.floor(p).cast("double")
+    over = (p - whole - 0.5) + err
+    up = F.when(over == 0, (whole % 2 != 0)).otherwise(over > 0)
+    return F.when(F.abs(x) < 1e13, (whole + F.when(up, 1.0).otherwise(0.0)) / 100.0).otherwise(x)
 
 
 def _no_nan(c) -> Column:

@@ -29,8 +29,10 @@ def _col(c) -> Column:
 
 # Spark-side fused form of the URL -> mention -> keycap steps: one left-to-right
 # pass is equivalent because a mention may not run into the start of a URL
-# (which the sequential form would have removed first).
-FUSED_MARKUP_PATTERN = (URL_PATTERN + r"|@(?:(?!https?://|www\.)[\p{L}\p{N}_])+")
+# (which the sequential form would have removed first). A prefix with nothing after it
+# is no URL and doesn't stop the mention.
+URL_START = r"https?://" + NOT_SPACE + r"|www\." + NOT_SPACE
+FUSED_MARKUP_PATTERN = URL_PATTERN + r"|@(?:(?!" + URL_START + r")[\p{L}\p{N}_])+"
 FUSED_MARKUP_KEYCAP_PATTERN = FUSED_MARKUP_PATTERN + "|" + KEYCAP_PATTERN
 ALNUM_RUN = r"[a-zA-Z0-9]+"
 

@@ -49,9 +49,9 @@ def check_sheet_schema(df: DataFrame) -> DataFrame:
 
 
 def existing_label(c) -> F.Column:
-    """A3: a label already given (``0``/``1`` after trimming, or the numbers 0/1)."""
+    """A3: a label already given (``0``/``1`` after trimming, or the numbers 0/1, also 0.0/1.0)."""
     s = _strip(F.col(c).cast("string")) if isinstance(c, str) else _strip(c.cast("string"))
-    return F.when(s.isin("0", "1"), s.cast("int"))
+    return F.when(s.isin("0", "1", "0.0", "1.0"), s.cast("double").cast("int"))
 
 
 def limit_per_annotator(df: DataFrame, n: int, order: str = "post_id") -> DataFrame:
@@ -134,12 +134,13 @@ def parse_label_response(c) -> F.Column:
     failing the job."""
     raw = F.col(c) if isinstance(c, str) else c
     obj = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
-    parsed = F.from_json(F.when(obj != "", obj), "label string, reason string")
+    parsed = F.from_json(F.when(obj != "", obj), "label string, reason string, _corrupt_record string",
+                         {"columnNameOfCorruptRecord": "_corrupt_record"})
     num = parsed["label"].try_cast("double")
     lab = F.when(num == F.floor(num), num.try_cast("int"))
-    valid = lab.isin(0, 1)
+    valid = lab.isin(0, 1) & parsed["_corrupt_record"].isNull()
     error = (F.when(obj == "", F.lit("no json object"))
-             .when(parsed.isNull(), F.lit("invalid json"))
+             .when(parsed.isNull() | parsed["_corrupt_record"].isNotNull(), F.lit("invalid json"))
              .when(~F.coalesce(valid, F.lit(False)), F.lit("invalid label")))
     return F.struct(F.when(valid, lab).alias("label"),
                     F.when(valid, F.coalesce(_strip(parsed["reason"]), F.lit(""))).alias("reason"),
@@ -169,13 +170,14 @@ def sheet_alignment(long: DataFrame, n_annotators: int = len(ANNOTATORS)) -> Dat
 # ---------------------------------------------------------------- A9-A12
 
 def majority_vote(long: DataFrame) -> DataFrame:
-    """Votes per post, majority label (``votes_hoax * 2 > n``), ambiguity (not unanimous)."""
+    """Votes per post, majority label (``votes_hoax * 2 > n``; null without any vote),
+    ambiguity (not unanimous)."""
     lab = F.col("label")
     v = long.groupBy("post_id").agg(F.count_if(lab == 1).alias("vote_hoax"),
                                     F.count_if(lab == 0).alias("vote_nonhoax"))
     n = F.col("vote_hoax") + F.col("vote_nonhoax")
     return v.withColumns({
-        "label": F.when(F.col("vote_hoax") * 2 > n, 1).otherwise(0),
+        "label": F.when(n > 0, F.when(F.col("vote_hoax") * 2 > n, 1).otherwise(0)),
         "is_ambiguous": (F.col("vote_hoax") > 0) & (F.col("vote_nonhoax") > 0),
     }).select("post_id", "label", "is_ambiguous", "vote_hoax", "vote_nonhoax")
 
@@ -183,13 +185,15 @@ def majority_vote(long: DataFrame) -> DataFrame:
 def fleiss_kappa(long: DataFrame, item: str = "post_id", category: str = "label") -> DataFrame:
     """A10: Fleiss' kappa for any number of categories, as a 1-row table.
 
+    Agreement needs two ratings, so items with fewer are left out of every term.
     Two partial aggregations ((item, category) counts, then per item) and a
     category total table; the chance agreement is 1 -> kappa 1. The number of
     raters per item is reported (min/max) instead of being assumed constant."""
     nij = long.filter(F.col(category).isNotNull()).groupBy(item, category).agg(
         F.count(F.lit(1)).cast("double").alias("nij"))
     per_item = nij.groupBy(item).agg(F.sum(F.col("nij") * F.col("nij")).alias("sq"),
-                                     F.sum("nij").alias("ni"))
+                                     F.sum("nij").alias("ni")).filter(F.col("ni") >= 2)
+    nij = nij.join(per_item.select(item), item, "left_semi")
     p_i = (F.col("sq") - F.col("ni")) / (F.col("ni") * (F.col("ni") - 1))
     items = per_item.agg(F.count(F.lit(1)).alias("n_items"), F.avg(p_i).alias("p_bar"),
                          F.min("ni").cast("long").alias("n_raters_min"),
@@ -198,20 +202,21 @@ def fleiss_kappa(long: DataFrame, item: str = "post_id", category: str = "label"
     total = items.select("total").scalar()
     p_e = nij.groupBy(category).agg(F.sum("nij").alias("tj")).select(
         F.sum((F.col("tj") / total) ** 2).alias("p_e")).scalar()
-    kappa = F.when(p_e == 1.0, F.lit(1.0)).otherwise((F.col("p_bar") - p_e) / (1.0 - p_e))
+    kappa = F.when(p_e == 1.0, F.lit(1.0)).otherwise(F.try_divide(F.col("p_bar") - p_e, 1.0 - p_e))
     return items.select(kappa.alias("kappa"), "p_bar", p_e.alias("p_e"), "n_items", "n_raters_min",
                         "n_raters_max")
 
 
 def agreement_gate(long: DataFrame, target: float = KAPPA_TARGET) -> DataFrame:
-    """Kappa against the target and the share of ambiguous items."""
+    """Kappa against the target and the share of ambiguous items, both over the
+    items with at least two ratings."""
     k = fleiss_kappa(long)
-    votes = majority_vote(long)
+    votes = majority_vote(long).filter(F.col("vote_hoax") + F.col("vote_nonhoax") >= 2)
     amb = votes.agg(F.count_if("is_ambiguous").alias("n_ambiguous"), F.count(F.lit(1)).alias("n_items"))
     s = amb.select(F.struct("n_ambiguous", "n_items")).scalar()
     return k.select("kappa", (F.col("kappa") >= target).alias("passed"),
                     s["n_ambiguous"].alias("n_ambiguous"),
-                    (s["n_ambiguous"] * 100.0 / s["n_items"]).alias("pct_ambiguous"))
+                    F.try_divide(s["n_ambiguous"] * 100.0, s["n_items"]).alias("pct_ambiguous"))
 
 
 def reannotation_queue(votes: DataFrame, posts: DataFrame) -> DataFrame:

@@ -14,6 +14,18 @@ from postrisk.functions.text import clean_text, cleans_to_empty, has_content
 ARRIVAL = ("source_rank", "row_ord")
 
 
+#: Arrival order of tables that don't number their rows.
+FALLBACK_ARRIVAL = ("scraped_at_utc", "query", "text")
+
+
+def arrival_order(df: DataFrame) -> list[str]:
+    """Columns that order arrivals: source and row number where the table has them, else
+    source, scrape time, query and text."""
+    if all(c in df.columns for c in ARRIVAL):
+        return list(ARRIVAL)
+    return [c for c in (*ARRIVAL, *FALLBACK_ARRIVAL) if c in df.columns]
+
+
 def union_sources(dfs: Sequence[DataFrame]) -> DataFrame:
     """Union all in the given order; ``source_rank`` records the position."""
     out = None
@@ -27,14 +39,18 @@ def union_sources(dfs: Sequence[DataFrame]) -> DataFrame:
 
 
 def dedupe_keep_first(df: DataFrame, key: str = "post_id",
-                      order_cols: Sequence[str] = ARRIVAL) -> DataFrame:
-    """One row per key, the first in arrival order. Null keys form one group.
+                      order_cols: Sequence[str] | None = None) -> DataFrame:
+    """One row per key, the first in arrival order (``arrival_order`` unless given;
+    remaining ties by the other columns). Null keys form one group.
 
     ``min_by`` over a struct is combined map-side, so a key holding a large share
     of the rows never reaches a single task in full; the result is deterministic
     (unlike ``dropDuplicates``, which keeps an arbitrary row).
     """
     cols = df.columns
+    order_cols = arrival_order(df) if order_cols is None else list(order_cols)
+    if list(order_cols) != list(ARRIVAL):  # not numbered: let equal arrivals differ by their content
+        order_cols = [*order_cols, *[c for c in cols if c not in order_cols and c != key]]
     first = F.min_by(F.struct(*[F.col(c) for c in cols]), F.struct(*[F.col(c) for c in order_cols]))
     return df.groupBy(key).agg(first.alias("_first")).select("_first.*")
 
@@ -92,9 +108,9 @@ def kept_rows(raw: DataFrame, columns=None, strip_keycaps: bool = True,
     ``row_features(raw)`` when the caller already has it."""
     pre = row_features(raw, strip_keycaps) if pre is None else pre
     if columns is not None:
-        keep = ["post_id", *[c for c in ARRIVAL if c in pre.columns], "_reason", *columns]
+        keep = ["post_id", *arrival_order(pre), "_reason", *columns]
         pre = pre.select(*dict.fromkeys(keep))
-    d = dedupe_keep_first(pre) if "source_rank" in pre.columns else pre
+    d = dedupe_keep_first(pre)
     return d.filter(F.col("_reason").isNull()).drop("_reason")
 
 
@@ -112,7 +128,8 @@ AUDIT_STEPS = ("input", "duplicate_id", "missing_value", "empty_after_clean", "b
 def cleaning_audit(raw: DataFrame, strip_keycaps: bool = True) -> DataFrame:
     """Rows in, rows dropped per reason, rows out - from one aggregate."""
     n_in = raw.select(F.count(F.lit(1))).scalar()
-    narrow = row_features(raw, strip_keycaps).select("post_id", *ARRIVAL, "_reason")
+    pre = row_features(raw, strip_keycaps)
+    narrow = pre.select("post_id", *arrival_order(pre), "_reason")
     kept = dedupe_keep_first(narrow)
     r = F.col("_reason")
     agg = kept.agg(

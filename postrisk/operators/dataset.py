@@ -17,8 +17,9 @@ BROADCAST_MAX_TERMS = 2_000_000
 
 def _uniform_hash(key: str, seed: int):
     """Deterministic pseudo-random number in [0, 1) from the key and the seed."""
-    h = F.xxhash64(F.lit(int(seed)), F.col(key).cast("string"))
-    return F.pmod(h, F.lit(1 << 53)).cast("double") / float(1 << 53)
+    # 13 hexadecimal digits of md5: any SQL engine can compute the same split
+    h = F.substring(F.md5(F.concat(F.lit(f"{int(seed)}:"), F.col(key).cast("string"))), 1, 13)
+    return F.conv(h, 16, 10).cast("double") / float(1 << 52)
 
 
 def _largest_remainder(counts: DataFrame, label: str, total_col: str, quota_col: str, out: str) -> DataFrame:

@@ -7,22 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postrisk.constants import MAX_SEQ_LEN, TOP_WORDS
+from postrisk.constants import TOP_WORDS
 from postrisk.functions.text import clean_token, words
 
 Scorer = Callable[[DataFrame], DataFrame]  # adds P_hoax from a ``text`` column
 
 
 def occlusion(df: DataFrame, scorer: Scorer, key: str = "post_id", text_col: str = "text",
-              max_tokens: int = MAX_SEQ_LEN) -> DataFrame:
+              max_tokens: int | None = None) -> DataFrame:
     """Weight of each word = P(text) - P(text without that word), for a whole
     table at once (one scoring pass over all variants; documented as occlusion,
     not Shapley values).
 
-    The model input is the first ``max_tokens`` words (the same truncation the
-    sequence model applies), so each post yields at most ``max_tokens`` variants
-    of at most ``max_tokens`` words: the work is linear in the table size."""
-    base = df.select(key, F.slice(words(text_col), 1, max_tokens).alias("_w"))
+    Every word of the post is explained and scored. A scorer that itself reads only
+    the first words (a sequence model) says so with ``max_tokens``. The variants of a
+    post grow with the square of its length; for linear scorers use
+    ``linear_occlusion``, which needs none."""
+    w = words(text_col)
+    base = df.select(key, (w if max_tokens is None else F.slice(w, 1, max_tokens)).alias("_w"))
     full = base.select(key, F.lit(-1).alias("_pos"), F.array_join("_w", " ").alias(text_col))
     variants = base.select(key, F.posexplode("_w").alias("_pos", "word"), "_w").select(
         key, "_pos", "word",
@@ -33,6 +35,53 @@ def occlusion(df: DataFrame, scorer: Scorer, key: str = "post_id", text_col: str
             .select(key, F.col("_pos").alias("pos"), "word", (F.col("_p_full") - F.col("P_hoax")).alias("weight")))
 
 
+def fit_naive_bayes(train: DataFrame, text_col: str = "text", label: str = "label") -> tuple[DataFrame, DataFrame]:
+    """Multinomial naive Bayes in table form: (term, log_odds) and a 1-row (bias).
+
+    Add-one smoothing for terms and classes. Counts are map-side combined; totals
+    are scalar subqueries."""
+    pos = F.col(label) == 1
+    docs = train.filter(F.col(label).isin(0, 1))
+    n = docs.agg(F.count_if(pos).alias("n1"), F.count_if(~pos).alias("n0"))
+    bias = n.select((F.log(F.col("n1") + 1) - F.log(F.col("n0") + 1)).alias("bias"))
+    terms = (docs.select(label, F.explode(words(text_col)).alias("term")).groupBy("term")
+             .agg(F.count_if(pos).alias("n1"), F.count_if(~pos).alias("n0")))
+    t = terms.agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"), F.count("*").alias("v"))
+    t = t.select(F.struct((F.col("t1") + F.col("v")).alias("d1"), (F.col("t0") + F.col("v")).alias("d0"))).scalar()
+    odds = (F.log((F.col("n1") + 1) / t["d1"]) - F.log((F.col("n0") + 1) / t["d0"]))
+    return terms.select("term", odds.alias("log_odds")), bias
+
+
+def _word_odds(df: DataFrame, odds: DataFrame, key: str, text_col: str) -> DataFrame:
+    toks = df.select(key, F.posexplode(words(text_col)).alias("pos", "word"))
+    return toks.join(odds.withColumnRenamed("term", "word"), "word", "left").withColumn("log_odds", F.coalesce("log_odds", F.lit(0.0)))
+
+
+def sigmoid(x) -> F.Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
+
+
+def linear_scores(df: DataFrame, odds: DataFrame, bias: DataFrame, key: str = "post_id", text_col: str = "text",
+                  out: str = "P_hoax") -> DataFrame:
+    """M5 for a table-form linear model: (key, P) of every post; unknown words count nothing."""
+    b = bias.select("bias").scalar()
+    sums = _word_odds(df, odds, key, text_col).groupBy(key).agg(F.sum("log_odds").alias("_s"))
+    return df.select(key).join(sums, key, "left").select(key, sigmoid(F.coalesce("_s", F.lit(0.0)) + b).alias(out))
+
+
+def linear_occlusion(df: DataFrame, odds: DataFrame, bias: DataFrame, key: str = "post_id",
+                     text_col: str = "text") -> DataFrame:
+    """X1 in closed form for a linear scorer: weight = P(text) - P(text without the word), for every
+    word of every post, with no variants. With a the log odds of the text and d of the word, the
+    difference is s(a) * s(d - a) * (1 - exp(-d)), which keeps its sign where P saturates."""
+    b = bias.select("bias").scalar()
+    toks = _word_odds(df, odds, key, text_col)
+    a = F.sum("log_odds").over(Window.partitionBy(key)) + b
+    d = F.col("log_odds")
+    return toks.withColumn("_a", a).select(
+        key, "pos", "word", (sigmoid(F.col("_a")) * sigmoid(d - F.col("_a")) * (1 - F.exp(-d))).alias("weight"))
+
+
 def positive_class(c) -> F.Column:
     """The class-1 value when attributions are given per class (array), else the value."""
     col = F.col(c) if isinstance(c, str) else c

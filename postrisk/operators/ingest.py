@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from postrisk.constants import RANDOM_KEYWORDS, RANDOM_PER_KEYWORD, TARGETED_RATIO, TOTAL_TARGET
 from postrisk.functions.text import clean_text, words
-from postrisk.operators.cleaning import dedupe_keep_first
+from postrisk.operators.cleaning import arrival_order, dedupe_keep_first
 from postrisk.operators.ranking import top_n_per_group
 
 COLLECTION_KEY = ("collection_type", "post_id")
@@ -23,12 +23,11 @@ def existing_state(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ids, counts
 
 
-def ingest_new(batch: DataFrame, stored: DataFrame, order_cols: Sequence[str] = ("source_rank", "row_ord"),
-               ) -> DataFrame:
+def ingest_new(batch: DataFrame, stored: DataFrame, order_cols: Sequence[str] | None = None) -> DataFrame:
     """Rows of the batch whose id is not stored in the same collection yet;
     inside the batch the first arrival wins. Anti join, then keep-first."""
     new = batch.join(stored.select(*COLLECTION_KEY).distinct(), list(COLLECTION_KEY), "left_anti")
-    order = [c for c in order_cols if c in new.columns]
+    order = arrival_order(new) if order_cols is None else [c for c in order_cols if c in new.columns]
     keyed = new.withColumn("_key", F.struct(*COLLECTION_KEY))
     return dedupe_keep_first(keyed, "_key", order).drop("_key")
 
@@ -94,20 +93,40 @@ def topic_table(spark, phrases: Sequence[tuple[str, str]]) -> DataFrame:
 BROADCAST_MAX_TOPIC_WORDS = 1_000_000
 
 
+def anchored_topics(posts: DataFrame, topics: DataFrame, text_col: str = "text", cleaned: bool = True) -> DataFrame:
+    """(topic, _words, _anchor): each topic with its words and the one that fewest posts have.
+
+    Only posts' words that some topic has are counted, combined map-side, so the
+    count table is as long as the topics' vocabulary."""
+    t = topics.select("topic", F.array_distinct(words(clean_text("phrase"))).alias("_words")).filter(F.size("_words") > 0)
+    terms = t.select(F.explode("_words").alias("_term")).distinct()
+    if terms.count() <= BROADCAST_MAX_TOPIC_WORDS:
+        terms = F.broadcast(terms)
+    body = F.col(text_col) if cleaned else clean_text(text_col)
+    df = (posts.select(F.explode(F.array_distinct(words(body))).alias("_term")).join(terms, "_term")
+          .groupBy("_term").agg(F.count(F.lit(1)).alias("_df")))
+    rank = F.struct(F.coalesce("_df", F.lit(0)).alias("n"), F.col("_term").alias("term"))
+    return (t.select("topic", "_words", F.explode("_words").alias("_term")).join(df, "_term", "left")
+            .groupBy("topic", "_words").agg(F.min(rank)["term"].alias("_anchor")))
+
+
 def tag_topics(posts: DataFrame, topics: DataFrame, text_col: str = "text", key: str = "post_id",
                cleaned: bool = True) -> DataFrame:
     """(post, topic) for every topic whose words all occur in the post
     (case-insensitive, on cleaned words; word order is free).
 
-    Post words are de-duplicated per post and joined with the topic words on the
-    word; only matching words are grouped, map-side combined. The topic word
-    table (configuration-sized) is counted and broadcast below a fixed bound;
-    the post side, which grows with the data, is never the one broadcast."""
-    t = topics.select("topic", F.array_distinct(words(clean_text("phrase"))).alias("_w"))
-    tw = t.select("topic", F.size("_w").alias("_n"), F.explode("_w").alias("_term"))
-    if tw.count() <= BROADCAST_MAX_TOPIC_WORDS:
-        tw = F.broadcast(tw)
+    A post can only hit a topic if it has the topic's rarest word, so posts join the
+    topics on that anchor alone and the other words are tested in the joined row:
+    joined rows stay near the number of anchor hits. The anchor table
+    (configuration-sized) is counted and broadcast below a fixed bound; beyond it
+    post words join narrowly and the posts' words are fetched for the candidates."""
+    anchors = anchored_topics(posts, topics, text_col, cleaned)
     body = F.col(text_col) if cleaned else clean_text(text_col)
-    pw = posts.select(key, F.explode(F.array_distinct(words(body))).alias("_term"))
-    hits = pw.join(tw, "_term").groupBy(key, "topic", "_n").agg(F.count(F.lit(1)).alias("_hits"))
-    return hits.filter(F.col("_hits") == F.col("_n")).select(key, "topic")
+    bag = posts.select(key, F.array_distinct(words(body)).alias("_bag"))
+    holds = F.size(F.array_except("_words", "_bag")) == 0
+    if topics.count() <= BROADCAST_MAX_TOPIC_WORDS:
+        hits = bag.select(key, "_bag", F.explode("_bag").alias("_anchor")).join(F.broadcast(anchors), "_anchor")
+    else:
+        found = bag.select(key, F.explode("_bag").alias("_anchor")).join(anchors, "_anchor")
+        hits = found.join(bag, key)
+    return hits.filter(holds).select(key, "topic").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postrisk.constants import ALL_ZONES, ZONE_GREEN, ZONE_RED, ZONE_YELLOW
-from postrisk.functions.scores import _weights, response, risk_score, zone
+from postrisk.functions.scores import _weights, response, risk_score, round2, zone
 
 QUEUE_COLUMNS = ("text", "P_hoax", "amplification_norm", "velocity_norm", "Risk_Score",
                  "Zona_Triase", "Target_Respons")
@@ -63,19 +63,21 @@ def lookup_text(df: DataFrame, text: str, key: str = "post_id") -> DataFrame:
 def lookup_texts(df: DataFrame, texts: DataFrame, key: str = "post_id") -> DataFrame:
     """Q5 for many texts at once: per text the row first in queue order.
 
-    ``max_by`` is combined map-side, so a text repeated in many rows is fine."""
-    order = F.struct(F.coalesce(-F.col("Risk_Score"), F.lit(float("inf"))).alias("s"),
-                     F.col(key).alias("k"))
-    first = F.min_by(F.struct(*[F.col(c) for c in df.columns]), order)
-    # posts whose text is asked for; the semi-join keeps the grouping on wanted texts only
-    wanted = df.join(texts.select("text").distinct(), "text", "left_semi")
-    return wanted.groupBy("text").agg(first.alias("_r")).select("_r.*")
+    Texts are found by two 64-bit hashes: the winner of each hash pair is chosen on
+    (score, key) alone, combined map-side, and the texts themselves move once, in
+    the join that fetches the winners. Keys are taken to be unique."""
+    h = [F.xxhash64("text").alias("_h1"), F.xxhash64("text", F.lit(1)).alias("_h2")]
+    order = F.struct(F.coalesce(-F.col("Risk_Score"), F.lit(float("inf"))).alias("s"), F.col(key).alias("k"))
+    asked = texts.select(*h).distinct()
+    best = (df.select(*h, order.alias("o")).join(asked, ["_h1", "_h2"], "left_semi")
+            .groupBy("_h1", "_h2").agg(F.min("o")["k"].alias("_best")))
+    return df.join(best.select("_best"), F.col(key) == F.col("_best"), "left_semi")
 
 
 def detail_view(df: DataFrame) -> DataFrame:
     """Q6: display strings (probability as a percentage, norms with 2 decimals)."""
     return df.select(
         "post_id", "text",
-        F.format_string("%.2f%%", F.col("P_hoax") * 100).alias("prob_text"),
-        F.format_string("%.2f", F.col("amplification_norm")).alias("amp_text"),
-        F.format_string("%.2f", F.col("velocity_norm")).alias("vel_text"))
+        F.format_string("%.2f%%", round2(F.col("P_hoax") * 100)).alias("prob_text"),
+        F.format_string("%.2f", round2("amplification_norm")).alias("amp_text"),
+        F.format_string("%.2f", round2("velocity_norm")).alias("vel_text"))

@@ -26,16 +26,25 @@ def sql_has_content(x: str) -> str:
 
 
 def sql_coerce(x: str) -> str:
-    s = f"trim(cast({x} as varchar))"
+    s = f"regexp_replace(cast({x} as varchar), '^\\s+|\\s+$', '', 'g')"
     return (f"greatest(0.0, coalesce(case when regexp_matches({s}, '{NUMBER_PATTERN}') "
             f"then try_cast({s} as double) end, 0.0))")
 
 
 def sql_epoch_us(x: str) -> str:
-    return (f"coalesce(epoch_us(try_cast({x} as timestamptz)), "
+    return (f"coalesce(case when regexp_matches({x}, '(Z|[+-][0-9:]+)$') and not regexp_matches({x}, '^[0-9-]+$') "
+            f"then epoch_us(try_cast({x} as timestamptz)) else epoch_us(try_cast({x} as timestamp)) end, "
             f"epoch_us(try_strptime({x}, '%a %b %d %H:%M:%S %z %Y')))")
 
 
+def sql_round2(x: str) -> str:
+    """Two decimals, half to even, decided by the exact product with 100 (Python's ``round``)."""
+    hi = f"(({x}) * 134217729.0::double - (({x}) * 134217729.0::double - ({x})))"
+    over = f"((({x}) * 100.0::double - floor(({x}) * 100.0::double) - 0.5::double) + (({hi} * 100.0::double - ({x}) * 100.0::double) + (({x}) - {hi}) * 100.0::double))"
+    up = f"(case when {over} = 0 then floor(({x}) * 100.0::double) % 2 <> 0 else {over} > 0 end)"
+    return f"((floor(({x}) * 100.0::double) + case when {up} then 1.0::double else 0.0::double end) / 100.0::double)"
+
+
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -61,10 +70,11 @@ select 0 as source_rank, 'targeted' as collection_type, 0 as extra, b.* from fx_
 union all select 1, 'random', 1, b.* from fx_base b where mod(b.doc_id,5) in (1,2,3,4)""")
 cte("raw_posts", ("fx_copies",), """
 select source_rank, doc_id as row_ord, cast(doc_id as varchar) as post_id, source as query, collection_type,
-  case when source_rank=0 and mod(doc_id,97)=0 then null when mod(doc_id,89)=0 then '   ' else text end as text,
-  case when mod(doc_id,83)=0 then 'abc' else cast(likes+extra as varchar) end as likes,
+  case when source_rank=0 and mod(doc_id,97)=0 then null when mod(doc_id,89)=0 then '   '
+       when mod(doc_id,101)=0 then 'see @https:// now' when mod(doc_id,103)=0 then '@www.' else text end as text,
+  case when mod(doc_id,83)=0 then 'abc' when mod(doc_id,107)=0 then concat(chr(9), '5') else cast(likes+extra as varchar) end as likes,
   cast(reposts as varchar) as reposts, cast(replies as varchar) as replies,
-  case when mod(doc_id,79)=0 then 'garbage' when mod(doc_id,2)=0 then strftime(posted, '%Y-%m-%dT%H:%M:%S+00:00')
+  case when mod(doc_id,79)=0 then 'garbage' when mod(doc_id,109)=0 then strftime(posted, '%Y-%m-%dT%H:%M:%S') when mod(doc_id,2)=0 then strftime(posted, '%Y-%m-%dT%H:%M:%S+00:00')
        else strftime(posted, '%a %b %d %H:%M:%S +0000 %Y') end as timestamp_utc,
   concat(lang,'_',source) as author_username, '2024-02-01T00:00:00+00:00' as scraped_at_utc
 from fx_copies""")
@@ -106,21 +116,17 @@ from feat""")
 cte("scored", ("cleaned",), """
 select c.*, cast(coalesce(l.toxic,0)*300 + mod(cast(c.post_id as bigint)*7919, 700) as double) / 1000 as P_hoax
 from cleaned c left join labels l on l.doc_id = cast(c.post_id as bigint)""")
-cte("triaged", ("scored",), """
-select *,
-  round_even(100.0 * (0.5*P_hoax + 0.25*amplification_norm + 0.25*velocity_norm), 2) as Risk_Score,
-  case when round_even(100.0 * (0.5*P_hoax + 0.25*amplification_norm + 0.25*velocity_norm), 2) >= 70 then 'Merah'
-       when round_even(100.0 * (0.5*P_hoax + 0.25*amplification_norm + 0.25*velocity_norm), 2) >= 40 then 'Kuning'
-       else 'Hijau' end as Zona_Triase,
-  case when round_even(100.0 * (0.5*P_hoax + 0.25*amplification_norm + 0.25*velocity_norm), 2) >= 70
-         then 'Immediate (< 1 jam)'
-       when round_even(100.0 * (0.5*P_hoax + 0.25*amplification_norm + 0.25*velocity_norm), 2) >= 40
-         then 'Priority (< 6 jam)'
+cte("risk", ("scored",), """
+select *, 100.0::double * (0.5::double * P_hoax + 0.25::double * amplification_norm + 0.25::double * velocity_norm) as raw_risk from scored""")
+cte("triaged0", ("risk",), f"select *, {sql_round2('raw_risk')} as Risk_Score from risk")
+cte("triaged", ("triaged0",), """
+select *, case when Risk_Score >= 70 then 'Merah' when Risk_Score >= 40 then 'Kuning' else 'Hijau' end as Zona_Triase,
+  case when Risk_Score >= 70 then 'Immediate (< 1 jam)' when Risk_Score >= 40 then 'Priority (< 6 jam)'
        else 'Routine/Monitoring (< 24 jam)' end as Target_Respons,
   P_hoax * 0.5 * 100 as Kontribusi_Teks,
   amplification_norm * 0.25 * 100 as Kontribusi_Amplifikasi,
   velocity_norm * 0.25 * 100 as Kontribusi_Velositas
-from scored""")
+from triaged0""")
 
 
 def with_ctes(*names: str) -> str:
@@ -154,19 +160,22 @@ def oracle(name: str, ctes: tuple[str, ...], body: str) -> None:
         ORACLE[name] = ("with " + b[1:]) if b.startswith(",") else body
 
 cte("ann", (), """
-select cast(doc_id as varchar) as post_id, 'annotator_1' as annotator, toxic as label from labels
-union all select cast(doc_id as varchar), 'annotator_2', case when mod(doc_id,11)=0 then 1-toxic else toxic end from labels
-union all select cast(doc_id as varchar), 'annotator_3', case when mod(doc_id,7)=0 then 1-toxic else toxic end from labels""")
+select cast(doc_id as varchar) as post_id, annotator, case when mod(doc_id, 41) = 0 then null when flip then 1 - toxic else toxic end as label
+from (select doc_id, toxic, 'annotator_1' as annotator, false as flip from labels
+      union all select doc_id, toxic, 'annotator_2', mod(doc_id, 11) = 0 from labels where mod(doc_id, 37) <> 0
+      union all select doc_id, toxic, 'annotator_3', mod(doc_id, 7) = 0 from labels where mod(doc_id, 37) <> 0)""")
 cte("ann_gaps", ("ann",), """
 select post_id, annotator,
   case when annotator = 'annotator_2' and mod(cast(post_id as bigint), 19) = 0 then null else label end as label
 from ann where not (annotator = 'annotator_3' and mod(cast(post_id as bigint), 17) = 0)""")
 cte("votes", ("ann",), """
-select post_id, case when vote_hoax * 2 > vote_hoax + vote_nonhoax then 1 else 0 end as label,
+select post_id, case when vote_hoax + vote_nonhoax = 0 then null when vote_hoax > vote_nonhoax then 1 else 0 end as label,
   (vote_hoax > 0 and vote_nonhoax > 0) as is_ambiguous, vote_hoax, vote_nonhoax
 from (select post_id, count(*) filter (where label = 1) as vote_hoax,
              count(*) filter (where label = 0) as vote_nonhoax from ann group by post_id)""")
-cte("k_nij", ("ann",), "select post_id, label, cast(count(*) as double) as nij from ann where label is not null group by post_id, label")
+cte("k_nij", ("ann",), """
+select post_id, label, cast(count(*) as double) as nij from ann where label is not null
+  and post_id in (select post_id from ann group by post_id having count(label) >= 2) group by post_id, label""")
 cte("k_items", ("k_nij",), """
 select count(*) as n_items, avg((sq - ni) / (ni * (ni - 1))) as p_bar, cast(min(ni) as bigint) as n_raters_min,
   cast(max(ni) as bigint) as n_raters_max, sum(ni) as total
@@ -178,8 +187,9 @@ select case when p_e = 1 then 1.0 else (p_bar - p_e) / (1 - p_e) end as kappa, p
   n_raters_min, n_raters_max from k_items, k_pe""")
 cte("responses", (), """
 select cast(doc_id as varchar) as post_id,
+  case when mod(doc_id, 29) = 0 then 'so {bad} it is' when mod(doc_id, 31) = 0 then 'no object' else
   concat('note {"label": ', cast(case when mod(doc_id, 13) = 0 then 7 else toxic end as varchar),
-         ', "reason": " r', cast(doc_id as varchar), ' "} end') as raw_response from labels""")
+         ', "reason": " r', cast(doc_id as varchar), ' "} end') end as raw_response from labels""")
 
 cte("ldocs", (), """
 select cast(doc_id as varchar) as post_id, toxic as label,

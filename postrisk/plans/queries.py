@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postrisk.functions.text import clean_text
+from postrisk.functions.scores import apply_threshold
+from postrisk.functions.text import clean_text, words
 from postrisk.operators import cleaning, features, triage
-from postrisk.plans.oracle import ORACLE, oracle, r6, sql_clean
+from postrisk.plans.oracle import ORACLE, cte, oracle, r6, sql_clean, sql_round2
 from postrisk.session import read_table
 from postrisk.sources import fixtures
 
@@ -41,7 +42,7 @@ def view(fn):
     """Shared sub-plans are built once per (session, folder), like a temporary view:
     the logical plan is reused, nothing is cached or collected."""
     def wrapped(spark, sf_dir):
-        key = (fn.__name__, id(spark), sf_dir)
+        key = (fn.__name__, spark.sparkContext.applicationId, sf_dir)
         if key not in _VIEWS:
             _VIEWS[key] = fn(spark, sf_dir)
         return _VIEWS[key]
@@ -174,6 +175,18 @@ select post_id, text, {r6('P_hoax')}, {r6('amplification_norm')}, {r6('velocity_
   Zona_Triase, Target_Respons from triaged order by Risk_Score desc, post_id asc limit {QUEUE_K}""")
 
 
+@query("triage_queue_full")
+def q_queue_full(spark, sf_dir):
+    """Q1 as the review screen shows it: every post, with its place in the queue."""
+    q = triage.triage_queue(triaged(spark, sf_dir))
+    return q.select("post_id", "text", r("P_hoax"), "Risk_Score", "Zona_Triase", "Target_Respons")
+
+
+oracle("triage_queue_full", ("triaged",), f"""
+select post_id, text, {r6('P_hoax')}, Risk_Score, Zona_Triase, Target_Respons from triaged
+order by Risk_Score desc, post_id asc""")
+
+
 @query("zone_kpis")
 def q_kpis(spark, sf_dir):
     return triage.zone_kpis(triaged(spark, sf_dir))
@@ -215,9 +228,10 @@ def q_detail(spark, sf_dir):
     return triage.detail_view(triaged(spark, sf_dir)).select("post_id", "prob_text", "amp_text", "vel_text")
 
 
-oracle("detail_format", ("triaged",), """
-select post_id, printf('%.2f%%', P_hoax * 100) as prob_text, printf('%.2f', amplification_norm) as amp_text,
-  printf('%.2f', velocity_norm) as vel_text from triaged""")
+oracle("detail_format", ("triaged",), f"""
+select post_id, printf('%.2f%%', {sql_round2('(P_hoax * 100.0::double)')}) as prob_text,
+  printf('%.2f', {sql_round2('amplification_norm')}) as amp_text,
+  printf('%.2f', {sql_round2('velocity_norm')}) as vel_text from triaged""")
 
 
 def oracle_sql() -> dict[str, str]:
@@ -270,8 +284,9 @@ def q_response(spark, sf_dir):
 
 oracle("response_parse", ("responses",), r"""
 , j as (select post_id, regexp_extract(raw_response, '(?s)\{.*\}', 0) as obj from responses),
-p as (select post_id, obj, try_cast(json_extract_string(obj, '$.label') as double) as num,
-        json_extract_string(obj, '$.reason') as reason from j)
+ok as (select *, case when json_valid(obj) then obj end as good from j),
+p as (select post_id, obj, try_cast(json_extract_string(good, '$.label') as double) as num,
+        json_extract_string(good, '$.reason') as reason from ok)
 select post_id,
   case when num in (0, 1) then cast(num as integer) end as label,
   case when num in (0, 1) then coalesce(regexp_replace(reason, '^[\p{Z}\t-\r\x{1c}-\x{1f}\x{85}]+|[\p{Z}\t-\r\x{1c}-\x{1f}\x{85}]+$', '', 'g'), '') end as reason,
@@ -335,7 +350,7 @@ def q_gate(spark, sf_dir):
 
 
 oracle("agreement_gate", ("kappa", "votes"), f"""
-, a as (select count(*) filter (where is_ambiguous) as n_ambiguous, count(*) as n_items from votes)
+, a as (select count(*) filter (where is_ambiguous) as n_ambiguous, count(*) as n_items from votes where vote_hoax + vote_nonhoax >= 2)
 select {r6('kappa')}, kappa >= 0.6 as passed, n_ambiguous, {r6('n_ambiguous * 100.0 / a.n_items', 'pct_ambiguous')}
 from kappa, a""")
 
@@ -455,12 +470,47 @@ def q_split_class(spark, sf_dir):
 oracle("split_class_sizes", ("q_sizes",), "select split, label, n from q_sizes where n > 0")
 
 
+cte("split_rows", ("ldocs", "q_tv"), f"""
+select post_id, label, case when rk <= n_test then 'test' when rk <= n_test + n_val then 'val' else 'train' end as split from (
+  select l.post_id, l.label, q.n_test, q.n_val, row_number() over (partition by l.label order by
+    cast(('0x' || substr(md5('{dataset.SPLIT_SEED}:' || l.post_id), 1, 13)) as bigint), l.post_id) as rk
+  from ldocs l join q_tv q on l.label = q.label)""")
+
+
+@query("split_rows")
+def q_split_rows(spark, sf_dir):
+    """D1 row by row: which post goes to which split."""
+    return split_docs(spark, sf_dir).select("post_id", "label", "split")
+
+
+oracle("split_rows", ("split_rows",), "select post_id, label, split from split_rows")
+
+
+def leaky_split(spark, sf_dir):
+    """The split with every 20th post copied into the test part."""
+    s = split_docs(spark, sf_dir).select("post_id", "split")
+    return s.unionByName(s.filter(F.col("post_id").cast("long") % 20 == 0).withColumn("split", F.lit("test")))
+
+
 @query("split_leakage")
 def q_leakage(spark, sf_dir):
-    return dataset.split_leakage(split_docs(spark, sf_dir))
+    """D3 over a split with planted leaks: the planted posts that aren't in the test part anyway."""
+    return dataset.split_leakage(leaky_split(spark, sf_dir))
+
 
+oracle("split_leakage", ("split_rows",), """
+select post_id, cast(2 as bigint) as n_splits from split_rows where mod(cast(post_id as bigint), 20) = 0 and split <> 'test'""")
 
-oracle("split_leakage", (), "select cast(null as varchar) as post_id, cast(null as bigint) as n_splits where false")
+
+@query("split_leakage_none")
+def q_no_leakage(spark, sf_dir):
+    """D3 over the split itself: its rows, with the number of keys in two splits (must be 0)."""
+    s = split_docs(spark, sf_dir)
+    bad = dataset.split_leakage(s).select(F.count(F.lit(1))).scalar()
+    return s.agg(F.count(F.lit(1)).alias("n")).select("n", bad.alias("n_leaks"))
+
+
+oracle("split_leakage_none", ("ldocs",), "select count(*) as n, cast(0 as bigint) as n_leaks from ldocs")
 
 
 @query("class_weights")
@@ -599,7 +649,7 @@ select c.model, {sql_metrics()}, round_even(ap.pr_auc, 4) as pr_auc from c join
 from postrisk.constants import RANDOM_KEYWORDS, TARGETED_TOPICS  # noqa: E402
 from postrisk.operators import ingest  # noqa: E402
 
-QUOTA_TOTALS = {"targeted": ingest.allocate_targets()["targeted"], "random": 300}
+QUOTA_TOTALS = ingest.allocate_targets()
 
 
 @query("existing_state")
@@ -723,18 +773,136 @@ def train_test(spark, sf_dir):
     return split.filter(F.col("split") == "train"), split.filter(F.col("split") == "test")
 
 
+def planted(spark, sf_dir):
+    """Train and test posts with 200 words planted per class, so a right model separates them
+    (a tree that looks at a random share of the features meets some of them at every split)."""
+    word = F.when(F.col("label") == 1, F.lit(" zzplantedhoax")).otherwise(F.lit(" zzplantedtrue"))
+    many = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.concat(word, i.cast("string"))), "")
+    return tuple(d.withColumn("text", F.concat("text", many)) for d in train_test(spark, sf_dir))
+
+
+def _predicted(test, model):
+    scored = models.score(test.select("post_id", "text", "label"), model)
+    return scored.select("post_id", "label", apply_threshold("P_hoax", 0.5).alias("predicted"))
+
+
 @query("rf_scores")
 def q_rf(spark, sf_dir):
-    train, test = train_test(spark, sf_dir)
-    model = models.fit(models.rf_pipeline(n_trees=200, max_depth=30), models.balanced_weights(train))
-    return models.score(test.select("post_id", "text", "label"), model).select("post_id", "label", "P_hoax")
+    train, test = planted(spark, sf_dir)
+    return _predicted(test, models.fit(models.rf_pipeline(n_trees=200, max_depth=30), models.balanced_weights(train)))
 
 
 @query("gbt_scores")
 def q_gbt(spark, sf_dir):
+    train, test = planted(spark, sf_dir)
+    return _predicted(test, models.fit(models.gbt_pipeline(n_rounds=200), models.positive_weights(train)))
+
+
+for _name in ("rf_scores", "gbt_scores"):
+    oracle(_name, ("split_rows",), "select post_id, label, cast(label as integer) as predicted from split_rows where split = 'test'")
+
+
+# naive Bayes in table form: fit on train, apply elsewhere
+cte("sdocs", ("split_rows",), f"""
+select s.post_id, s.label, s.split, {sql_clean('d.text')} as text from split_rows s join documents d on cast(d.doc_id as varchar) = s.post_id""")
+cte("nb_terms", ("sdocs",), """
+select term, count(*) filter (where label = 1) as n1, count(*) filter (where label = 0) as n0
+from (select label, unnest(string_split(text, ' ')) as term from sdocs where split = 'train' and text <> '') group by term""")
+cte("nb_odds", ("nb_terms",), """
+select term, ln((n1 + 1) / (select sum(n1) + count(*) from nb_terms)) - ln((n0 + 1) / (select sum(n0) + count(*) from nb_terms)) as log_odds
+from nb_terms""")
+cte("nb_bias", ("sdocs",), """
+select ln(count(*) filter (where label = 1) + 1) - ln(count(*) filter (where label = 0) + 1) as bias from sdocs where split = 'train'""")
+cte("nb_scored", ("sdocs", "nb_odds", "nb_bias"), """
+select d.post_id, d.label, d.split, 1 / (1 + exp(-(coalesce(s, 0) + (select bias from nb_bias)))) as P_hoax
+from sdocs d left join (select post_id, sum(coalesce(log_odds, 0)) as s from
+  (select post_id, unnest(string_split(text, ' ')) as term from sdocs where text <> '') left join nb_odds using (term) group by post_id) t
+  on d.post_id = t.post_id""")
+
+
+def bayes(spark, sf_dir):
+    train, _ = train_test(spark, sf_dir)
+    return explain.fit_naive_bayes(train)
+
+
+def scored_split(spark, sf_dir, part):
+    docs = split_docs(spark, sf_dir).filter(F.col("split") == part).withColumn("text", clean_text("text"))
+    return docs.join(explain.linear_scores(docs, *bayes(spark, sf_dir)), "post_id")
+
+
+@query("bayes_scores")
+def q_bayes(spark, sf_dir):
+    """M5: a model fitted on the train part scores the test part."""
+    return scored_split(spark, sf_dir, "test").select("post_id", "label", r("P_hoax"))
+
+
+oracle("bayes_scores", ("nb_scored",), f"select post_id, label, {r6('P_hoax')} from nb_scored where split = 'test'")
+
+
+@query("validation_report")
+def q_validation(spark, sf_dir):
+    """M4: accuracy, precision, recall and macro F1 of the fitted model on the validation part."""
+    return evaluation.classification_report(scored_split(spark, sf_dir, "val"), threshold=0.5).drop("confusion_matrix")
+
+
+oracle("validation_report", ("nb_scored",), f"""
+select {sql_metrics()}, tn, fp, fn, tp from (
+  select count(*) filter (where P_hoax >= 0.5 and label = 1) as tp,
+         count(*) filter (where P_hoax >= 0.5 and label = 0) as fp,
+         count(*) filter (where P_hoax < 0.5 and label = 1) as fn,
+         count(*) filter (where P_hoax < 0.5 and label = 0) as tn from nb_scored where split = 'val')""")
+
+cte("nb_posts", ("cleaned", "nb_odds", "nb_bias"), """
+select c.*, 1 / (1 + exp(-(coalesce(s, 0) + (select bias from nb_bias)))) as P_hoax, coalesce(s, 0) + (select bias from nb_bias) as a
+from cleaned c left join (select post_id, sum(coalesce(log_odds, 0)) as s from
+  (select post_id, unnest(string_split(text, ' ')) as term from cleaned where text <> '') left join nb_odds using (term) group by post_id) t
+  on c.post_id = t.post_id""")
+
+
+@query("model_triage")
+def q_model_triage(spark, sf_dir):
+    """Clean, score with a fitted model, triage: the workflow end to end."""
+    posts = cleaned(spark, sf_dir)
+    scored = posts.join(explain.linear_scores(posts, *bayes(spark, sf_dir)), "post_id")
+    return triage.triage(scored).select("post_id", r("P_hoax"), F.round("Risk_Score", 1).alias("risk"))
+
+
+oracle("model_triage", ("nb_posts",), f"""
+select post_id, {r6('P_hoax')}, round({sql_round2('(100.0::double * (0.5::double * P_hoax + 0.25::double * amplification_norm + 0.25::double * velocity_norm))')}, 1) as risk
+from nb_posts""")
+
+
+@query("tfidf_train_test")
+def q_tfidf_apply(spark, sf_dir):
+    """M1 fitted on the train part, applied to the test part."""
     train, test = train_test(spark, sf_dir)
-    model = models.fit(models.gbt_pipeline(n_rounds=200), models.positive_weights(train))
-    return models.score(test.select("post_id", "text", "label"), model).select("post_id", "label", "P_hoax")
+    return models.tfidf_table(test, max_features=TFIDF_TERMS, fit=train).select("post_id", "term", "tf", r("weight"))
+
+
+oracle("tfidf_train_test", ("sdocs",), f"""
+, tok as (select post_id, split, unnest(string_split(text, ' ')) as term from sdocs where text <> ''),
+tf as (select post_id, split, term, count(*) as tf from tok where length(term) >= 2 group by post_id, split, term),
+nd as (select count(*) as n from sdocs where split = 'train'),
+vocab as (select term, ln((nd.n + 1) / (df + 1)) + 1 as idf from (
+  select term, sum(tf) as total, count(*) as df from tf where split = 'train' group by term order by total desc, term asc limit {TFIDF_TERMS}), nd),
+w as (select tf.post_id, tf.term, tf.tf, tf.tf * vocab.idf as w from tf join vocab on tf.term = vocab.term where split = 'test')
+select post_id, term, tf, {r6('w / sqrt(sum(w * w) over (partition by post_id))', 'weight')} from w""")
+
+
+@query("vocabulary_unknown_share")
+def q_unknown(spark, sf_dir):
+    """D5 fitted on train, applied to test: the share of unknown words, by post."""
+    train, test = train_test(spark, sf_dir)
+    vocab = dataset.fit_vocab(train, size=VOCAB_SIZE).select(F.col("term").alias("word"), F.lit(1).alias("known"))
+    toks = test.select("post_id", F.explode(words("text")).alias("word")).join(vocab, "word", "left")
+    return toks.groupBy("post_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("known").isNull()).alias("n_unknown"))
+
+
+oracle("vocabulary_unknown_share", ("sdocs",), f"""
+, tok as (select post_id, split, unnest(string_split(text, ' ')) as term from sdocs where text <> ''),
+vocab as (select term, 1 as known from tok where split = 'train' group by term order by count(*) desc, term asc limit {VOCAB_SIZE})
+select post_id, count(*) as n_tokens, count(*) filter (where known is null) as n_unknown
+from tok left join vocab using (term) where split = 'test' group by post_id""")
 
 
 def _length_model():
@@ -743,7 +911,7 @@ def _length_model():
 
 def _length_predict(model, texts):
     import numpy as np
-    n = texts.fillna("").map(lambda t: len(t.split()) if t else 0).astype("float64")
+    n = texts.fillna("").str.split().str.len().astype("float64")
     return 1.0 / (1.0 + np.exp(-(n / model["scale"] + model["bias"])))
 
 
@@ -814,12 +982,32 @@ select post_id, word, {r6('weight')}, cast(rank as integer) as rank from (
 
 @query("occlusion_explain")
 def q_occlusion(spark, sf_dir):
-    """X1 on the review queue: words of the top posts that push the probability up."""
-    train, _ = train_test(spark, sf_dir)
-    model = models.fit(models.nb_pipeline(), train)
-    queue = triage.triage_queue(triaged(spark, sf_dir), k=QUEUE_K).select("post_id", "text")
-    occ = explain.occlusion(queue, lambda d: models.score(d, model))
-    return explain.top_words(explain.clean_tokens(occ)).select("post_id", "word", "weight", "rank")
+    """X1 over every post and every word: the words that push the fitted model's probability up."""
+    occ = explain.linear_occlusion(cleaned(spark, sf_dir).select("post_id", "text"), *bayes(spark, sf_dir))
+    top = explain.top_words(explain.clean_tokens(occ), tie_digits=6)
+    return top.filter(F.col("weight") >= EXPLAIN_MIN).select("post_id", "word", r("weight"))
+
+
+#: Shown to 6 decimals; smaller weights would all read 0.
+EXPLAIN_MIN = 1e-4
+oracle("occlusion_explain", ("nb_posts",), f"""
+, t as (select post_id, a, unnest(string_split(text, ' ')) as word from nb_posts where text <> ''),
+o as (select post_id, word, sum(1 / (1 + exp(-a)) * (1 / (1 + exp(a - coalesce(log_odds, 0)))) * (1 - exp(-coalesce(log_odds, 0)))) as weight
+      from t left join nb_odds on t.word = nb_odds.term group by post_id, word),
+k as (select *, row_number() over (partition by post_id order by round(weight, 6) desc, word asc) as rk from o where weight > 0)
+select post_id, word, {r6('weight')} from k where rk <= 5 and weight >= 1e-4""")
+
+
+@query("positive_class")
+def q_positive(spark, sf_dir):
+    """Class-1 attributions from per-class pairs."""
+    t = _fixture_weights(spark, sf_dir).withColumn("per_class", F.array(-F.col("weight"), F.col("weight")))
+    return t.select("post_id", "word", explain.positive_class("per_class").alias("weight"))
+
+
+oracle("positive_class", ("cleaned",), """
+, t as (select post_id, unnest(string_split(text, ' ')) as word from cleaned)
+select post_id, word, cast(mod(length(word) * 31 + cast(post_id as bigint), 19) - 9 as double) / 10 as weight from t""")
 
 
 # ---------------------------------------------------------------- I7, R5
@@ -836,7 +1024,7 @@ def q_stream_ingest(spark, sf_dir):
     """Raw posts arrive as files (one per collection); the sink starts with the stored rows."""
     root = scratch_path(spark, "stream-ingest")
     raw = fixtures.raw_posts(spark, sf_dir)
-    raw.repartition(2, "source_rank").write.parquet(f"{root}/source")
+    raw.write.parquet(f"{root}/source")
     seed_sink(fixtures.stored_posts(spark, sf_dir), f"{root}/sink")
     schema = spark.read.parquet(f"{root}/source").schema
     q = streaming.stream_ingest(spark, f"{root}/source", schema, f"{root}/sink", f"{root}/checkpoint",
@@ -854,7 +1042,7 @@ def q_stream_ingest_wm(spark, sf_dir):
     """The ingest stream with watermark-bounded de-duplication on the scrape time."""
     root = scratch_path(spark, "stream-ingest-wm")
     raw = fixtures.raw_posts(spark, sf_dir)
-    raw.repartition(2, "source_rank").write.parquet(f"{root}/source")
+    raw.write.parquet(f"{root}/source")
     seed_sink(fixtures.stored_posts(spark, sf_dir), f"{root}/sink")
     schema = spark.read.parquet(f"{root}/source").schema
     q = streaming.stream_ingest(spark, f"{root}/source", schema, f"{root}/sink", f"{root}/checkpoint",
@@ -937,3 +1125,125 @@ oracle("sheet_limit", ("cleaned",), """
 select post_id, annotator from (
   select c.post_id, a.annotator, row_number() over (partition by a.annotator order by c.post_id) as rn
   from cleaned c, (select unnest(['annotator_1', 'annotator_2', 'annotator_3']) as annotator) a) where rn <= 25""")
+
+
+@query("csv_to_cleaned")
+def q_csv_to_cleaned(spark, sf_dir):
+    """S2 into T1-T12: CSV sources with repeats inside and across them, read and cleaned; all 13 columns.
+
+    Every 10th random row arrives again a day later with another count; only the first counts."""
+    root = scratch_path(spark, "csv-to-cleaned")
+    raw = fixtures.raw_posts(spark, sf_dir)
+    cols = list(pio.RAW_POST_SCHEMA.fieldNames())
+    pio.write_table(raw.filter("source_rank = 0").select(*cols), f"{root}/targeted", fmt="csv")
+    rnd = raw.filter("source_rank = 1").select(*cols)
+    again = rnd.filter(F.col("post_id").cast("long") % 10 == 3).withColumns(
+        {"likes": F.lit("99999"), "scraped_at_utc": F.lit("2024-02-02T00:00:00+00:00")})
+    pio.write_table(again, f"{root}/random", fmt="csv")
+    pio.write_table(rnd, f"{root}/random", mode="append", fmt="csv")
+    back = pio.read_sources(spark, [("targeted", f"{root}/targeted"), ("absent", f"{root}/absent"), ("random", f"{root}/random")])
+    out = features.engagement_features(back)
+    return out.select("post_id", "text", r("likes"), r("reposts"), r("replies"), F.unix_micros("timestamp_utc").alias("posted_us"),
+                      r("hours_since_post"), r("amplification_raw"), r("amplification_norm"), r("velocity_raw"), r("velocity_norm"),
+                      "author_username", F.unix_micros("scraped_at_utc").alias("scraped_us"))
+
+
+oracle("csv_to_cleaned", ("cleaned", "feat"), f"""
+select c.post_id, c.text, {r6('c.likes', 'likes')}, {r6('c.reposts', 'reposts')}, {r6('c.replies', 'replies')}, c.posted_us,
+  {r6('c.hours_since_post', 'hours_since_post')}, {r6('c.amplification_raw', 'amplification_raw')},
+  {r6('c.amplification_norm', 'amplification_norm')}, {r6('c.velocity_raw', 'velocity_raw')}, {r6('c.velocity_norm', 'velocity_norm')},
+  c.author_username, feat.scraped_us from cleaned c join feat on feat.post_id = c.post_id""")
+
+
+@query("source_fallback")
+def q_fallback(spark, sf_dir):
+    """S3: the first source is absent, the second lacks the text column, the third has it under an alias."""
+    root = scratch_path(spark, "fallback")
+    posts = cleaned(spark, sf_dir).select("post_id", F.col("text").alias("text_clean"))
+    pio.write_table(posts.select("post_id"), f"{root}/no_text")
+    pio.write_table(posts, f"{root}/aliased")
+    return pio.resolve_source(spark, [f"{root}/absent", f"{root}/no_text", f"{root}/aliased"])
+
+
+oracle("source_fallback", ("cleaned",), "select post_id, text from cleaned")
+
+
+@query("sheets_if_absent")
+def q_if_absent(spark, sf_dir):
+    """A second creation of the sheets leaves the first ones, with their labels, alone."""
+    path = scratch_path(spark, "sheets") + "/sheets"
+    sheets = fixtures.annotator_labels(spark, sf_dir)
+    pio.write_table(sheets, path, mode="ignore")
+    pio.write_table(sheets.withColumn("label", F.lit(None).cast("int")), path, mode="ignore")
+    return spark.read.parquet(path).select("post_id", "annotator", "label")
+
+
+oracle("sheets_if_absent", ("ann",), "select post_id, annotator, label from ann")
+
+
+@query("split_table")
+def q_split_table(spark, sf_dir):
+    """The split written as one table partitioned by split and read back."""
+    path = scratch_path(spark, "splits") + "/splits"
+    pio.write_splits(split_docs(spark, sf_dir).select("post_id", "label", "split"), path)
+    return spark.read.parquet(path).select("post_id", "label", "split")
+
+
+ORACLE["split_table"] = ORACLE["split_rows"]
+
+
+@query("encoded_table")
+def q_encoded_table(spark, sf_dir):
+    """Encoded sequences written as arrays and read back."""
+    path = scratch_path(spark, "encoded") + "/encoded"
+    posts = cleaned(spark, sf_dir).select("post_id", "text")
+    vocab = dataset.fit_vocab(posts, size=VOCAB_SIZE)
+    pio.write_table(dataset.encode(posts, vocab, max_len=SEQ_LEN, vocab_size=VOCAB_SIZE, label=None), path)
+    return spark.read.parquet(path).select("post_id", "n_tokens", F.array_join("input_ids", " ").alias("input_ids"),
+                                           F.array_join("attention_mask", " ").alias("attention_mask"))
+
+
+ORACLE["encoded_table"] = ORACLE["encode_sequences"]
+
+
+@query("saved_model")
+def q_saved_model(spark, sf_dir):
+    """A fitted pipeline saved, loaded and applied; the planted word decides the class."""
+    path = scratch_path(spark, "model") + "/model"
+    train, test = planted(spark, sf_dir)
+    word = F.regexp_extract("text", "zzplanted(hoax|true)", 0)
+    train, test = (d.withColumn("text", word) for d in (train, test))
+    pio.save_model(models.fit(models.nb_pipeline(), train), path)
+    return _predicted(test, pio.load_model(path))
+
+
+ORACLE["saved_model"] = ORACLE["rf_scores"]
+
+
+@query("comparison_csv")
+def q_comparison_csv(spark, sf_dir):
+    """The model comparison written as CSV and read back."""
+    path = scratch_path(spark, "comparison") + "/comparison"
+    table = q_models(spark, sf_dir)
+    pio.write_report(table, path, fmt="csv")
+    return spark.read.schema(table.schema).option("header", True).csv(path)
+
+
+ORACLE["comparison_csv"] = ORACLE["model_comparison"]
+
+
+@query("target_allocation")
+def q_allocation(spark, sf_dir):
+    """I4: the configured totals dealt to the queries that the posts have."""
+    qs = fixtures.raw_posts(spark, sf_dir).select("collection_type", "query").distinct()
+    total = F.create_map(*[F.lit(x) for kv in ingest.allocate_targets().items() for x in kv])[F.col("collection_type")]
+    return (qs.groupBy("collection_type").agg(F.count(F.lit(1)).alias("n_queries"))
+            .select("collection_type", "n_queries", total.cast("long").alias("total"),
+                    F.greatest(F.lit(1), F.floor(total / F.col("n_queries"))).cast("long").alias("per_query")))
+
+
+oracle("target_allocation", ("raw_posts",), f"""
+select collection_type, n_queries, total, greatest(1, total // n_queries) as per_query from (
+  select collection_type, count(distinct query) as n_queries,
+    cast(case when collection_type = 'targeted' then {QUOTA_TOTALS['targeted']} else {QUOTA_TOTALS['random']} end as bigint) as total
+  from raw_posts group by collection_type)""")

@@ -41,13 +41,16 @@ def get_spark(master: str | None = None, app: str = "postrisk",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when nothing is configured (local tests) a private folder is created.
+    Where nothing is configured a private folder is created for a local master;
+    on a cluster that would be each machine's own disk, so it is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
         d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
         if not d:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             d = tempfile.mkdtemp(prefix="postrisk-ckpt-")
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir() or d
@@ -93,41 +96,7 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-MIN_SPREAD_BYTES = 4 << 20
-
-
-def _path_bytes(spark: SparkSession, path: str) -> int:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(p).getLength())
-
-
-def spread(df: DataFrame, size_bytes: int | None = None) -> DataFrame:
-    """Make sure a scan keeps every core busy.
-
-    Large inputs already come as many splits (one task per split), and this is
-    a no-op for them. A table stored as one big row group is a single split,
-    though, and every row-level step before the first shuffle would then run in
-    one task; such a scan is spread round-robin over the default parallelism."""
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if size_bytes is not None and size_bytes < MIN_SPREAD_BYTES:
-        return df
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want)
-
-
-_SPREAD_DECISION: dict = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet table ``name`` of a folder, spread if it is a single large split
-    (the decision is made once per path and session)."""
-    path = table_path(sf_dir, name)
-    df = spark.read.parquet(path)
-    key = (id(spark), path, spark.sparkContext.defaultParallelism)
-    if key not in _SPREAD_DECISION:
-        _SPREAD_DECISION[key] = spread(df, _path_bytes(spark, path)) is not df
-    return df.repartition(spark.sparkContext.defaultParallelism) if _SPREAD_DECISION[key] else df
+    """Parquet table ``name`` of a folder. Tasks follow the file splits; see
+    ``spark.sql.files.maxPartitionBytes`` and the row-group size of the writer."""
+    return spark.read.parquet(table_path(sf_dir, name))

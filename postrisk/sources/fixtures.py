@@ -20,7 +20,7 @@ def _memo(fn):
     """Same DataFrame object for the same (session, folder): plans are built once
     and identical sub-plans are recognised (exchange reuse) when combined."""
     def wrapped(spark, sf_dir):
-        key = (fn.__name__, id(spark), sf_dir)
+        key = (fn.__name__, spark.sparkContext.applicationId, sf_dir)
         if key not in _MEMO:
             _MEMO[key] = fn(spark, sf_dir)
         return _MEMO[key]
@@ -71,12 +71,13 @@ def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("query"),
         "collection_type",
         F.when((F.col("source_rank") == 0) & (d % 97 == 0), F.lit(None).cast("string"))
-         .when(d % 89 == 0, F.lit("   ")).otherwise(F.col("text")).alias("text"),
-        F.when(d % 83 == 0, F.lit("abc"))
+         .when(d % 89 == 0, F.lit("   ")).when(d % 101 == 0, F.lit("see @https:// now"))
+         .when(d % 103 == 0, F.lit("@www.")).otherwise(F.col("text")).alias("text"),
+        F.when(d % 83 == 0, F.lit("abc")).when(d % 107 == 0, F.lit("\t5"))
          .otherwise((F.col("likes") + F.col("extra")).cast("string")).alias("likes"),
         F.col("reposts").cast("string").alias("reposts"),
         F.col("replies").cast("string").alias("replies"),
-        F.when(d % 79 == 0, F.lit("garbage"))
+        F.when(d % 79 == 0, F.lit("garbage")).when(d % 109 == 0, F.date_format("posted", "yyyy-MM-dd'T'HH:mm:ss"))
          .when(d % 2 == 0, F.date_format("posted", ISO_FORMAT))
          .otherwise(F.date_format("posted", TW_FORMAT)).alias("timestamp_utc"),
         F.concat("lang", F.lit("_"), "source").alias("author_username"),
@@ -111,9 +112,12 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_memo
 def annotator_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long table ``(post_id, annotator, label)``: three annotators for each labelled document."""
+    """Long table ``(post_id, annotator, label)``: three annotators for each labelled
+    document; every 37th post has one rater, every 41st no label at all."""
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
     t, d = F.col("toxic"), F.col("doc_id")
+    none = F.lit(None).cast(labels.schema["toxic"].dataType)
+    t = F.when(d % 41 == 0, none).otherwise(t)  # a post nobody labelled
     a1 = t
     a2 = F.when(d % 11 == 0, 1 - t).otherwise(t)
     a3 = F.when(d % 7 == 0, 1 - t).otherwise(t)
@@ -122,27 +126,33 @@ def annotator_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("annotator_2").alias("annotator"), a2.alias("label")),
         F.struct(F.lit("annotator_3").alias("annotator"), a3.alias("label")),
     )
+    votes = F.when(d % 37 == 0, F.slice(votes, 1, 1)).otherwise(votes)  # a post with one rater
     return (labels.select(d.cast("string").alias("post_id"), F.inline(votes))
             .select("post_id", "annotator", F.col("label").cast("int").alias("label")))
 
 
 @_memo
 def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw labeller replies with prose around the JSON; label 7 (invalid) every 13th."""
+    """Raw labeller replies with prose around the JSON; label 7 (invalid) every 13th, broken
+    JSON every 29th, no object every 31st."""
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
     d = F.col("doc_id")
     lab = F.when(d % 13 == 0, F.lit(7)).otherwise(F.col("toxic"))
     raw = F.concat(F.lit('note {"label": '), lab.cast("string"), F.lit(', "reason": " r'),
                    d.cast("string"), F.lit(' "} end'))
+    raw = F.when(d % 29 == 0, F.lit("so {bad} it is")).when(d % 31 == 0, F.lit("no object")).otherwise(raw)
     return labels.select(d.cast("string").alias("post_id"), raw.alias("raw_response"))
 
 
 @_memo
 def incomplete_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotator sheets with gaps: annotator_3 skips every 17th post and
-    annotator_2 left every 19th label empty (for the sheet checks)."""
+    annotator_2 left every 19th label empty (for the sheet checks); every 43rd label is a
+    number with a fraction, as spreadsheets write it."""
     ann = annotator_labels(spark, sf_dir)
     doc = F.col("post_id").cast("long")
     ann = ann.filter(~((F.col("annotator") == "annotator_3") & (doc % 17 == 0)))
     return ann.withColumn("label", F.when((F.col("annotator") == "annotator_2") & (doc % 19 == 0),
-                                          F.lit(None).cast("int")).otherwise(F.col("label")))
+                                          F.lit(None).cast("string"))
+                          .when(doc % 43 == 0, F.col("label").cast("double").cast("string"))
+                          .otherwise(F.col("label").cast("string")))

@@ -31,6 +31,10 @@ def _sink_rows(spark: SparkSession, sink_path: str, schema: T.StructType, before
     return spark.createDataFrame([], T.StructType(schema.fields + [T.StructField(BATCH_COL, T.LongType())]))
 
 
+def late_path(sink_path: str) -> str:
+    return f"{sink_path.rstrip('/')}_late"
+
+
 def seed_sink(df: DataFrame, sink_path: str) -> None:
     """Store rows collected before the stream started (as batch -1)."""
     df.withColumn(BATCH_COL, F.lit(-1).cast("long")).write.mode("overwrite").option(
@@ -43,27 +47,28 @@ def stream_ingest(spark: SparkSession, source_path: str, schema: T.StructType, s
                   max_files_per_trigger: int | None = None, available_now: bool = True) -> StreamingQuery:
     """Start the ingest stream from ``source_path`` into the parquet ``sink_path``.
 
-    ``watermark=(ts_col, delay)`` adds state-bounded de-duplication before the
-    batch logic (cheap early drop of near repeats, state kept for ``delay`` of
-    event time); the sink anti join stays the exact check for older repeats.
-    A text ``ts_col`` is parsed (ISO or the ``Wed Oct 10 ...`` form) first."""
+    ``watermark=(ts_col, delay)`` marks late rows: those more than ``delay`` behind the
+    newest time stored before their batch. They are ingested like all others - a
+    stateful operator would drop them - and written to the side table
+    ``<sink>_late`` as well, one folder per batch, so they can be counted. A text
+    ``ts_col`` is parsed (ISO or the ``Wed Oct 10 ...`` form) first."""
     reader = spark.readStream.schema(schema).format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     stream = reader.load(source_path)
-    if watermark:
-        ts, delay = watermark
-        if not isinstance(schema[ts].dataType, T.TimestampType):
-            stream = stream.withColumn("_event_ts", parse_ts(ts))
-            ts = "_event_ts"
-        stream = (stream.withWatermark(ts, delay)
-                  .dropDuplicatesWithinWatermark(["collection_type", "post_id"]))
 
     def process(batch: DataFrame, batch_id: int) -> None:
         stored = _sink_rows(batch.sparkSession, sink_path, schema, batch_id)
         new = ops.ingest_new(batch, stored)
+        if watermark:
+            ts, delay = watermark
+            newest = stored.agg(F.max(parse_ts(ts)).alias("newest")).select("newest").scalar()
+            late = batch.filter(parse_ts(ts) < newest - F.expr(f"interval {delay}"))
+            (late.select(*schema.fieldNames()).withColumn(BATCH_COL, F.lit(batch_id).cast("long"))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy(BATCH_COL).parquet(late_path(sink_path)))
         if totals is not None:
             _, counts = ops.existing_state(stored)
             qs = queries if queries is not None else batch.select("collection_type", "query").distinct()
