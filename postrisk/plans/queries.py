@@ -774,11 +774,13 @@ def train_test(spark, sf_dir):
 
 
 def planted(spark, sf_dir):
-    """Train and test posts with 200 words planted per class, so a right model separates them
-    (a tree that looks at a random share of the features meets some of them at every split)."""
+    """Train and test posts with 200 words planted per class, so a right model separates them: a
+    tree that looks at a random share of the features meets some at every split, and as longer
+    posts repeat them, normalised weights don't fade with length."""
     word = F.when(F.col("label") == 1, F.lit(" zzplantedhoax")).otherwise(F.lit(" zzplantedtrue"))
     many = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.concat(word, i.cast("string"))), "")
-    return tuple(d.withColumn("text", F.concat("text", many)) for d in train_test(spark, sf_dir))
+    times = (F.size(words("text")) / 100).cast("int") + 1
+    return tuple(d.withColumn("text", F.concat(F.col("text"), F.repeat(many, times))) for d in train_test(spark, sf_dir))
 
 
 def _predicted(test, model):
