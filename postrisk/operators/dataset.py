@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postrisk.constants import MAX_SEQ_LEN, SPLIT_RATIOS, SPLIT_SEED
 from postrisk.functions.text import words
-from postrisk.operators.ranking import with_group_rank
+from postrisk.operators.ranking import small_side, with_group_rank
 
 PAD_ID = 0
 UNK_ID = 1
@@ -52,7 +52,7 @@ def split_quotas(df: DataFrame, label: str = "label", ratios=SPLIT_RATIOS) -> Da
 
 
 def stratified_split(df: DataFrame, label: str = "label", key: str = "post_id", ratios=SPLIT_RATIOS,
-                     seed: int = SPLIT_SEED, buckets: int = 256) -> DataFrame:
+                     seed: int = SPLIT_SEED, buckets: int | None = None) -> DataFrame:
     """Adds ``split`` (train/val/test) with exact per-class counts.
 
     Rows are ordered inside each class by a seeded hash of the key; the first
@@ -62,7 +62,7 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "post_id",
     ranked = with_group_rank(df.withColumn("_u", _uniform_hash(key, seed)), [label], ["_u", key],
                              buckets=buckets, uniform=True)
     r = F.col("_rank")
-    return (ranked.join(q.select(label, "n_test", "n_val"), label, "left")
+    return (ranked.join(small_side(q.select(label, "n_test", "n_val")), label, "left")
             .withColumn("split", F.when(r <= F.col("n_test"), "test")
                         .when(r <= F.col("n_test") + F.col("n_val"), "val").otherwise("train"))
             .drop("_u", "_rank", "n_test", "n_val"))

@@ -16,8 +16,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
-QUANTILE_BUCKETS = 256  # equal-count ranges: the quantile sketch per group stays small
+DEFAULT_BUCKETS = 16  # ranges of a group at least
+QUANTILE_BUCKETS = None  # equal-count ranges, sized by a count of the table
+BROADCAST_MAX_ROWS = 200_000
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """A table of groups or ranges: broadcast after counting that it is small, so that the rows it
+    meets aren't exchanged on the bare group; a longer one is joined as Spark sees fit."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 ROWS_PER_BUCKET = 1_000_000
@@ -57,7 +64,7 @@ def with_group_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
     hash): ranges are equal-width and their number follows each group's size
     (about ``rows_per_bucket`` rows per range, at least ``buckets``), so a
     huge group is still cut into task-sized pieces. Otherwise ``buckets``
-    equal-count ranges come from ``percentile_approx``.
+    equal-count ranges come from ``percentile_approx`` (``None``: by ``auto_buckets``).
 
     ``limit`` (a column or a number) keeps only rows that can rank within it:
     ranges starting after the cut are dropped before the window runs."""
@@ -70,20 +77,20 @@ def with_group_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
         sizes = df.groupBy(*group_cols).agg(
             F.greatest(F.lit(int(buckets)), F.ceil(F.count(F.lit(1)) / F.lit(float(rows_per_bucket))))
             .cast("int").alias("_nb"))
-        b = df.join(sizes, group_cols, "left").withColumn(
+        b = df.join(small_side(sizes), group_cols, "left").withColumn(
             "_bucket", F.least(F.floor(F.col(key) * F.col("_nb")).cast("int"), F.col("_nb") - 1)).drop("_nb")
     else:
         probs = [i / buckets for i in range(1, buckets)]
         bounds = df.groupBy(*group_cols).agg(
             F.percentile_approx(F.col(key).cast("double"), probs, accuracy).alias("_bounds"))
         # bucket = number of boundaries strictly below the key: equal keys share a bucket
-        b = with_count_below(df.join(bounds, group_cols, "left"), "_bounds", key, buckets - 1,
+        b = with_count_below(df.join(small_side(bounds, BROADCAST_MAX_ROWS // buckets + 1), group_cols, "left"), "_bounds", key, buckets - 1,
                              "_bucket").drop("_bounds")
     counts = b.groupBy(*group_cols, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # small table (groups x buckets): exclusive prefix sum per group
     wp = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(wp), F.lit(0))).drop("_n")
-    ranked = b.join(offsets, [*group_cols, "_bucket"], "left")
+    ranked = b.join(small_side(offsets), [*group_cols, "_bucket"], "left")
     if limit is not None:
         lim = F.col(limit) if isinstance(limit, str) else F.lit(limit)
         ranked = ranked.filter(F.col("_offset") < lim)
@@ -130,7 +137,7 @@ def with_running_sums(df: DataFrame, group_cols: Sequence[str], order_col: str,
     bounds = df.groupBy(*group_cols).agg(F.percentile_approx(key, probs, accuracy).alias("_bounds")) \
         if group_cols else df.agg(F.percentile_approx(key, probs, accuracy).alias("_bounds"))
     if group_cols:
-        b = df.join(bounds, group_cols, "left")
+        b = df.join(small_side(bounds, BROADCAST_MAX_ROWS // buckets + 1), group_cols, "left")
     else:
         b = df.withColumn("_bounds", bounds.select("_bounds").scalar())
     b = with_count_below(b, "_bounds", key, buckets - 1, "_nb")
@@ -144,6 +151,6 @@ def with_running_sums(df: DataFrame, group_cols: Sequence[str], order_col: str,
                               for v in value_cols])
     o = F.col(order_col).desc() if descending else F.col(order_col).asc()
     wr = Window.partitionBy(*group_cols, "_bucket").orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
-    out = b.join(offsets, [*group_cols, "_bucket"], "left")
+    out = b.join(small_side(offsets), [*group_cols, "_bucket"], "left")
     out = out.withColumns({f"cum_{v}": F.col(f"_o_{v}") + F.sum(v).over(wr) for v in value_cols})
     return out.drop("_bucket", *[f"_o_{v}" for v in value_cols])
