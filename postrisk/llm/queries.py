@@ -86,9 +86,9 @@ ORACLE_SQL: dict[str, str] = {
     "op1_html_extract": """
         with a as (select page_id, url, string_split_regex(coalesce(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), ''),
                           '</?(p|h1|br)\\b[^>]*>') as parts from pages),
-        b as (select page_id, url, list_transform(parts, lambda x: trim(regexp_replace(replace(replace(replace(replace(
-                     regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'),
-                     '\\s+', ' ', 'g'))) as parts from a),
+        b as (select page_id, url, list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+                     regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'),
+                     '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))) as parts from a),
         c as (select page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) as text from b)
         select page_id, url, text, cast(length(text) as bigint) as n_chars from c""",
     "op3_decontaminate": r"""
