@@ -9,8 +9,8 @@ The vocabulary file (its path is a parameter) gives the merge ranks and the
 special strings; its normaliser and pre-tokeniser are those of the lower-case
 word-end family: NFC, white space to a space, lower case, then contractions,
 letter runs, single digits and runs of other characters. A file of another kind
-is refused. Every task reads the file once; the counts of recent pre-tokens are
-kept in a memo with a fixed number of entries.
+is refused. A worker parses the file once; the counts of recent pre-tokens, and of recent
+pieces between ASCII white space, are kept in memos with a fixed number of entries.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; very long texts
 are counted whole; repeated rows count alike; extra columns are ignored.
@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 400_000
 
 
 class PairMerger:
@@ -46,23 +46,24 @@ class PairMerger:
         sym = list(symbols)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         rank = self.rank
-        heap = [(r, i, sym[i], sym[i + 1]) for i in range(n - 1) if (r := rank.get((sym[i], sym[i + 1]))) is not None]
+        # an entry is rank * n + place, so the heap orders by rank, then from the left
+        heap = [r * n + i for i, pair in enumerate(zip(sym, sym[1:])) if (r := rank.get(pair)) is not None]
         heapq.heapify(heap)
         merges = 0
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            r, i = divmod(heapq.heappop(heap), n)
             j = right[i]
-            if sym[i] != a or j >= n or sym[j] != b:
+            if j >= n or rank.get((sym[i], sym[j])) != r:
                 continue  # one side has been merged since
             merges += 1
-            sym[i], sym[j] = a + b, None
+            sym[i], sym[j] = sym[i] + sym[j], None
             right[i] = k = right[j]
             if k < n:
                 left[k] = i
                 if (r := rank.get((sym[i], sym[k]))) is not None:
-                    heapq.heappush(heap, (r, i, sym[i], sym[k]))
+                    heapq.heappush(heap, r * n + i)
             if (h := left[i]) >= 0 and (r := rank.get((sym[h], sym[i]))) is not None:
-                heapq.heappush(heap, (r, h, sym[h], sym[i]))
+                heapq.heappush(heap, r * n + h)
         return n - merges
 
 
@@ -76,8 +77,24 @@ def byte_symbols() -> list[str]:
     return [out[b] for b in range(256)]
 
 
-class TokenCounter(dict):
-    """Token count of a text; as a dict, the memo from pre-token to count."""
+class Memo(dict):
+    """Results of ``make`` for recent keys; emptied when it has ``MEMO_ENTRIES``."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        n = self.make(key)
+        if len(self) >= MEMO_ENTRIES:
+            self.clear()
+        if len(key) <= 64:
+            self[key] = n
+        return n
+
+
+class TokenCounter:
+    """Token count of a text. No pre-token holds white space, so a text is cut at ASCII white space first."""
 
     def __init__(self, spec: dict):
         model, norm, pre = spec["model"], spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
@@ -96,28 +113,42 @@ class TokenCounter(dict):
         # \s of the file's pattern language is the White_Space property
         self.find = regex.compile(splits[0]["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}"), regex.V0).findall
         special = [t["content"] for t in spec.get("added_tokens", [])]
+        if any(c.isspace() for t in special for c in t):
+            raise ValueError("special strings with white space are not supported")
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
 
-    def __missing__(self, token: str) -> int:
+        self.tokens, self.pieces = Memo(self._pre_token), Memo(self._piece)
+
+    def _pre_token(self, token: str) -> int:
         symbols = [self.byte[b] for b in token.encode()]
         symbols[-1] += self.suffix
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        n = self.merger.count(symbols)
-        if len(token) <= 64:
-            self[token] = n
-        return n
+        return self.merger.count(symbols)
 
-    def plain(self, text: str) -> int:
+    def _plain(self, text: str) -> int:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case by character, not by word
-        return sum(map(self.__getitem__, self.find(text.lower())))
+            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")  # lower case by character, not by word
+        return sum(map(self.tokens.__getitem__, self.find(text.lower())))
 
-    def count(self, text: str) -> int:
-        if self.special is None or "<|" not in text and not self.special.search(text):
-            return self.plain(text)
+    def _piece(self, piece: bytes) -> int:
+        text = piece.decode()
+        if self.special is None or not self.special.search(text):
+            return self._plain(text)
         parts = self.special.split(text)
-        return len(parts) - 1 + sum(map(self.plain, parts))
+        return len(parts) - 1 + sum(map(self._plain, parts))
+
+    def count(self, text: bytes) -> int:
+        return sum(map(self.pieces.__getitem__, text.split()))
+
+
+_counters: dict[str, TokenCounter] = {}
+
+
+def counter_for(raw: str) -> TokenCounter:
+    """The counter of a vocabulary; a worker process keeps it, and its memo, from task to task."""
+    if raw not in _counters:
+        _counters.clear()
+        _counters[raw] = TokenCounter(json.loads(raw))
+    return _counters[raw]
 
 
 def token_count(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc_id",
@@ -132,9 +163,9 @@ def token_count(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: str
     shared = docs.sparkSession.sparkContext.broadcast(raw)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(json.loads(shared.value))
+        counter = counter_for(shared.value)
         for b in batches:
-            n = [counter.count(t) if t else 0 for t in b.column(2).to_pylist()]
+            n = [counter.count(t) if t else 0 for t in b.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())],
                                              [b.schema.names[0], "n_bytes", "n_tokens"])
     kind = docs.schema[id_col].dataType.simpleString()
