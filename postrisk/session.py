@@ -58,9 +58,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the checkpoint folder, for tables a job writes and re-reads."""
+    """A fresh sub-folder of the checkpoint folder, for tables a job writes and re-reads;
+    ``release`` deletes it."""
     base = checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    MATERIALIZED.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
@@ -72,7 +75,6 @@ def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
     table lives on shared storage, so losing an executor loses nothing."""
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    MATERIALIZED.append(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -80,8 +82,8 @@ MATERIALIZED: list[str] = []
 
 
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
-    """Delete materialized tables (all of this process's by default) once no
-    plan reads them any more."""
+    """Delete scratch folders (all of this process's by default) once no plan
+    reads them any more."""
     todo = list(MATERIALIZED) if paths is None else list(paths)
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
