@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postrisk.session import materialize, table_path
+from postrisk.session import MATERIALIZED, materialize, release, table_path
 
 CHUNK_BYTES = 1 << 20
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -30,7 +30,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def write_cut(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared checkpoint folder and read it back (cuts lineage)."""
-    return materialize(df, f"llm-{name}")
+    out = materialize(df, f"llm-{name}")
+    out._scratch = MATERIALIZED[-1]
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of ``write_cut`` that no later plan reads."""
+    for t in tables:
+        release(t.sparkSession, [t._scratch])
 
 
 def byte_table(members: bytes | str) -> np.ndarray:
@@ -168,6 +176,18 @@ def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     return np.cumsum(d[:n]) > 0
 
 
+def hash_sample(keys: DataFrame, n: int, column: str) -> DataFrame:
+    """The first ``n`` rows of a table of distinct keys in the order of their hashes.
+
+    A count sets a threshold that about ``4 n`` hashes pass, so the tasks together send
+    that many rows to the final sort, however long the table is."""
+    h = F.xxhash64(column, F.lit("sample"))
+    total = keys.count()
+    if total > 8 * n:
+        keys = keys.where(h < F.lit(int(4 * n / total * 2 ** 64) - 2 ** 63).cast("long"))
+    return keys.orderBy(h, column).limit(n)
+
+
 # ---- a filter of fixed size ------------------------------------------------
 
 FILTER_BITS = 24
