@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postrisk.llm.char_tagger import Tagger, encode
+from postrisk.llm.common import hash_sample
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, MARGIN = 96, 64, 32
@@ -288,8 +289,12 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, train_windows: int = 1500, text_col: str = "text", steps: int = 240) -> Tagger:
-    """Fit on at most ``train_windows`` different windows of the corpus and as many generated ones."""
-    mine = (docs.where(F.col(text_col).rlike("[0-9@]")).select(text_col).mapInArrow(_labelled, "text string, tags string")
+    """Fit on at most ``train_windows`` different windows of the corpus, from as many texts at most,
+    and as many generated ones."""
+    text = F.xxhash64(F.col(text_col), F.lit("text"))
+    active = docs.where(F.col(text_col).rlike("[0-9@]")).select(text.alias("__text")).distinct()
+    chosen = hash_sample(active, train_windows, "__text")  # at most train_windows rows
+    mine = (docs.join(F.broadcast(chosen), text == F.col("__text")).select(text_col).mapInArrow(_labelled, "text string, tags string")
             .select(F.xxhash64("text").alias("h"), "text", "tags").distinct().orderBy("h", "text", "tags").limit(train_windows).collect())
     rows = [(r.text, [int(c) for c in r.tags]) for r in mine] + generated(train_windows)
     c = np.stack([encode(t, WINDOW) for t, _ in rows])
