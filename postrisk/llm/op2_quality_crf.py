@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postrisk.llm.common import IS_BLANK, Words, byte_table, chunks, covered, grams, prefix_hash, seen_before, \
-    span_hash, within_rows
+from postrisk.llm.common import IS_BLANK, Words, byte_table, chunks, covered, grams, hash_sample, prefix_hash, \
+    seen_before, span_hash, within_rows
 from postrisk.llm.op9_quality_rules import IS_LETTER, IS_SYMBOL, IS_UPPER, line_spans
 
 IS_DIGIT = byte_table("0123456789")
@@ -235,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = 2000, train_line
              .groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("long").alias("label"), F.max(label_col).alias("top"))
              .where("label = top"))
     place = F.pmod(F.xxhash64("__id", F.lit("train")), F.lit(1 << 40))
-    chosen = known.select("__id", "label", place.alias("place")).orderBy("place", "__id").limit(train_docs)
+    chosen = hash_sample(known.select("__id", "label", place.alias("place")), train_docs, "__id")
     rows = (docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("place", F.col(text_col), "label")
             .mapInArrow(_sample_features(train_lines), "place long, label long, x binary, size binary")
             .orderBy("place", "label", F.xxhash64("x")).limit(train_docs).collect())
