@@ -35,10 +35,12 @@ from postrisk.llm.common import write_cut
 WEIGHTS = (5, 2, 1)
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """id, source, size: the words of each whole text."""
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+          row_col: str | None = None) -> DataFrame:
+    """id, source, size: the words of each whole text; with ``row_col`` also a hash of the text and that column."""
     n = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n.alias("size"))
+    own = [F.xxhash64(text_col).alias("tie"), F.col(row_col).cast("long").alias("row")] if row_col else []
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n.alias("size"), *own)
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = 3) -> DataFrame:
@@ -113,19 +115,23 @@ def solve_dual(hist: DataFrame, goal: DataFrame, max_copies: int, iterations: in
 
 def round_block(block: pd.DataFrame) -> pd.DataFrame:
     """Copies of one block: long documents first, each carries the words still owed to the next."""
-    block = block.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
+    own = [c for c in ("tie", "row") if c in block]
+    block = block.sort_values(["size", "doc_id", *own], ascending=[False] + [True] * (1 + len(own)), kind="stable")
     owed, copies = 0.0, []
     for size, rate, most in zip(block["size"], block["rate"], block["most"]):
         owed += size * rate
         c = 0 if size == 0 else int(min(most, max(0, np.floor(owed / size + 0.5))))
         owed -= c * size
         copies.append(c)
-    return block.assign(copies=np.array(copies, np.int64))[["doc_id", "source", "size", "copies"]]
+    return block.assign(copies=np.array(copies, np.int64))[["doc_id", "source", "size", "copies", *own[1:]]]
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = 3, block_rows: int = 256,
         iterations: int = 40, tolerance: float = 1e-6, **columns: str) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken = copies * size."""
+    """doc_id, source, size, source_size, target, copies, taken = copies * size.
+
+    With ``row_col``, a long that tells rows apart, also row: the key of each row's own copies."""
+    own = ["row"] if columns.get("row_col") else []
     kind = docs.schema[columns.get("id_col", "doc_id")].dataType.simpleString()
     sized = write_cut(sizes(docs, **columns), "mix-sizes")
     goal = write_cut(targets(sized, weights, max_copies), "mix-targets")
@@ -140,7 +146,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int =
              .select("x.*", rate.alias("rate"), F.lit(max_copies).alias("most"),
                      F.pmod(F.xxhash64("x.doc_id", F.lit("block")), blocks).alias("block")))
     done = rated.groupBy("source", "block").applyInPandas(
-        round_block, f"doc_id {kind}, source string, size long, copies long")
+        round_block, f"doc_id {kind}, source string, size long, copies long" + ", row long" * len(own))
     return (done.alias("x").join(goal.alias("g"), F.col("x.source").eqNullSafe(F.col("g.source")))
             .select("x.doc_id", "x.source", "x.size", "g.source_size", "g.target", "x.copies",
-                    (F.col("x.copies") * F.col("x.size")).alias("taken")))
+                    (F.col("x.copies") * F.col("x.size")).alias("taken"), *[f"x.{c}" for c in own]))
