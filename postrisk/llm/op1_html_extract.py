@@ -9,6 +9,10 @@ map-side sum, so a host with a third of the pages costs no more than its number
 of different paths. Pass two extracts every page again from the container with
 its host's winning path. A page without it, or where it holds under
 ``MIN_SHARE`` of the text of the page's own best container, uses its own best one.
+The best one is found by score and then widened: to a container around it as long
+as what that adds is mostly unlinked text, so that titles, leads and further
+sections stay with a dominant part. Nothing is widened beyond an article or main;
+only lists, tables, quotes and sections are widened to the body.
 
 A block is the text between the edges of block elements or line breaks;
 character references are decoded, white space becomes one space, empty blocks
@@ -52,6 +56,8 @@ thead tr ul br""".split())
 _CONTAINER = frozenset("article blockquote body center details div dl fieldset figure main ol section table tbody td tr ul".split())
 _NEVER = frozenset("""aside button dialog footer form head header input label menu nav object option select svg audio video canvas
 map optgroup datalist""".split())
+_WHOLE = frozenset("article main body html".split())
+_PARTS = frozenset("blockquote dl details figure ol section table tbody td tr ul".split())
 _SAFE = frozenset(("html", "body", "main"))
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
            "option": ("option",)}
@@ -95,6 +101,7 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[tuple[str, int]] = []
         self.paths: list[str] = []
+        self.tags: list[str] = []
         self.first: list[int] = []
         self.end: list[int] = []
         self.parent: list[int] = []
@@ -129,6 +136,7 @@ class Page:
         if tag in _CONTAINER and not bad and not self._unwanted:
             c = len(self.paths)
             self.paths.append(path)
+            self.tags.append(tag)
             self.first.append(len(self.blocks))
             self.end.append(len(self.blocks))
             self.parent.append(self._inside[-1])
@@ -217,6 +225,24 @@ class Page:
                 c = self.parent[c]
         return out
 
+    def widened(self, c: int) -> int:
+        """The outermost container around ``c`` that adds mostly unlinked text at each step."""
+        size, free = [0], [0]
+        for text, n in self.blocks:
+            size.append(size[-1] + len(text))
+            free.append(free[-1] + n)
+        p = self.parent[c]
+        while p >= 0 and self.tags[c] not in _WHOLE and (self.tags[p] not in ("body", "html") or self.tags[c] in _PARTS):
+            more = [x[self.end[p]] - x[self.first[p]] - x[self.end[c]] + x[self.first[c]] for x in (size, free)]
+            if more[0]:
+                if 2 * more[1] < more[0]:
+                    break
+                c = p
+            elif self.tags[p] in _WHOLE:
+                break
+            p = self.parent[p]
+        return c
+
     def text_of(self, containers: list[int]) -> str:
         """Blocks of the containers in page order; one inside another counts once."""
         out, done = [], 0
@@ -228,14 +254,19 @@ class Page:
 
 
 def votes(page: Page) -> dict[str, float]:
-    """Share of the best score by path, for the containers that come near it."""
+    """Share of the best score by path, for the containers that come near it; 1 for the widened
+    best one, and half for what lies inside that."""
     s = page.scores()
     best = max(s, default=0.0)
     out: dict[str, float] = defaultdict(float)
     if best > 0:
-        for path, x in zip(page.paths, s):
-            if x >= MIN_VOTE * best:
-                out[path] = max(out[path], x / best)
+        top = s.index(best)
+        wide = page.widened(top)
+        inside = range(wide + 1, len(s)) if wide != top else ()
+        for c, (path, x) in enumerate(zip(page.paths, s)):
+            if c == wide or x >= MIN_VOTE * best:
+                within = c in inside and page.end[c] <= page.end[wide] and page.first[c] < page.end[wide]
+                out[path] = max(out[path], 1.0 if c == wide else x / best / (2 if within else 1))
     return out
 
 
@@ -245,7 +276,7 @@ def extract(source: str | None, path: str | None) -> tuple[str, bool]:
         return "", False
     page = Page(source)
     s = page.scores()
-    own = page.text_of([max(range(len(s)), key=lambda c: (s[c], -c))]) if s else page.text_of([]) or "\n".join(t for t, _ in page.blocks)
+    own = page.text_of([page.widened(max(range(len(s)), key=lambda c: (s[c], -c)))]) if s else page.text_of([]) or "\n".join(t for t, _ in page.blocks)
     if path is not None:
         text = page.text_of([c for c, p in enumerate(page.paths) if p == path])
         if text and len(text) >= MIN_SHARE * len(own):

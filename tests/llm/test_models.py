@@ -48,6 +48,24 @@ def test_extraction_of_the_tables_pages(spark):
         assert extract(r.html, None)[0] == "\n".join(p for p in parts if p)
 
 
+@pytest.mark.parametrize("inner, tag", [
+    ("<h1>Title</h1><p>{a}</p><section><p>{b}</p></section><section><p>{c}</p></section>", "article"),
+    ("<h1>Title</h1><div class='body'><p>{a}</p><p>{b}</p><p>{c}</p></div>", "article"),
+    ("<h1>Title</h1><p>{a}</p><ul><li>{b}</li><li>{c}</li></ul>", "div"),
+    ("<h1>Title</h1><p>{a}</p><blockquote><p>{b}</p><p>{c}</p></blockquote>", "body")])
+def test_extraction_keeps_what_surrounds_a_dominant_part(inner, tag):
+    from postrisk.llm.op1_html_extract import Page, votes
+    parts = {"a": "lead " * 40, "b": "long words " * 270, "c": "other words " * 80}
+    links = "<div class='more'><a href='/1'>another page of the site</a> <a href='/2'>one more page</a></div>"
+    page = f"<{tag}>{inner.format(**parts)}</{tag}>"
+    page = f"<html>{page}</html>" if tag == "body" else f"<html><body><div class='page'>{page}{links}</div></body></html>"
+    want = "\n".join(["Title", *[x.strip() for x in parts.values()]])
+    assert extract(page, None)[0] == want
+    v = votes(Page(page))
+    path = max(v, key=lambda p: (v[p], p))
+    assert path.endswith(tag) and extract(page, path) == (want, True)
+
+
 @pytest.mark.parametrize("source", ["<", "<p" * 20000, "<div>" * 20000 + "deep", "<a href='x>y", "<!-- open" * 2000, "<script>never", "</div>" * 20000,
                                     "<b><p>" * 10000, "\x00�&#0;&#1114112;&bogus;", "<td>1<td>2", "<p>a</p></p></body></html>b"])
 def test_broken_pages(source):
