@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from postrisk.llm import op2_quality_crf, op4_pii
 from postrisk.llm.common import read
 from postrisk.llm.op10_substring_dedup import substring_dedup
+from postrisk.llm.op11_lm_score import learn, lm_scores
+from postrisk.llm.op12_conversation_repair import repair
+from postrisk.llm.op13_spelling_groups import spelling_groups
 from postrisk.llm.op1_html_extract import main_text
 from postrisk.llm.op3_decontaminate import decontaminate
 from postrisk.llm.op5_token_count import token_count
@@ -18,11 +21,12 @@ from postrisk.llm.op9_quality_rules import ledger, passes
 
 URL_RULES = ["allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/"]
 TOKEN_FILE = "word_bpe_49k.json"
+SUBWORD_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
-def token_file() -> str:
+def token_file(name: str = TOKEN_FILE) -> str:
     import public_tokenizers
-    return str(public_tokenizers.path(TOKEN_FILE))
+    return str(public_tokenizers.path(name))
 
 
 def items_digest(items=None):
@@ -76,8 +80,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents"), with_text=False)
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return lm_scores(docs, learn(docs, token_file(SUBWORD_FILE)))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(read(spark, sf_dir, "conversations"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op1_html_extract": op1, "op2_quality_crf": op2, "op3_decontaminate": op3, "op4_pii": op4, "op5_token_count": op5, "op6_near_dups": op6, "op7_url_filter": op7,
-           "op8_mixing": op8, "op9_quality_rules": op9, "op10_substring_dedup": op10}
+           "op8_mixing": op8, "op9_quality_rules": op9, "op10_substring_dedup": op10,
+           "op11_lm_score": op11, "op12_conversation_repair": op12, "op13_spelling_groups": op13}
 
 #: DuckDB SQL of the queries that SQL can express. Trained models, entropy balancing and the
 #: vocabulary's merges are tested against brute force and held-out data instead.
