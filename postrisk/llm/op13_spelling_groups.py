@@ -167,10 +167,10 @@ def neighbours(words: DataFrame, levels: int = LEVELS) -> DataFrame:
         ends = short.select(F.col("word").alias("near"), "trie", _prefix(F.length("word")).alias("node"))
         back = F.col("trie") == 2
         turned = [F.when(back, F.reverse(c)).otherwise(F.col(c)).alias(c) for c in ("word", "near")]
-        met = frontier(short, edges, longest + 1).join(ends, "node").select(*turned)
-        # the last symbol left out: the state already stands on its terminal node
-        last = short.where("trie = 1").select("word", F.expr("substring(word, 1, length(word) - 1)").alias("near"))
-        pairs = pairs.unionByName(met).unionByName(last.join(words.select(F.col("word").alias("near")), "near").select("word", "near"))
+        # a last symbol left out: the state already stands on its terminal node
+        last = short.select("word", _prefix(F.length("word") - 1).alias("node"))
+        met = frontier(short, edges, longest + 1).unionByName(last).join(ends, "node").select(*turned)
+        pairs = pairs.unionByName(met)
     return pairs.where(_near("word", "near")).distinct()
 
 
