@@ -1,12 +1,12 @@
 """Operator 13: spelling variants by a relational trie frontier.
 
-The words are a table of trie edges (depth, node, symbol, child), a node being named by the hash of
-its prefix. A frontier of states (word, position, node, edits) is joined with the edges of one depth
+The words are a table of trie edges (depth, node, symbol), a node being named by its prefix, with the
+symbols that leave the child and whether a word ends there. A frontier of states (word, position, node, edits) is joined with the edges of one depth
 after the other. A state without an edit takes every edge of its node: the edge of its own symbol
 leads on, any other is a replaced symbol, and staying at the position is an inserted one; leaving
 the word's symbol out needs no edge. A state with its one edit takes the edge of its symbol only.
 States that stand at the end of their word on a node where a word ends, with one edit, give
-neighbours, which are confirmed on the words themselves, so a clash of hashes adds nothing.
+neighbours.
 
 One edit leaves the first or the second half of a word whole. There are two tries, of the words and
 of the words reversed, and each carries only edits in the second half: the frontier begins at the
@@ -14,7 +14,7 @@ node of the whole half, deep enough that nodes have few edges.
 
 A level is written before the next reads it. The tries hold words of up to ``LEVELS`` code
 points, so there are no more levels than that; longer words meet in a join of their
-deletion variants (a hash for each place), linear in their length, and are confirmed alike.
+deletion variants (a hash for each place), linear in their length, and are confirmed on the words.
 
 The form of a word is its near word of largest count; forms are followed by pointer doubling, whose
 rounds are bounded by the logarithm of the depth, itself bounded by the logarithm of the largest count.
@@ -39,7 +39,19 @@ from postrisk.llm.common import LOWER, write_cut
 LEVELS = 24
 MIN_LENGTH, MIN_COUNT = 5, 3
 PARTIAL_ENTRIES = 300_000
-_RUN = re.compile("[a-zÀ-ÿ]+")
+FORWARD, BACKWARD = ">", "<"
+_RUN = re.compile("[a-z\u00C0-\u00FF]+")
+#: First bytes of UTF-8 characters that are neither ASCII nor U+00C0 to U+00FF.
+_OTHER = re.compile(rb"[\xC2\xC4-\xF4]")
+_SPACED = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in LOWER.tolist())
+
+
+def runs(text: str) -> list[bytes]:
+    """The letter runs of a text, A-Z lower-cased, in UTF-8."""
+    data = text.encode()
+    if _OTHER.search(data):
+        return [r.encode() for r in _RUN.findall(data.translate(LOWER.tobytes()).decode())]
+    return data.translate(_SPACED).split()  # all that isn't ASCII is a letter
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,23 +59,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A run whose hash with its document is divisible by 97 loses one code point."""
     seen: Counter = Counter()
-    lower = LOWER.tobytes()
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
     crc = zlib.crc32
     for b in batches:
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if not text:
                 continue
-            runs = Counter(_RUN.findall(text.encode().translate(lower).decode()))
             head = crc(f"{doc_id}:".encode())
-            for run, n in runs.items():
-                h = crc(run.encode(), head)
+            for run, n in Counter(runs(text)).items():
+                h = crc(run, head)
                 if h % 97 == 0:
-                    k = h % len(run)
-                    run = run[:k] + run[k + 1:]
-                if len(run) >= MIN_LENGTH:
+                    word = run.decode()
+                    k = h % len(word)
+                    run = (word[:k] + word[k + 1:]).encode()
+                if len(run) > 2 * MIN_LENGTH or len(run) >= MIN_LENGTH and (run.isascii() or len(run.decode()) >= MIN_LENGTH):
                     seen[run] += n
             if len(seen) >= PARTIAL_ENTRIES:
                 yield out()
@@ -78,71 +89,71 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
 
 
-def _child(node, symbol) -> F.Column:
-    return F.xxhash64(node, symbol)
-
-
-def _symbols(c) -> F.Column:
-    return F.filter(F.split(c, ""), lambda x: x != "")
-
+def two_tries(words: DataFrame) -> DataFrame:
+    """word, whole: the words, of which the first half stays whole, and reversed, of which the rest does.
 
-def _root() -> F.Column:
-    """Node of the empty prefix: one for each trie."""
-    return F.col("trie").cast("long")
+    A mark before the first symbol keeps the tries apart; it counts as a symbol of the whole part."""
+    half = F.floor(F.length("word") / 2).cast("int")
+    return words.select(F.concat(F.lit(FORWARD), "word").alias("word"), (half + 1).alias("whole")).unionByName(
+        words.select(F.concat(F.lit(BACKWARD), F.reverse("word")).alias("word"), (F.length("word") - half + 1).alias("whole")))
 
 
-def _prefix(n) -> F.Column:
-    """Node of the first n symbols."""
-    return F.aggregate(_symbols(F.substring(F.col("word"), F.lit(1), n)), _root(), _child)
+def trie_edges(words: DataFrame) -> DataFrame:
+    """depth, node, symbol, next (the symbols that leave the child), ends (a word ends at the child): one row for
+    each edge of the trie of ``word``. A node is named by its prefix."""
+    steps = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word"))).alias("depth"))
+    steps = steps.select("depth", F.substring(F.col("word"), F.lit(1), F.col("depth")).alias("node"),
+                         F.substring(F.col("word"), F.col("depth") + 1, F.lit(1)).alias("symbol"))  # no symbol: the word ends
+    steps = write_cut(steps.groupBy("depth", "node", "symbol").agg(F.lit(1).alias("one")).drop("one"), "op13-steps")
+    # a node has at most as many edges as the alphabet has symbols
+    nodes = steps.groupBy(F.col("node").alias("child")).agg(F.array_join(F.array_sort(F.collect_list("symbol")), "").alias("next"),
+                                                            F.max(F.col("symbol") == "").alias("ends"))
+    return (steps.where("symbol <> ''").withColumn("child", F.concat("node", "symbol")).join(nodes, "child").drop("child"))
 
 
-def two_tries(words: DataFrame) -> DataFrame:
-    """trie, word, whole: the words, of which the first half stays whole, and reversed, of which the rest does."""
-    half = F.floor(F.length("word") / 2).cast("int")
-    return words.select(F.lit(1).alias("trie"), "word", half.alias("whole")).unionByName(
-        words.select(F.lit(2).alias("trie"), F.reverse("word").alias("word"), (F.length("word") - half).alias("whole")))
+def _symbol(at) -> F.Column:
+    return F.substring(F.col("word"), at + 1, F.lit(1))
 
 
-def trie_edges(words: DataFrame) -> DataFrame:
-    """depth, node, symbol, child, ends (a word ends at the child): one row for each edge of the tries of (trie, word)."""
-    def step(acc, c):
-        return F.concat(acc, F.array(_child(F.element_at(acc, -1), c)))
-    path = words.select(_symbols("word").alias("s"), F.length("word").alias("len"), "trie", "word").select(
-        "s", "len", F.aggregate("s", F.array(_root()), step).alias("nodes"))
-    edge = path.select("s", "nodes", "len", F.posexplode("s").alias("depth", "symbol")).select(
-        "depth", F.element_at("nodes", F.col("depth") + 1).alias("node"), "symbol",
-        F.element_at("nodes", F.col("depth") + 2).alias("child"), (F.col("depth") + 1 == F.col("len")).alias("ends"))
-    return edge.groupBy("depth", "node", "symbol", "child").agg(F.max("ends").alias("ends"))
+def _goes_on(at) -> F.Column:
+    """Whether a state with its edit can go on from the node that it has reached: the end of the word
+    on a node that ends one, or a next symbol that has an edge."""
+    return F.when(at == F.col("len"), F.col("ends")).otherwise((at < F.col("len")) & F.contains(F.col("next"), _symbol(at)))
 
 
 def frontier(words: DataFrame, edges: DataFrame, levels: int) -> DataFrame:
-    """(word, node): words and the terminal nodes that one edit after their whole part leads to.
+    """(word, near): words and the words that one edit after their whole part leads to.
 
     A state of the frontier at depth d stands on a node of depth d: (word, at, node, edits), ``at`` symbols read.
-    The node of the whole part is known, so a word joins the frontier at that depth."""
-    symbol = F.substring(F.col("word"), F.col("at") + 1, F.lit(1))
-    start = write_cut(words.select("word", F.length("word").alias("len"), F.col("whole").alias("at"), _prefix(F.col("whole")).alias("node"),
-                                   F.lit(0).alias("edits")).sortWithinPartitions("at"), "op13-start")
+    The node of the whole part is known, so a word joins the frontier at that depth. States with their edit that
+    can't go on aren't kept. Of equal edits in a run of one symbol only the last is followed."""
+    at, c, size = F.col("at"), F.col("symbol"), F.col("len")
+    start = write_cut(words.select("word", F.length("word").alias("len"), F.col("whole").alias("at"),
+                                   F.substring(F.col("word"), F.lit(1), F.col("whole")).alias("node")).sortWithinPartitions("at"), "op13-start")
     found, state = [], None
-    for depth in range(1, levels + 1):
-        mine = start.where(F.col("at") == depth)
-        here = mine if state is None else mine.unionByName(state)
-        # a symbol of the word left out: at moves on, the node stays
-        left_out = here.where((F.col("edits") == 0) & (F.col("at") < F.col("len"))).select(
-            "word", "len", (F.col("at") + 1).alias("at"), "node", F.lit(1).alias("edits"))
-        here = here.unionByName(left_out)
-        e = edges.where(F.col("depth") == depth).select(F.col("node").alias("e_node"), F.col("symbol").alias("e_symbol"), "child", "ends")
-        own = F.col("e_symbol") == symbol
-        met = here.join(e, (F.col("node") == F.col("e_node")) & ((F.col("edits") == 0) | own))
-        unread = F.col("at") < F.col("len")
-        moves = F.array_compact(F.array(
-            F.when(unread & own, F.struct((F.col("at") + 1).alias("at"), F.col("edits").alias("edits"))),
-            F.when(unread & ~own & (F.col("edits") == 0), F.struct((F.col("at") + 1).alias("at"), F.lit(1).alias("edits"))),
-            F.when(F.col("edits") == 0, F.struct(F.col("at").alias("at"), F.lit(1).alias("edits")))))
-        after = write_cut(met.select("word", "len", F.col("child").alias("node"), "ends", F.explode(moves).alias("m"))
-                          .select("word", "len", "m.at", "node", "m.edits", "ends"), f"op13-{depth}")
-        found.append(after.where((F.col("edits") == 1) & (F.col("at") == F.col("len")) & F.col("ends")).select("word", "node"))
-        state = after.where((F.col("at") < F.col("len")) | (F.col("edits") == 0)).drop("ends")
+    for depth in range(2, levels + 1):
+        level = edges.where(F.col("depth") == depth).drop("depth")
+        new = start.where(at == depth)
+        exact = new if state is None else new.unionByName(state.where("edits = 0").select("word", "len", "at", "node"))
+        own, inside = c == _symbol(at), at < size
+        changed = ~own | ~inside
+        steps = F.inline(F.array(
+            F.struct((at + 1).alias("at"), F.lit(0).alias("edits"), (own & inside).alias("ok")),
+            # the word's next symbol left out after the step
+            F.struct((at + 2).alias("at"), F.lit(1).alias("edits"),
+                     (own & inside & (at + 1 < size) & (_symbol(at + 1) != _symbol(at + 2)) & _goes_on(at + 2)).alias("ok")),
+            F.struct((at + 1).alias("at"), F.lit(1).alias("edits"), (changed & inside & _goes_on(at + 1)).alias("ok")),  # replaced
+            F.struct(at.alias("at"), F.lit(1).alias("edits"), (changed & _goes_on(at)).alias("ok"))))  # inserted
+        met = exact.join(level, "node").select("word", "len", F.concat("node", "symbol").alias("node"), steps).where("ok").drop("ok")
+        # the first symbol after the whole part left out: the state stays on its node
+        left = new.where(inside).select("word", "len", (at + 1).alias("at"), "node")
+        edited = left if state is None else left.unionByName(state.where("edits = 1").select("word", "len", "at", "node"))
+        moved = (edited.where(inside).withColumn("symbol", _symbol(at)).join(level, ["node", "symbol"]).withColumn("at", at + 1).where(_goes_on(at))
+                 .select("word", "len", F.concat("node", "symbol").alias("node"), "at", F.lit(1).alias("edits")))
+        after = write_cut(met.unionByName(moved), f"op13-{depth}")
+        # on the end of the word a state that was kept stands on a word's node
+        found.append(after.where("edits = 1 and at = len").select("word", F.col("node").alias("near")))
+        state = after.where("edits = 0 or at < len")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -162,16 +173,17 @@ def neighbours(words: DataFrame, levels: int = LEVELS) -> DataFrame:
     long = words.select("word").where(F.length("word") >= levels)
     v = long.mapInArrow(_variants, "word string, variant long")
     pairs = (v.join(v.withColumnsRenamed({"word": "near"}), "variant")
-             .where((F.length("word") > levels) | (F.length("near") > levels)).select("word", "near"))
+             .where((F.length("word") > levels) | (F.length("near") > levels)).select("word", "near").where(_near("word", "near")))
     if longest is not None:
-        ends = short.select(F.col("word").alias("near"), "trie", _prefix(F.length("word")).alias("node"))
-        back = F.col("trie") == 2
-        turned = [F.when(back, F.reverse(c)).otherwise(F.col(c)).alias(c) for c in ("word", "near")]
-        # a last symbol left out: the state already stands on its terminal node
-        last = short.select("word", _prefix(F.length("word") - 1).alias("node"))
-        met = frontier(short, edges, longest + 1).unionByName(last).join(ends, "node").select(*turned)
-        pairs = pairs.unionByName(met)
-    return pairs.where(_near("word", "near")).distinct()
+        # the last symbol left out: the state already stands on its terminal node
+        last = short.select("word", F.expr("substring(word, 1, length(word) - 1)").alias("near")).join(short.select(F.col("word").alias("near")), "near")
+        met = frontier(short, edges, longest + 1).unionByName(last.select("word", "near"))
+
+        def plain(c):
+            body = F.expr(f"substring({c}, 2)")
+            return F.when(F.startswith("word", F.lit(BACKWARD)), F.reverse(body)).otherwise(body).alias(c)
+        pairs = pairs.unionByName(met.select(plain("word"), plain("near")))
+    return pairs.distinct()
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
