@@ -1,7 +1,7 @@
 """Operator 13: spelling variants by a relational trie frontier.
 
-The words are a table of trie edges (depth, node, symbol), a node being named by its prefix, with the
-symbols that leave the child and whether a word ends there. A frontier of states (word, position, node, edits) is joined with the edges of one depth
+The words are a table of trie edges (depth, node, symbol), a node being named by its prefix, with what
+the words of the child go on with. A frontier of states (word, position, node, edits) is joined with the edges of one depth
 after the other. A state without an edit takes every edge of its node: the edge of its own symbol
 leads on, any other is a replaced symbol, and staying at the position is an inserted one; leaving
 the word's symbol out needs no edge. A state with its one edit takes the edge of its symbol only.
@@ -99,16 +99,20 @@ def two_tries(words: DataFrame) -> DataFrame:
 
 
 def trie_edges(words: DataFrame) -> DataFrame:
-    """depth, node, symbol, next (the symbols that leave the child), ends (a word ends at the child): one row for
-    each edge of the trie of ``word``. A node is named by its prefix."""
+    """depth, node, symbol, next: one row for each edge of the trie of ``word``. A node is named by its prefix.
+
+    ``next`` lists what the child's words go on with, each after a bar: their next two symbols, one and ``$`` for
+    a word that ends after it, ``$`` for one that ends at the child."""
     steps = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word"))).alias("depth"))
     steps = steps.select("depth", F.substring(F.col("word"), F.lit(1), F.col("depth")).alias("node"),
-                         F.substring(F.col("word"), F.col("depth") + 1, F.lit(1)).alias("symbol"))  # no symbol: the word ends
+                         F.substring(F.concat("word", F.lit("$")), F.col("depth") + 1, F.lit(1)).alias("symbol"))
     steps = write_cut(steps.groupBy("depth", "node", "symbol").agg(F.lit(1).alias("one")).drop("one"), "op13-steps")
-    # a node has at most as many edges as the alphabet has symbols
-    nodes = steps.groupBy(F.col("node").alias("child")).agg(F.array_join(F.array_sort(F.collect_list("symbol")), "").alias("next"),
-                                                            F.max(F.col("symbol") == "").alias("ends"))
-    return (steps.where("symbol <> ''").withColumn("child", F.concat("node", "symbol")).join(nodes, "child").drop("child"))
+    # a node has at most as many entries as the alphabet has pairs of symbols
+    up = steps.where("depth > 0").select(F.substring(F.col("node"), F.lit(1), F.col("depth") - 1).alias("child"),
+                                         F.concat(F.substring(F.col("node"), F.col("depth"), F.lit(1)), "symbol").alias("gram"))
+    ends = steps.where("symbol = '$'").select(F.col("node").alias("child"), F.lit("$").alias("gram"))
+    nodes = up.unionByName(ends).groupBy("child").agg(F.concat(F.lit("|"), F.array_join(F.array_sort(F.collect_list("gram")), "|")).alias("next"))
+    return steps.where("symbol <> '$'").withColumn("child", F.concat("node", "symbol")).join(nodes, "child").drop("child")
 
 
 def _symbol(at) -> F.Column:
@@ -116,9 +120,9 @@ def _symbol(at) -> F.Column:
 
 
 def _goes_on(at) -> F.Column:
-    """Whether a state with its edit can go on from the node that it has reached: the end of the word
-    on a node that ends one, or a next symbol that has an edge."""
-    return F.when(at == F.col("len"), F.col("ends")).otherwise((at < F.col("len")) & F.contains(F.col("next"), _symbol(at)))
+    """Whether a state with its edit can go on from the node that it has reached: the word's next two symbols, or
+    its end, are among what the node's words go on with."""
+    return (at <= F.col("len")) & F.contains(F.col("next"), F.concat(F.lit("|"), F.substring(F.concat("word", F.lit("$")), at + 1, F.lit(2))))
 
 
 def frontier(words: DataFrame, edges: DataFrame, levels: int) -> DataFrame:
