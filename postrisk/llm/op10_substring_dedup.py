@@ -54,7 +54,6 @@ from postrisk.llm.common import IS_BLANK, Words, _power_tables, chunks, covered,
 
 WINDOW, REACH = 13, 3
 WORDS_PER_PART = 2_000_000
-MAX_PARTS = 1 << 16
 NO_ID = np.iinfo(np.int64).max
 _U = np.uint64
 _TOP = _U(0xFFFFFFFFFFFFFFFF)
@@ -133,7 +132,7 @@ class Parsed:
 
 def _code(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Name range, and 47 further bits. Names only preselect; a clash costs work, never a result."""
-    return (key & _U(MAX_PARTS - 1)) % _U(parts), key >> _U(17)
+    return key % _U(parts), key >> _U(17)
 
 
 def _pack6(x: np.ndarray) -> bytes:
@@ -232,7 +231,7 @@ def _windows(parts: int):
             fp, owner = fp[order], owner[order]
             head = np.concatenate([[True], fp[1:] != fp[:-1]]) if len(fp) else np.zeros(0, bool)
             fp, owner = fp[head], owner[head]
-            for k, at in _by_part((fp & _U(MAX_PARTS - 1)) % _U(parts)):
+            for k, at in _by_part(fp % _U(parts)):
                 who, ref = np.unique(owner[at], return_inverse=True)
                 out["part"].append(k)
                 out["block"].append(t.column("block")[0].as_py())
@@ -309,7 +308,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = write_cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
                        .mapInArrow(_pack_blocks, "block long, n_words long, payload binary"), "sub-blocks")
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
-    parts = min(MAX_PARTS, max(1, math.ceil(total / WORDS_PER_PART)))
+    parts = max(1, math.ceil(total / WORDS_PER_PART))
     packed = blocks.select("block", F.lit(None).cast("int").alias("part"), "payload")
     back = "block long, part int, payload binary"
     shared = write_cut(blocks.select("block", "payload").mapInArrow(_names(parts), "part int, block long, names binary")

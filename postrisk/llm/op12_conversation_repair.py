@@ -355,14 +355,14 @@ def _long(rows: DataFrame, block: int) -> DataFrame:
         return pa.table({"conv_id": t.column("conv_id"), "block": t.column("block"), "enter": way[:-1], "leave": way[1:],
                          "end": [i == n - 1 for i in range(n)], "cost": [int(ahead[0][START])] * n, "illegal": [illegal] * n})
     # one row a block
-    ways = by_block.groupBy("conv_id").applyInArrow(chain, f"conv_id {kind}, block long, enter int, leave int, end boolean, cost long, illegal long")
+    ways = by_block.groupBy("conv_id").applyInArrow(chain, f"conv_id {kind}, block long, enter long, leave long, end boolean, cost long, illegal long")
     ways = write_cut(ways, "op12-ways").withColumnsRenamed({"conv_id": "c2", "block": "b2"})
 
     def write(t: pa.Table) -> pa.Table:
         rows = _block_rows(t)
         enter, leave, end = (t.column(c)[0].as_py() for c in ("enter", "leave", "end"))
         audit = Aligner(rows).solve(enter, leave)[1] + (TAIL[leave][1] if end else "")
-        return pa.table({"conv_id": t.column("conv_id")[:1], "block": t.column("block")[:1], "audit": [audit], "lines": [rebuilt(rows, audit, enter)[0]]})
+        return pa.table({"conv_id": t.column("conv_id")[:1], "block": t.column("block")[:1], "audit": [audit], "lines": pa.array([rebuilt(rows, audit, enter)[0]], pa.list_(pa.string()))})
     done = (flagged.join(ways, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("block") == F.col("b2"))).drop("c2", "b2")
             .groupBy("conv_id", "block").applyInArrow(write, f"conv_id {kind}, block long, audit string, lines array<string>"))
 

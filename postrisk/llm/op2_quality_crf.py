@@ -236,7 +236,8 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = 2000, train_line
              .where("label = top"))
     place = F.pmod(F.xxhash64("__id", F.lit("train")), F.lit(1 << 40))
     chosen = hash_sample(known.select("__id", "label", place.alias("place")), train_docs, "__id")
-    rows = (docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("place", F.col(text_col), "label")
+    texts = docs.select(F.col(id_col).alias("of"), F.col(text_col).alias("text"))  # other columns may have any name
+    rows = (texts.join(F.broadcast(chosen), F.col("of") == F.col("__id")).select("place", "text", "label")
             .mapInArrow(_sample_features(train_lines), "place long, label long, x binary, size binary")
             .orderBy("place", "label", F.xxhash64("x")).limit(train_docs).collect())
     x = np.concatenate([np.zeros((0, FEATURES), np.float32), *[np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in rows]])

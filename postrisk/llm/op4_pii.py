@@ -7,6 +7,10 @@ spellings (numbers without a country code, odd separators) and with numbers that
 are none. It adds spans that don't overlap base ones and that have the digits,
 parts or check sum of their kind.
 
+A base rule takes neighbouring numbers as one run and drops it; such runs are searched again by
+their digit groups (``hidden_spans``), so a card beside another or a phone beside an address is found.
+Redaction goes on until neither the rules nor the tagger find anything in what is left.
+
 Every span holds a digit or an ``@``, so only the stretches within ``MARGIN``
 characters of one are tagged; all other text is outside by construction, not by
 truncation. Stretches are cut into overlapping windows; where windows overlap,
@@ -105,6 +109,43 @@ def plausible(kind: int, s: str) -> bool:
     return 9 <= len(d) <= 15 and 2 <= len(groups) <= 6 and len(groups[-1]) >= 3 and bool(re.fullmatch(r"[+(]?[0-9() ./-]+", s))
 
 
+_GROUPS = re.compile(r"[0-9]+")
+
+
+def hidden_spans(text: str, taken: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Spans inside runs that a base rule takes whole and rejects: neighbouring numbers, or a number beside a known span.
+
+    A rejected run is cut at the ``taken`` spans and then tried from each of its digit groups on, longest first."""
+    out: list[list[tuple[int, int]]] = [[], [], [], []]
+    for kind, rule in ((2, _CARD), (3, _PHONE), (1, _IP)):
+        for m in rule.finditer(text):
+            if m.span() in taken:
+                continue
+            # a run longer than its longest valid span holds it in few consecutive groups, so this is linear
+            groups = [g.span() for g in _GROUPS.finditer(text, *m.span())]
+            k = 0
+            while k < len(groups):
+                a = groups[k][0] - (kind == 3)
+                found = None
+                if kind != 3 or a >= 0 and text[a] == "+":
+                    for j in range(min(len(groups), k + 20) - 1, k - 1, -1):
+                        s = (a, groups[j][1])
+                        d = _digits(text[s[0]:s[1]])
+                        ok = (13 <= len(d) <= 19 and luhn(d) and _CARD.fullmatch(text, *s) if kind == 2
+                              else 9 <= len(d) <= 15 and _PHONE.fullmatch(text, *s) if kind == 3
+                              else j == k + 3 and _IP.fullmatch(text, *s) and _octets(text[s[0]:s[1]]))
+                        if ok and all(s[1] <= x or s[0] >= y for x, y in taken):
+                            found = j, s
+                            break
+                if found:
+                    out[kind].append(found[1])
+                    taken.append(found[1])
+                    k = found[0] + 1
+                else:
+                    k += 1
+    return out
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
     """Maximal stretches within MARGIN characters of a digit or an @."""
     out: list[list[int]] = []
@@ -175,7 +216,7 @@ def find(tagger: Tagger, texts: list[str]) -> list[tuple[list[list[tuple[int, in
     for text, got in zip(texts, tag(tagger, texts)):
         base = base_spans(text)
         taken = sorted(s for spans in base for s in spans)
-        added: list[list[tuple[int, int]]] = [[], [], [], []]
+        added = hidden_spans(text, taken) if _ACTIVE.search(text) else [[], [], [], []]
         for kind, a, b in sorted(got, key=lambda x: x[1]):
             a, b = _trim(text, kind, a, b)
             edge = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
@@ -206,6 +247,21 @@ def redact(text: str, spans: list[list[tuple[int, int]]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def redacted_texts(tagger: Tagger, texts: list[str]) -> list[str]:
+    """Each text without spans: what is left beside a replaced span may be a span itself, so the texts that
+    changed are searched again until none is found. Every round takes a digit or an @ away, so it ends."""
+    out, todo = list(texts), [k for k, t in enumerate(texts) if t and _ACTIVE.search(t)]
+    while todo:
+        again = []
+        for k, (base, added) in zip(todo, find(tagger, [out[k] for k in todo])):
+            if any(base) or any(added):
+                out[k] = redact(out[k], [x + y for x, y in zip(base, added)])
+                if _ACTIVE.search(out[k]):
+                    again.append(k)
+        todo = again
+    return out
+
+
 # ---- training --------------------------------------------------------------
 
 def _number(r: random.Random, n: int) -> str:
@@ -291,10 +347,11 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, train_windows: int = 1500, text_col: str = "text", steps: int = 240) -> Tagger:
     """Fit on at most ``train_windows`` different windows of the corpus, from as many texts at most,
     and as many generated ones."""
-    text = F.xxhash64(F.col(text_col), F.lit("text"))
-    active = docs.where(F.col(text_col).rlike("[0-9@]")).select(text.alias("__text")).distinct()
-    chosen = hash_sample(active, train_windows, "__text")  # at most train_windows rows
-    mine = (docs.join(F.broadcast(chosen), text == F.col("__text")).select(text_col).mapInArrow(_labelled, "text string, tags string")
+    # nothing but the text is read, so other columns may have any name
+    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(text_col), F.lit("text")).alias("key"))
+    active = texts.where(F.col("text").rlike("[0-9@]")).select(F.col("key").alias("chosen")).distinct()
+    chosen = hash_sample(active, train_windows, "chosen")  # at most train_windows rows
+    mine = (texts.join(F.broadcast(chosen), F.col("key") == F.col("chosen")).select("text").mapInArrow(_labelled, "text string, tags string")
             .select(F.xxhash64("text").alias("h"), "text", "tags").distinct().orderBy("h", "text", "tags").limit(train_windows).collect())
     rows = [(r.text, [int(c) for c in r.tags]) for r in mine] + generated(train_windows)
     c = np.stack([encode(t, WINDOW) for t, _ in rows])
@@ -324,7 +381,7 @@ def personal_data(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_
                     pa.array([sum(map(len, added)) for _, added in found], pa.int64())]
             names = [b.schema.names[0], *[f"n_{k}" for k in KINDS], "base", "spans", "n_added"]
             if redacted:
-                cols.append(pa.array([t if t is None else redact(t, s) for t, s in zip(b.column(1).to_pylist(), both)], pa.string()))
+                cols.append(pa.array(redacted_texts(shared.value, b.column(1).to_pylist()), pa.string()))
                 names.append("redacted")
             yield pa.RecordBatch.from_arrays(cols, names)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -341,10 +398,7 @@ def redacted_table(docs: DataFrame, tagger: Tagger, text_col: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(place).to_pylist()
-            busy = [k for k, t in enumerate(texts) if t and _ACTIVE.search(t)]
-            for k, (base, added) in zip(busy, find(shared.value, [texts[k] for k in busy])):
-                texts[k] = redact(texts[k], [x + y for x, y in zip(base, added)])
             cols = list(b.columns)
-            cols[place] = pa.array(texts, b.schema.field(place).type)
+            cols[place] = pa.array(redacted_texts(shared.value, texts), b.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
     return docs.mapInArrow(run, docs.schema)

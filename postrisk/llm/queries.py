@@ -179,3 +179,85 @@ ORACLE_SQL: dict[str, str] = {
         select w.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed,
                sha256(coalesce(t, '')) as kept_sha256 from w left join kept on kept.doc_id = w.doc_id""",
 }
+
+
+def _crc32(text: str) -> str:
+    """DuckDB SQL of the unsigned crc32 of a text; ``tb`` is the list of its 256 table entries."""
+    hexed = f"hex({text})"
+    octets = (f"list_transform(range(0, len({hexed}) // 2), lambda i: (instr('0123456789ABCDEF', substr({hexed}, cast(2 * i + 1 as bigint), 1)) - 1) * 16"
+              f" + instr('0123456789ABCDEF', substr({hexed}, cast(2 * i + 2 as bigint), 1)) - 1)")
+    return (f"xor(list_reduce(list_concat([cast(4294967295 as bigint)], {octets}), lambda c, b: xor(c >> 8, tb[cast((xor(c, b) & 255) + 1 as bigint)])), 4294967295)")
+
+
+_CRC_TABLE = """crc as (select list(t order by i) as tb from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda c, z: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as t from range(256) r(i)))"""
+
+
+def _step(state: str, cost: str, op: str, line: str | None) -> str:
+    """A state (cost, audit, text) after one more edit."""
+    text = f"{state}.t" if line is None else f"{state}.t || chr(10) || {line}"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{op}', 't': {text}}}"
+
+
+def _least(*states: str) -> str:
+    return f"list_sort([{', '.join(states)}])[1]"
+
+
+def _kept(state: str, want: str) -> str:
+    """The row kept or given the wanted role."""
+    name = {"u": "user", "a": "assistant"}[want]
+    cost = f"case when x.f in (1, 2) then 1000000 else 0 end + case when x.f = 3 then 3 else 0 end + case when left(x.role, 1) = '{want}' then 0 else 3 end"
+    return (f"{{'c': {state}.c + {cost}, 'a': {state}.a || case when left(x.role, 1) = '{want}' then 'K' else 'R' end, "
+            f"'t': {state}.t || chr(10) || case when left(x.role, 1) = '{want}' then x.role else '{name}' end || ':' || x.text}}")
+
+
+_SYSTEM = ("{'c': s0.c + case when x.f in (1, 2) or left(x.role, 1) <> 's' then 1000000 when x.f = 3 then 3 else 0 end, "
+           "'a': s0.a || 'K', 't': s0.t || chr(10) || x.role || ':' || x.text}")
+
+ORACLE_SQL["op12_conversation_repair"] = rf"""
+    with recursive {_CRC_TABLE},
+    k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                 {_crc32("(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '))")} % 20 as h from conversations, crc),
+    d as (select conv_id, turn, case when h = 4 then 'user' else role end as role,
+                 case when h = 1 then '' when h = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+                 unnest(case when h = 3 then [1, 2] else [1] end) as copy from k where h <> 0),
+    o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as rn from d),
+    q as (select *, row_number() over (partition by conv_id, role, text order by rn) as nth,
+                 left(lag(role) over (partition by conv_id order by rn), 1) || left(role, 1) as pair, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as e from o),
+    f as (select *, case when e = '' then 1 when nth > 1 then 2 when right(e, 1) not in ('.', '!', '?') then 3 else 0 end as f from q),
+    facts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (f = 1) as blank,
+                     count(*) filter (f = 2) as duplicate, count(*) filter (f = 3) as truncated,
+                     count(*) filter (pair is not null and pair not in ('su', 'ua', 'au')) as illegal,
+                     list({{'role': role, 'text': text, 'f': f}} order by rn) as xs from f group by conv_id),
+    dp as (select conv_id, xs, 0 as i, {{'c': 0, 'a': '', 't': ''}} as s0, {{'c': 1000000, 'a': '', 't': ''}} as s1,
+                  {{'c': 1000000, 'a': '', 't': ''}} as s2, {{'c': 1000000, 'a': '', 't': ''}} as s3 from facts
+           union all
+           select conv_id, xs, i + 1, {_step('s0', '4', 'D', None)}, {_least(_step('s1', '4', 'D', None), _SYSTEM)},
+                  {_least(_step('e2', '4', 'D', None), _kept('s0', 'u'), _kept('s1', 'u'), _kept('e3', 'u'))},
+                  {_least(_step('e3', '4', 'D', None), _kept('e2', 'a'))}
+           from (select *, {_least('s2', *[_step(s, '3', 'I', "'user:'") for s in ('s0', 's1', 's3')])} as e2,
+                        {_least('s3', _step('s2', '3', 'I', "'assistant:'"))} as e3, xs[i + 1] as x from dp where i < len(xs))),
+    done as (select conv_id, {_least('s0', 's3', _step('s2', '3', 'I', "'assistant:'"))} as b from dp where i = len(xs))
+    select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+           coalesce(illegal, 0) as illegal, cast(coalesce(b.c, 0) as bigint) as cost, coalesce(b.a, '') as audit, sha256(coalesce(substr(b.t, 2), '')) as repaired_sha256
+    from (select distinct conv_id from conversations) c left join facts on facts.conv_id is not distinct from c.conv_id
+    left join done on done.conv_id is not distinct from c.conv_id"""
+
+ORACLE_SQL["op13_spelling_groups"] = rf"""
+    with recursive {_CRC_TABLE},
+    runs as (select doc_id, r, count(*) as n from (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                    'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) as r from documents) group by doc_id, r),
+    h as (select r, n, {_crc32("(coalesce(cast(doc_id as varchar), '') || ':' || r)")} as h from runs, crc),
+    made as (select case when h % 97 = 0 then substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) else r end as word, n from h),
+    w as (select word, cast(sum(n) as bigint) as n from made where length(word) >= 5 group by word having sum(n) >= 3),
+    v as (select word, p, substr(word, 1, p - 1) || substr(word, p + 1) as cut from w, unnest(range(1, length(word) + 1)) r(p)),
+    near as (select a.word, b.word as near from v a join v b on a.cut = b.cut and a.p = b.p and a.word <> b.word and length(a.word) = length(b.word)
+             union select v.word, w.word from v join w on v.cut = w.word union select w.word, v.word from v join w on v.cut = w.word),
+    best as (select near.word, count(*) as n_near, max(b.n) as m from near join w b on b.word = near.near group by near.word),
+    form as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when m >= 2 * w.n then m end as form_n,
+                    case when m >= 2 * w.n then (select min(x.near) from near x join w y on y.word = x.near where x.word = w.word and y.n = m) end as form
+             from w left join best on best.word = w.word),
+    walk as (select word, form as root, 1 as k from form where form is not null
+             union all select walk.word, form.form, k + 1 from walk join form on form.word = walk.root where form.form is not null),
+    last as (select word, arg_max(root, k) as root from walk group by word)
+    select form.word, form, coalesce(root, form.word) as root, n, n_near, form_n from form left join last on last.word = form.word"""
