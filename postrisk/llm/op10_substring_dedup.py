@@ -184,14 +184,13 @@ def _names(parts: int):
                     continue
                 row = p.w.row[p.elected]
                 part, code = _code(p.key, parts)
-                full = part << _U(47) | code
-                order = np.lexsort((row, full))
-                full, row = full[order], row[order]
-                head = np.flatnonzero(np.concatenate([[True], full[1:] != full[:-1]]))
-                last = np.concatenate([head[1:], [len(full)]]) - 1
+                order = np.lexsort((row, code, part))
+                part, code, row = part[order], code[order], row[order]
+                head = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (part[1:] != part[:-1])]))
+                last = np.concatenate([head[1:], [len(code)]]) - 1
                 several = (row[last] != row[head]).astype(_U)
-                full = full[head]
-                out = [(g, _pack6((full[k] & _U((1 << 47) - 1)) << _U(1) | several[k])) for g, k in _by_part(full >> _U(47))]
+                code = code[head]
+                out = [(g, _pack6(code[k] << _U(1) | several[k])) for g, k in _by_part(part[head])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([g for g, _ in out], pa.int32()), pa.array([block] * len(out), pa.int64()),
                      pa.array([x for _, x in out], pa.binary())], ["part", "block", "names"])
