@@ -65,10 +65,10 @@ def limit_per_annotator(df: DataFrame, n: int, order: str = "post_id") -> DataFr
 
 # ---------------------------------------------------------------- A4, A5
 
-def build_prompt(text_col) -> F.Column:
-    """The labelling prompt, as a column (system text, guideline, then the post)."""
+def build_prompt(text_col, guideline: str = LABEL_PROMPT_GUIDE) -> F.Column:
+    """The labelling prompt, as a column (answer format, the caller's guideline, then the post)."""
     t = F.col(text_col) if isinstance(text_col, str) else text_col
-    return F.concat(F.lit(LABEL_PROMPT_SYSTEM + "\n\n" + LABEL_PROMPT_GUIDE + "Post:\n"), _strip(t))
+    return F.concat(F.lit(LABEL_PROMPT_SYSTEM + "\n\n" + guideline + "Post:\n"), _strip(t))
 
 
 LabelFn = Callable[[pd.Series, float, int], "tuple[pd.Series, pd.Series]"]
@@ -81,7 +81,7 @@ ANNOTATED_SCHEMA = T.StructType([
 
 
 def annotate(sheets: DataFrame, label_fn: LabelFn,
-             annotators: Sequence[tuple[str, float, int]] = ANNOTATORS) -> DataFrame:
+             annotators: Sequence[tuple[str, float, int]] = ANNOTATORS, guideline: str = LABEL_PROMPT_GUIDE) -> DataFrame:
     """A3/A4: keep labels already present (reason ``existing label``); label the rest
     with ``label_fn(prompts, temperature, seed) -> (labels, reasons)``, called once
     per Arrow batch inside the tasks (no per-row calls, nothing on the driver).
@@ -101,7 +101,7 @@ def annotate(sheets: DataFrame, label_fn: LabelFn,
         "post_id", "annotator", "text", F.col("_given").alias("label"),
         F.lit(EXISTING_LABEL_REASON).alias("auto_reason"))
     todo = base.filter(F.col("_given").isNull()).select(
-        "post_id", "annotator", "text", build_prompt("text").alias("_prompt"),
+        "post_id", "annotator", "text", build_prompt("text", guideline).alias("_prompt"),
         temp.alias("_temperature"), seed.alias("_seed"))
 
     def run(batches):

@@ -82,6 +82,100 @@ def linear_occlusion(df: DataFrame, odds: DataFrame, bias: DataFrame, key: str =
         key, "pos", "word", (sigmoid(F.col("_a")) * sigmoid(d - F.col("_a")) * (1 - F.exp(-d))).alias("weight"))
 
 
+# ---------------------------------------------------------------- Owen values over a tree of spans
+
+OWEN_LEVELS = 4
+
+
+def owen_coefficients(levels: int = OWEN_LEVELS) -> dict[int, dict[int, float]]:
+    """span -> {coalition: factor}: the Owen value of each of ``2**levels`` spans is the sum of factor * value.
+
+    A binary tree joins neighbouring spans. Going down, a node's credit is split between its halves: each gets
+    half its gain with the other half hidden and half its gain with it shown. A coalition is a bit mask of shown spans."""
+    width = 1 << levels
+    out: dict[int, dict[int, float]] = {j: {} for j in range(width)}
+    level = [(0, width, 0, 1.0)]  # first span, spans, shown outside, share
+    while level:
+        below = []
+        for lo, n, shown, share in level:
+            if n == 1:
+                c = out[lo]
+                c[shown | 1 << lo] = c.get(shown | 1 << lo, 0.0) + share
+                c[shown] = c.get(shown, 0.0) - share
+                continue
+            half = n // 2
+            first, second = ((1 << half) - 1) << lo, ((1 << half) - 1) << (lo + half)
+            below += [(lo, half, shown, share / 2), (lo, half, shown | second, share / 2),
+                      (lo + half, half, shown, share / 2), (lo + half, half, shown | first, share / 2)]
+        level = below
+    return out
+
+
+def _span_bound(n, j, levels: int):
+    """First word of span ``j``: spans are as even as whole words allow, the tree is balanced."""
+    return F.floor(n * j / F.lit(float(1 << levels))).cast("int")
+
+
+def _span_credits(values: DataFrame, key: str, levels: int) -> DataFrame:
+    """(key, span, credit) from (key, coalition, P): the factors are a table of fixed size."""
+    table = [(j, m, c) for j, by in owen_coefficients(levels).items() for m, c in by.items() if c]
+    factors = values.sparkSession.createDataFrame(table, "span int, coalition int, factor double")
+    return (values.join(F.broadcast(factors), "coalition").groupBy(key, "span")
+            .agg(F.sum(F.col("factor") * F.col("P_hoax")).alias("credit")))
+
+
+def _word_credits(df: DataFrame, credits: DataFrame, key: str, text_col: str, levels: int) -> DataFrame:
+    """(key, pos, word, weight): a span's credit is shared evenly by its words."""
+    n = F.size("_w")
+    spans = (df.select(key, words(text_col).alias("_w")).select(key, "_w", F.explode(F.sequence(F.lit(0), F.lit((1 << levels) - 1))).alias("span"))
+             .withColumns({"_lo": _span_bound(n, F.col("span"), levels), "_hi": _span_bound(n, F.col("span") + 1, levels)})
+             .where("_hi > _lo").select(key, "span", "_lo", F.slice("_w", F.col("_lo") + 1, F.col("_hi") - F.col("_lo")).alias("_w")))
+    return (spans.join(credits, [key, "span"]).select(key, "_lo", (F.col("credit") / F.size("_w")).alias("weight"), F.posexplode("_w").alias("_i", "word"))
+            .select(key, (F.col("_lo") + F.col("_i")).alias("pos"), "word", "weight"))
+
+
+def owen(df: DataFrame, scorer: Scorer, key: str = "post_id", text_col: str = "text", levels: int = OWEN_LEVELS) -> DataFrame:
+    """Owen values (Shapley values over a tree of word spans) of every word for any scorer.
+
+    A text is cut into ``2**levels`` spans (texts of fewer words: one word each), and every coalition of the tree
+    is a masked text; all of all posts are scored as one table. Their number depends on ``levels`` only, so the
+    scored text grows with the length of a post and not with its square. The weights of a post add
+    up to P(text) - P(empty text). Scores are joined with a table of factors, so nothing is collected."""
+    masks = sorted({m for by in owen_coefficients(levels).values() for m in by})
+    n = F.size("_w")
+    spans = F.transform(F.sequence(F.lit(0), F.lit((1 << levels) - 1)), lambda j: F.slice(
+        F.col("_w"), _span_bound(n, j, levels) + 1, _span_bound(n, j + 1, levels) - _span_bound(n, j, levels)))
+    masked = (df.select(key, words(text_col).alias("_w")).select(key, spans.alias("_s"))
+              .select(key, "_s", F.explode(F.array(*[F.lit(m) for m in masks])).alias("coalition"))
+              .select(key, "coalition", F.array_join(F.flatten(F.filter("_s", lambda _, j: _shown(F.col("coalition"), j))), " ").alias(text_col)))
+    credits = _span_credits(scorer(masked).select(key, "coalition", "P_hoax"), key, levels)
+    return _word_credits(df, credits, key, text_col, levels)
+
+
+def _shown(coalition, j):
+    return F.getbit(coalition, j) == 1
+
+
+def linear_owen(df: DataFrame, odds: DataFrame, bias: DataFrame, key: str = "post_id", text_col: str = "text",
+                levels: int = OWEN_LEVELS) -> DataFrame:
+    """Owen values for a linear scorer: a coalition's score follows from the spans' sums of log odds,
+    so no masked text is made and every word is joined once."""
+    b = bias.select("bias").scalar()
+    masks = sorted({m for by in owen_coefficients(levels).values() for m in by})
+    size = 1 << levels
+    toks = df.select(key, F.size(words(text_col)).alias("_n"), F.posexplode(words(text_col)).alias("pos", "word"))
+    # the span of a word is the last that begins at or before it
+    span = F.ceil((F.col("pos") + 1) * F.lit(float(size)) / F.col("_n")).cast("int") - 1
+    toks = toks.withColumn("span", span).groupBy(key, "span", "word").agg(F.count(F.lit(1)).alias("_times"))
+    sums = (toks.join(odds.withColumnRenamed("term", "word"), "word", "left").groupBy(key)
+            .agg(*[F.sum(F.when(F.col("span") == j, F.col("_times") * F.coalesce("log_odds", F.lit(0.0)))).alias(f"_s{j}") for j in range(size)]))
+    s = F.array(*[F.coalesce(f"_s{j}", F.lit(0.0)) for j in range(size)])
+    total = b + F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), F.lit(0.0), lambda acc, j: acc + F.when(_shown(F.col("coalition"), j), F.get("_s", j)).otherwise(0.0))
+    values = (sums.select(key, s.alias("_s")).select(key, "_s", F.explode(F.array(*[F.lit(m) for m in masks])).alias("coalition"))
+              .select(key, "coalition", sigmoid(total).alias("P_hoax")))
+    return _word_credits(df, _span_credits(values, key, levels), key, text_col, levels)
+
+
 def positive_class(c) -> F.Column:
     """The class-1 value when attributions are given per class (array), else the value."""
     col = F.col(c) if isinstance(c, str) else c

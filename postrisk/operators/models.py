@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from postrisk.constants import N_TREES, SPLIT_SEED, TFIDF_MAX_FEATURES
 from postrisk.functions.text import words
+from postrisk.session import materialize
 
 TOKEN_PATTERN = "[a-z0-9]{2,}"
 BROADCAST_MAX_TERMS = 2_000_000  # words of two or more characters of cleaned text
@@ -100,10 +101,19 @@ MAX_FIT_ROWS = 200_000
 
 
 def fit(pipeline: Pipeline, train: DataFrame, max_rows: int = MAX_FIT_ROWS, key: str = "post_id") -> PipelineModel:
-    """Fit on at most ``max_rows`` labelled rows, the first by a hash of the key: trees of
-    unbounded depth grow with the rows they are fitted on, and they end on the driver."""
-    order = [F.xxhash64(F.col(key).cast("string")), F.col(key)]
-    return pipeline.fit(train.orderBy(*order).limit(int(max_rows)))
+    """Fit every stage on all rows, but tree ensembles on about ``max_rows`` feature rows, a sample by a
+    hash of the key (trees of unbounded depth grow with the rows they see and end on the driver). Vocabulary
+    and idf count every row. Feature rows are written once, so trees read them and not the texts."""
+    *before, last = pipeline.getStages()
+    features = Pipeline(stages=before).fit(train)
+    rows = features.transform(train).select(key, "label", *[c for c in ("weight",) if c in train.columns], last.getFeaturesCol())
+    if not isinstance(last, (RandomForestClassifier, GBTClassifier)):
+        return PipelineModel(stages=[*features.stages, last.fit(rows)])
+    rows = materialize(rows, "features")
+    n = rows.count()
+    if n > max_rows:
+        rows = rows.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
+    return PipelineModel(stages=[*features.stages, last.fit(rows)])
 
 
 def score(df: DataFrame, model: PipelineModel, out: str = "P_hoax") -> DataFrame:

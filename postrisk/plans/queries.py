@@ -938,11 +938,76 @@ def _doc_tokens(spark, sf_dir):
                        F.posexplode(F.split("text", " ")).alias("pos", "word"))
 
 
+from postrisk.operators import subwords  # noqa: E402
+
+
 @query("token_cleanup")
 def q_tokens(spark, sf_dir):
     return explain.clean_tokens(_doc_tokens(spark, sf_dir)).select("post_id", "pos", "word")
 
 
+SUBWORDS = 600  # a small vocabulary, so that words fall into pieces
+
+cte("sub_vocab", ("cleaned",), f"""
+with w as (select word, count(*) as n from (select unnest(string_split(text, ' ')) as word from cleaned where text <> '') where length(word) <= 100 group by word),
+c as (select n, l, case when s > 0 then '##' else '' end || substr(word, s + 1, l) as piece from w, range(100) a(s), range(1, 9) b(l) where s + l <= length(word)),
+p as (select piece, l, sum(n) as n from c group by piece, l)
+select piece, cast(row_number() over (order by l > 1, n * l desc, piece) + 3 as integer) as id from p order by l > 1, n * l desc, piece limit {SUBWORDS - 4}""")
+cte("sub_words", ("cleaned", "sub_vocab"), """
+with recursive w as (select distinct unnest(string_split(text, ' ')) as word from cleaned where text <> ''),
+f as (select word, s, max(l) as l from w, range(100) a(s), range(1, 9) b(l) where s + l <= length(word) and length(word) <= 100
+      and case when s > 0 then '##' else '' end || substr(word, s + 1, l) in (select piece from sub_vocab) group by word, s),
+walk(word, done, ps) as (select word, cast(0 as bigint), cast([] as varchar[]) from w union all
+  select walk.word, walk.done + f.l, list_concat(ps, [case when f.s > 0 then '##' else '' end || substr(walk.word, f.s + 1, f.l)])
+  from walk join f on f.word = walk.word and f.s = walk.done)
+select w.word, coalesce((select ps from walk where walk.word = w.word and walk.done = length(w.word)), ['[UNK]']) as ps from w""")
+
+
+def _subwords(spark, sf_dir):
+    posts = cleaned(spark, sf_dir).select("post_id", "text")
+    return posts, subwords.count_pieces(posts, size=SUBWORDS)
+
+
+@query("subword_vocabulary")
+def q_subword_vocab(spark, sf_dir):
+    return _subwords(spark, sf_dir)[1]
+
+
+oracle("subword_vocabulary", ("sub_vocab",), "select piece, id from sub_vocab")
+
+
+@query("subword_encoding")
+def q_subword_encoding(spark, sf_dir):
+    """Begin mark, longest-match pieces, end mark, padding and mask; pieces of the whole text counted."""
+    e = subwords.encode_subwords(*_subwords(spark, sf_dir), max_len=SEQ_LEN, vocab_size=SUBWORDS)
+    return e.select("post_id", "n_pieces", *[F.array_join(c, " ").alias(c) for c in ("input_ids", "attention_mask")])
+
+
+oracle("subword_encoding", ("cleaned", "sub_vocab", "sub_words"), f"""
+, t as (select post_id, unnest(range(len(string_split(text, ' ')))) as pos, unnest(string_split(text, ' ')) as word from cleaned where text <> ''),
+p as (select post_id, pos, unnest(range(len(ps))) as part, unnest(ps) as piece from t join sub_words using (word)),
+i as (select post_id, row_number() over (partition by post_id order by pos, part) as k, coalesce(id, 1) as id from p left join sub_vocab using (piece)),
+g as (select post_id, count(*) as n_pieces, coalesce(list(id order by k) filter (k <= {SEQ_LEN} - 2), []) as ids from i group by post_id),
+s as (select c.post_id, coalesce(n_pieces, 0) as n_pieces, list_concat(list_concat([2], coalesce(ids, [])), [3]) as q from cleaned c left join g using (post_id))
+select post_id, n_pieces, array_to_string(list_concat(q, list_transform(range({SEQ_LEN} - len(q)), lambda x: 0)), ' ') as input_ids,
+       array_to_string(list_transform(range({SEQ_LEN}), lambda x: case when x < len(q) then 1 else 0 end), ' ') as attention_mask from s""")
+
+
+@query("subword_tokens")
+def q_subword_tokens(spark, sf_dir):
+    """X3 on the pieces of the subword encoding: marks dropped, ``##`` removed."""
+    posts, vocab = _subwords(spark, sf_dir)
+    pieces = subwords.subword_pieces(posts, vocab, vocab_size=SUBWORDS)
+    return explain.clean_tokens(pieces, "piece").select("post_id", "pos", "part", "piece")
+
+
+oracle("subword_tokens", ("cleaned", "sub_words"), """
+, t as (select post_id, unnest(range(len(string_split(text, ' ')))) as pos, unnest(string_split(text, ' ')) as word from cleaned where text <> ''),
+p as (select post_id, pos, unnest(range(len(ps))) as part, unnest(ps) as piece from t join sub_words using (word))
+select post_id, cast(pos as integer) as pos, cast(part as integer) as part, lower(replace(piece, '##', '')) as piece from p
+where regexp_matches(replace(piece, '##', ''), '[a-zA-Z0-9]')""")
+
+
 _WS = r"[\p{Z}\t-\r\x{1c}-\x{1f}\x{85}]"
 oracle("token_cleanup", (), f"""
 , t as (select cast(doc_id as varchar) as post_id, unnest(generate_series(0, len(string_split(text, ' ')) - 1)) as pos,
@@ -987,17 +1052,73 @@ def q_occlusion(spark, sf_dir):
     """X1 over every post and every word: the words that push the fitted model's probability up."""
     occ = explain.linear_occlusion(cleaned(spark, sf_dir).select("post_id", "text"), *bayes(spark, sf_dir))
     top = explain.top_words(explain.clean_tokens(occ), tie_digits=6)
-    return top.filter(F.col("weight") >= EXPLAIN_MIN).select("post_id", "word", r("weight"))
+    return top.select("post_id", "word", r("weight"))
 
 
-#: Shown to 6 decimals; smaller weights would all read 0.
-EXPLAIN_MIN = 1e-4
 oracle("occlusion_explain", ("nb_posts",), f"""
 , t as (select post_id, a, unnest(string_split(text, ' ')) as word from nb_posts where text <> ''),
 o as (select post_id, word, sum(1 / (1 + exp(-a)) * (1 / (1 + exp(a - coalesce(log_odds, 0)))) * (1 - exp(-coalesce(log_odds, 0)))) as weight
       from t left join nb_odds on t.word = nb_odds.term group by post_id, word),
 k as (select *, row_number() over (partition by post_id order by round(weight, 6) desc, word asc) as rk from o where weight > 0)
-select post_id, word, {r6('weight')} from k where rk <= 5 and weight >= 1e-4""")
+select post_id, word, {r6('weight')} from k where rk <= 5""")
+
+
+# spans of every post with their sums of log odds, and the contexts of each span by going down the tree
+cte("owen_values", ("nb_posts",), """
+with recursive ow as (select post_id, string_split(text, ' ') as ws from nb_posts where text <> ''),
+sp as (select post_id, j, cast(floor(len(ws) * j / 16.0) as bigint) as lo, cast(floor(len(ws) * (j + 1) / 16.0) as bigint) as hi, ws from ow, range(16) r(j)),
+st as (select post_id, j, coalesce(log_odds, 0) as o from (select post_id, j, unnest(ws[lo + 1 : hi]) as word from sp) left join nb_odds on word = term),
+ss as (select post_id, list(s order by j) as s from (select w.post_id, w.j, coalesce(sum(o), 0) as s from sp w left join st on st.post_id = w.post_id and st.j = w.j group by w.post_id, w.j)
+       group by post_id),
+tree(lo, n, shown) as (select 0, 16, cast([] as bigint[]) union all
+  select case when c.side = 0 then lo else lo + n // 2 end, n // 2,
+         list_concat(shown, case when c.other = 0 then cast([] as bigint[]) when c.side = 0 then range(lo + n // 2, lo + n) else range(lo, lo + n // 2) end)
+  from tree, (values (0, 0), (0, 1), (1, 0), (1, 1)) c(side, other) where n > 1),
+leaf as (select lo as j, shown from tree where n = 1),
+p as (select post_id, j, (1 / (1 + exp(-((select bias from nb_bias) + coalesce(list_sum(list_transform(list_concat(shown, [j]), lambda i: s[i + 1])), 0))))
+             - 1 / (1 + exp(-((select bias from nb_bias) + coalesce(list_sum(list_transform(shown, lambda i: s[i + 1])), 0))))) / 16 as gain from ss, leaf),
+cr as (select post_id, j, sum(gain) as credit from p group by post_id, j)
+select sp.post_id, unnest(range(lo, hi)) as pos, unnest(ws[lo + 1 : hi]) as word, credit / (hi - lo) as weight
+from sp join cr on cr.post_id = sp.post_id and cr.j = sp.j where hi > lo""")
+
+
+@query("owen_explain")
+def q_owen(spark, sf_dir):
+    """Owen values of every word of every post under the fitted model."""
+    w = explain.linear_owen(cleaned(spark, sf_dir).select("post_id", "text"), *bayes(spark, sf_dir))
+    return w.select("post_id", F.col("pos").cast("long").alias("pos"), "word", F.round("weight", 9).alias("weight"))
+
+
+oracle("owen_explain", ("owen_values",), "select post_id, cast(pos as bigint) as pos, word, round(weight, 9) as weight from owen_values")
+
+
+@query("owen_top_words")
+def q_owen_top(spark, sf_dir):
+    """X1 to X5 for any scorer: masked texts scored as one table, the heaviest words of each post."""
+    odds, bias = bayes(spark, sf_dir)
+    posts = cleaned(spark, sf_dir).select("post_id", "text")
+
+    def scorer(masked):
+        keyed = masked.withColumn("_key", F.concat_ws(":", "post_id", "coalition"))
+        return keyed.join(explain.linear_scores(keyed, odds, bias, key="_key"), "_key")
+    w = explain.owen(posts, scorer, levels=2).withColumn("weight", F.round("weight", 12))  # sums of nothing are exactly 0
+    return explain.top_words(explain.clean_tokens(w), tie_digits=6).select("post_id", "word", r("weight"))
+
+
+oracle("owen_top_words", ("nb_posts",), f"""
+, ow as (select post_id, string_split(text, ' ') as ws from nb_posts where text <> ''),
+sp as (select post_id, j, cast(floor(len(ws) * j / 4.0) as bigint) as lo, cast(floor(len(ws) * (j + 1) / 4.0) as bigint) as hi, ws from ow, range(4) r(j)),
+st as (select post_id, j, coalesce(log_odds, 0) as o from (select post_id, j, unnest(ws[lo + 1 : hi]) as word from sp) left join nb_odds on word = term),
+sv as (select post_id, coalesce(sum(o) filter (j = 0), 0) as a, coalesce(sum(o) filter (j = 1), 0) as b, coalesce(sum(o) filter (j = 2), 0) as c,
+              coalesce(sum(o) filter (j = 3), 0) as d from st group by post_id),
+sg as (select post_id, unnest([{', '.join(
+    '(' + ' + '.join(f"1 / (1 + exp(-((select bias from nb_bias) + {own} + {shown}))) - 1 / (1 + exp(-((select bias from nb_bias) + {shown})))"
+                     for shown in ('0', near, far, f'{near} + {far}')) + ') / 4'
+    for own, near, far in (('a', 'b', 'c + d'), ('b', 'a', 'c + d'), ('c', 'd', 'a + b'), ('d', 'c', 'a + b')))}]) as credit, unnest([0, 1, 2, 3]) as j from sv),
+tw as (select sp.post_id, unnest(ws[lo + 1 : hi]) as word, round(credit / (hi - lo), 12) as weight from sp join sg on sg.post_id = sp.post_id and sg.j = sp.j where hi > lo),
+o as (select post_id, word, sum(weight) as weight from tw group by post_id, word having sum(weight) > 0),
+k as (select *, row_number() over (partition by post_id order by round(weight, 6) desc, word asc) as rk from o)
+select post_id, word, {r6('weight')} from k where rk <= 5""")
 
 
 @query("positive_class")
@@ -1210,16 +1331,24 @@ ORACLE["encoded_table"] = ORACLE["encode_sequences"]
 
 @query("saved_model")
 def q_saved_model(spark, sf_dir):
-    """A fitted pipeline saved, loaded and applied; the planted word decides the class."""
+    """A pipeline fitted on the whole train texts, saved, loaded and applied to the whole test texts."""
     path = scratch_path(spark, "model") + "/model"
-    train, test = planted(spark, sf_dir)
-    word = F.regexp_extract("text", "zzplanted(hoax|true)", 0)
-    train, test = (d.withColumn("text", word) for d in (train, test))
-    pio.save_model(models.fit(models.nb_pipeline(), train), path)
-    return _predicted(test, pio.load_model(path))
-
-
-ORACLE["saved_model"] = ORACLE["rf_scores"]
+    train, test = train_test(spark, sf_dir)
+    pio.save_model(models.fit(models.nb_pipeline(max_features=1 << 20), train), path)
+    scored = models.score(test.select("post_id", "text", "label"), pio.load_model(path))
+    return scored.select("post_id", "label", F.round("P_hoax", 6).alias("P_hoax"))
+
+
+# multinomial naive Bayes with add-one smoothing over the vocabulary of the most frequent terms
+oracle("saved_model", ("sdocs",), f"""
+, tok as (select post_id, label, split, unnest(regexp_extract_all(text, '[a-z0-9]{{2,}}')) as term from sdocs),
+voc as (select term, count(*) filter (label = 1) as n1, count(*) filter (label = 0) as n0 from tok where split = 'train' group by term),
+tot as (select sum(n1) as t1, sum(n0) as t0, count(*) as v from voc),
+pri as (select count(*) filter (label = 1) as d1, count(*) filter (label = 0) as d0 from sdocs where split = 'train'),
+od as (select term, ln((n1 + 1) / (t1 + v)) - ln((n0 + 1) / (t0 + v)) as o from voc, tot),
+sc as (select post_id, sum(o) as s from tok join od using (term) where split = 'test' group by post_id)
+select d.post_id, d.label, round(1 / (1 + exp(-(coalesce(s, 0) + ln(d1 + 1) - ln(d0 + 1)))), 6) as P_hoax
+from sdocs d cross join pri left join sc on sc.post_id = d.post_id where d.split = 'test'""")
 
 
 @query("comparison_csv")
