@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from postrisk.constants import MAX_SEQ_LEN, SPLIT_RATIOS, SPLIT_SEED
 from postrisk.functions.text import words
-from postrisk.operators.ranking import small_side, with_group_rank
+from postrisk.operators.ranking import CUT_BINS, rank_cuts, rank_histogram, small_side
+from postrisk.session import materialize
 
 PAD_ID = 0
 UNK_ID = 1
@@ -36,12 +37,13 @@ def _largest_remainder(counts: DataFrame, label: str, total_col: str, quota_col:
         .drop("_exact", "_base", "_short", "_ord")
 
 
-def split_quotas(df: DataFrame, label: str = "label", ratios=SPLIT_RATIOS) -> DataFrame:
+def split_quotas(df: DataFrame, label: str = "label", ratios=SPLIT_RATIOS, counts: DataFrame | None = None) -> DataFrame:
     """Per-class test and validation counts: ``n_test = ceil(test*n)``, then
-    ``n_val = ceil(val/(train+val) * (n - n_test))``, spread over classes by largest remainder."""
+    ``n_val = ceil(val/(train+val) * (n - n_test))``, spread over classes by largest remainder.
+    ``counts`` (label, n_class) saves counting."""
     train, val, test = ratios
     every = Window.partitionBy(F.lit(1))
-    c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
+    c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class")) if counts is None else counts
     c = c.withColumn("_n_test", F.ceil(F.lit(float(test)) * F.sum("n_class").over(every)).cast("long"))
     c = _largest_remainder(c, label, "n_class", "_n_test", "n_test")
     c = c.withColumn("_rest", F.col("n_class") - F.col("n_test"))
@@ -56,16 +58,24 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "post_id",
     """Adds ``split`` (train/val/test) with exact per-class counts.
 
     Rows are ordered inside each class by a seeded hash of the key; the first
-    ``n_test`` go to test, the next ``n_val`` to validation, the rest to train.
-    Ranks come from the bucketed ranking, so no class is handled by one task."""
-    q = split_quotas(df, label, ratios)
-    ranked = with_group_rank(df.withColumn("_u", _uniform_hash(key, seed)), [label], ["_u", key],
-                             buckets=buckets, uniform=True)
-    r = F.col("_rank")
-    return (ranked.join(small_side(q.select(label, "n_test", "n_val")), label, "left")
-            .withColumn("split", F.when(r <= F.col("n_test"), "test")
-                        .when(r <= F.col("n_test") + F.col("n_val"), "val").otherwise("train"))
-            .drop("_u", "_rank", "n_test", "n_val"))
+    ``n_test`` go to test, the next ``n_val`` to validation, the rest to train. A histogram of the hashes and the
+    order keys of one of its bins give the keys at those two ranks (``ranking.rank_cuts``); both small tables are
+    written, and every row is then told by comparing its key with its class's cuts. Rows with their texts are
+    neither ranked nor exchanged. ``buckets``: bins of the histogram (None: ``ranking.CUT_BINS``)."""
+    bins = buckets or CUT_BINS
+    u = _uniform_hash(key, seed)
+    narrow = df.select(F.col(label), u.alias("_u"), F.col(key).alias("_key"))
+    hist = materialize(rank_histogram(narrow, label, bins=bins), "split-histogram")  # bins rows a class
+    q = split_quotas(df, label, ratios, hist.groupBy(label).agg(F.max("_hi").alias("n_class")))
+    ranks = q.select(label, F.col("n_test").alias("_test"), (F.col("n_test") + F.col("n_val")).alias("_val"))
+    cuts = materialize(rank_cuts(narrow, label, hist, ranks, ["_test", "_val"], bins=bins), "split-cuts")  # a row a class
+    me = F.struct(u, F.col(key))
+
+    def within(cut):
+        return F.col(cut).isNotNull() & (me <= F.col(cut))
+    return (df.join(small_side(cuts), label, "left")
+            .withColumn("split", F.when(within("_test"), "test").when(within("_val"), "val").otherwise("train"))
+            .drop("_test", "_val"))
 
 
 def split_sizes(split: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from postrisk.constants import RANDOM_KEYWORDS, RANDOM_PER_KEYWORD, TARGETED_RATIO, TOTAL_TARGET
 from postrisk.functions.text import clean_text, words
 from postrisk.operators.cleaning import arrival_order, dedupe_keep_first
-from postrisk.operators.ranking import top_n_per_group
+from postrisk.operators.ranking import first_n_per_group
 
 COLLECTION_KEY = ("collection_type", "post_id")
 
@@ -43,8 +43,8 @@ def apply_quota(new: DataFrame, counts: DataFrame, queries: DataFrame, totals: M
     """Per query at most ``limit - already`` new rows, ``limit = max(1, total //
     max(1, n_queries))`` per collection; queries already at their limit get none.
 
-    Ranks come from the bucketed ranking, so a query holding most of the batch
-    is still spread over many tasks."""
+    No query takes more than the largest total, so every task sends that many of its rows at
+    most; beyond ``ranking.GROUP_LIMIT`` ranks come from the bucketed ranking instead."""
     tot = F.lit(None).cast("long")
     for k, v in totals.items():
         tot = F.when(F.col("collection_type") == k, F.lit(int(v))).otherwise(tot)
@@ -55,7 +55,8 @@ def apply_quota(new: DataFrame, counts: DataFrame, queries: DataFrame, totals: M
               .select("collection_type", "query",
                       (F.col("_limit") - F.coalesce("already", F.lit(0))).alias("_remaining")))
     todo = new.join(limits.filter(F.col("_remaining") > 0), ["collection_type", "query"])
-    return top_n_per_group(todo, ["collection_type", "query"], list(order_cols), "_remaining").drop("_remaining")
+    most = max([1, *map(int, totals.values())])
+    return first_n_per_group(todo, ["collection_type", "query"], list(order_cols), "_remaining", most).drop("_remaining")
 
 
 def normalise_records(df: DataFrame, query: str | None = None, collection_type: str | None = None,

@@ -99,6 +99,47 @@ def with_group_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
             .drop("_offset", "_bucket"))
 
 
+CUT_BINS = 4096
+
+
+def rank_histogram(narrow: DataFrame, group: str, u: str = "_u", bins: int = CUT_BINS) -> DataFrame:
+    """(group, _bin, _lo, _hi): how many rows of a group lie before and up to the end of each bin of a number in [0, 1)."""
+    h = narrow.groupBy(group, F.least(F.floor(F.col(u) * bins), F.lit(bins - 1)).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+    hi = F.sum("_n").over(Window.partitionBy(group).orderBy("_bin"))
+    return h.select(group, "_bin", (hi - F.col("_n")).alias("_lo"), hi.alias("_hi"))
+
+
+def rank_cuts(narrow: DataFrame, group: str, histogram: DataFrame, ranks: DataFrame, names: Sequence[str], u: str = "_u",
+              key: str = "_key", bins: int = CUT_BINS) -> DataFrame:
+    """(group, <name> struct(u, key)): the order key at each rank of ``ranks`` (group and one column a name; null at rank 0).
+
+    The histogram tells the one bin that holds a rank; only the rows of that bin, about one in ``bins``, are
+    ordered, and of those only their order keys. A row's rank is within a cut just if its key is not above it,
+    so rows can be told apart by one comparison, without ranking or exchanging them."""
+    todo = None
+    for name in names:
+        hit = (histogram.join(ranks.select(group, F.col(name).alias("_rank")), group).where((F.col("_lo") < F.col("_rank")) & (F.col("_rank") <= F.col("_hi")))
+               .select(group, "_bin", F.lit(name).alias("_name"), (F.col("_rank") - F.col("_lo")).alias("_nth")))
+        todo = hit if todo is None else todo.unionByName(hit)
+    rows = narrow.withColumn("_bin", F.least(F.floor(F.col(u) * bins), F.lit(bins - 1)))
+    nth = F.row_number().over(Window.partitionBy(group, "_name").orderBy(u, key))
+    at = rows.join(todo, [group, "_bin"]).withColumn("_at", nth).where(F.col("_at") == F.col("_nth"))
+    return at.groupBy(group).agg(*[F.max(F.when(F.col("_name") == n, F.struct(F.col(u), F.col(key)))).alias(n) for n in names])
+
+
+GROUP_LIMIT = 100_000
+
+
+def first_n_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], n_col, most: int) -> DataFrame:
+    """``top_n_per_group`` where no group keeps more than ``most`` rows: a constant bound is planned as a group
+    limit before the exchange, so every task sends at most that many rows of a group."""
+    if most > GROUP_LIMIT:  # too many for one task a group: ranges
+        return top_n_per_group(df, group_cols, order_cols, n_col)
+    w = Window.partitionBy(*group_cols).orderBy(*[F.col(c) for c in order_cols])
+    ranked = df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= int(most))
+    return ranked.where(F.col("_rank") <= F.col(n_col)).drop("_rank")
+
+
 def top_n_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], n_col,
                     buckets: int | None = QUANTILE_BUCKETS, uniform: bool = False) -> DataFrame:
     """Rows whose rank inside their group is ``<= n_col`` (a column or a number).

@@ -35,7 +35,7 @@ def _pieces_at(word: str = "word", max_piece: int = MAX_PIECE) -> F.Column:
 
 def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n), combined before the shuffle."""
-    return df.select(F.explode(words(text_col)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return df.select(F.explode(words(text_col)).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def count_pieces(df: DataFrame, text_col: str = "text", size: int = VOCAB_SIZE, max_piece: int = MAX_PIECE) -> DataFrame:
@@ -77,7 +77,7 @@ def cut_words(vocab: DataFrame, some_words: DataFrame, max_piece: int = MAX_PIEC
 def subword_pieces(df: DataFrame, vocab: DataFrame, text_col: str = "text", key: str = "post_id", max_piece: int = MAX_PIECE,
                    vocab_size: int = VOCAB_SIZE) -> DataFrame:
     """(key, pos, part, piece, id): every piece of every word of the whole texts, by word and place in it."""
-    toks = df.select(key, F.posexplode(words(text_col)).alias("pos", "word"))
+    toks = df.select(key, F.posexplode(words(text_col)).alias("pos", "word")).where("word <> ''")
     cut = cut_words(vocab, toks.select("word").distinct(), max_piece, vocab_size)
     return toks.join(cut, "word").select(key, "pos", F.posexplode("pieces").alias("part", "p")).select(key, "pos", "part", "p.piece", "p.id")
 
@@ -87,7 +87,7 @@ def encode_subwords(df: DataFrame, vocab: DataFrame, text_col: str = "text", key
     """key, n_pieces (of the whole text), input_ids and attention_mask: begin mark, the first ``max_len - 2``
     pieces, end mark, padding. A post without words has the two marks alone."""
     room = max_len - 2
-    toks = df.select(key, F.posexplode(words(text_col)).alias("pos", "word"))
+    toks = df.select(key, F.posexplode(words(text_col)).alias("pos", "word")).where("word <> ''")
     cut = cut_words(vocab, toks.select("word").distinct(), max_piece, vocab_size)
     # a word has a piece at least, so only the first words can reach into the sequence
     per = toks.join(cut, "word").groupBy(key).agg(

@@ -950,22 +950,22 @@ SUBWORDS = 600  # a small vocabulary, so that words fall into pieces
 
 cte("sub_vocab", ("cleaned",), f"""
 with w as (select word, count(*) as n from (select unnest(string_split(text, ' ')) as word from cleaned where text <> '') where length(word) <= 100 group by word),
-c as (select n, l, case when s > 0 then '##' else '' end || substr(word, s + 1, l) as piece from w, range(100) a(s), range(1, 9) b(l) where s + l <= length(word)),
+c as (select n, l, case when s > 0 then '##' else '' end || substr(word, s + 1, l) as piece from w, unnest(range(length(word))) a(s), range(1, 9) b(l) where s + l <= length(word)),
 p as (select piece, l, sum(n) as n from c group by piece, l)
 select piece, cast(row_number() over (order by l > 1, n * l desc, piece) + 3 as integer) as id from p order by l > 1, n * l desc, piece limit {SUBWORDS - 4}""")
 cte("sub_words", ("cleaned", "sub_vocab"), """
 with recursive w as (select distinct unnest(string_split(text, ' ')) as word from cleaned where text <> ''),
-f as (select word, s, max(l) as l from w, range(100) a(s), range(1, 9) b(l) where s + l <= length(word) and length(word) <= 100
-      and case when s > 0 then '##' else '' end || substr(word, s + 1, l) in (select piece from sub_vocab) group by word, s),
+f as (select word, s, max(l) as l from w, unnest(range(least(length(word), 100))) a(s), range(1, 9) b(l), sub_vocab where s + l <= length(word) and length(word) <= 100
+      and piece = case when s > 0 then '##' else '' end || substr(word, s + 1, l) group by word, s),
 walk(word, done, ps) as (select word, cast(0 as bigint), cast([] as varchar[]) from w union all
   select walk.word, walk.done + f.l, list_concat(ps, [case when f.s > 0 then '##' else '' end || substr(walk.word, f.s + 1, f.l)])
   from walk join f on f.word = walk.word and f.s = walk.done)
-select w.word, coalesce((select ps from walk where walk.word = w.word and walk.done = length(w.word)), ['[UNK]']) as ps from w""")
+select w.word, coalesce(ps, ['[UNK]']) as ps from w left join walk on walk.word = w.word and walk.done = length(w.word)""")
 
 
 def _subwords(spark, sf_dir):
     posts = cleaned(spark, sf_dir).select("post_id", "text")
-    return posts, subwords.count_pieces(posts, size=SUBWORDS)
+    return posts, materialize(subwords.count_pieces(posts, size=SUBWORDS), "pieces")
 
 
 @query("subword_vocabulary")

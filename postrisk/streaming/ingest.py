@@ -1,12 +1,14 @@
-"""Incremental ingest as a checkpointed stream.
-
-Each micro-batch is de-duplicated against the sink table (anti join on
-(collection, id), first arrival wins inside the batch) and, when quotas are
-given, capped per query with the counts already in the sink. Writes go to the
-batch's own partition with dynamic overwrite, so a batch replayed after a
-failure replaces its earlier attempt instead of adding to it; the anti join
-only looks at earlier batches. The checkpoint replaces the resume logic of a
-single-machine collector.
+"""Incremental ingest as a checkpointed stream with keyed state.
+
+The ids that were ever ingested live in the stream's state store, one small entry a
+(collection, id), dealt out by key: a micro-batch looks up and adds its own keys and never
+reads the sink. Rows of unseen ids leave the stateful operator; among them the first
+arrival of the batch wins. Rows stored before the stream began enter the state with
+the first batch. Quotas and the newest time come from a table of running counts, one
+small partition a batch, of which a batch reads the one before it. Writes go to the
+batch's own partition with dynamic overwrite, so a batch replayed after a failure replaces
+its earlier attempt instead of adding to it; the state of a replayed batch is that of its
+first attempt.
 """
 
 from __future__ import annotations
@@ -20,15 +22,54 @@ from pyspark.sql.streaming import StreamingQuery
 
 from postrisk.functions.scores import parse_ts
 from postrisk.operators import ingest as ops
+from postrisk.operators.cleaning import arrival_order, dedupe_keep_first
 from postrisk.sources.io import _exists
 
 BATCH_COL = "_batch"
+STORED_COL = "_stored"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _sink_rows(spark: SparkSession, sink_path: str, schema: T.StructType, before: int) -> DataFrame:
-    if _exists(spark, sink_path):
-        return spark.read.parquet(sink_path).filter(F.col(BATCH_COL) < before)
-    return spark.createDataFrame([], T.StructType(schema.fields + [T.StructField(BATCH_COL, T.LongType())]))
+def unseen(rows: DataFrame) -> DataFrame:
+    """The rows of a stream whose (collection, id) has not come in an earlier batch; rows with ``_stored``
+    mark ids as known. Ids that are null are never known. The state holds one flag a key."""
+    def run(key, parts, state):
+        known = state.exists
+        for part in parts:
+            if not known:
+                yield part
+        if not known and not any(k is None or k != k for k in key):
+            state.update((True,))
+    return rows.groupBy(*ops.COLLECTION_KEY).applyInPandasWithState(
+        run, rows.schema, T.StructType([T.StructField("seen", T.BooleanType())]), "append", "NoTimeout")
+
+
+def counts_path(sink_path: str) -> str:
+    return f"{sink_path.rstrip('/')}_counts"
+
+
+def _counts_before(spark: SparkSession, sink_path: str, batch_id: int, ts: str | None) -> DataFrame:
+    """(collection_type, query, already, newest) before a batch: the running counts of the batch before it,
+    or for the first one the rows that the sink was seeded with."""
+    path = counts_path(sink_path)
+    if batch_id > 0 and _exists(spark, path):
+        done = spark.read.parquet(path).where(F.col(BATCH_COL) < batch_id)
+        return done.where(F.col(BATCH_COL) == done.agg(F.max(BATCH_COL)).scalar()).drop(BATCH_COL)
+    schema = "collection_type string, query string, already long, newest timestamp"
+    if not _exists(spark, seed_path(sink_path)):
+        return spark.createDataFrame([], schema)
+    seed = spark.read.parquet(seed_path(sink_path))
+    newest = F.max(parse_ts(ts)) if ts else F.lit(None).cast("timestamp")
+    return seed.groupBy("collection_type", "query").agg(F.count(F.lit(1)).alias("already"), newest.alias("newest"))
+
+
+def seed_path(sink_path: str) -> str:
+    return f"{sink_path.rstrip('/')}/{BATCH_COL}=-1"
+
+
+def _write(df: DataFrame, batch_id: int, path: str) -> None:
+    (df.withColumn(BATCH_COL, F.lit(batch_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(BATCH_COL).parquet(path))
 
 
 def late_path(sink_path: str) -> str:
@@ -57,25 +98,33 @@ def stream_ingest(spark: SparkSession, source_path: str, schema: T.StructType, s
         reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    stream = reader.load(source_path)
+    rows = reader.load(source_path).withColumn(STORED_COL, F.lit(False))
+    if _exists(spark, seed_path(sink_path)):  # all of it comes with the first batch
+        rows = rows.unionByName(spark.readStream.schema(schema).parquet(seed_path(sink_path)).withColumn(STORED_COL, F.lit(True)))
+    if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider"):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # state on disk, not in the heap
+    stream = unseen(rows)
+    names, ts = schema.fieldNames(), watermark[0] if watermark else None
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        stored = _sink_rows(batch.sparkSession, sink_path, schema, batch_id)
-        new = ops.ingest_new(batch, stored)
+        known = batch.where(STORED_COL).select(*ops.COLLECTION_KEY).distinct()  # of this batch alone
+        new = batch.where(~F.col(STORED_COL)).select(*names).join(known, list(ops.COLLECTION_KEY), "left_anti")
+        before = _counts_before(batch.sparkSession, sink_path, batch_id, ts)
         if watermark:
-            ts, delay = watermark
-            newest = stored.agg(F.max(parse_ts(ts)).alias("newest")).select("newest").scalar()
-            late = batch.filter(parse_ts(ts) < newest - F.expr(f"interval {delay}"))
-            (late.select(*schema.fieldNames()).withColumn(BATCH_COL, F.lit(batch_id).cast("long"))
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy(BATCH_COL).parquet(late_path(sink_path)))
+            newest = before.agg(F.max("newest").alias("newest")).select("newest").scalar()
+            late = new.filter(parse_ts(ts) < newest - F.expr(f"interval {watermark[1]}"))
+            _write(late, batch_id, late_path(sink_path))
+        new = dedupe_keep_first(new.withColumn("_key", F.struct(*ops.COLLECTION_KEY)), "_key", arrival_order(new)).drop("_key")
         if totals is not None:
-            _, counts = ops.existing_state(stored)
-            qs = queries if queries is not None else batch.select("collection_type", "query").distinct()
-            new = ops.apply_quota(new, counts, qs, totals)
-        (new.select(*schema.fieldNames()).withColumn(BATCH_COL, F.lit(batch_id).cast("long"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(BATCH_COL).parquet(sink_path))
+            qs = queries if queries is not None else new.select("collection_type", "query").distinct()
+            new = ops.apply_quota(new, before.select("collection_type", "query", "already"), qs, totals)
+        _write(new.select(*names), batch_id, sink_path)
+        if totals is not None or watermark:
+            mine = batch.sparkSession.read.parquet(sink_path).where(F.col(BATCH_COL) == batch_id)  # one partition
+            newest = F.max(parse_ts(ts)) if ts else F.lit(None).cast("timestamp")
+            mine = mine.groupBy("collection_type", "query").agg(F.count(F.lit(1)).alias("already"), newest.alias("newest"))
+            now = before.unionByName(mine).groupBy("collection_type", "query").agg(F.sum("already").alias("already"), F.max("newest").alias("newest"))
+            _write(now, batch_id, counts_path(sink_path))
 
     w = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
