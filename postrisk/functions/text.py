@@ -90,8 +90,11 @@ def clean_token(c) -> Column:
 
     Special tokens are dropped, ``##`` removed, pure punctuation dropped, then lower-cased.
     """
-    w = F.regexp_replace(_col(c).cast("string"), "^" + r"[\p{Z}\t-\r\x{1c}-\x{1f}\x{85}]+|"
-                         + r"[\p{Z}\t-\r\x{1c}-\x{1f}\x{85}]+$", "")
-    stripped = F.regexp_replace(w, "##", "")
+    t = _col(c).cast("string")
+    space = r"[\p{Z}\t-\r\x{1c}-\x{1f}\x{85}]"
+    # few tokens have white space at an end: the first and the last character tell
+    edge = F.substring(t, 1, 1).rlike(space) | F.substring(t, -1, 1).rlike(space)
+    w = F.when(edge, F.regexp_replace(t, f"^{space}+|{space}+$", "")).otherwise(t)
+    stripped = F.replace(w, F.lit("##"), F.lit(""))
     keep = (~w.isin(*SPECIAL_TOKENS)) & stripped.rlike("[a-zA-Z0-9]")
     return F.when(keep, F.lower(stripped))

@@ -939,6 +939,7 @@ def _doc_tokens(spark, sf_dir):
 
 
 from postrisk.operators import subwords  # noqa: E402
+from postrisk.session import materialize  # noqa: E402
 
 
 @query("token_cleanup")
