@@ -14,6 +14,13 @@ as what that adds is mostly unlinked text, so that titles, leads and further
 sections stay with a dominant part. Nothing is widened beyond an article or main;
 only lists, tables, quotes and sections are widened to the body.
 
+A name marks an element by its head word (``site-header``, ``ad-slot``), not by a
+qualifier (``has-sidebar``, ``share-price``). What a layout mark or a form drops is
+judged again once the page is read: where it holds an article or main with more
+unlinked text than all that stayed, or a form holds nearly all paragraphs of a page
+without either, the page is read again with it. A header inside an article stays if
+it holds a heading.
+
 A block is the text between the edges of block elements or line breaks;
 character references are decoded, white space becomes one space, empty blocks
 fall away, and blocks are joined in page order by one line feed.
@@ -32,6 +39,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,6 +77,23 @@ consent contentinfo cookie cookies dialog disqus footer gdpr header hidden masth
 notice notification overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond
 search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription teaser toolbar widget
 """.split())
+#: Marks that also name a subject: they count as a whole name, at its end, or before a word of ``_BOXES``.
+_TOPICS = frozenset("""alert dialog hidden notice notification promotion recommended related replies reply respond search share
+sharing social teaser""".split())
+_BOXES = frozenset("""area bar block body box button buttons container content form group holder icon icons inner item items links
+list listing panel posts region section slot unit widget wrap wrapper""".split())
+#: Qualifiers before or after a mark that speak of the page around it.
+_BEFORE = frozenset("has hide no show with without".split())
+_AFTER = frozenset("active closed disabled enabled off on open".split())
+#: Marks of page layout, which also turn up in the names of elements around the article.
+_LAYOUT = frozenset("""banner breadcrumb breadcrumbs dialog footer header hidden masthead menu modal nav navbar navigation overlay
+search share sharing sidebar social toolbar widget""".split())
+_TEXTUAL = frozenset("b code em h1 h2 h3 h4 h5 h6 i li mark p q span strong td".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_LANDMARKS = frozenset(("article", "main"))
+KEEP, DROP, LIFTABLE, HEAD = range(4)
+FORM_PARAGRAPHS = 3  # a form with fewer never holds the article
+FORM_SHARE = 9  # times the unlinked text outside it
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -76,17 +101,49 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(raw)} if raw.strip(" /") else {}
 
 
-def _unwanted(tag: str, a: dict[str, str]) -> bool:
+@lru_cache(maxsize=20_000)
+def marks(name: str) -> frozenset[str]:
+    """The marks that count in one class name, id or role."""
+    parts = [p.lower() for p in _SPLIT.split(name) if p]
+    out = set()
+    for k, part in enumerate(parts):
+        if part not in _MARKS or k and parts[k - 1] in _BEFORE:
+            continue
+        after = parts[k + 1] if k + 1 < len(parts) else None
+        if after in _AFTER or part in _TOPICS and after is not None and after not in _BOXES | _MARKS and not after.isdigit():
+            continue
+        out.add(part)
+    return frozenset(out)
+
+
+def _unwanted(tag: str, a: dict[str, str], in_article: bool) -> int:
+    """KEEP, DROP, LIFTABLE (dropped unless it turns out to hold the article) or HEAD (kept if it holds a heading)."""
     if tag in _NEVER:
-        return True
+        return HEAD if tag == "header" and in_article else LIFTABLE if tag == "form" else DROP
     if not a or tag in _SAFE:
-        return False
+        return KEEP
     if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
-        return True
+        return DROP
     names = f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}".split()
     if tag == "article":  # only a name that says so as a whole
-        return any(n.lower() in _MARKS for n in names)
-    return any(part.lower() in _MARKS for n in names for part in _SPLIT.split(n))
+        return DROP if any(n.lower() in _MARKS for n in names) else KEEP
+    found = frozenset().union(*map(marks, names))
+    if in_article and tag in _TEXTUAL:
+        found -= _TOPICS
+    if not found:
+        return KEEP
+    if in_article and found == {"header"}:
+        return HEAD
+    return LIFTABLE if found <= _LAYOUT else DROP
+
+
+class _Dropped:
+    """What an outermost dropped element holds."""
+
+    def __init__(self, whole: bool, form: bool):
+        self.whole, self.form = whole, form
+        self.free = self.paragraphs = self.landmark = 0  # unlinked characters, p elements, unlinked characters in landmarks
+        self.chain: list[int] = []  # liftable elements around its first landmark, or its first paragraph
 
 
 def _step(tag: str, a: dict[str, str]) -> str:
@@ -98,7 +155,7 @@ def _step(tag: str, a: dict[str, str]) -> str:
 class Page:
     """Blocks (text, unlinked characters) in page order, and containers with the range of blocks they hold."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, lifted: frozenset[int] = frozenset()):
         self.blocks: list[tuple[str, int]] = []
         self.paths: list[str] = []
         self.tags: list[str] = []
@@ -108,8 +165,15 @@ class Page:
         self.home: list[int] = []  # innermost container of each block
         self._text: list[str] = []
         self._linked = 0
-        # open elements: (tag, path, container or -1, is it unwanted)
-        self._open: list[tuple[str, str, int, bool]] = []
+        # open elements: (tag, path, container or -1, what _unwanted says of it)
+        self._open: list[tuple[str, str, int, int]] = []
+        self._lifted = lifted  # places of elements that stay whatever their marks
+        self._chain: list[int] = []  # places of the open liftable elements that are dropped
+        self._hard = 0  # open elements that are dropped for good
+        self._heads: list[list[int]] = []  # open HEAD elements: blocks and containers before, headings
+        self._drop: _Dropped | None = None
+        self._marks_in = 0  # open landmarks inside the dropped element
+        self.dropped: list[_Dropped] = []
         self._inside = [-1]  # open containers
         self._count: dict[str, int] = defaultdict(int)  # open elements by tag
         self._unwanted = self._links = 0
@@ -126,14 +190,37 @@ class Page:
                 self.home.append(self._inside[-1])
             self._text, self._linked = [], 0
 
-    def _push(self, tag: str, raw: str) -> None:
+    def _push(self, tag: str, raw: str, place: int) -> None:
         a = _attributes(raw)
-        bad = _unwanted(tag, a)
+        bad = KEEP if place in self._lifted else _unwanted(tag, a, self._count["article"] > 0)
         path = f"{self._open[-1][1]}/{_step(tag, a)}" if self._open else _step(tag, a)
         if len(path) > MAX_PATH:
             path = "~" + hashlib.md5(path.encode()).hexdigest()
         c = -1
-        if tag in _CONTAINER and not bad and not self._unwanted:
+        if bad in (DROP, LIFTABLE):
+            if not self._unwanted and bad == LIFTABLE:
+                whole = any(n.lower() in _MARKS for k in ("class", "id", "role") for n in a.get(k, "").split())
+                self._drop = _Dropped(whole, tag == "form")
+            self._unwanted += 1
+            if bad == LIFTABLE:
+                self._chain.append(place)
+            else:
+                self._hard += 1
+        elif self._unwanted:
+            if self._drop and not self._hard and tag in ("article", "main", "p"):
+                d = self._drop
+                if tag == "p":
+                    d.paragraphs += 1
+                if not d.landmark and (tag != "p" or not d.chain):
+                    d.chain = list(self._chain)
+                self._marks_in += tag != "p"
+        elif bad == HEAD:
+            self._heads.append([len(self.blocks), len(self.paths), 0])
+        elif tag in _HEADINGS and self._heads:
+            self._heads[-1][2] += 1
+        if bad == HEAD and self._unwanted:
+            bad = KEEP
+        if tag in _CONTAINER and not self._unwanted:
             c = len(self.paths)
             self.paths.append(path)
             self.tags.append(tag)
@@ -143,7 +230,6 @@ class Page:
             self._inside.append(c)
         self._open.append((tag, path, c, bad))
         self._count[tag] += 1
-        self._unwanted += bad
         self._links += tag == "a"
 
     def _pop(self) -> None:
@@ -152,11 +238,32 @@ class Page:
             self._flush()
         self._open.pop()
         self._count[tag] -= 1
-        self._unwanted -= bad
         self._links -= tag == "a"
+        if bad in (DROP, LIFTABLE):
+            self._unwanted -= 1
+            if bad == LIFTABLE:
+                self._chain.pop()
+            else:
+                self._hard -= 1
+            if not self._unwanted and self._drop:
+                if self._drop.chain:
+                    self.dropped.append(self._drop)
+                self._drop, self._marks_in = None, 0
+        elif self._unwanted:
+            self._marks_in -= tag in _LANDMARKS and not self._hard and self._marks_in > 0
         if c >= 0:
             self.end[c] = len(self.blocks)
             self._inside.pop()
+        if bad == HEAD:
+            blocks, containers, headings = self._heads.pop()
+            if headings:
+                if self._heads:
+                    self._heads[-1][2] += headings
+            else:
+                self._flush()
+                del self.blocks[blocks:], self.home[blocks:]
+                for k in range(containers, len(self.paths)):
+                    self.first[k] = self.end[k] = blocks
 
     def _close(self, tags: tuple[str, ...], fence: frozenset[str]) -> None:
         """End the innermost open element of ``tags`` unless a fence is nearer."""
@@ -178,10 +285,14 @@ class Page:
             m = _TOKEN.match(source, at)
             if m is None:  # an unfinished tag at the end
                 break
-            at = m.end()
+            place, at = at, m.end()
             text = m[7]
             if text is not None:
-                if not self._unwanted:
+                if self._drop and not self._hard and not self._links:
+                    chars = len(text.strip())
+                    self._drop.free += chars
+                    self._drop.landmark += chars if self._marks_in else 0
+                elif not self._unwanted:
                     text = html.unescape(text) if "&" in text else text
                     self._text.append(text)
                     if self._links:
@@ -211,7 +322,18 @@ class Page:
             if tag == "body":  # an unclosed head ends here
                 self._close(("head",), frozenset())
             if tag not in _VOID and not raw.endswith("/") or tag in _CONTAINER:
-                self._push(tag, raw)
+                self._push(tag, raw, place)
+
+    def misjudged(self) -> list[int]:
+        """Places of dropped elements that hold the article after all; outermost first."""
+        if not self.dropped:
+            return []
+        outside = sum(free for _, free in self.blocks)
+        kept = any(t in _LANDMARKS and e > f for t, f, e in zip(self.tags, self.first, self.end))
+        found = [d for d in self.dropped if d.landmark > outside and not (d.whole and kept)]
+        if not found and not any(t in _LANDMARKS for t in self.tags):
+            found = [d for d in self.dropped if d.form and d.paragraphs >= FORM_PARAGRAPHS and d.free > FORM_SHARE * outside]
+        return max(found, key=lambda d: (d.landmark, d.free)).chain if found else []
 
     def scores(self) -> list[float]:
         """Per container: unlinked characters of its own blocks, half of its children's, a quarter of theirs."""
@@ -253,6 +375,13 @@ class Page:
         return "\n".join(out)
 
 
+def read(source: str) -> Page:
+    """The page, read again where a dropped element turns out to hold the article."""
+    page = Page(source)
+    places = page.misjudged()
+    return Page(source, frozenset(places)) if places else page
+
+
 def votes(page: Page) -> dict[str, float]:
     """Share of the best score by path, for the containers that come near it; 1 for the widened
     best one, and half for what lies inside that."""
@@ -274,7 +403,7 @@ def extract(source: str | None, path: str | None) -> tuple[str, bool]:
     """(main text, whether the host's path gave it)."""
     if not source:
         return "", False
-    page = Page(source)
+    page = read(source)
     s = page.scores()
     own = page.text_of([page.widened(max(range(len(s)), key=lambda c: (s[c], -c)))]) if s else page.text_of([]) or "\n".join(t for t, _ in page.blocks)
     if path is not None:
@@ -288,7 +417,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         total: dict[tuple[str, str], list[float]] = {}
         for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            for path, v in votes(Page(source)).items() if source else ():
+            for path, v in votes(read(source)).items() if source else ():
                 t = total.setdefault((host, path), [0.0, 0])
                 t[0] += v
                 t[1] += 1

@@ -66,6 +66,27 @@ def test_extraction_keeps_what_surrounds_a_dominant_part(inner, tag):
     assert path.endswith(tag) and extract(page, path) == (want, True)
 
 
+LONG, SIDE = "body words of the article. " * 20, "side words. " * 10
+
+
+@pytest.mark.parametrize("inner, want", [
+    ("<div class='has-sidebar'><article><h1>T</h1><p>{a}</article><div class='sidebar'><p>{s}</div></div>", "T\n{a}"),
+    ("<div id='content-sidebar-wrap'><main><h1>T</h1><p>{a}</main><aside>{s}</aside></div>", "T\n{a}"),
+    ("<form id='f'><div class='c'><h1>T</h1><p>{a}<p>b<p>c</div></form>", "T\n{a}\nb\nc"),
+    ("<form id='f'><div class='site-menu-wrap'><main><h1>T</h1><p>{a}</main></div></form>", "T\n{a}"),
+    ("<article><h1>T</h1><div class='share-price'><p>{a}</div><section class='related-work'><p>{s}</section><p class='alert'>x"
+     "<div class='related-posts'>no</div><div class='share-buttons'>no</div></article>", "T\n{a}\n{s}\nx"),
+    ("<article><header class='entry-header'><h1>T</h1><div class='share'>no</div></header><p>{a}</p><header><p>no</header></article>", "T\n{a}"),
+    ("<article><div class='post-header'><h2>T</h2></div><p>{a}</p></article><div class='sidebar'><article>{a}{a}</article></div>", "T\n{a}"),
+    ("<div class='menu'><article><p>teaser</article></div><p>{a}", "{a}"),
+    ("<div id='comments'><article><p>{a}</article></div><p>short", "short"),
+    ("<article></article><form><p>Subscribe<p>to<p>this</form>", "")])
+def test_marks_are_judged_by_what_they_hold(inner, want):
+    page = ("<html><body><div id='cookie-notice'>We use cookies</div><header class='site'><h1>Site</h1></header>"
+            f"{inner.format(a=LONG, s=SIDE)}<footer>F</footer></body></html>")
+    assert extract(page, None)[0] == want.format(a=LONG.strip(), s=SIDE.strip())
+
+
 @pytest.mark.parametrize("source", ["<", "<p" * 20000, "<div>" * 20000 + "deep", "<a href='x>y", "<!-- open" * 2000, "<script>never", "</div>" * 20000,
                                     "<b><p>" * 10000, "\x00�&#0;&#1114112;&bogus;", "<td>1<td>2", "<p>a</p></p></body></html>b"])
 def test_broken_pages(source):
