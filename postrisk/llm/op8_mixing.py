@@ -10,11 +10,15 @@ source's target. The dual is convex; its token constraints separate by source, s
 one Newton iteration for all sources is one Spark aggregate over the distinct
 (source, size) pairs, guarded by a bracket. Iterations stop when every source is
 met to ``tolerance`` or after ``iterations``; what is left goes into the rounding.
+Sums are decimals, so they don't depend on the order of tasks.
 
 Rates become copies by error diffusion in blocks: a source is dealt into blocks
-of about ``block_rows`` documents by a hash of the id, a block visits its
-documents from long to short and carries the rounding error on, so a block ends
-within about half its shortest document of its share. No source is ever in one task.
+of about ``block_rows`` documents, a block visits its documents from long to short
+and carries the rounding error on, so a block ends within about half its shortest
+document of its share. Blocks are dealt by a hash of id, text and row key. Rows alike
+in all of these are first counted, and the count is cut into parts of an eighth of
+``block_rows``, each dealt on its own: neither a source nor an id (or null) nor
+a repeated row is ever in one task.
 
 Defined results: null and empty texts have size 0 and take nothing; a null
 source is a source of its own, last in order; a source without words has target
@@ -26,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -37,9 +41,9 @@ WEIGHTS = (5, 2, 1)
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
           row_col: str | None = None) -> DataFrame:
-    """id, source, size: the words of each whole text; with ``row_col`` also a hash of the text and that column."""
+    """id, source, size: the words of each whole text, a hash of the text, and with ``row_col`` that column as row."""
     n = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    own = [F.xxhash64(text_col).alias("tie"), F.col(row_col).cast("long").alias("row")] if row_col else []
+    own = [F.xxhash64(text_col).alias("tie"), *([F.col(row_col).cast("long").alias("row")] if row_col else [])]
     return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n.alias("size"), *own)
 
 
@@ -73,6 +77,11 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies:
     return x.select("source", "source_size", "n_docs", "max_size", target.alias("target"))
 
 
+def _exact_sum(x: Column) -> Column:
+    """A sum that is alike whatever the order of its terms."""
+    return F.sum(x.cast("decimal(38,9)")).cast("double")
+
+
 def solve_dual(hist: DataFrame, goal: DataFrame, max_copies: int, iterations: int, tolerance: float) -> DataFrame:
     """source, lam: Newton on sum n * min(cap, exp(lam * z)) = target with z = size / max_size.
 
@@ -93,8 +102,8 @@ def solve_dual(hist: DataFrame, goal: DataFrame, max_copies: int, iterations: in
         at = hist.alias("h").join(state.alias("s"), F.col("h.source").eqNullSafe(F.col("s.source"))) \
             .select("s.*", "h.size", "h.n")
         got = at.groupBy("source").agg(
-            F.sum(words * rate).alias("value"),
-            F.sum(F.when(rate < max_copies, words * rate * z).otherwise(0.0)).alias("slope"),
+            _exact_sum(words * rate).alias("value"),
+            _exact_sum(F.when(rate < max_copies, words * rate * z).otherwise(0.0)).alias("slope"),
             *[F.first(c).alias(c) for c in ("target", "max_size", "cap", "lam", "lo", "hi")])
         gap = F.col("value") - F.col("target")
         lo = F.when(gap < 0, F.col("lam")).otherwise(F.col("lo"))
@@ -114,16 +123,18 @@ def solve_dual(hist: DataFrame, goal: DataFrame, max_copies: int, iterations: in
 
 
 def round_block(block: pd.DataFrame) -> pd.DataFrame:
-    """Copies of one block: long documents first, each carries the words still owed to the next."""
-    own = [c for c in ("tie", "row") if c in block]
-    block = block.sort_values(["size", "doc_id", *own], ascending=[False] + [True] * (1 + len(own)), kind="stable")
+    """Copies of one block: long documents first, each carries the words still owed to the next. A line
+    of n rows alike gives n rows."""
+    own = [c for c in ("row",) if c in block]
+    keys = ["size", "doc_id", "tie", *own]
+    block = block.loc[block.index.repeat(block["n"])].sort_values(keys, ascending=[False] + [True] * (len(keys) - 1), kind="stable")
     owed, copies = 0.0, []
     for size, rate, most in zip(block["size"], block["rate"], block["most"]):
         owed += size * rate
         c = 0 if size == 0 else int(min(most, max(0, np.floor(owed / size + 0.5))))
         owed -= c * size
         copies.append(c)
-    return block.assign(copies=np.array(copies, np.int64))[["doc_id", "source", "size", "copies", *own[1:]]]
+    return block.assign(copies=np.array(copies, np.int64))[["doc_id", "source", "size", "copies", *own]]
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = 3, block_rows: int = 256,
@@ -142,9 +153,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int =
     rate = F.when(F.col("size") == 0, 0.0).otherwise(F.least(
         F.lit(float(max_copies)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("max_size"), F.lit(5.0)))))
     blocks = F.ceil(F.col("n_docs") / block_rows)
-    rated = (sized.alias("x").join(goal.alias("g"), F.col("x.source").eqNullSafe(F.col("g.source")))
+    if own:  # every row has its own key
+        dealt = sized.select("*", F.lit(1).alias("n"), F.lit(0).alias("part"))
+    else:
+        alike = sized.groupBy("doc_id", "source", "size", "tie").agg(F.count("*").alias("rows"))
+        most = max(1, block_rows // 8)
+        part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / most)))
+        dealt = alike.select("*", part.alias("part")).withColumn(
+            "n", F.least(F.lit(most), F.col("rows") - F.col("part") * most).cast("int")).drop("rows")
+    rated = (dealt.alias("x").join(goal.alias("g"), F.col("x.source").eqNullSafe(F.col("g.source")))
              .select("x.*", rate.alias("rate"), F.lit(max_copies).alias("most"),
-                     F.pmod(F.xxhash64("x.doc_id", F.lit("block")), blocks).alias("block")))
+                     F.pmod(F.xxhash64("x.doc_id", "x.tie", "x.part", *own, F.lit("block")), blocks).alias("block")))
     done = rated.groupBy("source", "block").applyInPandas(
         round_block, f"doc_id {kind}, source string, size long, copies long" + ", row long" * len(own))
     return (done.alias("x").join(goal.alias("g"), F.col("x.source").eqNullSafe(F.col("g.source")))

@@ -189,3 +189,26 @@ def test_mixing(odd, small):
         for s in want:
             assert abs(taken[s] - want[s]) <= max(0.02 * want[s], 0.6 * largest[s])
         same(got, pairs(mix(docs.repartition(5), block_rows=16), "doc_id", "source", "size", "source_size", "target", "taken"))
+
+
+def test_mixing_splits_hot_ids(spark, monkeypatch):
+    from postrisk.llm import op8_mixing as op8
+    biggest = spark.sparkContext.accumulator(0)
+    inner = op8.round_block
+
+    def counted(block):
+        biggest.add(int(block["n"].sum() > 80))
+        return inner(block)
+
+    monkeypatch.setattr(op8, "round_block", counted)
+    rows = [(None, "same words in every row", "a")] * 900 + [(None, f"word {'x ' * (i % 9)}", "a") for i in range(300)] + [
+        (i, f"other {'y ' * (i % 30)}", "b") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mix(docs, block_rows=16).persist()
+    assert out.count() == len(rows)
+    for r in out.groupBy("source").agg({"taken": "sum", "target": "max"}).collect():
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 0.02 * r["max(target)"], r
+    assert out.where("copies > 3").isEmpty()
+    kinds = out.groupBy("doc_id", "size", "copies").count()
+    again = mix(docs.repartition(7), block_rows=16).groupBy("doc_id", "size", "copies").count()
+    assert kinds.exceptAll(again).isEmpty() and biggest.value == 0
