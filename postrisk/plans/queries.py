@@ -854,6 +854,122 @@ select {sql_metrics()}, tn, fp, fn, tp from (
          count(*) filter (where P_hoax < 0.5 and label = 1) as fn,
          count(*) filter (where P_hoax < 0.5 and label = 0) as tn from nb_scored where split = 'val')""")
 
+from postrisk.operators import boosting  # noqa: E402
+from postrisk.session import materialize  # noqa: E402
+
+BOOST_ROUNDS, BOOST_DEPTH = 8, 4
+
+
+def boosting_rows(spark, sf_dir):
+    """Binned rows of the train and the validation part; vocabulary, idf and cuts come from the train part."""
+    docs = materialize(split_docs(spark, sf_dir).withColumn("text", clean_text("text")).select("post_id", "text", "label", "split"), "boost-docs")
+    train = docs.filter(F.col("split") == "train")
+    rows = models.positive_weights(train).drop("text")
+    weights = materialize(models.tfidf_table(docs, max_features=TFIDF_TERMS, fit=train), "boost-weights")
+    cuts = materialize(boosting.term_cuts(weights, rows), "boost-cuts")
+    val = docs.filter(F.col("split") == "val").drop("text")
+    return boosting.binned_rows(weights, rows, cuts), boosting.binned_rows(weights, val, cuts)
+
+
+@view
+def boosted(spark, sf_dir):
+    """M3: trees boosted on whole train texts score the validation part."""
+    train, val = boosting_rows(spark, sf_dir)
+    return boosting.score(val, boosting.fit(train, rounds=BOOST_ROUNDS, depth=BOOST_DEPTH))
+
+
+@query("boost_split_gains")
+def q_boost_gains(spark, sf_dir):
+    """M3: the best regularised second-order split of every term at the first tree's root, on whole train texts."""
+    train = materialize(boosting_rows(spark, sf_dir)[0], "boost-train")
+    best = boosting.root_gains(train)
+    return best.select("term", "bin", "absent_right", r("gain"))
+
+
+@query("boosted_scores")
+def q_boosted_scores(spark, sf_dir):
+    """M3, M5: second-order boosted trees, fitted on whole train texts, score the validation part."""
+    return boosted(spark, sf_dir).select("post_id", "label", r("P_hoax"))
+
+
+@query("boosted_validation")
+def q_boosted_validation(spark, sf_dir):
+    """M4: accuracy, precision, recall and macro F1 of the boosted trees on the validation part."""
+    return evaluation.classification_report(boosted(spark, sf_dir), threshold=0.5).drop("confusion_matrix")
+
+
+_UNIT = f"{boosting.SCALE}::double"
+
+
+def _sql_gains(hist: str, totals: str) -> str:
+    """node, term, bin, absent_right, gain of all splits of a histogram whose sides hold one unit of curvature."""
+    return f"""select node, term, bin, absent_right, (a * a / (ah + 1.0::double) + b * b / (bh + 1.0::double) - c * c / (ch + 1.0::double)) / 2 as gain
+from (select node, term, bin, absent_right, gl / {_UNIT} as a, hl / {_UNIT} as ah, (gt - gl) / {_UNIT} as b, (ht - hl) / {_UNIT} as bh,
+  gt / {_UNIT} as c, ht / {_UNIT} as ch from (
+  select node, term, bin, unnest([false, true]) as absent_right, unnest([gt - gu, gp - gu]) as gl, unnest([ht - hu, hp - hu]) as hl, gt, ht, low from (
+    select h.node, term, bin, sum(g) over u as gu, sum(h) over u as hu, sum(g) over p as gp, sum(h) over p as hp, min(bin) over p as low, gt, ht
+    from {hist} h join {totals} t on h.node = t.node
+    window u as (partition by h.node, term order by bin desc), p as (partition by h.node, term)))
+  where not absent_right or bin > low) where ah >= 1 and bh >= 1"""
+
+
+def _sql_boosting(rounds: int, depth: int) -> str:
+    """The trees, unrolled: one histogram, one choice and one move for every level."""
+    p = "(1.0::double / (1.0::double + exp(-m)))"
+    out = [", s0 as materialized (select post_id, split, label, rw, 0.0::double as m from boost_posts)"]
+    for t in range(rounds):
+        out.append(f"""d{t}_0 as materialized (select post_id, split, m, 1 as node, cast(round(rw * ({p} - label) * {boosting.SCALE}) as bigint) as g,
+  cast(round(rw * {p} * (1.0::double - {p}) * {boosting.SCALE}) as bigint) as h from s{t})""")
+        for k in range(depth):
+            d = f"d{t}_{k}"
+            out += [f"t{t}_{k} as materialized (select node, sum(g) as gt, sum(h) as ht from {d} where split = 'train' and node >= {1 << k} group by node)",
+                    f"""h{t}_{k} as materialized (select node, term, bin, sum(g) as g, sum(h) as h from {d} d join boost_bins using (post_id)
+  where d.split = 'train' and node >= {1 << k} group by node, term, bin)""",
+                    f"""b{t}_{k} as materialized (select node, term, bin, absent_right from ({_sql_gains(f'h{t}_{k}', f't{t}_{k}')}) where gain > 0
+  qualify row_number() over (partition by node order by gain desc, term, bin, absent_right) = 1)""",
+                    f"""d{t}_{k + 1} as materialized (select d.post_id, d.split, d.m, d.g, d.h, case when b.node is null then d.node
+  else 2 * d.node + cast(coalesce(c.bin >= b.bin, b.absent_right) as integer) end as node
+  from {d} d left join b{t}_{k} b on d.node = b.node left join boost_bins c on d.post_id = c.post_id and c.term = b.term)"""]
+        out += [f"""v{t} as materialized (select node, -0.3::double * (sum(g) / {_UNIT}) / (sum(h) / {_UNIT} + 1.0::double) as v
+  from d{t}_{depth} where split = 'train' group by node)""",
+                f"""s{t + 1} as materialized (select s.post_id, s.split, s.label, s.rw, s.m + coalesce(v.v, 0) as m
+  from s{t} s join d{t}_{depth} d on s.post_id = d.post_id left join v{t} v on d.node = v.node)"""]
+    return ",\n".join(out)
+
+
+cte("boost_posts", ("sdocs",), """
+select post_id, split, label, text, case when label = 1 then n0 / greatest(n1, 1) else 1.0::double end as rw from sdocs,
+  (select count(*) filter (where label = 0) as n0, count(*) filter (where label = 1) as n1 from sdocs where split = 'train')""")
+cte("boost_levels", ("boost_posts",), f"""
+select post_id, split, rw, term, cast(floor(sqrt(round(w / sqrt(sum(w * w) over (partition by post_id)), 9)) * {boosting.GRID}) as integer) as level
+from (select post_id, split, rw, term, tf * (ln((n + 1) / (df + 1)) + 1) as w from (
+  select post_id, split, rw, term, count(*) as tf from (
+    select post_id, split, rw, unnest(string_split(text, ' ')) as term from boost_posts where text <> '') where length(term) >= 2 group by all) join (
+  select term, count(*) as total, count(distinct post_id) as df from (
+    select post_id, unnest(string_split(text, ' ')) as term from boost_posts where text <> '' and split = 'train') where length(term) >= 2
+  group by term order by total desc, term limit {TFIDF_TERMS}) using (term), (select count(*) as n from boost_posts where split = 'train'))""")
+cte("boost_bins", ("boost_levels",), f"""
+select l.post_id, l.split, l.rw, l.term, cast(coalesce(s.bin, 1) as integer) as bin from boost_levels l asof left join (
+  select term, start, row_number() over (partition by term order by start) as bin from (
+    select term, ({boosting.BINS} * before) // greatest(total, 1) as share, min(level) as start from (
+      select term, level, sum(rw) over (partition by term order by level) - rw as before, sum(rw) over (partition by term) as total from (
+        select term, level, cast(sum(cast(round(rw * {boosting.SCALE}) as bigint)) as bigint) as rw from boost_levels where split = 'train' group by term, level))
+    group by all)) s on l.term = s.term and l.level >= s.start""")
+
+oracle("boost_split_gains", ("boost_posts", "boost_bins"), f"""
+, unit as (select post_id, cast(round(rw * (0.5::double - label) * {boosting.SCALE}) as bigint) as g,
+  cast(round(rw * 0.5::double * 0.5::double * {boosting.SCALE}) as bigint) as h from boost_posts where split = 'train'),
+t as (select 1 as node, sum(g) as gt, sum(h) as ht from unit),
+h as (select 1 as node, term, bin, sum(g) as g, sum(h) as h from unit join boost_bins using (post_id) group by term, bin)
+select term, bin, absent_right, {r6('gain')} from ({_sql_gains('h', 't')})
+qualify row_number() over (partition by term order by gain desc, bin, absent_right) = 1""")
+oracle("boosted_scores", ("boost_posts", "boost_bins"), _sql_boosting(BOOST_ROUNDS, BOOST_DEPTH) + f"""
+select post_id, label, {r6('1 / (1 + exp(-m))', 'P_hoax')} from s{BOOST_ROUNDS} where split = 'val'""")
+oracle("boosted_validation", ("boost_posts", "boost_bins"), _sql_boosting(BOOST_ROUNDS, BOOST_DEPTH) + f"""
+select {sql_metrics()}, tn, fp, fn, tp from (
+  select count(*) filter (where m >= 0 and label = 1) as tp, count(*) filter (where m >= 0 and label = 0) as fp,
+    count(*) filter (where m < 0 and label = 1) as fn, count(*) filter (where m < 0 and label = 0) as tn from s{BOOST_ROUNDS} where split = 'val')""")
+
 cte("nb_posts", ("cleaned", "nb_odds", "nb_bias"), """
 select c.*, 1 / (1 + exp(-(coalesce(s, 0) + (select bias from nb_bias)))) as P_hoax, coalesce(s, 0) + (select bias from nb_bias) as a
 from cleaned c left join (select post_id, sum(coalesce(log_odds, 0)) as s from
@@ -939,7 +1055,6 @@ def _doc_tokens(spark, sf_dir):
 
 
 from postrisk.operators import subwords  # noqa: E402
-from postrisk.session import materialize  # noqa: E402
 
 
 @query("token_cleanup")
