@@ -130,6 +130,43 @@ def test_substrings(odd, small):
         same(pairs(substring_dedup(docs, with_text=False), "*"), brute.substrings(pairs(docs, "doc_id", "text")))
 
 
+def test_windows_with_one_fingerprint_are_verified():
+    """Windows that share the first fingerprint only are different."""
+    import numpy as np
+    import pyarrow as pa
+    from postrisk.llm import op10_substring_dedup as op10
+    u = lambda *x: np.array(x, np.uint64).tobytes()
+    ids, ref = np.array([1, 2], np.int64).tobytes(), lambda *x: np.array(x, np.uint16).tobytes()
+    t = pa.table({"part": pa.array([0, 0], pa.int32()), "block": [5, 6], "windows": [u(7, 8), u(7, 8)], "seconds": [u(1, 2), u(9, 2)],
+                  "ids": [ids, ids], "owner": [ref(0, 0), ref(1, 1)]})
+    back = op10._earlier(t)
+    assert back.column("block").to_pylist() == [6] and back.column("payload")[0].as_py() == u(8, 2)
+    text = " ".join(f"w{i}" for i in range(20))
+    batch = pa.RecordBatch.from_arrays([pa.array([3], pa.int64()), pa.array([text])], ["doc_id", "text"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    block = sink.getvalue().to_pybytes()
+    p = op10.Parsed(pa.array([text]), np.array([3]))
+    for wrong, n in ((0, 14), (1, 0)):
+        told = np.concatenate([p.fp[2:4], p.second(np.array([2, 3])) + np.uint64(wrong)]).tobytes()
+        got = op10._cut(False)(pa.table({"part": pa.array([None, 0], pa.int32()), "payload": [block, told]}))
+        assert got.column("n_removed").to_pylist() == [n]
+
+
+def test_word_marks_depend_on_bytes_alone(monkeypatch):
+    import numpy as np
+    from postrisk.llm import op10_substring_dedup as op10
+    words = [b"a", b"ab", b"ba", b"a" * 50, b"a" * 49 + b"b", "é".encode(), b"ab"] * 3
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - [len(w) for w in words]
+    marks = op10.word_marks(data, starts, ends)
+    monkeypatch.setattr(op10, "MARK_BYTES", 7)
+    assert (op10.word_marks(data, starts, ends) == marks).all()
+    assert len(set(marks.tolist())) == len(set(words)) and len(set(zip(words, marks.tolist()))) == len(set(words))
+
+
 def test_tokens(spark, odd, small):
     from tokenizers import Tokenizer
     lib = Tokenizer.from_file(q.token_file())
