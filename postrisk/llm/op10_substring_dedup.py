@@ -30,8 +30,9 @@ number of words, so a range is always about ``WORDS_PER_PART`` words' share.
 
 Windows meet by a 64-bit fingerprint and are verified by a second one, which reads
 their bytes again with another function: every byte of a word is hashed together
-with its place, and every word with its place in the window. Both must agree, so with
-10^13 windows a wrong match is less likely than one in 10^12.
+with its place, and every word with its place in the window. 32 bits of it are kept.
+Both must agree (96 bits), so among 10^13 windows a single wrong match has a chance
+of under one in a thousand.
 
 Defined results: null, empty and short texts keep their words; a null id counts
 as larger than every other; rows that share an id never remove from each other;
@@ -158,15 +159,15 @@ class Parsed:
 
 
     def second(self, windows: np.ndarray) -> np.ndarray:
-        """Second fingerprints of the windows with these numbers."""
+        """Second fingerprints (32 bits) of the windows with these numbers."""
         if not len(windows):
-            return np.zeros(0, _U)
+            return np.zeros(0, np.uint32)
         if self._marks is None:
             self._marks = word_marks(self.data, self.w.starts, self.w.ends)
         out, at = np.zeros(len(windows), _U), self.at[windows]
         for k in range(WINDOW):
             out += mix(self._marks[at + k] + _U(k * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF))
-        return mix(out)
+        return (mix(out) >> _U(32)).astype(np.uint32)
 
 
 def _groups(fp: np.ndarray, second: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +186,7 @@ def _least(fp: np.ndarray, second: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 def _joint(fp: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix(fp + mix(second + _U(0x9E3779B97F4A7C15)))
+    return mix(fp + mix(second.astype(_U) + _U(0x9E3779B97F4A7C15)))
 
 
 def _code(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -306,7 +307,7 @@ def _earlier(t: pa.Table) -> pa.Table:
         fp = np.frombuffer(f.as_py(), _U)
         ref = np.frombuffer(o.as_py(), np.uint16 if len(o.as_py()) == 2 * len(fp) else np.uint32)
         fps.append(fp)
-        seconds.append(np.frombuffer(s.as_py(), _U))
+        seconds.append(np.frombuffer(s.as_py(), np.uint32))
         own.append(np.frombuffer(i.as_py(), np.int64)[ref])
     fp, second, owner = np.concatenate(fps), np.concatenate(seconds), np.concatenate(own)
     late = _least(fp, second, owner) < owner
@@ -316,7 +317,7 @@ def _earlier(t: pa.Table) -> pa.Table:
         lo = hi - len(fps[k])
         if late[lo:hi].any():
             blocks.append(b)
-            payload.append(np.concatenate([x[lo:hi][late[lo:hi]] for x in (fp, second)]).tobytes())
+            payload.append(b"".join(x[lo:hi][late[lo:hi]].tobytes() for x in (fp, second)))
     return pa.table({"block": pa.array(blocks, pa.int64()), "part": pa.array([0] * len(blocks), pa.int32()),
                      "payload": pa.array(payload, pa.binary())})
 
@@ -336,9 +337,10 @@ def _cut(with_text: bool):
             again[order[1:][equal]] = again[order[:-1][equal]] = True
             again = np.flatnonzero(again)
             late[again] = p.owner[again] > _least(p.fp[again], p.second(again), p.owner[again])
-            told = [np.frombuffer(x, _U).reshape(2, -1) for k, x in zip(part, payload) if k is not None]
+            told = [x for k, x in zip(part, payload) if k is not None]  # first fingerprints, then second ones
             if told:
-                first, second = np.concatenate(told, axis=1)
+                first = np.concatenate([np.frombuffer(x, _U, len(x) // 12) for x in told])
+                second = np.concatenate([np.frombuffer(x, np.uint32, offset=len(x) // 12 * 8) for x in told])
                 met = np.flatnonzero(np.isin(p.fp, first))
                 late[met] |= np.isin(_joint(p.fp[met], p.second(met)), _joint(first, second))
             removed = covered(p.at[late], WINDOW, len(p.w))

@@ -135,12 +135,12 @@ def test_windows_with_one_fingerprint_are_verified():
     import numpy as np
     import pyarrow as pa
     from postrisk.llm import op10_substring_dedup as op10
-    u = lambda *x: np.array(x, np.uint64).tobytes()
+    u, v = (lambda *x, t=t: np.array(x, t).tobytes() for t in (np.uint64, np.uint32))
     ids, ref = np.array([1, 2], np.int64).tobytes(), lambda *x: np.array(x, np.uint16).tobytes()
-    t = pa.table({"part": pa.array([0, 0], pa.int32()), "block": [5, 6], "windows": [u(7, 8), u(7, 8)], "seconds": [u(1, 2), u(9, 2)],
+    t = pa.table({"part": pa.array([0, 0], pa.int32()), "block": [5, 6], "windows": [u(7, 8), u(7, 8)], "seconds": [v(1, 2), v(9, 2)],
                   "ids": [ids, ids], "owner": [ref(0, 0), ref(1, 1)]})
     back = op10._earlier(t)
-    assert back.column("block").to_pylist() == [6] and back.column("payload")[0].as_py() == u(8, 2)
+    assert back.column("block").to_pylist() == [6] and back.column("payload")[0].as_py() == u(8) + v(2)
     text = " ".join(f"w{i}" for i in range(20))
     batch = pa.RecordBatch.from_arrays([pa.array([3], pa.int64()), pa.array([text])], ["doc_id", "text"])
     sink = pa.BufferOutputStream()
@@ -149,7 +149,7 @@ def test_windows_with_one_fingerprint_are_verified():
     block = sink.getvalue().to_pybytes()
     p = op10.Parsed(pa.array([text]), np.array([3]))
     for wrong, n in ((0, 14), (1, 0)):
-        told = np.concatenate([p.fp[2:4], p.second(np.array([2, 3])) + np.uint64(wrong)]).tobytes()
+        told = p.fp[2:4].tobytes() + (p.second(np.array([2, 3])) + np.uint32(wrong)).tobytes()
         got = op10._cut(False)(pa.table({"part": pa.array([None, 0], pa.int32()), "payload": [block, told]}))
         assert got.column("n_removed").to_pylist() == [n]
 
