@@ -970,6 +970,99 @@ select {sql_metrics()}, tn, fp, fn, tp from (
   select count(*) filter (where m >= 0 and label = 1) as tp, count(*) filter (where m >= 0 and label = 0) as fp,
     count(*) filter (where m < 0 and label = 1) as fn, count(*) filter (where m < 0 and label = 0) as tn from s{BOOST_ROUNDS} where split = 'val')""")
 
+import math  # noqa: E402
+
+from postrisk.constants import SPLIT_SEED  # noqa: E402
+from postrisk.operators import forest  # noqa: E402
+
+FOREST_TREES, FOREST_DEPTH = 24, 6
+
+
+@view
+def forested(spark, sf_dir):
+    """M2: a forest grown on whole train texts scores the validation part (class weights as in boosting: a common
+    factor changes no split)."""
+    train, val = boosting_rows(spark, sf_dir)
+    grown = forest.fit(train, TFIDF_TERMS, n_trees=FOREST_TREES, depth=FOREST_DEPTH)
+    scored = val.select("post_id", "label").join(forest.score(val, grown), "post_id")
+    return grown, materialize(scored, "forest-scores")
+
+
+@query("forest_scores")
+def q_forest_scores(spark, sf_dir):
+    """M2, M5: the level-wise forest, fitted on whole train texts, scores the validation part."""
+    return forested(spark, sf_dir)[1].select("post_id", "label", r("P_hoax"))
+
+
+@query("forest_nodes")
+def q_forest_nodes(spark, sf_dir):
+    """M2: every node of the forest, with its rows, class weights and split."""
+    nodes = forested(spark, sf_dir)[0].nodes
+    return nodes.select("tree", "node", "n", "w0", "w1", "term", "bin", r("gain"))
+
+
+@query("forest_validation")
+def q_forest_validation(spark, sf_dir):
+    """M4: accuracy, precision, recall and macro F1 of the forest on the validation part."""
+    return evaluation.classification_report(forested(spark, sf_dir)[1], threshold=0.5).drop("confusion_matrix")
+
+
+def _sql_number(text: str, start: int) -> str:
+    return f"cast('0x' || substr(md5({text}), {start}, 8) as bigint)"
+
+
+def _sql_forest(trees: int, depth: int) -> str:
+    """The forest, unrolled: one histogram, one choice and one move for every level of all trees."""
+    unit, prime, seed = f"{forest.SCALE}::double", forest.PRIME, SPLIT_SEED
+    copies = " + ".join(f"cast(u >= {s} as integer)" for s in forest.poisson_steps())
+    share = int(1 / math.sqrt(TFIDF_TERMS) * prime)
+    out = [f""", fdraw as (select post_id, split, label, cast(round(rw * {forest.SCALE}) as bigint) as w, tree,
+  {_sql_number(f"'{seed}:' || tree || ':' || post_id", 1)} as u from boost_posts, range({trees}) t(tree))""",
+           f"""f0 as materialized (select post_id, split, label, cast(tree as integer) as tree, cast(1 as bigint) as node, case when split = 'train' then w * ({copies}) else 0 end as w,
+  ({copies}) > 0 and split = 'train' as used from fdraw)""",
+           f"fterms as materialized (select term, {_sql_number('term', 1)} % {prime} as slot from (select distinct term from boost_bins))",
+           "fbins as materialized (select post_id, term, bin, slot from boost_bins join fterms using (term))"]
+
+    def side(a, b):
+        return f"(({a} / {unit}) * ({a} / {unit}) + ({b} / {unit}) * ({b} / {unit})) / ({a} / {unit} + {b} / {unit})"
+
+    for k in range(depth):
+        low = 1 << k
+        out += [f"""ft{k} as materialized (select tree, node, sum(case when label = 0 then w else 0 end)::bigint as t0, sum(case when label = 1 then w else 0 end)::bigint as t1, count(*) as tn,
+  {_sql_number(f"'{seed}:' || tree || ':' || node", 1)} % {prime - 1} + 1 as a, {_sql_number(f"'{seed}:' || tree || ':' || node", 9)} % {prime} as b
+  from f{k} where used and node >= {low} group by tree, node)""",
+                f"""fh{k} as materialized (select tree, node, term, bin, any_value(t0) as t0, any_value(t1) as t1, any_value(tn) as tn,
+  sum(case when label = 0 then w else 0 end)::bigint as w0, sum(case when label = 1 then w else 0 end)::bigint as w1, count(*) as n
+  from f{k} join ft{k} using (tree, node) join fbins using (post_id) where used and (a * slot + b) % {prime} < {share} group by tree, node, term, bin)""",
+                f"""fb{k} as materialized (select tree, node, term, bin, gain from (select tree, node, term, bin,
+    {side('(t0 - r0)', '(t1 - r1)')} + {side('r0', 'r1')} - {side('t0', 't1')} as gain from (
+    select *, sum(w0) over up as r0, sum(w1) over up as r1, sum(n) over up as rn from fh{k}
+    window up as (partition by tree, node, term order by bin desc))
+    where t0 > 0 and t1 > 0 and rn >= 1 and tn - rn >= 1 and t0 - r0 + t1 - r1 > 0 and r0 + r1 > 0) where gain > 1e-9
+  qualify row_number() over (partition by tree, node order by gain desc, term, bin) = 1)""",
+                f"""f{k + 1} as materialized (select d.post_id, d.split, d.label, d.tree, d.w, d.used,
+  case when b.term is null then d.node else 2 * d.node + cast(coalesce(c.bin >= b.bin, false) as integer) end as node
+  from f{k} d left join fb{k} b on d.tree = b.tree and d.node = b.node left join boost_bins c on c.post_id = d.post_id and c.term = b.term)"""]
+    out.append("fleaf as materialized (select tree, node, cast(round(sum(case when label = 1 then w else 0 end)::bigint / "
+               f"{unit} / (sum(w)::bigint / {unit}) * {1 << 30}) as bigint) as p from f{depth} where used group by tree, node)")
+    out.append(f"""fscored as materialized (select post_id, any_value(label) as label, sum(p)::bigint / (count(p) * {1 << 30}::double) as P_hoax
+  from f{depth} left join fleaf using (tree, node) where split = 'val' group by post_id)""")
+    return ",\n".join(out)
+
+
+oracle("forest_scores", ("boost_posts", "boost_bins"), _sql_forest(FOREST_TREES, FOREST_DEPTH) + f"""
+select post_id, label, {r6('P_hoax')} from fscored""")
+oracle("forest_nodes", ("boost_posts", "boost_bins"), _sql_forest(FOREST_TREES, FOREST_DEPTH) + ", fall as (" + " union all ".join(
+    [f"""select t.tree, t.node, tn as n, t0 as w0, t1 as w1, term, bin, gain from ft{k} t left join fb{k} b on t.tree = b.tree and t.node = b.node"""
+     for k in range(FOREST_DEPTH)]) + f""" union all
+  select tree, node, count(*), sum(case when label = 0 then w else 0 end)::bigint, sum(case when label = 1 then w else 0 end)::bigint, null, null, null
+  from f{FOREST_DEPTH} where used and node >= {1 << FOREST_DEPTH} group by tree, node)
+select tree, node, n, w0, w1, term, bin, {r6('gain')} from fall""")
+oracle("forest_validation", ("boost_posts", "boost_bins"), _sql_forest(FOREST_TREES, FOREST_DEPTH) + f"""
+select {sql_metrics()}, tn, fp, fn, tp from (
+  select count(*) filter (where P_hoax >= 0.5 and label = 1) as tp, count(*) filter (where P_hoax >= 0.5 and label = 0) as fp,
+    count(*) filter (where P_hoax < 0.5 and label = 1) as fn, count(*) filter (where P_hoax < 0.5 and label = 0) as tn from fscored)""")
+
 cte("nb_posts", ("cleaned", "nb_odds", "nb_bias"), """
 select c.*, 1 / (1 + exp(-(coalesce(s, 0) + (select bias from nb_bias)))) as P_hoax, coalesce(s, 0) + (select bias from nb_bias) as a
 from cleaned c left join (select post_id, sum(coalesce(log_odds, 0)) as s from
