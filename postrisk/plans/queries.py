@@ -325,6 +325,62 @@ select g.post_id, g.annotator,
 from ann_gaps g join documents d on cast(d.doc_id as varchar) = g.post_id""")
 
 
+from postrisk.operators import ledger  # noqa: E402
+from postrisk.session import materialize, scratch_path  # noqa: E402
+
+
+def moody_labeller(prompts, temperature, seed):
+    """Deterministic stand-in for a model that fails at times: by prompt length and seed, for some lengths always."""
+    n = prompts.str.len()
+    bad = (n % 7 == 0) | ((n + seed) % 3 == 0)
+    return (n % 2).where(~bad, -1), [f"stub s={seed}"] * len(prompts)
+
+
+@view
+def ledger_run(spark, sf_dir):
+    """A4: a labelling run that is stopped after three commits and then started again."""
+    sheets = fixtures.incomplete_sheets(spark, sf_dir).join(
+        read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("post_id"), "text"), "post_id")
+    sheets, path = materialize(sheets, "ledger-sheets"), scratch_path(spark, "ledger")
+    ledger.run_ledger(sheets, moody_labeller, path, commits=4, stop_after=3)
+    ledger.run_ledger(sheets, moody_labeller, path, commits=4)
+    return sheets, path
+
+
+@query("labelling_ledger")
+def q_ledger(spark, sf_dir):
+    """A4: every sheet row's label, reason and number of attempts after a stopped and resumed run with retries."""
+    return ledger.labelled(*ledger_run(spark, sf_dir))
+
+
+@query("labelling_attempts")
+def q_attempts(spark, sf_dir):
+    """A4: attempts and failures by annotator and attempt, from the ledger of the same run."""
+    log = ledger.read_ledger(spark, ledger_run(spark, sf_dir)[1])
+    return log.groupBy("annotator", "attempt").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label").isNull()).alias("n_failed"),
+                                                   F.countDistinct("work").alias("n_work"))
+
+
+cte("ledger_sheets", ("ann_gaps",), f"""
+select g.post_id, g.annotator, g.label as given, d.text, {_STUB_SQL_PREFIX_LEN} + length(regexp_replace(d.text,
+    '^[\\p{{Z}}\\t-\\r\\x{{1c}}-\\x{{1f}}\\x{{85}}]+|[\\p{{Z}}\\t-\\r\\x{{1c}}-\\x{{1f}}\\x{{85}}]+$', '', 'g')) as n,
+  case g.annotator when 'annotator_1' then 101 when 'annotator_2' then 202 else 303 end as seed
+from ann_gaps g join documents d on cast(d.doc_id as varchar) = g.post_id""")
+cte("ledger_tries", ("ledger_sheets",), """
+select *, case when n % 7 = 0 then 3 when (n + seed) % 3 = 0 then 2 else 1 end as tries from ledger_sheets""")
+oracle("labelling_ledger", ("ledger_tries",), """
+select post_id, annotator, coalesce(given, case when n % 7 <> 0 then cast(n % 2 as integer) end) as label,
+  case when given is not null then 'existing label' when n % 7 = 0 then 'error: invalid label -1'
+       else 'stub s=' || (seed + tries - 1) end as auto_reason,
+  case when given is not null then 0 else tries end as attempts from ledger_tries""")
+oracle("labelling_attempts", ("ledger_tries",), """
+, works as (select distinct post_id, annotator, n, tries, regexp_replace(text, '^[\\p{Z}\\t-\\r\\x{1c}-\\x{1f}\\x{85}]+|[\\p{Z}\\t-\\r\\x{1c}-\\x{1f}\\x{85}]+$', '', 'g') as t
+  from ledger_tries where given is null),
+each as (select *, unnest(range(1, tries + 1)) as attempt from works)
+select annotator, cast(attempt as integer) as attempt, count(*) as n, count(*) filter (where attempt < tries or n % 7 = 0) as n_failed, count(*) as n_work
+from each group by all""")
+
+
 @query("majority_vote")
 def q_votes(spark, sf_dir):
     return annotation.majority_vote(fixtures.annotator_labels(spark, sf_dir))
