@@ -102,17 +102,15 @@ def trie_edges(words: DataFrame) -> DataFrame:
     """depth, node, symbol, next: one row for each edge of the trie of ``word``. A node is named by its prefix.
 
     ``next`` lists what the child's words go on with, each after a bar: their next two symbols, one and ``$`` for
-    a word that ends after it, ``$`` for one that ends at the child."""
-    steps = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word"))).alias("depth"))
-    steps = steps.select("depth", F.substring(F.col("word"), F.lit(1), F.col("depth")).alias("node"),
-                         F.substring(F.concat("word", F.lit("$")), F.col("depth") + 1, F.lit(1)).alias("symbol"))
-    steps = write_cut(steps.groupBy("depth", "node", "symbol").agg(F.lit(1).alias("one")).drop("one"), "op13-steps")
-    # a node has at most as many entries as the alphabet has pairs of symbols
-    up = steps.where("depth > 0").select(F.substring(F.col("node"), F.lit(1), F.col("depth") - 1).alias("child"),
-                                         F.concat(F.substring(F.col("node"), F.col("depth"), F.lit(1)), "symbol").alias("gram"))
-    ends = steps.where("symbol = '$'").select(F.col("node").alias("child"), F.lit("$").alias("gram"))
-    nodes = up.unionByName(ends).groupBy("child").agg(F.concat(F.lit("|"), F.array_join(F.array_sort(F.collect_list("gram")), "|")).alias("next"))
-    return steps.where("symbol <> '$'").withColumn("child", F.concat("node", "symbol")).join(nodes, "child").drop("child")
+    a word that ends after it, ``$`` for one that ends at the child. Words one edit apart have whole parts whose
+    lengths differ by one at most, so a word's path is needed from the depth before its own whole part."""
+    steps = words.select("word", F.explode(F.sequence(F.greatest(F.col("whole") - 1, F.lit(2)), F.length("word") - 1)).alias("depth"))
+    grams = steps.select("depth", F.substring(F.col("word"), F.lit(1), F.col("depth")).alias("node"), _symbol(F.col("depth")).alias("symbol"),
+                         F.substring(F.concat("word", F.lit("$")), F.col("depth") + 2, F.lit(2)).alias("gram"))
+    grams = grams.groupBy("depth", "node", "symbol", "gram").agg(F.lit(1).alias("one"))
+    # a child has at most as many entries as the alphabet has pairs of symbols
+    return grams.groupBy("depth", "node", "symbol").agg(
+        F.concat(F.lit("|"), F.array_join(F.array_sort(F.collect_list("gram")), "|")).alias("next"))
 
 
 def _symbol(at) -> F.Column:
@@ -156,12 +154,10 @@ def frontier(words: DataFrame, edges: DataFrame, levels: int) -> DataFrame:
                  .select("word", "len", F.concat("node", "symbol").alias("node"), "at", F.lit(1).alias("edits")))
         after = write_cut(met.unionByName(moved), f"op13-{depth}")
         # on the end of the word a state that was kept stands on a word's node
-        found.append(after.where("edits = 1 and at = len").select("word", F.col("node").alias("near")))
+        found.append(after._scratch)
         state = after.where("edits = 0 or at < len")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    every = words.sparkSession.read.schema(after.schema).parquet(*found)  # one scan for all levels
+    return every.where("edits = 1 and at = len").select("word", F.col("node").alias("near"))
 
 
 def _near(a, b) -> F.Column:
@@ -187,7 +183,9 @@ def neighbours(words: DataFrame, levels: int = LEVELS) -> DataFrame:
             body = F.expr(f"substring({c}, 2)")
             return F.when(F.startswith("word", F.lit(BACKWARD)), F.reverse(body)).otherwise(body).alias(c)
         pairs = pairs.unionByName(met.select(plain("word"), plain("near")))
-    return pairs.distinct()
+    # dealt by ``near`` alone, so that the join with its count needs no further exchange; a word has at most as many
+    # neighbours as it has places by symbols
+    return pairs.repartition("near").distinct()
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
