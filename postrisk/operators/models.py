@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from postrisk.constants import N_TREES, SPLIT_SEED, TFIDF_MAX_FEATURES
 from postrisk.functions.text import words
-from postrisk.session import materialize
+from postrisk.session import by_key, materialize
 
 TOKEN_PATTERN = "[a-z0-9]{2,}"
 BROADCAST_MAX_TERMS = 2_000_000  # words of two or more characters of cleaned text
@@ -27,9 +27,11 @@ def tfidf_table(df: DataFrame, text_col: str = "text", key: str = "post_id",
     ``max_features`` most frequent terms (ties by term) of ``fit`` (default: ``df``),
     smoothed idf ``ln((1+n)/(1+df)) + 1`` and per-document L2 normalisation.
 
-    Term counts are map-side combined; the vocabulary is a bounded top-k and
-    therefore broadcast; the norm is a window per document."""
-    fit = df if fit is None else fit
+    Texts are dealt by key into tasks of a bounded length (``df`` and ``fit`` are stored tables), so a
+    document is counted and normed where it lies and a task's counts don't grow with the table; the
+    vocabulary is a bounded top-k and therefore broadcast; the norm is a window per document."""
+    dealt = by_key(df.select(key, text_col), key, text_col)
+    fit, df = dealt if fit is None else by_key(fit.select(key, text_col), key, text_col), dealt
 
     def tokens(x):
         return x.select(key, F.explode(words(text_col)).alias("term")).filter(F.length("term") >= 2)
