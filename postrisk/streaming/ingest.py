@@ -1,47 +1,51 @@
 """Incremental ingest as a checkpointed stream with keyed state.
 
-The ids that were ever ingested live in the stream's state store, one small entry a
-(collection, id), dealt out by key: a micro-batch looks up and adds its own keys and never
-reads the sink. Rows of unseen ids leave the stateful operator; among them the first
+The ids that were ever ingested live in the stream's state store, one key a
+(collection, id), dealt out by key. A micro-batch brings all its rows, and beside them the keys that
+Spark's own streaming de-duplication lets through: those that no earlier batch had. It looks up and
+adds its own keys and never reads the sink. Rows of these keys are new; among them the first
 arrival of the batch wins. Rows stored before the stream began enter the state with
 the first batch. Quotas and the newest time come from a table of running counts, one
 small partition a batch, of which a batch reads the one before it. Writes go to the
 batch's own partition with dynamic overwrite, so a batch replayed after a failure replaces
 its earlier attempt instead of adding to it; the state of a replayed batch is that of its
-first attempt.
+first attempt. A batch is persisted while its writes use it, so the state is asked once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from postrisk.functions.scores import parse_ts
 from postrisk.operators import ingest as ops
-from postrisk.operators.cleaning import arrival_order, dedupe_keep_first
+from postrisk.operators.cleaning import ARRIVAL, arrival_order
 from postrisk.sources.io import _exists
 
 BATCH_COL = "_batch"
 STORED_COL = "_stored"
+UNSEEN_COL = "_unseen"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def unseen(rows: DataFrame) -> DataFrame:
-    """The rows of a stream whose (collection, id) has not come in an earlier batch; rows with ``_stored``
-    mark ids as known. Ids that are null are never known. The state holds one flag a key."""
-    def run(key, parts, state):
-        known = state.exists
-        for part in parts:
-            if not known:
-                yield part
-        if not known and not any(k is None or k != k for k in key):
-            state.update((True,))
-    return rows.groupBy(*ops.COLLECTION_KEY).applyInPandasWithState(
-        run, rows.schema, T.StructType([T.StructField("seen", T.BooleanType())]), "append", "NoTimeout")
+def _no_key(schema: T.StructType) -> Column:
+    """Rows whose (collection, id) has a null or a NaN: their ids are never known."""
+    parts = [F.col(c).isNull() for c in ops.COLLECTION_KEY]
+    parts += [F.isnan(c) for c in ops.COLLECTION_KEY if isinstance(schema[c].dataType, T.FractionalType) and not isinstance(schema[c].dataType, T.DecimalType)]
+    return reduce(lambda x, y: x | y, parts)
+
+
+def with_unseen(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """A stream's rows, and a row with ``_unseen`` for each (collection, id) that has not come in an earlier batch;
+    rows with ``_stored`` mark ids as known. The state holds the keys alone."""
+    keys = rows.where(~_no_key(schema)).select(*ops.COLLECTION_KEY).dropDuplicates(list(ops.COLLECTION_KEY))
+    return rows.withColumn(UNSEEN_COL, F.lit(False)).unionByName(
+        keys.withColumns({STORED_COL: F.lit(False), UNSEEN_COL: F.lit(True)}), allowMissingColumns=True)
 
 
 def counts_path(sink_path: str) -> str:
@@ -100,30 +104,50 @@ def stream_ingest(spark: SparkSession, source_path: str, schema: T.StructType, s
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     rows = reader.load(source_path).withColumn(STORED_COL, F.lit(False))
     if _exists(spark, seed_path(sink_path)):  # all of it comes with the first batch
-        rows = rows.unionByName(spark.readStream.schema(schema).parquet(seed_path(sink_path)).withColumn(STORED_COL, F.lit(True)))
+        keys = T.StructType([schema[c] for c in ops.COLLECTION_KEY])
+        rows = rows.unionByName(spark.readStream.schema(keys).parquet(seed_path(sink_path)).withColumn(STORED_COL, F.lit(True)),
+                                allowMissingColumns=True)
     if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider"):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # state on disk, not in the heap
-    stream = unseen(rows)
+    stream = with_unseen(rows, schema)
     names, ts = schema.fieldNames(), watermark[0] if watermark else None
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        known = batch.where(STORED_COL).select(*ops.COLLECTION_KEY).distinct()  # of this batch alone
-        new = batch.where(~F.col(STORED_COL)).select(*names).join(known, list(ops.COLLECTION_KEY), "left_anti")
+        batch.persist()
+        try:
+            ingest(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def ingest(batch: DataFrame, batch_id: int) -> None:
+        arrived = ~F.col(STORED_COL) & ~F.col(UNSEEN_COL)
         before = _counts_before(batch.sparkSession, sink_path, batch_id, ts)
         if watermark:
             newest = before.agg(F.max("newest").alias("newest")).select("newest").scalar()
-            late = new.filter(parse_ts(ts) < newest - F.expr(f"interval {watermark[1]}"))
+            late = batch.where(arrived).filter(parse_ts(ts) < newest - F.expr(f"interval {watermark[1]}")).select(*names)
+            new_keys = batch.where(F.col(STORED_COL) | F.col(UNSEEN_COL)).groupBy(*ops.COLLECTION_KEY).agg(
+                F.bool_or(STORED_COL).alias(STORED_COL)).where(~F.col(STORED_COL)).drop(STORED_COL)
+            late = late.join(new_keys, list(ops.COLLECTION_KEY), "left_semi").select(*names).unionByName(late.where(_no_key(schema)))
             _write(late, batch_id, late_path(sink_path))
-        new = dedupe_keep_first(new.withColumn("_key", F.struct(*ops.COLLECTION_KEY)), "_key", arrival_order(new)).drop("_key")
+        # as dedupe_keep_first, in the aggregate that also says whether the key is new
+        order = arrival_order(batch.select(*names))
+        if list(order) != list(ARRIVAL):
+            order = [*order, *[c for c in names if c not in order]]
+        first = F.min_by(F.when(arrived, F.struct(*names)), F.when(arrived, F.struct(*order)))
+        new = (batch.groupBy(*ops.COLLECTION_KEY)
+               .agg(first.alias("_first"), F.bool_or(STORED_COL).alias(STORED_COL), F.bool_or(UNSEEN_COL).alias(UNSEEN_COL))
+               .where(F.col("_first").isNotNull() & (_no_key(schema) | (F.col(UNSEEN_COL) & ~F.col(STORED_COL)))).select("_first.*"))
         if totals is not None:
             qs = queries if queries is not None else new.select("collection_type", "query").distinct()
             new = ops.apply_quota(new, before.select("collection_type", "query", "already"), qs, totals)
         _write(new.select(*names), batch_id, sink_path)
         if totals is not None or watermark:
-            mine = batch.sparkSession.read.parquet(sink_path).where(F.col(BATCH_COL) == batch_id)  # one partition
-            newest = F.max(parse_ts(ts)) if ts else F.lit(None).cast("timestamp")
-            mine = mine.groupBy("collection_type", "query").agg(F.count(F.lit(1)).alias("already"), newest.alias("newest"))
-            now = before.unionByName(mine).groupBy("collection_type", "query").agg(F.sum("already").alias("already"), F.max("newest").alias("newest"))
+            path = f"{sink_path.rstrip('/')}/{BATCH_COL}={batch_id}"  # one partition; none if the batch had nothing new
+            newest = parse_ts(ts) if ts else F.lit(None).cast("timestamp")
+            if _exists(batch.sparkSession, path):
+                mine = batch.sparkSession.read.schema(schema).parquet(path)
+                before = before.unionByName(mine.select("collection_type", "query", F.lit(1).cast("long").alias("already"), newest.alias("newest")))
+            now = before.groupBy("collection_type", "query").agg(F.sum("already").alias("already"), F.max("newest").alias("newest"))
             _write(now, batch_id, counts_path(sink_path))
 
     w = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)

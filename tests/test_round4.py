@@ -88,3 +88,23 @@ def test_trees_read_bounded_parts(spark, monkeypatch):
     df = spark.createDataFrame([(str(i), f"w{i % 7} common", i % 2, 1.0) for i in range(60)], "post_id string, text string, label int, weight double").coalesce(1)
     models.fit(models.rf_pipeline(n_trees=1, max_depth=1), df)
     assert parts == [6]
+
+
+def test_stream_ingest_state_holds_keys_alone_and_is_asked_once(spark, tmp_path):
+    """The state is Spark's own de-duplication of keys, no Python call a key; a batch's writes share one run of it."""
+    from postrisk.streaming.ingest import late_path, seed_sink, stream_ingest
+    cols = "post_id string, collection_type string, query string, text string, scraped_at_utc string, source_rank int, row_ord long"
+
+    def rows(*r):
+        return spark.createDataFrame([(i, "c", "q", t, s, 0, n) for n, (i, t, s) in enumerate(r)], cols).coalesce(1)
+    early, late = "2024-02-01T01:00:00Z", "2024-02-01T12:00:00Z"
+    seed_sink(rows(("0", "old", late), ("0", "older", late)), f"{tmp_path}/sink")
+    rows((None, "n1", early), (None, "n2", late), ("0", "again", early), ("2", "a", early), ("2", "b", early), ("1", "x", late)).write.parquet(f"{tmp_path}/in")
+    q = stream_ingest(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, f"{tmp_path}/sink", f"{tmp_path}/ck",
+                      watermark=("scraped_at_utc", "1 hour"))
+    q.awaitTermination()
+    stored = spark.read.parquet(f"{tmp_path}/sink").where("_batch >= 0").collect()
+    assert sorted(r.text for r in stored) == ["a", "n1", "x"]
+    assert sorted(r.text for r in spark.read.parquet(late_path(f"{tmp_path}/sink")).collect()) == ["a", "b", "n1"]
+    state = [o for p in q.recentProgress for o in p["stateOperators"]]
+    assert {o["operatorName"] for o in state} == {"dedupe"} and state[-1]["numRowsTotal"] == 3 and sum(o["numRowsUpdated"] for o in state) == 3
