@@ -249,3 +249,17 @@ def test_mixing_splits_hot_ids(spark, monkeypatch):
     kinds = out.groupBy("doc_id", "size", "copies").count()
     again = mix(docs.repartition(7), block_rows=16).groupBy("doc_id", "size", "copies").count()
     assert kinds.exceptAll(again).isEmpty() and biggest.value == 0
+
+
+def test_few_links_meet_by_broadcast_and_many_without(spark, monkeypatch):
+    """Rounds of few links need no salted exchanges; both ways find the same components."""
+    from postrisk.llm import components as c
+    pairs = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (300, 200), (200, 300), (300, 200)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    few = c._small_star(c._large_star(links, True), True)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in few and "BroadcastHashJoin" in few
+    want = {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(60)}, 200: 200, 300: 200}
+    for bound in (c.BROADCAST_LINKS, 0):
+        monkeypatch.setattr(c, "BROADCAST_LINKS", bound)
+        got = c.components(links)
+        assert {r.node: r.component for r in got.collect()} == want and got.count() == len(want)
