@@ -17,15 +17,23 @@ import numpy as np
 WINDOW, STRIDE = 40, 32
 HEADS, DIM = 1, 16
 CLASSES, TAIL = 160, 24
-GROUP = 64  # windows in one batch
+GROUP = 64  # windows in one batch of scoring
+BATCH = 96  # windows in one step of fitting
 
 
-def class_table(counts: np.ndarray, end: int, left: np.ndarray, right: np.ndarray, classes: int = CLASSES,
+def frequent(counts: np.ndarray, end: int, n: int) -> np.ndarray:
+    """The ``n`` ids that are classes of their own: the end mark and the most frequent ones, ties by id."""
+    order = np.lexsort((np.arange(len(counts)), -counts))
+    return np.concatenate([[end], order[order != end]])[:min(n, len(counts))]
+
+
+def class_table(counts: np.ndarray, end: int, keys: np.ndarray, times: np.ndarray, classes: int = CLASSES,
                 tail: int = TAIL) -> np.ndarray:
-    """Class of every id. ``counts``: of the whole corpus; ``left``, ``right``: adjacent ids of a sample."""
+    """Class of every id. ``counts``: of the whole corpus; ``times``: how often each other id stands beside a frequent one.
+
+    A key is ``id * 2 * own + place of the frequent one``, plus ``own`` if that one comes first."""
     n = len(counts)
-    order = np.lexsort((np.arange(n), -counts))
-    order = np.concatenate([[end], order[order != end]])
+    order = frequent(counts, end, n)
     own = order[:min(n, classes - tail)]
     out = np.full(n, -1, np.int64)
     out[own] = np.arange(len(own))
@@ -34,9 +42,7 @@ def class_table(counts: np.ndarray, end: int, left: np.ndarray, right: np.ndarra
         place = np.full(n, -1)
         place[rest] = np.arange(len(rest))
         seen = np.zeros((len(rest), 2 * len(own)), np.float32)
-        for a, b, shift in ((left, right, 0), (right, left, len(own))):  # neighbours on both sides
-            ok = (place[a] >= 0) & (out[b] >= 0)
-            np.add.at(seen, (place[a[ok]], out[b[ok]] + shift), 1)
+        seen[place[keys // (2 * len(own))], keys % (2 * len(own))] = times  # neighbours on both sides
         known = seen.sum(1) > 0
         axis = np.zeros(len(rest), np.float32)
         if known.sum() > 1:
@@ -69,6 +75,22 @@ class AttentionLM:
                   "w1": normal(d, d, scale=d ** -0.5), "b1": np.zeros(d, np.float32),
                   "w2": normal(d, classes, scale=0.01), "b2": np.zeros(classes, np.float32)}
 
+    @classmethod
+    def of(cls, classes: int, prior: np.ndarray, weights: dict) -> "AttentionLM":
+        out = cls(classes, prior=prior)
+        out.p = weights
+        return out
+
+    def vector(self) -> np.ndarray:
+        """All weights in one row."""
+        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
+
+    def with_vector(self, v: np.ndarray) -> "AttentionLM":
+        """The model with the weights of a row that ``vector`` gave."""
+        names = sorted(self.p)
+        cut = np.split(v, np.cumsum([self.p[k].size for k in names])[:-1])
+        return self.of(self.classes, self.prior, {k: x.reshape(self.p[k].shape).copy() for k, x in zip(names, cut)})
+
     # x: classes of the windows (batch, WINDOW), -1 before the text. The last STRIDE inputs predict.
 
     def hidden(self, x: np.ndarray):
@@ -185,7 +207,7 @@ class AttentionLM:
 
         def back(ids, grad):
             hot = np.zeros((c, DIM), np.float32)
-            flat, rows_ = ids.ravel(), grad.reshape(-1, DIM)
+            flat, rows_ = ids.ravel().astype(np.int16), grad.reshape(-1, DIM)  # 16 bits sort by digits
             o = np.argsort(flat, kind="stable")
             first = np.flatnonzero(np.r_[True, np.diff(flat[o]) > 0])
             hot[flat[o][first]] = np.add.reduceat(rows_[o], first, axis=0)
@@ -194,7 +216,7 @@ class AttentionLM:
         out["k"], out["v"] = back(at, dk.transpose(0, 2, 1, 3)), back(at, dv.transpose(0, 2, 1, 3))
         return loss, out
 
-    def fit(self, x: np.ndarray, target: np.ndarray, steps: int = 500, batch: int = 96, rate: float = 0.01,
+    def fit(self, x: np.ndarray, target: np.ndarray, steps: int = 500, batch: int = BATCH, rate: float = 0.01,
             seed: int = 7) -> "AttentionLM":
         """Adam over batches of windows, in an order that the seed fixes."""
         if not len(x):

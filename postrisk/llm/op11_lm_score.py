@@ -6,8 +6,11 @@ of the base score and, by cutting each different word once, the counts of all su
 
 Model (``attention_lm``): attention predicts the class of the next subword; the id within the class
 comes from corpus counts of (class before in the word, id), as does the prior that attention starts
-from. Counts cover all training texts. Only the attention weights are a numpy fit on a sample: at most
-``windows_each`` windows, their places by hash, of at most ``train_texts`` training texts.
+from. Counts, classes and attention weights cover all training texts. The weights are fitted by
+stochastic gradients over every window of every training text: texts are dealt by hash into parts of about
+``PART_WINDOWS`` windows, the first part gives a common start, then every part goes through all of its
+windows from there and the weights are averaged by windows, in fixed point. The deal depends on
+ids and texts alone, so neither partitions nor the order of tasks change the model.
 
 Scores: a text is the sequence of its words' subwords and one end. Its windows overlap; each
 subword is scored once, given the inputs before it in its window. A task holds one chunk of
@@ -27,19 +30,22 @@ from __future__ import annotations
 import base64
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postrisk.llm.attention_lm import CLASSES, STRIDE, WINDOW, AttentionLM, class_table, windows
-from postrisk.llm.common import LOWER, hash_sample, write_cut
+from postrisk.llm.attention_lm import BATCH, CLASSES, STRIDE, TAIL, AttentionLM, class_table, frequent, windows
+from postrisk.llm.common import LOWER, drop, write_cut
 
 HEAD = 1 << 17
 PARTIAL_ENTRIES = 300_000
 MEMO_ENTRIES = 600_000
 CHUNK_WORDS = 60_000
+PART_WINDOWS = 600 * BATCH  # a task fits this many windows at a time
+FIXED = 1 << 24
 _LOWER = LOWER.tobytes()
 
 
@@ -145,18 +151,83 @@ class IdTable:
         return np.log(p / p.sum(1, keepdims=True))
 
 
-def learn(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", train_texts: int = 4000,
-          windows_each: int = 8, steps: int = 600, classes: int = CLASSES) -> Corpus:
+class IdMemo:
+    """Subword ids of texts; words are cut once while a memo of fixed size holds them."""
+
+    def __init__(self, raw: bytes):
+        self.cut = cutter_for(raw)
+        self._clear()
+
+    def _clear(self):
+        self.memo: dict[bytes, list[int]] = {}
+
+    def __call__(self, text: str | None) -> list[int]:
+        out: list[int] = []
+        w = words_of(text)
+        for i in range(0, len(w), CHUNK_WORDS):
+            if len(self.memo) > MEMO_ENTRIES:
+                self._clear()
+            part = w[i:i + CHUNK_WORDS]
+            for x in set(part).difference(self.memo):
+                self.memo[x] = self.cut(x)
+            out.extend(chain.from_iterable(map(self.memo.__getitem__, part)))
+        out.append(self.cut.end)
+        return out
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and bounds of a list column."""
+    n = np.asarray(lists.value_lengths(), np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(n)])
+
+
+def fit_attention(seqs: DataFrame, table: np.ndarray, start: AttentionLM, n_windows: int, steps: int) -> AttentionLM:
+    """Weights fitted on all windows of (k, ids); every part is one group of about ``PART_WINDOWS`` windows.
+
+    A part makes at least ``steps`` steps, going round if it is small. To the driver comes one line a weight."""
+    sc, parts = seqs.sparkSession.sparkContext, max(1, -(-n_windows // PART_WINDOWS))
+    dealt = seqs.withColumn("part", F.pmod("k", F.lit(parts)).cast("int"))
+
+    def fitted(rows: DataFrame, model: AttentionLM) -> AttentionLM:
+        shared = sc.broadcast((table, model))
+
+        def run(group: pa.Table) -> pa.Table:
+            classes, m = shared.value
+            flat, bounds = _flat(group.sort_by("k").column("ids").combine_chunks())
+            flat, x, t = classes[flat].astype(np.int16), [], []
+            for r in _groups(bounds, CHUNK_WORDS):
+                lo, hi = bounds[r[0]], bounds[r[-1] + 1]
+                a, b, _ = windows(flat[lo:hi], bounds[r[0]:r[-1] + 2] - lo, m.classes)
+                x.append(a.astype(np.int16))
+                t.append(b.astype(np.int16))
+            x, t = np.concatenate(x), np.concatenate(t)
+            m = AttentionLM.of(m.classes, m.prior, {k: v.copy() for k, v in m.p.items()})
+            m.fit(x, t, steps=max(steps, -(-len(x) // BATCH)))
+            v = np.rint(m.vector().astype(np.float64) * FIXED).astype(np.int64)
+            return pa.table({"i": np.arange(len(v)), "v": v * len(x), "n": np.full(len(v), len(x))})
+        got = (rows.groupBy("part").applyInArrow(run, "i long, v long, n long").groupBy("i")
+               .agg(F.sum(F.col("v").cast("decimal(38,0)")).cast("double").alias("v"), F.sum("n").alias("n")).orderBy("i").toArrow())
+        shared.unpersist()
+        mean = got.column("v").to_numpy() / np.maximum(got.column("n").to_numpy(), 1) / FIXED
+        return model.with_vector(mean.astype(np.float32)) if len(mean) else model
+    first = fitted(dealt.where("part = 0"), start)
+    return first if parts == 1 else fitted(dealt, first)
+
+
+def learn(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", train_texts: int | None = None,
+          steps: int = 600, classes: int = CLASSES) -> Corpus:
     """Counts over all training rows, and the model. ``vocabulary`` is a path that the driver can read.
 
-    To the driver come at most a count for each id, one for each (class, id) and ``train_texts * windows_each`` windows."""
+    ``train_texts``: a bound on the texts that the attention weights are fitted on, for trials; by default all are.
+    To the driver come at most a count for each id, for each (class, id) and each neighbour among the frequent ids,
+    and the model's weights."""
     with open(vocabulary, "rb") as f:
         raw = f.read()
     end = Cutter(raw).end
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(raw)
-    train = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(text_col).alias("text"))
-    counts = write_cut(train.mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "op11-counts")
+    train = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    counts = write_cut(train.select("text").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "op11-counts")
     ends = train.count()
     total = counts.agg(F.sum("n"), F.count("*")).first()
     tokens, types = int(total[0] or 0) + ends, int(total[1]) + (1 if ends else 0)
@@ -176,29 +247,33 @@ def learn(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
     n[by_id.column("k").to_numpy()] = by_id.column("n").to_numpy()
     n[end] = ends
 
-    h = F.xxhash64(F.coalesce("text", F.lit("")), F.lit("lm"))
-
-    def sample(batches):
-        cutter = cutter_for(shared.value)
+    def sequences(batches):
+        ids_of = IdMemo(shared.value)
         for b in batches:
-            rows = []
-            for text, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = [i for w in words_of(text) for i in cutter(w)] + [end]
-                blocks = -(-len(ids) // STRIDE)
-                for j in range(min(blocks, windows_each)):  # windows of the text, their places by hash
-                    lo = (k + j * max(1, blocks // windows_each)) % blocks * STRIDE
-                    rows.append((k, lo, ids[max(0, lo - (WINDOW - STRIDE) - 1):lo + STRIDE]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                                              pa.array([r[2] for r in rows], pa.list_(pa.int32()))], ["h", "lo", "ids"])
-    seqs: list[tuple[int, np.ndarray]] = []
-    if ends:
-        chosen = hash_sample(train.select(h.alias("__h")).distinct(), train_texts, "__h")
-        got = (train.select("text", h.alias("h")).join(F.broadcast(chosen), F.col("h") == F.col("__h")).select("text", "h")
-               .mapInArrow(sample, "h long, lo long, ids array<int>").groupBy("h", "lo").agg(F.first("ids").alias("ids"))
-               .orderBy("h", "lo").toArrow())
-        seqs = [(lo, np.asarray(ids, np.int64)) for lo, ids in zip(got.column("lo").to_pylist(), got.column("ids").to_pylist())]
-    none = np.zeros(0, np.int64)
-    table = class_table(n, end, np.concatenate([none, *[s[:-1] for _, s in seqs]]), np.concatenate([none, *[s[1:] for _, s in seqs]]), classes)
+            for i in range(0, len(b), 64):
+                part = b.slice(i, 64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([ids_of(t) for t in part.column(1).to_pylist()], pa.list_(pa.int32()))],
+                                                 ["k", "ids"])
+    key = F.xxhash64(F.col("id").cast("string"), F.coalesce("text", F.lit("")), F.lit("lm"))
+    seqs = write_cut(train.select(key.alias("k"), "text").mapInArrow(sequences, "k long, ids array<int>"), "op11-ids")
+    own = frequent(n, end, classes - TAIL)
+    place = np.full(end + 1, -1, np.int64)
+    place[own] = np.arange(len(own))
+    shared_place = sc.broadcast(place)
+
+    def beside(batches):
+        place, own_n = shared_place.value, int(shared_place.value.max()) + 1
+        for b in (b.slice(i, 256) for b in batches for i in range(0, len(b), 256)):
+            flat, bounds = _flat(b.column(0))
+            inside = np.ones(max(0, len(flat) - 1), bool)
+            inside[bounds[1:-1] - 1] = False  # a text's end and the next text's start
+            x, y = flat[:-1][inside].astype(np.int64), flat[1:][inside].astype(np.int64)
+            keys = [a[ok] * (2 * own_n) + place[b_[ok]] + shift for a, b_, shift in ((x, y, 0), (y, x, own_n))
+                    for ok in [(place[a] < 0) & (place[b_] >= 0)]]
+            keys = np.concatenate(keys)
+            yield summed(keys, np.ones(len(keys)))
+    near = seqs.select("ids").mapInArrow(beside, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    table = class_table(n, end, near.column("k").to_numpy(), near.column("n").to_numpy(), classes)
     shared_table = sc.broadcast(table)
 
     def pairs(batches):
@@ -215,16 +290,12 @@ def learn(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
     order = np.argsort(keys)
     ids = IdTable(n, table, classes, keys[order], by_pair.column("n").to_numpy()[order].astype(np.float64))
 
-    x, t = np.full((len(seqs), WINDOW), -1, np.int64), np.full((len(seqs), STRIDE), -1, np.int64)
-    for k, (lo, s) in enumerate(seqs):
-        c = table[s]
-        whole = lo <= WINDOW - STRIDE  # the text's start is among the inputs
-        before = lo if whole else WINDOW - STRIDE + 1
-        t[k, :len(c) - before] = c[before:]
-        inputs = np.concatenate([[classes], c[:-1]]) if whole else c[:-1]
-        first = WINDOW - STRIDE - lo if whole else 0
-        x[k, first:first + len(inputs)] = inputs
-    model = AttentionLM(classes, prior=ids.prior(ends, int(table[end]))).fit(x, t, steps=steps)
+    model = AttentionLM(classes, prior=ids.prior(ends, int(table[end])))
+    if ends:
+        chosen = seqs if train_texts is None else seqs.orderBy("k").limit(train_texts)
+        n_windows = int(chosen.agg(F.sum(F.ceil(F.size("ids") / F.lit(STRIDE)))).first()[0])
+        model = fit_attention(chosen, table, model, n_windows, steps)
+    drop(seqs)
     return Corpus(counts, tokens, types, ends, raw, ids, model)
 
 

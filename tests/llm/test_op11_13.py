@@ -118,6 +118,32 @@ def test_held_out_texts_are_likelier_than_by_counts_of_characters(spark):
     assert got.score.sum() > 1.15 * got.base_score.sum()  # log10 values below 0: at most 15 % worse than known whole words
 
 
+@pytest.mark.parametrize("part", [None, 12])
+def test_attention_is_fitted_on_every_window_of_every_training_text(spark, monkeypatch, part):
+    r = random.Random(4)
+    seqs = [(k * 7919 - 20000, [r.randrange(30) for _ in range(r.choice((1, 31, 33, 700)))]) for k in range(14)]
+    table = np.arange(30) % 12
+    start = lm.AttentionLM(12)
+    n = [-(-len(ids) // lm.STRIDE) for _, ids in seqs]
+    monkeypatch.setattr(op11, "PART_WINDOWS", part or sum(n))
+    parts = -(-sum(n) // op11.PART_WINDOWS)
+
+    def plain(model, some):
+        flat = [table[np.array(ids)] for _, ids in sorted(some)]
+        x, t, _ = lm.windows(np.concatenate(flat), np.cumsum([0, *map(len, flat)]), 12)
+        return lm.AttentionLM.of(12, model.prior, {k: v.copy() for k, v in model.p.items()}).fit(x, t, steps=max(3, -(-len(x) // lm.BATCH))), len(x)
+    want, seen = plain(start, [s for s in seqs if s[0] % parts == 0])
+    if parts > 1:
+        each = [plain(want, some) for p in range(parts) if (some := [s for s in seqs if s[0] % parts == p])]
+        seen = sum(k for _, k in each)
+        want = want.with_vector(sum(m.vector() * k for m, k in each) / seen)
+    assert seen == sum(n) and (parts > 1) == bool(part)
+    df = spark.createDataFrame(seqs, "k long, ids array<int>")
+    for rows in (df.repartition(5), df.coalesce(1)):
+        got = op11.fit_attention(rows, table, start, sum(n), 3)
+        assert np.abs(got.vector() - want.vector()).max() < 1e-4
+
+
 # ---- 12 ----------------------------------------------------------------------
 
 def brute_repair(rows):
