@@ -6,7 +6,8 @@ goes on. It is given (a published word-piece list, one piece a row) or counted f
 
 Every different word is cut once, whatever its number of occurrences: its substrings meet the vocabulary in
 one join, the longest match of each start remains, and one fold walks the word from match to match. The
-words of the posts then meet their pieces by a join. A word over ``MAX_WORD`` characters, or with a place where no
+words of the posts then meet their pieces: up to ``HEAD_WORDS`` of the most frequent words are broadcast, only the others
+are joined by word, so neither the bulk of the words nor a frequent one is shuffled. A word over ``MAX_WORD`` characters, or with a place where no
 piece fits, is one unknown piece, as is usual for this format."""
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ from pyspark.sql import functions as F
 
 from postrisk.constants import MAX_SEQ_LEN
 from postrisk.functions.text import words
+from postrisk.session import materialize
 
 PAD, UNK, BEGIN, END = "[PAD]", "[UNK]", "[CLS]", "[SEP]"
 SPECIAL = (PAD, UNK, BEGIN, END)  # ids 0 to 3
 VOCAB_SIZE = 8000
 MAX_PIECE, MAX_WORD = 8, 100
 BROADCAST_MAX_PIECES = 200_000
+HEAD_WORDS = 50_000
 
 
 def _pieces_at(word: str = "word", max_piece: int = MAX_PIECE) -> F.Column:
@@ -74,12 +77,26 @@ def cut_words(vocab: DataFrame, some_words: DataFrame, max_piece: int = MAX_PIEC
         "word", F.when(F.col("w.at") == F.length("word"), F.col("w.out")).otherwise(unknown).alias("pieces"))
 
 
+def with_pieces(toks: DataFrame, vocab: DataFrame, max_piece: int = MAX_PIECE, vocab_size: int = VOCAB_SIZE) -> DataFrame:
+    """The rows of ``toks`` with the pieces of their word. ``toks`` is read for its counts, for the frequent words, and,
+    if there are more than ``HEAD_WORDS``, once again for the others."""
+    counts = materialize(toks.groupBy("word").agg(F.count(F.lit(1)).alias("_n")), "word-counts")
+    cut = materialize(cut_words(vocab, counts, max_piece, vocab_size).join(counts, "word"), "word-pieces")
+    beyond = cut.select("_n").orderBy(F.desc("_n")).limit(HEAD_WORDS + 1).agg(F.min("_n"), F.count(F.lit(1))).first()
+    least = beyond[0] if beyond[1] > HEAD_WORDS else 0
+    head = F.broadcast(cut.where(F.col("_n") > least).drop("_n"))
+    met = toks.join(head, "word")
+    if not least:
+        return met
+    tail = cut.where(F.col("_n") <= least).drop("_n")
+    return met.unionByName(toks.join(head.drop("pieces"), "word", "left_anti").join(tail, "word"))
+
+
 def subword_pieces(df: DataFrame, vocab: DataFrame, text_col: str = "text", key: str = "post_id", max_piece: int = MAX_PIECE,
                    vocab_size: int = VOCAB_SIZE) -> DataFrame:
     """(key, pos, part, piece, id): every piece of every word of the whole texts, by word and place in it."""
     toks = df.select(key, F.posexplode(words(text_col)).alias("pos", "word")).where("word <> ''")
-    cut = cut_words(vocab, toks.select("word").distinct(), max_piece, vocab_size)
-    return toks.join(cut, "word").select(key, "pos", F.posexplode("pieces").alias("part", "p")).select(key, "pos", "part", "p.piece", "p.id")
+    return with_pieces(toks, vocab, max_piece, vocab_size).select(key, "pos", F.posexplode("pieces").alias("part", "p")).select(key, "pos", "part", "p.piece", "p.id")
 
 
 def encode_subwords(df: DataFrame, vocab: DataFrame, text_col: str = "text", key: str = "post_id", max_len: int = MAX_SEQ_LEN,
@@ -88,9 +105,8 @@ def encode_subwords(df: DataFrame, vocab: DataFrame, text_col: str = "text", key
     pieces, end mark, padding. A post without words has the two marks alone."""
     room = max_len - 2
     toks = df.select(key, F.posexplode(words(text_col)).alias("pos", "word")).where("word <> ''")
-    cut = cut_words(vocab, toks.select("word").distinct(), max_piece, vocab_size)
     # a word has a piece at least, so only the first words can reach into the sequence
-    per = toks.join(cut, "word").groupBy(key).agg(
+    per = with_pieces(toks, vocab, max_piece, vocab_size).groupBy(key).agg(
         F.sum(F.size("pieces")).alias("n_pieces"),
         F.array_sort(F.collect_list(F.when(F.col("pos") < room, F.struct("pos", F.transform("pieces", lambda p: p["id"]).alias("ids"))))).alias("_p"))
     ids = F.slice(F.flatten(F.transform(F.coalesce("_p", F.array().cast("array<struct<pos:int,ids:array<int>>>")), lambda s: s["ids"])), 1, room)
