@@ -52,3 +52,10 @@ def test_words_meet_their_pieces_broadcast_and_joined(spark, monkeypatch):
     for head in (2, 3, 1):
         monkeypatch.setattr(subwords, "HEAD_WORDS", head)
         assert sorted(subwords.subword_pieces(posts, vocab).collect()) == want
+
+
+def test_first_gains_where_no_label_of_a_line_is_known(spark):
+    cells_of = [("a", 1, {"x": 1, "y": 2}), ("b", 0, {"x": 2}), ("c", None, {"x": 3, "z": 1}), ("d", 1, {"y": 1}), ("e", 0, {"y": 2, "x": 1})]
+    rows = spark.createDataFrame([(k, y, 8.0, c) for k, y, c in cells_of], "post_id string, label int, weight double, cells map<string,int>")
+    got = {r.term: r.gain for r in boosting.root_gains(rows).collect()}
+    assert got["z"] is None and got["x"] is None and got["y"] is not None
