@@ -68,7 +68,7 @@ class AttentionLM:
         def normal(*shape, scale):
             return (r.standard_normal(shape) * scale).astype(np.float32)
         c, d = classes + 1, DIM
-        self.classes = classes
+        self.classes, self._kept = classes, None
         self.prior = np.zeros((c, classes), np.float32) if prior is None else prior.astype(np.float32)
         self.p = {"q": normal(c, d, scale=0.3), "k": normal(c, d, scale=0.3), "v": normal(c, d, scale=0.3),
                   "u": normal(c, d, scale=0.3), "near": np.zeros((HEADS, WINDOW), np.float32),
@@ -133,6 +133,7 @@ class AttentionLM:
         bias = np.where(gap >= 0, p["near"][:, np.maximum(gap, 0)], f(-1e9)).astype(f)
         ones, ones_w, prior = np.ones(self.classes, f), np.ones(WINDOW, f), (self.prior + p["b2"]).astype(f)
         rows = np.arange(g * STRIDE)
+        longest, highest = float(np.sqrt((p["w2"] ** 2).sum(0).max())), float(prior.max())
         for i in range(0, len(x), g):
             part = x[i:i + g]
             n, m = len(part), len(part) * STRIDE
@@ -164,13 +165,20 @@ class AttentionLM:
             np.matmul(a, p["w2"], out=y)
             np.take(prior, flat, axis=0, out=extra[:m], mode="clip")
             y += extra[:m]
-            np.minimum(y, f(60), out=y)  # the sum stays finite without taking the largest off
+            if np.sqrt(np.einsum("ij,ij->i", a, a).max()) * longest + highest > 59:  # else no sum reaches the bound
+                np.minimum(y, f(60), out=y)  # the sum stays finite without taking the largest off
             t = target[i:i + g].ravel()
             mine = y[rows[:m], np.maximum(t, 0)]
             np.exp(y, out=y)
             out[i:i + g] = (mine - np.log(y @ ones)).reshape(n, STRIDE)
         return out
 
+    def _buffers(self, n: int, kind) -> tuple[np.ndarray, np.ndarray]:
+        """Two tables of ``n`` rows over the classes; batches of one size share them."""
+        if self._kept is None or self._kept[0].shape != (n, self.classes) or self._kept[0].dtype != kind:
+            self._kept = np.empty((n, self.classes), kind), np.empty((n, self.classes), kind)
+        return self._kept
+
     def loss_gradients(self, x: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
         """Mean negative log probability over targets >= 0, and its gradients."""
         p, b, dh = self.p, len(x), DIM // HEADS
@@ -178,13 +186,16 @@ class AttentionLM:
         t = target.ravel()
         use = (t >= 0).astype(np.float32)
         n = max(1.0, float(use.sum()))
-        logits = a @ p["w2"] + p["b2"] + self.prior[cur.ravel()]
+        logits, e = self._buffers(len(t), a.dtype)
+        np.matmul(a, p["w2"], out=logits)
+        logits += p["b2"]
+        logits += np.take(self.prior, cur.ravel(), axis=0, out=e if e.dtype == self.prior.dtype else None, mode="clip")
         logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
+        np.exp(logits, out=e)
         total = e.sum(1, keepdims=True)
         rows = np.arange(len(t))
         loss = float((use * (np.log(total[:, 0]) - logits[rows, np.maximum(t, 0)])).sum() / n)
-        g = e / total
+        g = np.divide(e, total, out=e)
         g[rows, np.maximum(t, 0)] -= 1
         g *= (use / n)[:, None]
         out = {"w2": a.T @ g, "b2": g.sum(0)}
@@ -205,15 +216,15 @@ class AttentionLM:
         out["near"] = near
         c = self.classes + 1
 
-        def back(ids, grad):
-            hot = np.zeros((c, DIM), np.float32)
-            flat, rows_ = ids.ravel().astype(np.int16), grad.reshape(-1, DIM)  # 16 bits sort by digits
+        def back(ids, *grads):
+            hot = np.zeros((c, len(grads) * DIM), np.float32)
+            flat, rows_ = ids.ravel().astype(np.int16), np.hstack([g.reshape(-1, DIM) for g in grads])  # 16 bits sort by digits
             o = np.argsort(flat, kind="stable")
             first = np.flatnonzero(np.r_[True, np.diff(flat[o]) > 0])
             hot[flat[o][first]] = np.add.reduceat(rows_[o], first, axis=0)
-            return hot
-        out["u"], out["q"] = back(cur, dh_), back(cur, dq.transpose(0, 2, 1, 3))
-        out["k"], out["v"] = back(at, dk.transpose(0, 2, 1, 3)), back(at, dv.transpose(0, 2, 1, 3))
+            return np.hsplit(hot, len(grads))
+        out["u"], out["q"] = back(cur, dh_, dq.transpose(0, 2, 1, 3))
+        out["k"], out["v"] = back(at, dk.transpose(0, 2, 1, 3), dv.transpose(0, 2, 1, 3))
         return loss, out
 
     def fit(self, x: np.ndarray, target: np.ndarray, steps: int = 500, batch: int = BATCH, rate: float = 0.01,
@@ -236,6 +247,7 @@ class AttentionLM:
                 m[k] += 0.1 * (g[k] - m[k])
                 w[k] += 0.01 * (g[k] ** 2 - w[k])
                 self.p[k] -= (lr * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(w[k] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
+        self._kept = None
         return self
 
 

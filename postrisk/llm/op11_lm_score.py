@@ -12,7 +12,8 @@ stochastic gradients over every window of every training text: texts are dealt b
 windows from there and the weights are averaged by windows, in fixed point. The deal depends on
 ids and texts alone, so neither partitions nor the order of tasks change the model.
 
-Scores: a text is the sequence of its words' subwords and one end. Its windows overlap; each
+Scores: a text is the sequence of its words' subwords and one end. Texts are cut once, into a stored table of ids that
+learning and scoring read (another table than the one learnt from is cut the same way). A text's windows overlap; each
 subword is scored once, given the inputs before it in its window. A task holds one chunk of
 texts, or one text, at a time, and scores it in fixed batches.
 
@@ -30,7 +31,7 @@ from __future__ import annotations
 import base64
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postrisk.llm.attention_lm import BATCH, CLASSES, STRIDE, TAIL, AttentionLM, class_table, frequent, windows
-from postrisk.llm.common import LOWER, drop, write_cut
+from postrisk.llm.common import LOWER, write_cut
 
 HEAD = 1 << 17
 PARTIAL_ENTRIES = 300_000
@@ -68,10 +69,17 @@ class Cutter:
         self.encode = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                         special_tokens={}).encode_ordinary
         self.end = max(ranks.values()) + 1
+        self.first = np.zeros(self.end + 1, bool)  # ids that begin a word: only there is a blank
+        self.first[[i for b, i in ranks.items() if b[:1] == b" "]] = True
 
     def __call__(self, word: bytes) -> list[int]:
         return self.encode(" " + word.decode())
 
+    def many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many words, cut together, and how many each has. No piece of the pattern goes on past the blank of the next word."""
+        flat = np.array(self.encode((b" " + b" ".join(words)).decode()) if words else [], np.int64)
+        return flat, np.diff(np.append(np.flatnonzero(self.first[flat]), len(flat)))
+
 
 _cutters: dict[int, Cutter] = {}
 
@@ -105,15 +113,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Corpus:
     """What is learnt from the training rows: the table of word counts, totals, id tables and the fitted model."""
 
-    def __init__(self, counts: DataFrame, tokens: int, types: int, ends: int, raw: bytes, ids: "IdTable", model: AttentionLM):
+    def __init__(self, counts: DataFrame, tokens: int, types: int, ends: int, raw: bytes, ids: "IdTable", model: AttentionLM,
+                 head: dict[bytes, int], docs: DataFrame, columns: tuple[str, str], cut: DataFrame):
         self.counts, self.tokens, self.types, self.ends = counts, tokens, types, ends
-        self.raw, self.ids, self.model = raw, ids, model
+        self.raw, self.ids, self.model, self.head = raw, ids, model, head
+        self.docs, self.columns, self.cut = docs, columns, cut  # the table learnt from and its texts as ids
 
 
 class IdTable:
     """Classes of the ids and P(id | its class, class of the id before it in the word).
 
-    ``keys`` (sorted) and ``n``: counts of (class before, id); a word's first id follows class ``len(mass)``.
+    ``keys`` and ``n``: counts of (class before, id), kept as a table of all pairs; a word's first id follows class ``len(mass)``.
     Counts of a pair are smoothed by the ids' counts in their class, ``SMOOTH`` observations strong."""
 
     SMOOTH = 5.0
@@ -122,7 +132,8 @@ class IdTable:
         self.classes, self.size, self.start = classes, len(counts) + 1, n_classes
         mass = np.bincount(classes, weights=counts + 0.1, minlength=n_classes)
         self.within = (counts + 0.1) / mass[classes]
-        self.keys, self.n = np.append(keys, np.iinfo(np.int64).max), np.append(n, 0)
+        self.n = np.zeros((n_classes + 1) * self.size, np.int64 if n.max(initial=0) >= 1 << 31 else np.int32)
+        self.n[keys] = n
         before, ids = keys // self.size, keys % self.size
         inner = ids < len(counts)  # the id past the last one stands for the end of a word
         self.total = np.zeros((n_classes + 1, n_classes))
@@ -135,9 +146,7 @@ class IdTable:
         c = self.classes[ids]
         before = np.concatenate([[self.start], c[:-1]])
         before[first] = self.start
-        key = before * self.size + ids
-        at = np.searchsorted(self.keys, key)
-        n = np.where(self.keys[at] == key, self.n[at], 0)
+        n = self.n[before * self.size + ids]
         return np.log((n + self.SMOOTH * self.within[ids]) / (self.total[before, c] + self.SMOOTH))
 
     def prior(self, texts: int, end_class: int) -> np.ndarray:
@@ -151,28 +160,58 @@ class IdTable:
         return np.log(p / p.sum(1, keepdims=True))
 
 
-class IdMemo:
-    """Subword ids of texts; words are cut once while a memo of fixed size holds them."""
+class _Places(dict):
+    """Numbers words as they come."""
 
-    def __init__(self, raw: bytes):
-        self.cut = cutter_for(raw)
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class WordCuts:
+    """Subword ids and base logs of texts; words are cut once, the new ones of a text together, while a memo of fixed size holds them."""
+
+    def __init__(self, raw: bytes, head: dict[bytes, int], tokens: int, types: int):
+        self.cut, self.head = cutter_for(raw), head
+        self.floor = tokens + 0.1 * (types + 1)
         self._clear()
 
     def _clear(self):
-        self.memo: dict[bytes, list[int]] = {}
+        self.places = _Places()
+        self.ids, self.at, self.count, self.known = (np.zeros(1 << 10, t) for t in (np.int32, np.int64, np.int64, np.int64))
+        self.words = self.size = 0
 
-    def __call__(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        w = words_of(text)
-        for i in range(0, len(w), CHUNK_WORDS):
-            if len(self.memo) > MEMO_ENTRIES:
+    def _add(self, words: list[bytes]) -> None:
+        flat, n = self.cut.many(words)
+        for name, more in (("ids", self.size + len(flat)), *((x, self.words + len(words)) for x in ("at", "count", "known"))):
+            old = getattr(self, name)
+            if more > len(old):
+                setattr(self, name, np.concatenate([old, np.zeros(max(more, 2 * len(old)) - len(old), old.dtype)]))
+        new = slice(self.words, self.words + len(words))
+        self.ids[self.size:self.size + len(flat)] = flat
+        self.at[new], self.count[new] = self.size + np.cumsum(n) - n, n
+        self.known[new] = [self.head.get(w, 0) for w in words]
+        self.words, self.size = new.stop, self.size + len(flat)
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, float, int, Counter]:
+        """(ids with the end, sum of base logs of head words, head words known, other words with their times)."""
+        parts, logs, known, other = [], 0.0, 0, Counter()
+        for i in range(0, len(words), CHUNK_WORDS):  # a long text bit by bit, so that the memo stays bounded
+            part = words[i:i + CHUNK_WORDS]
+            if self.words > MEMO_ENTRIES:
                 self._clear()
-            part = w[i:i + CHUNK_WORDS]
-            for x in set(part).difference(self.memo):
-                self.memo[x] = self.cut(x)
-            out.extend(chain.from_iterable(map(self.memo.__getitem__, part)))
-        out.append(self.cut.end)
-        return out
+            s = np.fromiter(map(self.places.__getitem__, part), np.int64, len(part))
+            if len(self.places) > self.words:
+                self._add(list(islice(reversed(self.places), len(self.places) - self.words))[::-1])
+            n = self.count[s]
+            start = np.repeat(self.at[s] - (np.cumsum(n) - n), n)
+            parts.append(self.ids[start + np.arange(len(start))])
+            c = self.known[s]
+            hit = c > 0
+            logs += float(np.log10((c[hit] + 0.1) / self.floor).sum())
+            known += int(hit.sum())
+            other.update([part[j] for j in np.flatnonzero(~hit)])
+        return np.concatenate([*parts, np.array([self.cut.end], np.int32)]), logs, known, other
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -232,6 +271,9 @@ def learn(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
     total = counts.agg(F.sum("n"), F.count("*")).first()
     tokens, types = int(total[0] or 0) + ends, int(total[1]) + (1 if ends else 0)
 
+    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+    head = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist()))
+
     def summed(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         k, at = np.unique(keys, return_inverse=True)
         return pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.bincount(at, weights=n, minlength=len(k)).astype(np.int64))], ["k", "n"])
@@ -239,23 +281,15 @@ def learn(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
     def cut(batches):
         cutter = cutter_for(shared.value)
         for b in batches:
-            ids = [cutter(w) for w in b.column(0).to_pylist()]
-            n = np.repeat(b.column(1).to_numpy(), [len(i) for i in ids])
-            yield summed(np.array([x for i in ids for x in i], np.int64), n)
+            flat, n = cutter.many(b.column(0).to_pylist())
+            yield summed(flat, np.repeat(b.column(1).to_numpy(), n))
     by_id = counts.mapInArrow(cut, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(end + 1)
     n[by_id.column("k").to_numpy()] = by_id.column("n").to_numpy()
     n[end] = ends
 
-    def sequences(batches):
-        ids_of = IdMemo(shared.value)
-        for b in batches:
-            for i in range(0, len(b), 64):
-                part = b.slice(i, 64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([ids_of(t) for t in part.column(1).to_pylist()], pa.list_(pa.int32()))],
-                                                 ["k", "ids"])
-    key = F.xxhash64(F.col("id").cast("string"), F.coalesce("text", F.lit("")), F.lit("lm"))
-    seqs = write_cut(train.select(key.alias("k"), "text").mapInArrow(sequences, "k long, ids array<int>"), "op11-ids")
+    cut_docs = cut_texts(docs, raw, head, tokens, types, id_col, text_col)
+    seqs = cut_docs.where(F.col("id").isNotNull() & ~held_out("id")).select("k", "ids")
     own = frequent(n, end, classes - TAIL)
     place = np.full(end + 1, -1, np.int64)
     place[own] = np.arange(len(own))
@@ -280,11 +314,11 @@ def learn(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
         cutter, table = cutter_for(shared.value), shared_table.value
         size = len(table) + 1
         for b in batches:
-            ids = [cutter(w) + [end + 1] for w in b.column(0).to_pylist()]
-            flat = np.array([x for i in ids for x in i], np.int64)
+            flat, size_of = cutter.many(b.column(0).to_pylist())
+            flat = np.insert(flat, np.cumsum(size_of), end + 1)
             before = np.concatenate([[classes], table[np.minimum(flat[:-1], end)]]) if len(flat) else flat
             before[1:][flat[:-1] == end + 1] = classes
-            yield summed(before * size + flat, np.repeat(b.column(1).to_numpy(), [len(i) for i in ids]))
+            yield summed(before * size + flat, np.repeat(b.column(1).to_numpy(), size_of + 1))
     by_pair = counts.mapInArrow(pairs, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     keys = by_pair.column("k").to_numpy()
     order = np.argsort(keys)
@@ -295,83 +329,59 @@ def learn(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
         chosen = seqs if train_texts is None else seqs.orderBy("k").limit(train_texts)
         n_windows = int(chosen.agg(F.sum(F.ceil(F.size("ids") / F.lit(STRIDE)))).first()[0])
         model = fit_attention(chosen, table, model, n_windows, steps)
-    drop(seqs)
-    return Corpus(counts, tokens, types, ends, raw, ids, model)
+    return Corpus(counts, tokens, types, ends, raw, ids, model, head, docs, (id_col, text_col), cut_docs)
 
 
-class Scorer:
-    """Scores chunks of texts in a worker; the memo of words has a fixed number of entries."""
+def cut_texts(docs: DataFrame, raw: bytes, head: dict[bytes, int], tokens: int, types: int, id_col: str, text_col: str) -> DataFrame:
+    """Every row's text as subword ids, with what the base score needs: learning and scoring read these, texts are cut once."""
+    shared = docs.sparkSession.sparkContext.broadcast((raw, head, tokens, types))
 
-    def __init__(self, raw: bytes, head: dict[bytes, int], table: IdTable, model: AttentionLM, tokens: int, types: int):
-        self.cut, self.model, self.head, self.table = cutter_for(raw), model, head, table
-        self.floor = tokens + 0.1 * (types + 1)
-        self._clear()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = WordCuts(*shared.value)
+        for b in batches:
+            lo = 0
+            while lo < len(b):
+                got, n, hi, size = [], [], lo, 0
+                while hi < len(b) and (hi == lo or size < CHUNK_WORDS):
+                    words = words_of(b.column(2)[hi].as_py())
+                    size += len(words)
+                    n.append(len(words) + 1)
+                    got.append(cuts(words))
+                    hi += 1
+                bounds = pa.array(np.cumsum([0, *(len(g[0]) for g in got)]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(n, pa.int64()),
+                     pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([g[0] for g in got]))),
+                     pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.int64()),
+                     pa.array([list(g[3].items()) for g in got], pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))],
+                    ["id", "k", "n_tokens", "ids", "logs", "known", "other"])
+                lo = hi
+    kind = docs.schema[id_col].dataType.simpleString()
+    key = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(text_col, F.lit("")), F.lit("lm"))
+    return write_cut(docs.select(F.col(id_col).alias("id"), key.alias("k"), F.col(text_col).alias("text")).mapInArrow(
+        run, f"id {kind}, k long, n_tokens long, ids array<int>, logs double, known long, other array<struct<word:binary,times:long>>")
+        .withColumn("row", F.monotonically_increasing_id()), "op11-cut")
 
-    def _clear(self):
-        self.memo: dict[bytes, int] = {}
-        self.at, self.count, self.known = (np.zeros(0, np.int64) for _ in range(3))
-        self.inner, self.classes = np.zeros(0), np.zeros(0, np.int16)
 
-    def _add(self, words: list[bytes]) -> None:
-        """Cut new words and keep their classes, head counts and logs within the classes."""
-        ids = [self.cut(w) for w in words]
-        n = np.array([len(i) for i in ids], np.int64)
-        flat = np.array([x for i in ids for x in i], np.int64)
-        first = np.cumsum(n) - n
-        self.memo.update(zip(words, range(len(self.memo), len(self.memo) + len(words))))
-        self.at = np.concatenate([self.at, first + len(self.classes)])
-        self.count = np.concatenate([self.count, n])
-        self.known = np.concatenate([self.known, np.array([self.head.get(w, 0) for w in words], np.int64)])
-        self.inner = np.concatenate([self.inner, np.add.reduceat(self.table.logs(flat, first), first)])
-        self.classes = np.concatenate([self.classes, self.table.classes[flat].astype(np.int16)])
-
-    def prepare(self, texts: list[list[bytes]]) -> None:
-        """Cut the new words of a chunk of texts together."""
-        if len(self.memo) > MEMO_ENTRIES:
-            self._clear()
-        for i in range(0, len(texts), 64):
-            new = set().union(*texts[i:i + 64]).difference(self.memo)
-            if new and len(self.memo) <= MEMO_ENTRIES:
-                self._add(sorted(new))
-
-    def slots(self, words: list[bytes]) -> np.ndarray:
-        new = set(words).difference(self.memo)
-        if new:
-            self._add(sorted(new))
-        return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
-
-    def subwords(self, slots: np.ndarray) -> np.ndarray:
-        """Classes of the subwords of a run of words."""
-        n = self.count[slots]
-        start = np.repeat(self.at[slots] - (np.cumsum(n) - n), n)
-        return self.classes[start + np.arange(len(start))]
+class Scorer:
+    """Scores texts in a worker, from their words or from their ids."""
+
+    def __init__(self, raw: bytes, head: dict[bytes, int], table: IdTable, model: AttentionLM, tokens: int, types: int):
+        self.cuts, self.model, self.table = WordCuts(raw, head, tokens, types), model, table
+        self.first = self.cuts.cut.first
 
     def chunk(self, texts: list[list[bytes]]):
         """Per text: (log10 probability, sum of base logs of head words, head words known, other words with their times)."""
-        parts, bounds, base, inner = [], [0], [], []
-        end = self.table.classes[[self.cut.end]].astype(np.int16)
-        for words in texts:
-            logs, known, other, within, size = 0.0, 0, Counter(), 0.0, 1
-            for i in range(0, len(words), CHUNK_WORDS):  # a long text bit by bit, so that the memo stays bounded
-                part = words[i:i + CHUNK_WORDS]
-                if len(self.memo) > MEMO_ENTRIES:
-                    self._clear()
-                s = self.slots(part)
-                parts.append(self.subwords(s))
-                size += len(parts[-1])
-                within += float(self.inner[s].sum())
-                c = self.known[s]
-                hit = c > 0
-                logs += float(np.log10((c[hit] + 0.1) / self.floor).sum())
-                known += int(hit.sum())
-                other.update([part[j] for j in np.flatnonzero(~hit)])
-            parts.append(end)
-            bounds.append(bounds[-1] + size)
-            base.append((logs, known, other))
-            inner.append(within)
-        lp = self.class_logs(np.concatenate(parts), np.array(bounds))
-        sums = (np.add.reduceat(lp, bounds[:-1]) + np.array(inner)) / np.log(10)
-        return [(float(p), *b) for p, b in zip(sums, base)]
+        cut = [self.cuts(words) for words in texts]
+        sums = self.sums(np.concatenate([c[0] for c in cut]), np.cumsum([0, *(len(c[0]) for c in cut)]))
+        return [(float(p), *c[1:]) for p, c in zip(sums, cut)]
+
+    def sums(self, flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Log10 probabilities of texts that follow each other in ``flat``, each closed by its end."""
+        lp = self.class_logs(self.table.classes[flat].astype(np.int16), bounds)
+        inner = self.table.logs(flat, self.first[flat])
+        inner[bounds[1:] - 1] = 0  # the end is alone in its class
+        return (np.add.reduceat(lp, bounds[:-1]) + np.add.reduceat(inner, bounds[:-1])) / np.log(10)
 
     def class_logs(self, classes: np.ndarray, bounds: np.ndarray, windows_at_once: int = 2048) -> np.ndarray:
         out = np.empty(len(classes))
@@ -407,42 +417,30 @@ def _groups(bounds: np.ndarray, part: int) -> Iterator[range]:
 
 def lm_scores(docs: DataFrame, corpus: Corpus, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    sc = docs.sparkSession.sparkContext
-    top = corpus.counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
-    head = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist()))
+    learnt = docs is corpus.docs and (id_col, text_col) == corpus.columns
+    cut = corpus.cut if learnt else cut_texts(docs, corpus.raw, corpus.head, corpus.tokens, corpus.types, id_col, text_col)
+    head = corpus.head
     least = min(head.values(), default=0)
-    shared = sc.broadcast((corpus.raw, head, corpus.ids, corpus.model, corpus.tokens, corpus.types))
+    shared = docs.sparkSession.sparkContext.broadcast((corpus.raw, {}, corpus.ids, corpus.model, corpus.tokens, corpus.types))
+    kept = ["row", "id", "n_tokens", "logs", "known"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
         for b in batches:
-            texts = b.column(1)
-            lo = 0
-            while lo < len(texts):
-                some, n, hi = [], 0, lo
-                while hi < len(texts) and (hi == lo or n < CHUNK_WORDS):
-                    some.append(words_of(texts[hi].as_py()))
-                    n += len(some[-1])
-                    hi += 1
-                scorer.prepare(some)
-                got = scorer.chunk(some)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[lo:hi], pa.array([len(w) + 1 for w in some], pa.int64()), pa.array([g[0] for g in got], pa.float64()),
-                     pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.int64()),
-                     pa.array([list(g[3].items()) for g in got], pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))],
-                    ["id", "n_tokens", "score", "logs", "known", "other"])
-                lo = hi
+            size = np.concatenate([[0], np.cumsum(np.asarray(b.column("ids").value_lengths(), np.int64))])
+            for r in _groups(size, CHUNK_WORDS):
+                part = b.slice(r[0], len(r))
+                yield pa.RecordBatch.from_arrays([pa.array(scorer.sums(*_flat(part.column("ids")))), *(part.column(c) for c in kept)], ["score", *kept])
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = write_cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, n_tokens long, score double, logs double, known long, other array<struct<word:binary,times:long>>")
-        .withColumn("row", F.monotonically_increasing_id()), "op11-scored")
+    scored = write_cut(cut.select("ids", *kept).mapInArrow(
+        run, f"score double, row long, id {kind}, n_tokens long, logs double, known long"), "op11-scored")
 
     floor = corpus.tokens + 0.1 * (corpus.types + 1)
 
     def log(n):
         return F.log10((n + F.lit(0.1)) / F.lit(floor))
     tail = corpus.counts.where(F.col("n") <= least) if head else corpus.counts
-    other = scored.select("row", F.explode("other").alias("o")).select("row", "o.word", "o.times")
+    other = cut.select("row", F.explode("other").alias("o")).select("row", "o.word", "o.times")
     n = F.coalesce("n", F.lit(0))
     sums = (other.join(tail, "word", "left").groupBy("row")
             .agg(F.sum((F.col("times") * log(n)).cast("decimal(30,13)")).cast("double").alias("more"),

@@ -144,6 +144,27 @@ def test_attention_is_fitted_on_every_window_of_every_training_text(spark, monke
         assert np.abs(got.vector() - want.vector()).max() < 1e-4
 
 
+def test_words_cut_together_have_the_ids_they_have_alone():
+    cut = op11.cutter_for(open(token_file(SUBWORD_FILE), "rb").read())
+    r = random.Random(6)
+    words = ["a", "don't", "'s", "12x3", "...", "\u00a0", "x\u00a0", "\u3000\u3000y", "\u2028", "\x1c", "\x00", "\x85", "caf\u00e9", "e\u0301", "\U0001f600!", "1.5e-3", "_", "'"]
+    words += ["".join(r.choice("ab'9.\u00a0\u2003\x1f\u0301\u4e2d_-") for _ in range(r.randrange(1, 9))) for _ in range(3000)]
+    words = [w.encode() for w in words if w]
+    flat, n = cut.many(words)
+    ends = np.cumsum(n)
+    assert len(n) == len(words) and [list(flat[e - k:e]) for e, k in zip(ends, n)] == [cut(w) for w in words]
+    assert [len(x) for x in cut.many([])] == [0, 0]
+
+
+def test_the_texts_learnt_from_are_not_cut_again_to_score_them(spark, monkeypatch):
+    df = spark.createDataFrame([(k, f"one two {k} " * 9) for k in range(20)], "doc_id long, text string")
+    same = df.select("*")
+    corpus = op11.learn(df, token_file(SUBWORD_FILE), steps=5)
+    want = sorted(map(tuple, op11.lm_scores(same, corpus).collect()))  # another table is cut
+    monkeypatch.setattr(op11, "cut_texts", None)
+    assert sorted(map(tuple, op11.lm_scores(df, corpus).collect())) == want
+
+
 # ---- 12 ----------------------------------------------------------------------
 
 def brute_repair(rows):
