@@ -99,15 +99,15 @@ def nb_pipeline(max_features: int = TFIDF_MAX_FEATURES) -> Pipeline:
     return Pipeline(stages=[*stages, nb])
 
 
-MAX_FIT_ROWS = 200_000
 FIT_PART_ROWS = 4_000
 
 
-def fit(pipeline: Pipeline, train: DataFrame, max_rows: int = MAX_FIT_ROWS, key: str = "post_id") -> PipelineModel:
-    """Fit every stage on all rows, but tree ensembles on about ``max_rows`` feature rows, a sample by a
-    hash of the key (trees of unbounded depth grow with the rows they see and end on the driver). Vocabulary
-    and idf count every row. Feature rows are written once, so trees read them and not the texts. They are dealt
-    into parts of at most about ``FIT_PART_ROWS``: the trees hold a row as one number for each feature, however few it has."""
+def fit(pipeline: Pipeline, train: DataFrame, max_rows: int | None = None, key: str = "post_id") -> PipelineModel:
+    """Fit every stage on all rows. Feature rows are written once, so trees read them and not the texts. They are dealt
+    into parts of at most about ``FIT_PART_ROWS``: the trees hold a row as one number for each feature, however few it has.
+
+    ``max_rows``: a bound on the feature rows that tree ensembles are fitted on (a sample by a hash of the key), for
+    trials; by default all are. Trees of unbounded depth grow with the rows they see and end on the driver."""
     *before, last = pipeline.getStages()
     features = Pipeline(stages=before).fit(train)
     rows = features.transform(train).select(key, "label", *[c for c in ("weight",) if c in train.columns], last.getFeaturesCol())
@@ -115,9 +115,10 @@ def fit(pipeline: Pipeline, train: DataFrame, max_rows: int = MAX_FIT_ROWS, key:
         return PipelineModel(stages=[*features.stages, last.fit(rows)])
     rows = materialize(rows, "features")
     n = rows.count()
-    if n > max_rows:
+    if max_rows is not None and n > max_rows:
         rows = rows.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
-    rows = rows.repartition(max(1, -(-min(n, max_rows) // FIT_PART_ROWS)), key)
+        n = max_rows
+    rows = rows.repartition(max(1, -(-n // FIT_PART_ROWS)), key)
     return PipelineModel(stages=[*features.stages, last.fit(rows)])
 
 
