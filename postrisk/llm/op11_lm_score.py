@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postrisk.llm.attention_lm import BATCH, CLASSES, STRIDE, TAIL, AttentionLM, class_table, frequent, windows
+from postrisk.llm.attention_lm import BATCH, CLASSES, STRIDE, TAIL, WINDOW, AttentionLM, class_table, frequent, windows
 from postrisk.llm.common import LOWER, write_cut
 
 HEAD = 1 << 17
@@ -47,6 +47,8 @@ MEMO_ENTRIES = 600_000
 CHUNK_WORDS = 60_000
 PART_WINDOWS = 600 * BATCH  # a task fits this many windows at a time
 FIXED = 1 << 24
+# Spark reads lists by batches of rows within a row group, whole in memory: many long texts must not share one
+ROW_GROUPS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1}
 _LOWER = LOWER.tobytes()
 
 
@@ -360,7 +362,7 @@ def cut_texts(docs: DataFrame, raw: bytes, head: dict[bytes, int], tokens: int,
     key = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(text_col, F.lit("")), F.lit("lm"))
     return write_cut(docs.select(F.col(id_col).alias("id"), key.alias("k"), F.col(text_col).alias("text")).mapInArrow(
         run, f"id {kind}, k long, n_tokens long, ids array<int>, logs double, known long, other array<struct<word:binary,times:long>>")
-        .withColumn("row", F.monotonically_increasing_id()), "op11-cut")
+        .withColumn("row", F.monotonically_increasing_id()), "op11-cut", ROW_GROUPS)
 
 
 class Scorer:
