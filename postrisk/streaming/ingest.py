@@ -111,13 +111,19 @@ def stream_ingest(spark: SparkSession, source_path: str, schema: T.StructType, s
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # state on disk, not in the heap
     stream = with_unseen(rows, schema)
     names, ts = schema.fieldNames(), watermark[0] if watermark else None
+    own_adaptive = spark.conf.get("spark.sql.adaptive.enabled")
 
     def process(batch: DataFrame, batch_id: int) -> None:
+        # a stream plans without AQE, as its state has a fixed number of parts; what reads the finished batch need not have as many
+        conf, adaptive = batch.sparkSession.conf, "spark.sql.adaptive.enabled"
+        was = conf.get(adaptive)
+        conf.set(adaptive, own_adaptive)
         batch.persist()
         try:
             ingest(batch, batch_id)
         finally:
             batch.unpersist()
+            conf.set(adaptive, was)
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
         arrived = ~F.col(STORED_COL) & ~F.col(UNSEEN_COL)
@@ -125,10 +131,11 @@ def stream_ingest(spark: SparkSession, source_path: str, schema: T.StructType, s
         if watermark:
             newest = before.agg(F.max("newest").alias("newest")).select("newest").scalar()
             late = batch.where(arrived).filter(parse_ts(ts) < newest - F.expr(f"interval {watermark[1]}")).select(*names)
-            new_keys = batch.where(F.col(STORED_COL) | F.col(UNSEEN_COL)).groupBy(*ops.COLLECTION_KEY).agg(
-                F.bool_or(STORED_COL).alias(STORED_COL)).where(~F.col(STORED_COL)).drop(STORED_COL)
-            late = late.join(new_keys, list(ops.COLLECTION_KEY), "left_semi").select(*names).unionByName(late.where(_no_key(schema)))
-            _write(late, batch_id, late_path(sink_path))
+            if late.agg(F.count(F.lit(1))).first()[0]:  # most batches have none: no need to know the new keys for them
+                new_keys = batch.where(F.col(STORED_COL) | F.col(UNSEEN_COL)).groupBy(*ops.COLLECTION_KEY).agg(
+                    F.bool_or(STORED_COL).alias(STORED_COL)).where(~F.col(STORED_COL)).drop(STORED_COL)
+                late = late.join(new_keys, list(ops.COLLECTION_KEY), "left_semi").select(*names).unionByName(late.where(_no_key(schema)))
+                _write(late, batch_id, late_path(sink_path))
         # as dedupe_keep_first, in the aggregate that also says whether the key is new
         order = arrival_order(batch.select(*names))
         if list(order) != list(ARRIVAL):
